@@ -14,14 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import bounded, table
 
 #: What is no part of a word once A-Z are in lower case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lists intersected before a start counts as found.
 RAREST = 3
-#: Rows up to which a table is sent to every executor (a row has under 100 bytes); beyond it, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,11 +33,6 @@ def term_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has few enough rows, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 @dataclass
 class TestSet:
     """The different word sequences of the test items: what is looked up, and whose it is."""

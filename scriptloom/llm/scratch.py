@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,15 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of short rows (under 100 bytes) is sent to every executor; beyond it, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has few enough rows, else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The deployer's ``spark.sql.shuffle.partitions``: the size in which shuffled work is cut."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
