@@ -165,3 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         index.documents.join(hit.join(names, "uid", "left").join(near, "uid", "full"), "uid", "left")
         .select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     )
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """``docs`` without the rows whose id has a text that contains a test window; columns stay."""
+    judged = contamination(docs, benchmark, id_col, text_col, window=window)
+    leaks = table(judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    return docs.join(bounded(leaks, leaks.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")

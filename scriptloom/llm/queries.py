@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, page_text, quality_rules, secret_scan, token_counts
+from . import decontamination, language_model, ngram_join, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,25 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_table(spark, sf_dir, "documents"), folds=10)
+
+
+URL_RULES = url_filter.rules_from("allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(_table(spark, sf_dir, "documents"), source_mixing.Target())
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_text(_table(spark, sf_dir, "pages"), page_text.train(page_text.labelled_pages()))
 
@@ -39,6 +54,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.train(docs, _table(spark, sf_dir, "labels"), folds=5), folds=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), byte_bpe_50k, limit=512)
 
@@ -46,9 +66,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_model": op3_language_model,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_source_mixing": op6_source_mixing,
     "op7_main_text": op7_main_text,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_quality_model": op9_quality_model,
     "op10_token_counts": op10_token_counts,
 }
 
