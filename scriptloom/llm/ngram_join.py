@@ -9,6 +9,9 @@ sets may differ in, are all its own has no partner; the others meet by those
 rare n-grams.  Where documents are compared, the overlaps are counted fragment
 by fragment and summed for each pair.
 
+A first round over a part of the order already shows most sets to have too many
+n-grams of their own; only the rest is cut over the whole order.
+
 Equal sets are one node from the start, and the members of large groups are
 compared in blocks: first within each block and with a few common members, then
 only those that aren't yet in the group's largest component with the rest.
@@ -16,7 +19,6 @@ only those that aren't yet in the group's largest component with the rest.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import U64, as_long, hashes, mix, shingles, text_slices, words
 from .components import connected_components
-from .scratch import shuffle_partitions, table
+from .scratch import bounded, shuffle_partitions, table
 
 #: Tokens that a map task holds before it sends its segments off.
 BATCH_TOKENS = 1_500_000
@@ -77,9 +79,11 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node long, check long")
 
 
-def _segments(docs: DataFrame, text_col: str, k: int, fragments: int) -> DataFrame:
+def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: float = 1.0) -> DataFrame:
     """Rows (part, low, high, node, n, count): a batch's segments in one fragment, as packed arrays.
 
+    The fragments cover the first ``share`` of the order of n-grams.
+
     Parts from ``fragments`` on hold entries of n-grams that are frequent in
     their batch; the n-gram's own fragment gets a marker (node 0) for them.
     """
@@ -102,11 +106,15 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int) -> DataFra
         first = np.zeros(len(node), bool)
         first[np.unique(node, return_index=True)[1]] = True
         first &= sizes > 0
+        scale = U64(round(fragments / share))
+        fragment = lambda tok: (((tok >> U64(48)) * scale) >> U64(16)).astype(np.int64)
         keep = np.repeat(first, sizes)
+        if share < 1:
+            keep &= fragment(tok) < fragments
         tok, doc = tok[keep], np.repeat(np.arange(len(sizes)), sizes)[keep]
         if not len(tok):
             return
-        part = (((tok >> U64(48)) * U64(fragments)) >> U64(16)).astype(np.int64)
+        part = fragment(tok)
         ordered = np.sort(tok)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         hot = ordered[edge[:-1]][np.diff(edge) >= HOT_IN_BATCH]
@@ -120,7 +128,7 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int) -> DataFra
                 yield pack(int(spread[a]), hot_tok[a:b], hot_doc[a:b], node, sizes) | {"parts": part[is_hot][order][a:b].astype("<u4").tobytes()}
             node, sizes = np.append(node, U64(0)), np.append(sizes, 0)
             tok, doc = np.concatenate([tok[~is_hot], hot]), np.concatenate([doc[~is_hot], np.full(len(hot), len(sizes) - 1)])
-            part = (((tok >> U64(48)) * U64(fragments)) >> U64(16)).astype(np.int64)
+            part = fragment(tok)
         order = np.argsort(part.astype(np.uint16) if fragments <= 65535 else part, kind="stable")
         tok, doc, part = tok[order], doc[order], part[order]
         for a, b in _runs(part):
@@ -163,19 +171,59 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
 
 
+def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram, node and set size of each entry of a fragment's segments."""
+    key = _joined(t, "low", "<u4").astype(U64) | (_joined(t, "high", "<u2").astype(U64) << U64(32))
+    count = _joined(t, "count", "<u4")
+    return key, np.repeat(_joined(t, "node", "<i8"), count), np.repeat(_joined(t, "n", "<u4"), count)
+
+
+def _dealt(node: np.ndarray, groups: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Rows (group, ...) of packed arrays: the entries of a node go to one group."""
+    group = ((node >> 32) & 0x7FFFFFFF) % groups
+    order = np.argsort(group, kind="stable")
+    group, columns = group[order], {k: v[order] for k, v in columns.items()}
+    rows = [{"group": int(group[a])} | {k: v[a:b].tobytes() for k, v in columns.items()} for a, b in _runs(group)]
+    return pa.Table.from_pylist(rows, schema=pa.schema([("group", pa.int64()), *((c, pa.binary()) for c in columns)]))
+
+
+def _ruled_out(segments: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
+    """(node) of the nodes that have, in these segments alone, more n-grams of their own than linked sets may differ in."""
+
+    def own(t: pa.Table) -> pa.Table:
+        node, n, u = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if t.column("part")[0].as_py() < fragments:
+            key, node, n = _entries(t)
+            order = np.argsort(key, kind="stable")
+            key, node, n = key[order], node[order], n[order]
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            alone = np.minimum.reduceat(node, edge) == np.maximum.reduceat(node, edge)
+            pick = edge[alone & (node[edge] != 0)]
+            node, at, u = np.unique(node[pick], return_index=True, return_counts=True)
+            n = n[pick][at]
+        return _dealt(node, fragments, {"node": node, "n": n.astype("<u4"), "own": u.astype("<u4")})
+
+    def out(t: pa.Table) -> pa.Table:
+        node, n, u = _joined(t, "node", "<i8"), _joined(t, "n", "<u4").astype(np.int64), _joined(t, "own", "<u4")
+        node, at, inverse = np.unique(node, return_index=True, return_inverse=True)
+        n, u = n[at], np.bincount(inverse, u)
+        return pa.table({"node": pa.array(node[u > n + (-n * num // den)], pa.int64())})
+
+    return segments.groupBy("part").applyInArrow(own, "group long, node binary, n binary, own binary").groupBy("group").applyInArrow(out, "node long")
+
+
 def _shared(segments: DataFrame, fragments: int) -> DataFrame:
     """From each fragment its n-grams of two sets or more: (group, node, n, gram, df) as packed arrays, dealt by node."""
 
-    def joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        key = joined(t, "low", "<u4").astype(U64) | (joined(t, "high", "<u2").astype(U64) << U64(32))
-        count = joined(t, "count", "<u4")
-        node, n = np.repeat(joined(t, "node", "<i8"), count), np.repeat(joined(t, "n", "<u4"), count)
+        key, node, n = _entries(t)
         if part >= fragments:
-            gram = (joined(t, "parts", "<u4").astype(U64) << U64(48)) | key
+            gram = (_joined(t, "parts", "<u4").astype(U64) << U64(48)) | key
             df = np.full(len(gram), HOT_DF, np.uint32)
         else:
             order = np.argsort(key, kind="stable")
@@ -197,11 +245,7 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
                 df[np.isin(key, marked)] = HOT_DF
             keep = (df > 1) & (node != 0)
             gram, node, n, df = key[keep] | (U64(part) << U64(48)), node[keep], n[keep], df[keep]
-        group = ((node >> 32) & 0x7FFFFFFF) % fragments
-        order = np.argsort(group, kind="stable")
-        gram, node, n, df, group = gram[order], node[order], n[order], df[order], group[order]
-        rows = [{"group": int(group[a]), "node": node[a:b].tobytes(), "n": n[a:b].astype("<u4").tobytes(), "gram": gram[a:b].tobytes(), "df": df[a:b].tobytes()} for a, b in _runs(group)]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("group", pa.int64()), *((c, pa.binary()) for c in ("node", "n", "gram", "df"))]))
+        return _dealt(node, fragments, {"node": node, "n": n.astype("<u4"), "gram": gram, "df": df})
 
     return segments.groupBy("part").applyInArrow(run, "group long, node binary, n binary, gram binary, df binary")
 
@@ -284,6 +328,15 @@ def _blocks(count, size: int):
     return F.ceil(count / F.lit(size)).cast("int")
 
 
+def _remaining(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """The rows of ``docs``, one at least for each node, that a first round over a part of the n-grams doesn't rule out."""
+    fragments = shuffle_partitions(docs.sparkSession)
+    out = table(_ruled_out(_segments(docs, text_col, k, fragments, min(1.0, 2.5 * (den - num) / den)), fragments, num, den), "ruled-out")
+    ids = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(out, "node", "left_anti").select("least").distinct()
+    ids = table(ids, "remaining")
+    return docs.join(bounded(ids, ids.count()), F.col(id_col).cast("long").eqNullSafe(F.col("least")), "left_semi")
+
+
 def node_components(docs: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(node, label) of the nodes with a link to another node: label names their component.
 
@@ -297,7 +350,7 @@ def node_components(docs: DataFrame, text_col: str = "text", k: int = 3, num: in
     least = at.groupBy("gram").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
     group = table(connected_components(at.join(least, "gram").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))), "groups")
     sizes = group.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("c"))
-    members = meeting.drop("prefix").join(group.withColumnRenamed("label", "cluster"), "node").join(sizes, "cluster")
+    members = meeting.drop("prefix").join(group.withColumnRenamed("label", "cluster").join(sizes, "cluster"), "node")
     members = table(members.withColumns({"blocks": _blocks(F.col("c"), BLOCK), "block": F.pmod(F.xxhash64("node"), _blocks(F.col("c"), BLOCK)).cast("int"), "label": F.col("node")}), "members")
     guide = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")) < 8)
     within = members.withColumn("block", F.explode(F.when(guide, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
@@ -334,10 +387,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are confused is about m * m / 2 ** 65.
     """
     sets = table(set_table(docs, id_col, text_col, k), "sets")
-    label = table(node_components(docs, text_col, k, num, den), "labels")
+    label = table(node_components(_remaining(docs, sets, id_col, text_col, k, num, den), text_col, k, num, den), "labels")
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = table(nodes, "nodes")
     component = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = nodes.join(component, "label").select("node", "component_id")
     full = sets.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` without the rows whose group of linked texts has a lesser doc_id; columns stay.
+
+    Of rows that share an id, equal texts are one; different texts that aren't
+    linked both stay.  Rows with a null id stay unless a row with an id is in
+    their group.
+    """
+    found = table(jaccard_components(docs, id_col, text_col, k, num, den).select(F.col("doc_id").alias("_id"), "component_id"), "components-of")
+    lesser = table(found.where("component_id <> _id or (_id is null and component_id is not null)").select("_id").distinct(), "copies")
+    left = docs.join(bounded(lesser, lesser.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    shared = table(found.groupBy("_id").count().where("count > 1").select("_id"), "shared-ids")
+    n_shared = shared.count()
+    if not n_shared:
+        return left
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    return left.join(bounded(shared, n_shared), same_id, "left_anti").unionByName(left.join(bounded(shared, n_shared), same_id, "left_semi").dropDuplicates([id_col, text_col]))
