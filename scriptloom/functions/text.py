@@ -53,10 +53,10 @@ def visible(text: Column) -> Column:
 
 
 def decoded_twice(text: Column) -> Column:
-    """UTF-8 that was read as Windows-1252 and written again, put right; anything else as it is."""
-    raw = F.encode(text, "windows-1252")
-    intact = F.decode(raw, "windows-1252") == text
-    return F.when(text.rlike("[ÂÃâ]") & intact & F.is_valid_utf8(raw), F.make_valid_utf8(raw)).otherwise(text)
+    """UTF-8 that was read as Latin-1 and written again, put right; anything else as it is."""
+    single_bytes = text.rlike(r"^[\u0000-\u00FF]*$") & text.rlike(r"[\u00C2-\u00F4][\u0080-\u00BF]")
+    raw = F.encode(F.when(single_bytes, text), "ISO-8859-1")
+    return F.when(single_bytes & F.is_valid_utf8(raw.cast("string")), F.make_valid_utf8(raw.cast("string"))).otherwise(text)
 
 
 def squeezed(text: Column) -> Column:

@@ -103,8 +103,11 @@ def _by_rule(rows: DataFrame, more: tuple[tuple[str, str, str, str], ...]) -> Da
     at_start, at_end = ~_in_word("prev_kind"), ~F.col("after").rlike(r"[\p{L}\p{M}]")
     fits = (F.size("lcodes") == 0) | F.array_contains("lcodes", F.coalesce("lcode", F.lit("")))
     placed = F.when(F.col("place") == "start", at_start).when(F.col("place") == "end", at_end).when(F.col("place") == "whole", at_start & at_end).otherwise(True)
+    consonant = F.substring("s", 1, 1).rlike(char_tables.signs("letter")) & F.col("t").rlike("^[bcdfghjklmnpqrstvwxyz]+a$")
+    silent = F.col("after").rlike(char_tables.signs("vowel sign", "virama", "medial")) | (at_end & F.col("s").rlike(r"^\p{IsDevanagari}") & ~F.col("lcode").eqNullSafe("san"))
+    txt = F.when(consonant & F.coalesce(silent, F.lit(False)), F.regexp_replace("t", "a$", "")).otherwise(F.col("t"))
     rank = F.lit(1) + (F.size("lcodes") > 0).cast("int") + (F.col("place") != "").cast("int")
-    return found.where(fits & placed).select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + 1).alias("end"), F.col("t").alias("txt"), F.lit("rom").alias("type"), (rank * 1000 + F.col("load_order")).alias("rank"))
+    return found.where(fits & placed).select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + 1).alias("end"), txt.alias("txt"), F.lit("rom").alias("type"), (rank * 1000 + F.col("load_order")).alias("rank"))
 
 
 def lattice(words: DataFrame, more: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:

@@ -14,6 +14,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import latin
+
 #: Scripts whose consonants carry a vowel that the next sign may remove; all have "a".
 ABUGIDAS = frozenset("BENGALI BRAHMI DEVANAGARI GUJARATI GURMUKHI KANNADA KHMER MALAYALAM MODI MYANMAR ORIYA SINHALA SUNDANESE TAMIL TELUGU TIBETAN".split())
 SYLLABARIES = frozenset(("ETHIOPIC", "HIRAGANA", "KATAKANA", "CHEROKEE", "CANADIAN", "YI", "VAI", "LINEAR B", "CYPRIOT", "BOPOMOFO"))
@@ -27,7 +29,11 @@ SOUNDS = {
     "georgian": dict(zip("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "a b g d e v z t i k l m n o p zh r s t u ph k gh q sh ch ts dz ts ch x j h".split(), strict=True)),
     "armenian": dict(zip("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆև", "a b g d e z e e t zh i l kh ts k h dz gh ch m y n sh o ch p j r s v t r ts w p k o f ev".split(), strict=True)),
     "runic": dict(zip("ᚠᚢᚦᚨᚩᚪᚫᚱᚳᚷᚹᚻᚾᛁᛄᛇᛈᛉᛋᛏᛒᛖᛗᛚᛝᛟᛞᚣᛠᛡᚧ", "f u th a o a ae r c g w h n i j eo p x s t b e m l ng oe d y ea io th".split(), strict=True)),
-    "punctuation": {"።": ".", "፣": ",", "।": ".", "॥": "||", "。": ". ", "、": ", ", "་": "·", "᛫": " ", "᛬": ".", " ": " ", "«": '"', "»": '"', "։": ".", "՝": ",", "،": ",", "؛": ";", "؟": "?"},
+    "tamil": dict(zip("ட ண ற ள ழ ன".split(), "tta nna ra lla la na".split(), strict=True)),
+    "tifinagh": dict(zip("ⴰⴱⴳⴷⴹⴻⴼⴽⵀⵃⵄⵅⵇⵉⵊⵍⵎⵏⵓⵔⵕⵖⵙⵚⵛⵜⵟⵡⵢⵣⵥⵯ", "a b g d d e f k h h ' kh q i j l m n u r r gh s s sh t t w y z z w".split(), strict=True)),
+    "ogham": dict(zip("ᚁᚂᚃᚄᚅᚆᚇᚈᚉᚊᚋᚌᚍᚎᚏᚐᚑᚒᚓᚔᚖ", "b l f s n h d t k q m g ng z r a o u e i oi".split(), strict=True)) | {"᚛": "-", "᚜": "-", "\u1680": " "},
+    "kana": {"ェ": "e", "ァ": "a", "ィ": "i", "ゥ": "u", "ォ": "o", "を": "o", "ヲ": "o"},
+    "punctuation": {"־": "-", "።": ".", "፣": ",", "।": ".", "॥": "||", "。": ". ", "、": ", ", "་": "·", "᛫": " ", "᛬": ".", " ": " ", "«": '"', "»": '"', "։": ".", "՝": ",", "،": ",", "؛": ";", "؟": "?"},
 }
 
 _VOWELS = "AEIOU"
@@ -91,6 +97,8 @@ def character_row(cp: int) -> tuple | None:
             rom = rom[:1].upper() + rom[1:]
         if script not in ABUGIDAS | SYLLABARIES and not rom.isascii():
             rom = None
+    if c in latin.folds() and latin.folds()[c].isascii():
+        rom = latin.folds()[c]
     if c in _sounds():
         rom = _sounds()[c]
     if rom is None or (kind in ("letter", "other") and c not in _sounds()):
@@ -107,6 +115,12 @@ def character_rows() -> tuple[tuple, ...]:
     return tuple(character_row(cp) for cp in range(0x80, min(sys.maxunicode + 1, 0x20000)) if unicodedata.category(chr(cp)) not in ("Cn", "Cs", "Co") and not 0x3400 <= cp < 0xA000 and not 0xAC00 <= cp < 0xD7A4)
 
 
+@cache
+def signs(*kinds: str) -> str:
+    """A pattern of one character of the abugidas that is of one of these kinds."""
+    return "^[" + "".join(chr(r[0]) for r in character_rows() if r[2] in ABUGIDAS and r[3] in kinds) + "]$"
+
+
 def pinyin_rows(spark: SparkSession) -> list[tuple]:
     """Rows of the unified Han block by the Han-Latin rules of the ICU library that Spark ships, without tones; none where the JVM can't be reached."""
     try:

@@ -18,6 +18,10 @@ RULES = (
     *((s, t, "fas", "") for s, t in zip("و ی ه‌".split(), "v i e".split(), strict=True)),
     *((s, t, "uig", "") for s, t in zip("ئا ئە ئې ئى ئو ئۇ ئۆ ئۈ ا ى و غ خ چ ج ش ژ".split(), "a e e i o u oe ue a i o gh x ch j sh zh".split(), strict=True)),
     *((s, t, "yid", "") for s, t in zip("ווא וו יי ײ װ זש טש א ע ו י".split(), "wa w ey ey w zh tsh a e u y".split(), strict=True)),
+    *((s + "\u093c", t, "", "") for s, t in zip("फ ज ड ढ क ख ग".split(), "fa za dda ddha qa kha gha".split(), strict=True)),
+    *((s, t, "tam", "") for s, t in zip("ட ழ".split(), "da la".split(), strict=True)),
+    ("ቸ", "che", "", ""), ("ች", "che", "", ""), ("ቻ", "chaa", "", ""), ("ቼ", "chee", "", ""), ("ቺ", "chi", "", ""), ("ቹ", "chu", "", ""), ("ቾ", "cho", "", ""),
+    *((a + b, t, "", "") for a, b, t in (("チ", "ェ", "che"), ("シ", "ェ", "she"), ("ジ", "ェ", "je"), ("フ", "ァ", "fa"), ("フ", "ィ", "fi"), ("フ", "ェ", "fe"), ("フ", "ォ", "fo"), ("テ", "ィ", "ti"), ("デ", "ィ", "di"), ("ウ", "ェ", "we"), ("ウ", "ィ", "wi"))),
     *((s, t, "hye", "") for s, t in zip("ու ՈՒ Ու".split(), "u U U".split(), strict=True)),
     *((k + y, r[:-1] + ("" if r in ("shi", "chi", "ji") else "y") + v, "", "") for ks, ys in (("きしちにひみりぎじぢびぴ", "ゃゅょ"), ("キシチニヒミリギジヂビピ", "ャュョ")) for k, r in zip(ks, "ki shi chi ni hi mi ri gi ji ji bi pi".split(), strict=True) for y, v in zip(ys, "auo", strict=True)),
     *((s, t, "", "") for s, t in zip("し ち つ ふ じ ぢ づ シ チ ツ フ ジ ヂ ヅ ん ン を ヲ".split(), "shi chi tsu fu ji ji zu shi chi tsu fu ji ji zu n n o o".split(), strict=True)),
