@@ -31,6 +31,8 @@ UNITS = 1 + FREQUENT + GROUPS
 #: Words whose counts every executor holds; those beyond are joined.
 HEAD_WORDS = 200_000
 LENGTH, NOISE, STEP_TOKENS, RATE = 24, 48, 8192, 0.01
+#: Steps at least over the tokens that a task holds at a time: few tokens are gone through in shorter steps and more than once.
+LEAST_STEPS = 120
 SMOOTH = 0.1
 BATCH_TOKENS = 2_000_000
 
@@ -149,10 +151,12 @@ class LogBilinear:
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, random: np.random.Generator) -> None:
         """Steps of noise-contrastive estimation over all given tokens; the tokens of a step share their noise units."""
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        order = random.permutation(len(units))
-        for i in range(0, len(order), STEP_TOKENS):
+        size = min(STEP_TOKENS, max(256, len(units) // LEAST_STEPS))
+        passes = -(-LEAST_STEPS * size // len(units))
+        order = np.concatenate([random.permutation(len(units)) for _ in range(passes)])
+        for i in range(0, len(order), size):
             r, a, b, q, bias = self.parts
-            pick = order[i : i + STEP_TOKENS]
+            pick = order[i : i + size]
             u, x, y = units[pick], one[pick], two[pick]
             noise = random.choice(UNITS, NOISE, p=self.noise)
             rx, ry = r[x], r[y]
