@@ -24,7 +24,7 @@ def has_slot(line: Column, name: str) -> Column:
 
 
 def without_slot(line: Column, name: str) -> Column:
-    return F.trim(F.regexp_replace(line, rf"(?:^|\s+)::{name}(?:\s+(?!::)[^:]*(?:(?!\s::):[^:]*)*?)?(?=\s+::|\s*$)", ""))
+    return F.trim(F.regexp_replace(line, rf"(?:^|\s+)::{name}(?:\s.*?)?(?=\s+::|\s*$)", ""))
 
 
 def dequoted(text: Column) -> Column:

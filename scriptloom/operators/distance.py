@@ -70,7 +70,7 @@ def cost_distance(left: Column, right: Column, rules: tuple[tuple[str, str, floa
 
 def name_pairs(df: DataFrame, name_col: str, most: float) -> DataFrame:
     """(a, b, cost) of different names at most ``most`` apart whose consonants start alike: the pairs meet by that key, not all by all."""
-    key = F.substring(F.regexp_replace(F.lower(F.replace(F.col(name_col), F.lit("ph"), F.lit("f"))), "[^bcdfghjklmnpqrstvwxz]", ""), 1, 3)
+    key = F.substring(F.regexp_replace(F.replace(F.lower(F.col(name_col)), F.lit("ph"), F.lit("f")), "[^bcdfghjklmnpqrstvwxz]", ""), 1, 3)
     names = df.select(F.col(name_col).alias("n")).where("n is not null").distinct().withColumn("key", F.when(F.length("n") > 0, key))
     pairs = names.select(F.col("n").alias("a"), "key").join(names.select(F.col("n").alias("b"), "key"), "key").where("a < b")
     return pairs.select("a", "b", cost_distance(F.col("a"), F.col("b")).alias("cost")).where(F.col("cost") <= most)
