@@ -94,8 +94,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lettered": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
         "n_shouted": F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}{2,}[^\p{Ll}]*$"))),
         "n_stuttered": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))),
-        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))),
-        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[ \t-\r]*[-*•]"))),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[ \t-\r]*$"))),
     }
     return rows.withColumn("m", F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))
 

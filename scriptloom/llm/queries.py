@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_model, ngram_join, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
+from . import decontamination, language_model, ngram_join, oracles, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op5_quality_rules": oracles.OP5, "op8_ngram_jaccard": oracles.OP8}
