@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.latin import romanize_latin
+from ..functions.latin import is_ascii, romanize_latin
 from ..functions.numbers import HAN_DIGITS, HAN_POWERS, HAN_UNITS, han_number
-from ..functions.text import characters
+from ..functions.text import characters, guarded_html
 from ..plans import char_tables
 from ..plans.rules import LONGEST, rules
 
@@ -24,6 +24,8 @@ LATIN_ONLY = r"^[\u0000-ɏḀ-ỿ‐-‧‰-›₠-₿]*$"
 EDGE = "struct<start:int,end:int,txt:string,type:string>"
 FORMATS = ("str", "edges", "lattice")
 
+#: Thai vowels written before their consonant.
+THAI_BEFORE = {"เ": "e", "แ": "ae", "โ": "o", "ใ": "ai", "ไ": "ai"}
 _LEADS = "g gg n d dd r m b bb s ss . j jj c k t p h".split()
 _VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu ui i".split()
 _TAILS = ". g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
@@ -59,7 +61,15 @@ def _with_neighbours(words: DataFrame) -> DataFrame:
     })
     w = Window.partitionBy("token", "lcode").orderBy("pos")
     around = {f"{side}_{c}": move(c).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "script", "c", "rom")}
-    return rows.withColumns(around | {"next2_kind": F.lead("kind", 2).over(w), "han_run": F.col("pos") - F.row_number().over(Window.partitionBy("token", "lcode", "han").orderBy("pos"))})
+    token = Window.partitionBy("token", "lcode")
+    tibetan = {
+        "has_vowel": F.max(F.col("kind") == "vowel sign").over(token),
+        "letters": F.count_if(F.col("kind") == "letter").over(token),
+        "letter_no": F.count_if(F.col("kind") == "letter").over(w),
+        "last_medial": F.max(F.when(F.col("kind") == "medial", F.col("pos"))).over(token),
+        "first_c": F.first("c").over(w),
+    }
+    return rows.withColumns(around | tibetan | {"next2_kind": F.lead("kind", 2).over(w), "han_run": F.col("pos") - F.row_number().over(Window.partitionBy("token", "lcode", "han").orderBy("pos"))})
 
 
 def _in_word(kind: str) -> Column:
@@ -83,7 +93,17 @@ def _single(rows: DataFrame) -> DataFrame:
     doubled = F.when(F.col("next_rom").startswith("ch"), "t").when(following.rlike("[bcdfghjkmpqrstvwz]"), following).otherwise("")
     vowel = F.regexp_extract("prev_rom", "([aeiou])$", 1)
     capital = (F.length(rom) > 1) & rom.rlike("^[A-Z]") & F.coalesce(F.col("next_c").rlike(r"\p{Lu}"), F.lit(False))
-    txt = F.when(is_abugida, kept).when(small_tsu, doubled).when(long_mark, vowel).when(capital, F.upper(rom)).otherwise(rom)
+    # a Tibetan token is a syllable: a vowel sign, or else "a" after what is joined below, or after the root letter
+    is_tibetan = (F.col("script") == "TIBETAN") & F.col("kind").isin("letter", "medial")
+    root = F.when((F.col("letters") > 2) & F.col("first_c").isin(list("གདབམའ")), 2).otherwise(1)
+    carries = ~F.col("has_vowel") & F.when(F.col("last_medial").isNotNull(), F.col("pos") == F.col("last_medial")).otherwise(F.col("letter_no") == root)
+    syllable = F.concat(bare, F.when(carries, "a").otherwise(""))
+    # Thai writes some vowels before the consonant that they follow
+    before = F.create_map(*[F.lit(x) for kv in THAI_BEFORE.items() for x in kv])
+    is_thai = F.col("script") == "THAI"
+    thai = F.when(F.col("c").isin(list(THAI_BEFORE)), "").otherwise(F.concat(rom, F.coalesce(F.try_element_at(before, F.col("prev_c")), F.lit(""))))
+    capital_sign = (F.col("prev_c") == "⠠") & rom.rlike("^[a-z]$")
+    txt = F.when(F.coalesce(is_tibetan, F.lit(False)), syllable).when(F.coalesce(is_thai & (F.col("kind") != "digit"), F.lit(False)), thai).when(F.coalesce(capital_sign, F.lit(False)), F.upper(rom)).when(is_abugida, kept).when(small_tsu, doubled).when(long_mark, vowel).when(capital, F.upper(rom)).otherwise(rom)
     kind = F.when(F.col("kind") == "digit", "num").when(F.col("kind") == "format", "Cf").when((F.col("kind") == "mark") & (txt == ""), "Mn").when(F.col("c") == txt, "orig").when(F.col("kind") == "tail", "rom tail").otherwise("rom")
     return rows.select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), txt.alias("txt"), kind.alias("type"), F.lit(0).alias("rank"))
 
@@ -100,7 +120,7 @@ def _by_rule(rows: DataFrame, more: tuple[tuple[str, str, str, str], ...]) -> Da
     spans = rows.select("token", "lcode", "pos", "prev_kind", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(max(LONGEST, *(len(r[0]) for r in more)) if more else LONGEST)), lambda n: F.substring("token", F.col("pos") + 1, n))).alias("n", "s"))
     spans = spans.where(F.length("s") == F.col("n") + 1).withColumn("after", F.substring("token", F.col("pos") + F.col("n") + 2, 1))
     found = spans.join(F.broadcast(rules(rows.sparkSession, more)), "s")
-    at_start, at_end = ~_in_word("prev_kind"), ~F.col("after").rlike(r"[\p{L}\p{M}]")
+    at_start, at_end = ~_in_word("prev_kind"), ~F.col("after").rlike(rf"[\p{{L}}\p{{M}}[\u2801-\u28FF&&[^{char_tables.BRAILLE_SIGNS}]]]")
     fits = (F.size("lcodes") == 0) | F.array_contains("lcodes", F.coalesce("lcode", F.lit("")))
     placed = F.when(F.col("place") == "start", at_start).when(F.col("place") == "end", at_end).when(F.col("place") == "whole", at_start & at_end).otherwise(True)
     consonant = F.substring("s", 1, 1).rlike(char_tables.signs("letter")) & F.col("t").rlike("^[bcdfghjklmnpqrstvwxyz]+a$")
@@ -168,6 +188,40 @@ def romanize_edges(df: DataFrame, key: str, text_col: str, lcode_col: str | None
     return both.select(key, (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "txt", "type")
 
 
+def romanize_alternatives(df: DataFrame, key: str, text_col: str, lcode_col: str | None = None) -> DataFrame:
+    """(key, start, end, txt, type): the chosen edges, and as "rom-alt" the other readings of their spans."""
+    chosen = romanize_edges(df, key, text_col, lcode_col)
+    every = romanize_edges(df, key, text_col, lcode_col, "lattice").withColumnRenamed("txt", "other")
+    other = chosen.drop("type").join(every.drop("type"), [key, "start", "end"]).where("other <> txt").select(key, "start", "end", F.col("other").alias("txt"), F.lit("rom-alt").alias("type")).distinct()
+    return chosen.union(other)
+
+
+def inline_alternatives(edges: DataFrame, key: str) -> DataFrame:
+    """(key, romanized): the readings in order, several of one span as {a|b}."""
+    spans = edges.groupBy(key, "start").agg(F.array_sort(F.collect_set(F.struct((F.col("type") == "rom-alt").alias("alt"), "txt"))).alias("r"))
+    shown = F.when(F.size("r") == 1, F.col("r")[0].txt).otherwise(F.concat(F.lit("{"), F.array_join(F.transform("r", lambda x: x.txt), "|"), F.lit("}")))
+    return spans.select(key, "start", shown.alias("t")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))), lambda x: x.t), "").alias("romanized"))
+
+
+def quick(text: Column) -> Column:
+    """A rough reading by expressions alone: each letter of the listed scripts by its sound, without regard to its neighbours."""
+    sounds = {c: t for c, t in char_tables.letter_sounds().items() if t.isascii()}
+    out = F.translate(text, "".join(c for c, t in sounds.items() if len(t) == 1), "".join(t for t in sounds.values() if len(t) == 1))
+    out = F.translate(out, "".join(c for c, t in sounds.items() if not t), "")
+    for c, t in sounds.items():
+        if len(t) > 1:
+            out = F.replace(out, F.lit(c), F.lit(t))
+    return F.when(is_ascii(text), text).otherwise(out)
+
+
+def mouse_over(edges: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, html): the reading, with the original of each changed span as its title."""
+    e = edges.join(texts.select(key, F.col(text_col).alias("original")), key)
+    piece = F.substring("original", F.col("start") + 1, F.col("end") - F.col("start"))
+    shown = F.when(F.col("txt") == piece, guarded_html(piece)).otherwise(F.concat(F.lit('<span title="'), guarded_html(piece), F.lit('">'), guarded_html(F.col("txt")), F.lit("</span>")))
+    return e.select(key, "start", shown.alias("h")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "h"))), lambda x: x.h), "").alias("html"))
+
+
 def offset_alignment(edges: DataFrame, key: str) -> DataFrame:
     """(key, alignment): for the first character of each edge, its place in the text and in the romanization, as o:r pairs."""
     w = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,10 +32,27 @@ SOUNDS = {
     "tamil": dict(zip("ட ண ற ள ழ ன".split(), "tta nna ra lla la na".split(), strict=True)),
     "tifinagh": dict(zip("ⴰⴱⴳⴷⴹⴻⴼⴽⵀⵃⵄⵅⵇⵉⵊⵍⵎⵏⵓⵔⵕⵖⵙⵚⵛⵜⵟⵡⵢⵣⵥⵯ", "a b g d d e f k h h ' kh q i j l m n u r r gh s s sh t t w y z z w".split(), strict=True)),
     "ogham": dict(zip("ᚁᚂᚃᚄᚅᚆᚇᚈᚉᚊᚋᚌᚍᚎᚏᚐᚑᚒᚓᚔᚖ", "b l f s n h d t k q m g ng z r a o u e i oi".split(), strict=True)) | {"᚛": "-", "᚜": "-", "\u1680": " "},
+    "hebrew points": dict(zip("\u05b0\u05b1\u05b2\u05b3\u05b4\u05b5\u05b6\u05b7\u05b8\u05b9\u05ba\u05bb", "e e a o i e e a a o o u".split(), strict=True)),
+    "thai": {"อ": "", "ย": "y", "ใ": "ai", "ไ": "ai", "เ": "e", "แ": "ae", "โ": "o", "ะ": "a", "ั": "a", "็": "", "์": "", "ๆ": "", "ฯ": ""},
+    "tibetan": {"འ": "'"},
     "kana": {"ェ": "e", "ァ": "a", "ィ": "i", "ゥ": "u", "ォ": "o", "を": "o", "ヲ": "o"},
     "punctuation": {"־": "-", "።": ".", "፣": ",", "।": ".", "॥": "||", "。": ". ", "、": ", ", "་": "·", "᛫": " ", "᛬": ".", " ": " ", "«": '"', "»": '"', "։": ".", "՝": ",", "،": ",", "؛": ";", "؟": "?"},
 }
 
+#: Dots of the braille letters a to j; the next ten add dot 3, the rest dots 3 and 6.
+BRAILLE_DOTS = "1 12 14 145 15 124 1245 125 24 245".split()
+
+
+BRAILLE_SIGNS = "⠂⠲⠤⠄⠠⠼⠆⠖⠦⠴"
+
+
+def braille_letters() -> dict[str, str]:
+    """Letter -> braille cell, from the decades of the code."""
+    cell = lambda dots: chr(0x2800 + sum(1 << (int(d) - 1) for d in dots))
+    letters = dict(zip("abcdefghij", map(cell, BRAILLE_DOTS), strict=True)) | {c: cell(d + "3") for c, d in zip("klmnopqrst", BRAILLE_DOTS, strict=True)}
+    return letters | {c: cell(d + "36") for c, d in zip("uvxyz", BRAILLE_DOTS, strict=False)} | {"w": cell("2456")}
+
+
 _VOWELS = "AEIOU"
 _NAME = re.compile(r"^(?P<script>.+?) (?:(?:CAPITAL|SMALL|FINAL|DEPENDENT|INDEPENDENT) )*(?P<kind>LETTER|VOWEL SIGN|SYLLABLE|SYLLABICS|VOWEL|CONSONANT SIGN|SUBJOINED LETTER|SIGN|CHARACTER|DIGIT)\b ?(?P<rest>.*)$")
 
@@ -56,8 +73,9 @@ def _sound(label: str, script: str) -> str:
 
 
 @cache
-def _sounds() -> dict[str, str]:
-    table = {c: "" if t == "-" else t for own in SOUNDS.values() for c, t in own.items()}
+def letter_sounds() -> dict[str, str]:
+    table = {c: "" if t == "-" and len(own) > 12 else t for own in SOUNDS.values() for c, t in own.items()}
+    table |= {cell: c for c, cell in braille_letters().items()} | {"\u2800": " ", "⠠": "", "⠼": "", "⠂": ",", "⠲": ".", "⠤": "-", "⠄": "'"}
     for c, t in list(table.items()):
         if c.upper() != c and len(c.upper()) == 1:
             table.setdefault(c.upper(), t[:1].upper() + t[1:])
@@ -97,14 +115,16 @@ def character_row(cp: int) -> tuple | None:
             rom = rom[:1].upper() + rom[1:]
         if script not in ABUGIDAS | SYLLABARIES and not rom.isascii():
             rom = None
+    if 0x2801 <= cp <= 0x28FF and c not in BRAILLE_SIGNS:
+        kind = "letter"
     if c in latin.folds() and latin.folds()[c].isascii():
         rom = latin.folds()[c]
-    if c in _sounds():
-        rom = _sounds()[c]
-    if rom is None or (kind in ("letter", "other") and c not in _sounds()):
+    if c in letter_sounds():
+        rom = letter_sounds()[c]
+    if rom is None or (kind in ("letter", "other") and c not in letter_sounds()):
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and all(x.isascii() or x in _sounds() for x in plain):
-            rom = "".join(_sounds().get(x, x) for x in plain)
+        if plain != c and all(x.isascii() or x in letter_sounds() for x in plain):
+            rom = "".join(letter_sounds().get(x, x) for x in plain)
     if rom is not None and not rom.isascii() and rom not in ("·",):
         rom = None
     return cp, category, script, kind, rom, digit

@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import char_tables
+
+_CELL = char_tables.braille_letters()
+_POINTS = "\u05b0\u05b1\u05b2\u05b3\u05b4\u05b5\u05b6\u05b7\u05b8\u05b9\u05bb"
+#: Contractions of English braille: cells of two letters or more, and letters that stand for words.
+_BRAILLE = (
+    *((s, t, "eng", "") for s, t in zip("⠯ ⠿ ⠷ ⠮ ⠾ ⠡ ⠣ ⠩ ⠹ ⠱ ⠫ ⠻ ⠳ ⠪ ⠌ ⠜ ⠬ ⠢ ⠔".split(), "and for of the with ch gh sh th wh ed er ou ow st ar ing en in".split(), strict=True)),
+    *((_CELL[s], t, "eng", "whole") for s, t in zip("bcdefghjklmnpqrstuvwxyz", "but can do every from go have just knowledge like more not people quite rather so that us very will it you as".split(), strict=True)),
+    *((s, t, "eng", "") for s, t in (("⠆", "be"), ("⠐⠗", "right"), ("⠘⠮", "these"), ("⠸⠮", "their"), ("⠐⠮", "there"))),
+)
 #: Source, target, language codes (empty: all), place in the word ("": any, "start", "end", "whole").
 RULES = (
     *((s, t, "", "") for s, t in zip("ου γγ γκ γχ γξ μπ ντ τζ τσ αυ ευ".split(), "ou ng ng nch nx b nd dz ts au eu".split(), strict=True)),
@@ -22,6 +32,10 @@ RULES = (
     *((s, t, "tam", "") for s, t in zip("ட ழ".split(), "da la".split(), strict=True)),
     ("ቸ", "che", "", ""), ("ች", "che", "", ""), ("ቻ", "chaa", "", ""), ("ቼ", "chee", "", ""), ("ቺ", "chi", "", ""), ("ቹ", "chu", "", ""), ("ቾ", "cho", "", ""),
     *((a + b, t, "", "") for a, b, t in (("チ", "ェ", "che"), ("シ", "ェ", "she"), ("ジ", "ェ", "je"), ("フ", "ァ", "fa"), ("フ", "ィ", "fi"), ("フ", "ェ", "fe"), ("フ", "ォ", "fo"), ("テ", "ィ", "ti"), ("デ", "ィ", "di"), ("ウ", "ェ", "we"), ("ウ", "ィ", "wi"))),
+    *_BRAILLE,
+    *((c + "\u05bc", t, "", "") for c, t in zip("בכךפף", "b k k p p".split(), strict=True)),
+    *((c + p, t + v, "heb", "") for c, t in zip("בכפ", "v ch f".split(), strict=True) for p, v in zip(_POINTS, "e e a o i e e a a o u".split(), strict=True)),
+    ("ו\u05b9", "o", "", ""), ("ו\u05bc", "u", "", ""), ("ש\u05c1", "sh", "", ""), ("ש\u05c2", "s", "", ""), ("שׁ", "sh", "", ""), ("שׂ", "s", "", ""), ("צ", "ts", "", ""),
     *((s, t, "hye", "") for s, t in zip("ու ՈՒ Ու".split(), "u U U".split(), strict=True)),
     *((k + y, r[:-1] + ("" if r in ("shi", "chi", "ji") else "y") + v, "", "") for ks, ys in (("きしちにひみりぎじぢびぴ", "ゃゅょ"), ("キシチニヒミリギジヂビピ", "ャュョ")) for k, r in zip(ks, "ki shi chi ni hi mi ri gi ji ji bi pi".split(), strict=True) for y, v in zip(ys, "auo", strict=True)),
     *((s, t, "", "") for s, t in zip("し ち つ ふ じ ぢ づ シ チ ツ フ ジ ヂ ヅ ん ン を ヲ".split(), "shi chi tsu fu ji ji zu shi chi tsu fu ji ji zu n n o o".split(), strict=True)),
