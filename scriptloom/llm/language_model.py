@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import FOLDED, U64, as_long, hashes, mix, text_slices, words
+from .heavy import heaviest
 from .quality_model import fold
 from .scratch import table
 
 #: Units: the end, frequent words, groups of other words.
 END, FREQUENT, GROUPS = 0, 191, 64
 UNITS = 1 + FREQUENT + GROUPS
-#: Words whose counts every executor holds; those beyond are joined.
+#: Words at most whose counts every executor holds, the most frequent ones; those beyond are joined.
 HEAD_WORDS = 200_000
 LENGTH, NOISE, STEP_TOKENS, RATE = 24, 48, 8192, 0.01
 #: Steps at least over the tokens that a task holds at a time: few tokens are gone through in shorter steps and more than once.
@@ -104,7 +105,7 @@ class Counts:
 def gather_counts(counted: DataFrame, docs: int) -> Counts:
     """The bounded head and the sums of ``counted``."""
     totals = counted.groupBy("part").agg(F.sum("c"), F.count("*")).collect()
-    head = counted.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("word", "part", "c").toArrow()
+    head = heaviest(counted, "c", HEAD_WORDS).select("word", "part", "c").toArrow()
     word, part, c = head.column(0).to_numpy().view(U64), head.column(1).to_numpy(), head.column(2).to_numpy()
     order = np.lexsort((as_long(word), -c))[:FREQUENT]
     group_count, group_words = np.zeros(GROUPS), np.zeros(GROUPS)
