@@ -82,6 +82,19 @@ def entities_decoded(text: Column) -> Column:
     return text
 
 
+def numeric_entities_decoded(text: Column) -> Column:
+    """&#233; and &#xE9; as characters, where they are valid code points."""
+    pattern = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+    around, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+    def decoded(entity: Column) -> Column:
+        digits = F.regexp_replace(entity, "[&#xX;]", "")
+        value = F.when(entity.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        return F.when((value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF), character(value)).otherwise(entity)
+
+    return F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
+
+
 def without_tags(html: Column) -> Column:
     """Markup as spaces, white space as single spaces."""
     bare = F.regexp_replace(html, r"(?s)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^>]*>", " ")

@@ -36,16 +36,15 @@ def cost_table(rules: tuple[tuple[str, str, float], ...] = COSTS) -> dict[tuple[
     return table
 
 
-def distance(a: str, b: str, table: dict[tuple[str, str], float], longest: int) -> float:
-    """Least sum of costs that turns ``a`` into ``b``; an edit without a rule costs 1."""
+def _best(a: str, b: str, table: dict[tuple[str, str], float], longest: int) -> tuple[float, list[tuple[str, str, float]]]:
+    """Least sum of costs that turns ``a`` into ``b``, and the edits that it takes; an edit without a rule costs 1."""
     n, m = len(a), len(b)
     best = [[UNREACHABLE] * (m + 1) for _ in range(n + 1)]
+    came: dict[tuple[int, int], tuple[int, int, float]] = {}
     best[0][0] = 0.0
     for i in range(n + 1):
         for j in range(m + 1):
             here = best[i][j]
-            if here >= UNREACHABLE:
-                continue
             for di in range(min(longest, n - i) + 1):
                 for dj in range(min(longest, m - j) + 1):
                     if di or dj:
@@ -53,7 +52,14 @@ def distance(a: str, b: str, table: dict[tuple[str, str], float], longest: int)
                         cost = 0.0 if x == y else table.get((x, y), 1.0 if di <= 1 and dj <= 1 else UNREACHABLE)
                         if here + cost < best[i + di][j + dj]:
                             best[i + di][j + dj] = here + cost
-    return best[n][m]
+                            came[i + di, j + dj] = (i, j, cost)
+    path, at = [], (n, m)
+    while at in came:
+        i, j, cost = came[at]
+        if cost:
+            path.append((a[i : at[0]], b[j : at[1]], cost))
+        at = (i, j)
+    return best[n][m], path[::-1]
 
 
 def cost_distance(left: Column, right: Column, rules: tuple[tuple[str, str, float], ...] = COSTS) -> Column:
@@ -63,11 +69,30 @@ def cost_distance(left: Column, right: Column, rules: tuple[tuple[str, str, floa
 
     @F.arrow_udf("double")
     def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else round(distance(x.lower(), y.lower(), table, longest), 6) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
+        return pa.array([None if x is None or y is None else round(_best(x.lower(), y.lower(), table, longest)[0], 6) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
 
     return run(left, right)
 
 
+def edits(left: Column, right: Column, rules: tuple[tuple[str, str, float], ...] = COSTS) -> Column:
+    """The edits of the least cost, in order: array of (was, becomes, cost); count them over many pairs to see which rules matter."""
+    table = cost_table(rules)
+    longest = max(len(x) for k in table for x in k)
+    kind = pa.list_(pa.struct([("was", pa.string()), ("becomes", pa.string()), ("cost", pa.float64())]))
+
+    @F.arrow_udf("array<struct<was:string,becomes:string,cost:double>>")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        both = zip(xs.to_pylist(), ys.to_pylist(), strict=True)
+        return pa.array([None if x is None or y is None else [{"was": w, "becomes": b, "cost": c} for w, b, c in _best(x.lower(), y.lower(), table, longest)[1]] for x, y in both], kind)
+
+    return run(left, right)
+
+
+def edit_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(was, becomes, n): how often each edit is taken."""
+    return pairs.select(F.explode(edits(F.col(a), F.col(b))).alias("e")).groupBy("e.was", "e.becomes").agg(F.count("*").alias("n"))
+
+
 def name_pairs(df: DataFrame, name_col: str, most: float) -> DataFrame:
     """(a, b, cost) of different names at most ``most`` apart whose consonants start alike: the pairs meet by that key, not all by all."""
     key = F.substring(F.regexp_replace(F.replace(F.lower(F.col(name_col)), F.lit("ph"), F.lit("f")), "[^bcdfghjklmnpqrstvwxz]", ""), 1, 3)

@@ -63,3 +63,22 @@ def write_edges(df: DataFrame, path: str, edges_col: str) -> None:
 def chart_documents(df: DataFrame, id_col: str, text_col: str, edges_col: str, lcode_col: str) -> DataFrame:
     """(value): a JSON document for each row: its id, text, language and edges."""
     return df.select(F.to_json(F.struct(F.col(id_col).alias("id"), F.col(lcode_col).alias("lang-code"), F.col(text_col).alias("text"), F.col(edges_col).alias("romanization"))).alias("value"))
+
+
+def workset_blocks(df: DataFrame, id_col: str, text_col: str, rom_col: str, align_col: str) -> DataFrame:
+    """(value): a block of ::snt-id, ::orig, ::rom and ::align lines for each row."""
+    return df.select(F.concat_ws("\n", F.concat(F.lit("::snt-id "), id_col), F.concat(F.lit("::orig "), text_col), F.concat(F.lit("::rom "), rom_col), F.concat(F.lit("::align "), align_col), F.lit("")).alias("value"))
+
+
+def unicode_data(spark: SparkSession, path: str) -> DataFrame:
+    """(cp, name, category, numeric) of a UnicodeData file."""
+    part = F.split("value", ";")
+    return spark.read.text(path).select(F.conv(part[0], 16, 10).cast("int").alias("cp"), part[1].alias("name"), part[2].alias("category"), F.nullif(part[8], F.lit("")).alias("numeric"))
+
+
+def rule_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
+    """(s, t, lcodes, place) of rule lines with slots s, t, lcode and use-only-at-start-of-word and the like."""
+    line = F.col(line_col)
+    place = F.when(tx.has_slot(line, "use-only-for-whole-word"), "whole").when(tx.has_slot(line, "use-only-at-start-of-word"), "start").when(tx.has_slot(line, "use-only-at-end-of-word"), "end").otherwise("")
+    rows = df.where(~line.rlike(r"^\s*(#|$)") & tx.has_slot(line, "s"))
+    return rows.select(tx.dequoted(tx.slot(line, "s")).alias("s"), tx.dequoted(F.coalesce(tx.slot(line, "t"), F.lit(""))).alias("t"), F.filter(F.split(F.coalesce(tx.slot(line, "lcode"), F.lit("")), r"[\s,;]+"), lambda x: x != "").alias("lcodes"), place.alias("place"))

@@ -128,6 +128,39 @@ def test_text_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
 
 
+def test_command_line_formats(spark, tmp_path):
+    from scriptloom.__main__ import converted
+
+    (tmp_path / "in.txt").write_text("::lcode hin नेपाल\nabc\tКиев\n\n")
+    lines = text_files.lines(spark, str(tmp_path / "in.txt"))
+    got = lambda *a: [r.value for r in converted(lines, *a).orderBy("order").collect()]
+    assert got("rus", "str", None, None) == ["::lcode hin nepaal", "abc\tKiyev", ""]
+    assert got("rus", "str", 2, 2)[1] == "abc\tKiyev"
+    assert got(None, "edges", None, None)[2] == "[]" and '"txt":"ne"' not in got(None, "edges", None, None)[0]
+    assert got(None, "offsets", None, None)[1].startswith("0:0,1:1") and "<span" in got(None, "html", None, None)[0]
+
+
+def test_rule_lines(spark):
+    rows = spark.createDataFrame([("# no",), ("::s ж ::t zh ::lcode rus, ukr ::use-only-at-end-of-word",), ('::s "a b" ::t',)], "line string")
+    assert [tuple(r) for r in text_files.rule_lines(rows).collect()] == [("ж", "zh", ["rus", "ukr"], "end"), ("a b", "", [], "")]
+
+
+def test_edits_explain_the_distance(spark):
+    df = spark.createDataFrame([("colour", "color"), ("Philadelphia", "Filadelfia")], "a string, b string")
+    assert {(r.was, r.becomes): r.n for r in distance.edit_counts(df, "a", "b").collect()} == {("our", "or"): 1, ("ph", "f"): 2}
+    costs = df.select(distance.cost_distance(F.col("a"), F.col("b")).alias("c"), F.aggregate(distance.edits(F.col("a"), F.col("b")), F.lit(0.0), lambda t, e: t + e.cost).alias("s")).collect()
+    assert all(abs(r.c - r.s) < 1e-6 for r in costs)
+
+
+def test_alternatives_and_entities(spark):
+    df = spark.createDataFrame([(1, "γκ")], "i int, text string")
+    assert romanize.inline_alternatives(romanize.romanize_alternatives(df, "i", "text"), "i").first().romanized == "{g|ng}"
+    one = spark.range(1).select(tx.numeric_entities_decoded(F.lit("a&#233;&#xE9;&#1;&#xD800; &#x1F600;"))).first()
+    assert one[0] == "aéé\x01&#xD800; 😀"
+    quick = spark.createDataFrame([("Жук, كندا",), ("abc",)], "t string").select(romanize.quick(F.col("t")).alias("q")).collect()
+    assert [r.q for r in quick] == ["Zhuk, knda", "abc"]
+
+
 def test_many_blocks_number_lines_alike(spark, tmp_path):
     (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(1, 20001)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
