@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import latin, numbers
 from .functions import text as tx
 from .operators import distance, romanize, stats
+from .streaming import romanize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +59,13 @@ def romanize_conversations(spark, d):
     return romanize.romanize(_t(spark, d, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "romanized")
 
 
+@query(f"select conv_id, turn, {FOLD_SQL.format('text')} as romanized from conversations")
+def stream_romanize_conversations(spark, d):
+    schema = _t(spark, d, "conversations").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*").select("conv_id", "turn", "text")
+    return romanize_stream.romanize_available(stream, "text").select("conv_id", "turn", "romanized")
+
+
 @query(f"select token, {FOLD_SQL.format('token')} as romanized, count(*) as n from (select unnest(string_split(text, ' ')) as token from documents) where token <> '' group by token")
 def romanize_token_distinct(spark, d):
     found = _t(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
