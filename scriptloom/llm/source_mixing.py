@@ -23,6 +23,8 @@ from .scratch import bounded, table
 #: Sources up to which the bisection runs over a local copy of their token counts (two numbers each); beyond, each step is a Spark job.
 LOCAL_SOURCES = 1_000_000
 BISECTIONS = 50
+#: Blocks of a source at most: those of larger sources grow, so that ordering a pass stays small.
+MOST_BLOCKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,7 @@ def mixed(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", so
     else:
         share = F.lit(0.0)
     quotas = sources.select(
-        F.col("source").alias("of"), "tokens", share.alias("weight"), F.floor(share * F.lit(budget)).cast("long").alias("quota"), F.ceil(F.col("tokens") / F.lit(target.block_tokens)).cast("long").alias("blocks")
+        F.col("source").alias("of"), "tokens", share.alias("weight"), F.floor(share * F.lit(budget)).cast("long").alias("quota"), F.least(F.ceil(F.col("tokens") / F.lit(target.block_tokens)), F.lit(MOST_BLOCKS)).cast("long").alias("blocks")
     ).withColumn("passes", F.floor(F.col("quota") / F.col("tokens")).cast("int"))
     quotas = table(quotas, "quotas")
     dealt = rows.join(bounded(quotas, n), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.col("salt"), F.col("blocks")))
