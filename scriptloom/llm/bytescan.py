@@ -16,6 +16,8 @@ U64 = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 NOT_WHITE = ~WHITE
+#: Rows copied at a time.
+ROWS = 512
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -48,11 +50,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of about ``most`` bytes; a null is an empty text."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    whole = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    chunks = (c.slice(i, ROWS) for c in whole for i in range(0, len(c), ROWS))
     row = 0
     for chunk in chunks:
-        if not len(chunk):
-            continue
         chunk = chunk.cast(pa.large_string()).fill_null("")
         _, off, raw = chunk.buffers()
         offsets = np.frombuffer(off, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]

@@ -31,7 +31,7 @@ from .components import connected_components
 from .scratch import bounded, shuffle_partitions, table
 
 #: Tokens that a map task holds before it sends its segments off.
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 #: An n-gram in so many sets of one batch is known to be frequent; its entries are spread instead of meeting in one fragment.
 HOT_IN_BATCH = 64
 HOT_DF = np.uint32(2**31)
@@ -40,6 +40,11 @@ BLOCK, COLUMNS = 256, 4096
 LOW48 = U64((1 << 48) - 1)
 
 
+def _named(part: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One 64-bit name for an n-gram of its fragment and its low 48 bits, for any number of fragments."""
+    return mix(part.astype(U64) + U64(1)) ^ key
+
+
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, sorted distinct n-grams row by row, their number in each row)."""
     for row, data, offsets in text_slices(texts):
@@ -107,7 +112,7 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: flo
         first[np.unique(node, return_index=True)[1]] = True
         first &= sizes > 0
         scale = U64(round(fragments / share))
-        fragment = lambda tok: (((tok >> U64(48)) * scale) >> U64(16)).astype(np.int64)
+        fragment = lambda tok: (((tok >> U64(32)) * scale) >> U64(32)).astype(np.int64)
         keep = np.repeat(first, sizes)
         if share < 1:
             keep &= fragment(tok) < fragments
@@ -124,7 +129,7 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: flo
             spread = fragments + (as_long(node)[doc[is_hot]] >> 20) % fragments
             order = np.argsort(spread, kind="stable")
             hot_tok, hot_doc, spread = tok[is_hot][order], doc[is_hot][order], spread[order]
-            for a, b in _runs(spread):
+            for a, b in _runs(spread) if share == 1 else ():  # a first round counts only n-grams of one set
                 yield pack(int(spread[a]), hot_tok[a:b], hot_doc[a:b], node, sizes) | {"parts": part[is_hot][order][a:b].astype("<u4").tobytes()}
             node, sizes = np.append(node, U64(0)), np.append(sizes, 0)
             tok, doc = np.concatenate([tok[~is_hot], hot]), np.concatenate([doc[~is_hot], np.full(len(hot), len(sizes) - 1)])
@@ -223,7 +228,7 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
         part = t.column("part")[0].as_py()
         key, node, n = _entries(t)
         if part >= fragments:
-            gram = (_joined(t, "parts", "<u4").astype(U64) << U64(48)) | key
+            gram = _named(_joined(t, "parts", "<u4"), key)
             df = np.full(len(gram), HOT_DF, np.uint32)
         else:
             order = np.argsort(key, kind="stable")
@@ -244,7 +249,7 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
             if len(marked):
                 df[np.isin(key, marked)] = HOT_DF
             keep = (df > 1) & (node != 0)
-            gram, node, n, df = key[keep] | (U64(part) << U64(48)), node[keep], n[keep], df[keep]
+            gram, node, n, df = _named(np.full(int(keep.sum()), part), key[keep]), node[keep], n[keep], df[keep]
         return _dealt(node, fragments, {"node": node, "n": n.astype("<u4"), "gram": gram, "df": df})
 
     return segments.groupBy("part").applyInArrow(run, "group long, node binary, n binary, gram binary, df binary")
