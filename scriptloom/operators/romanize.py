@@ -159,7 +159,7 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     """
     text = F.col(text_col)
     lcode = F.col(lcode_col) if lcode_col else F.lit(None).cast("string")
-    easy = text.isNull() | text.rlike(LATIN_ONLY)
+    easy = text.isNull() | is_ascii(text) | text.rlike(LATIN_ONLY)
     if rules:
         easy = text.isNull()
     simple = df.where(easy).withColumn(out_col, romanize_latin(text, lcode if lcode_col else None))
