@@ -171,4 +171,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """``docs`` without the rows whose id has a text that contains a test window; columns stay."""
     judged = contamination(docs, benchmark, id_col, text_col, window=window)
     leaks = table(judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(bounded(leaks, leaks.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    leaks = bounded(leaks, leaks.count())
+    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(leaks["_id"]), "left_anti")

@@ -339,7 +339,8 @@ def _remaining(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k:
     out = table(_ruled_out(_segments(docs, text_col, k, fragments, min(1.0, 2.5 * (den - num) / den)), fragments, num, den), "ruled-out")
     ids = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(out, "node", "left_anti").select("least").distinct()
     ids = table(ids, "remaining")
-    return docs.join(bounded(ids, ids.count()), F.col(id_col).cast("long").eqNullSafe(F.col("least")), "left_semi")
+    ids = bounded(ids, ids.count())
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["least"]), "left_semi")
 
 
 def node_components(docs: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -410,10 +411,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = table(jaccard_components(docs, id_col, text_col, k, num, den).select(F.col("doc_id").alias("_id"), "component_id"), "components-of")
     lesser = table(found.where("component_id <> _id or (_id is null and component_id is not null)").select("_id").distinct(), "copies")
-    left = docs.join(bounded(lesser, lesser.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    lesser = bounded(lesser, lesser.count())
+    left = docs.join(lesser, docs[id_col].cast("long").eqNullSafe(lesser["_id"]), "left_anti")
     shared = table(found.groupBy("_id").count().where("count > 1").select("_id"), "shared-ids")
     n_shared = shared.count()
     if not n_shared:
         return left
-    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    return left.join(bounded(shared, n_shared), same_id, "left_anti").unionByName(left.join(bounded(shared, n_shared), same_id, "left_semi").dropDuplicates([id_col, text_col]))
+    shared = bounded(shared, n_shared)
+    same_id = left[id_col].cast("long").eqNullSafe(shared["_id"])
+    return left.join(shared, same_id, "left_anti").unionByName(left.join(shared, same_id, "left_semi").dropDuplicates([id_col, text_col]))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, source string, uid string, term string, node string, n int, block string"
+DOCS = "doc_id long, text string, source string, uid string, term string, node string, n int, block string, _id string, least string"
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +24,7 @@ def messy(spark, invented):
         (1, "A plain text, with Some words."), (1, "A plain text, with Some words."), (1, "another text of the same id"), (2, None), (3, ""), (4, " \n\t "), (None, "no id at all here"), (None, "no id at all here"), (None, None),
         (5, long), (6, long + " more"), (7, "x"), (8, "\x00 odd ﻿ 𝒳 日本語 Éé"), (9, "a b"), (10, "a b"), (11, "word " * 500), (12, "<|endoftext|>"), (13, "!!! *** ### |||"), (14, "password = hunter2hunter"),
     ]
-    return spark.createDataFrame([(i, t, "s" if k % 3 else None, "u", "t", "n", k, None) for k, (i, t) in enumerate(texts)], DOCS)
+    return spark.createDataFrame([(i, t, "s" if k % 3 else None, "u", "t", "n", k, None, "i", None) for k, (i, t) in enumerate(texts)], DOCS)
 
 
 @pytest.fixture(scope="session")
