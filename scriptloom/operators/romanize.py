@@ -163,12 +163,12 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     if rules:
         easy = text.isNull()
     simple = df.where(easy).withColumn(out_col, romanize_latin(text, lcode if lcode_col else None))
-    hard = df.where(~easy).withColumns({"_id": F.monotonically_increasing_id(), "_lcode": lcode})
-    cut = hard.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), "_id", F.col("_lcode").alias("lcode"), F.posexplode_outer(tokens(text)).alias("i", "token"))
+    hard = df.where(~easy).withColumns({"__row": F.monotonically_increasing_id(), "__lcode": lcode})
+    cut = hard.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), "__row", F.col("__lcode").alias("lcode"), F.posexplode_outer(tokens(text)).alias("i", "token"))
     words = df.where(~easy).select(lcode.alias("lcode"), F.explode(tokens(text)).alias("token")).where(~F.col("token").rlike(LATIN_ONLY)).distinct()
     read = best_path(lattice(words, rules)).select(F.col("token").alias("t"), F.col("lcode").alias("l"), F.array_join(F.transform("edges", lambda e: e.txt), "").alias("r"))
     joined = cut.join(read, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")), "left").withColumn("r", F.coalesce("r", romanize_latin(F.col("token"), F.col("lcode") if lcode_col else None)))
-    whole = joined.groupBy("_id").agg(F.first("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r), "").alias(out_col))
+    whole = joined.groupBy("__row").agg(F.first("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r), "").alias(out_col))
     return simple.unionByName(whole.select("row.*", out_col))
 
 
