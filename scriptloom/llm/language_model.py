@@ -1,18 +1,23 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, beside a smoothed unigram base.
 
-The model predicts units: the end, the most frequent words, and groups of all
-other words by their last bytes.  Its score of a unit is bilinear in the units
-before and the unit itself, normalised over all units by a batched matrix
-product; a word of a group has its smoothed share of the group's count.  So the
-probabilities of all words and one unknown word for each group sum to one.
+The model predicts units: the end, and every word that occurs LEAST_COUNT times
+or more in training, so the vocabulary grows with the corpus; rarer words are in
+groups by their last bytes.  Its score is bilinear in the units before and the
+unit itself.  The end, the most frequent words and the groups stand at the top,
+beside classes of the other words (leaves), about as many as a class has words;
+a leaf's probability is its class's times its own within the class.  Both are
+normalised by batched matrix products; a word of a group has its smoothed share
+of the group's count.  So the probabilities of all words and one unknown word
+for each group sum to one.
 
 Word counts and training cover every training document.  Each task trains on
-its own documents from the same start, and the parameters are averaged by
-tokens.
+its own documents from the same start; the parameters at the top are averaged
+by tokens, those of a unit by how often each task met it.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +31,18 @@ from .heavy import heaviest
 from .quality_model import fold
 from .scratch import table
 
-#: Units: the end, frequent words, groups of other words.
+#: Units: the end, frequent words, groups of rare words; those from UNITS on are leaves.
 END, FREQUENT, GROUPS = 0, 191, 64
 UNITS = 1 + FREQUENT + GROUPS
-#: Words at most whose counts every executor holds, the most frequent ones; those beyond are joined.
+#: A word of at least so many training tokens is a unit of its own, however many there are.
+LEAST_COUNT = 20
+#: Words at most whose counts every executor holds besides those of units, the most frequent ones; those beyond are joined.
 HEAD_WORDS = 200_000
 LENGTH, NOISE, STEP_TOKENS, RATE = 24, 48, 8192, 0.01
+#: Noise words for each leaf, from its class, and the rate of the rows of units.
+CLASS_NOISE, ROW_RATE = 5, 0.1
+#: Rows of parameters, or contexts, handled at a time.
+BLOCK = 1024
 #: Steps at least over the tokens that a task holds at a time: few tokens are gone through in shorter steps and more than once.
 LEAST_STEPS = 120
 SMOOTH = 0.1
@@ -83,16 +94,21 @@ class Counts:
     frequent: np.ndarray  # sorted hashes of the words that are units
     group_count: np.ndarray
     group_words: np.ndarray
+    vocabulary: np.ndarray  # sorted hashes of the leaves
+    leaf: np.ndarray  # and their places in the order of the classes
+    leaf_count: np.ndarray  # by place
 
     def group_log(self) -> np.ndarray:
         """log10 of each group's smoothed total."""
         return np.log10(self.group_count + SMOOTH * (self.group_words + 1))
 
     def units(self, word: np.ndarray, part: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return 1 + FREQUENT + part
-        at = np.minimum(np.searchsorted(self.frequent, word), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == word, 1 + at, 1 + FREQUENT + part)
+        unit = 1 + FREQUENT + part
+        for known, place in ((self.vocabulary, UNITS + self.leaf), (self.frequent, 1 + np.arange(len(self.frequent)))):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                unit = np.where(known[at] == word, place[at], unit)
+        return unit
 
     def head_of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the words, and which of them the head holds."""
@@ -103,20 +119,26 @@ class Counts:
 
 
 def gather_counts(counted: DataFrame, docs: int) -> Counts:
-    """The bounded head and the sums of ``counted``."""
+    """The head, the leaves and the sums of ``counted``."""
     totals = counted.groupBy("part").agg(F.sum("c"), F.count("*")).collect()
-    head = heaviest(counted, "c", HEAD_WORDS).select("word", "part", "c").toArrow()
-    word, part, c = head.column(0).to_numpy().view(U64), head.column(1).to_numpy(), head.column(2).to_numpy()
+    held = [df.select("word", "part", "c").toArrow() for df in (heaviest(counted, "c", HEAD_WORDS), counted.where(F.col("c") >= LEAST_COUNT))]
+    word, part, c = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(3))
+    word, at = np.unique(word.view(U64), return_index=True)
+    part, c = part[at], c[at]
     order = np.lexsort((as_long(word), -c))[:FREQUENT]
+    leaves = np.setdiff1d(np.flatnonzero(c >= LEAST_COUNT), order)
     group_count, group_words = np.zeros(GROUPS), np.zeros(GROUPS)
     for r in totals:
         group_count[r[0]] += r[1]
         group_words[r[0]] += r[2]
-    np.subtract.at(group_count, part[order], c[order])
-    np.subtract.at(group_words, part[order], 1)
-    by_hash = np.argsort(word)
+    own = np.concatenate([order, leaves])
+    np.subtract.at(group_count, part[own], c[own])
+    np.subtract.at(group_words, part[own], 1)
+    by_class = np.lexsort((as_long(word[leaves]), -c[leaves], part[leaves]))
+    place = np.empty(len(leaves), np.int64)
+    place[by_class] = np.arange(len(leaves))
     n, v = int(sum(r[1] for r in totals)) + docs, int(sum(r[2] for r in totals)) + (docs > 0)
-    return Counts(n, v, docs, word[by_hash], c[by_hash], np.sort(word[order]), group_count, group_words)
+    return Counts(n, v, docs, word, c, np.sort(word[order]), group_count, group_words, word[leaves], place, c[leaves][by_class].astype(np.float64))
 
 
 def sequence(unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,104 +154,215 @@ def sequence(unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
     return units, one, two, np.repeat(np.arange(rows), size + 1)
 
 
+def _summed(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places, and the sum of the rows at each."""
+    sort = np.argsort(where.astype(np.int32), kind="stable")
+    where = where[sort]
+    edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return where[edge], np.add.reduceat(what[sort], edge, axis=0)
+
+
 class LogBilinear:
-    """s(u | a, b) = (R[a] A + R[b] B) . Q[u] + bias[u]."""
+    """s(u | a, b) = (R[a] A + R[b] B) . Q[u] + bias[u] for what stands at the top; for the leaves of a class, their rows in place of Q."""
 
-    def __init__(self, unit_share: np.ndarray, seed: int = 5):
+    def __init__(self, unit_share: np.ndarray, leaf_share: np.ndarray | None = None, seed: int = 5):
         random = np.random.default_rng(seed)
         make = lambda *s: random.normal(scale=0.1, size=s).astype(np.float32)
         eye = np.eye(LENGTH, dtype=np.float32)
-        self.noise = unit_share
-        self.parts = [make(UNITS, LENGTH), eye.copy(), 0.5 * eye, make(UNITS, LENGTH), np.log(unit_share).astype(np.float32)]
+        leaf_share = np.zeros(0) if leaf_share is None else leaf_share
+        self.leaves = len(leaf_share)
+        self.size = max(16, int(np.ceil(np.sqrt(self.leaves))))
+        classes = np.add.reduceat(leaf_share, np.arange(0, self.leaves, self.size)) if self.leaves else leaf_share
+        self.noise = np.concatenate([unit_share, classes])
+        self.noise /= self.noise.sum()
+        self.below = np.concatenate(([0.0], np.cumsum(leaf_share)))
+        within = leaf_share / np.repeat(classes, self.size)[: self.leaves]
+        self.log_within = np.log(within).astype(np.float32)
+        self.parts = [make(UNITS + self.leaves, LENGTH), eye.copy(), 0.5 * eye, make(len(self.noise), LENGTH), np.log(self.noise).astype(np.float32), make(self.leaves, LENGTH), self.log_within.copy()]
+
+    def top(self, units: np.ndarray) -> np.ndarray:
+        return np.where(units < UNITS, units, UNITS + (units - UNITS) // self.size)
+
+    def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        r, a, b = self.parts[:3]
+        return r[one] @ a + r[two] @ b
 
     def log10_normalised(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 P(unit | context) for all units of each context."""
-        r, a, b, q, bias = self.parts
-        z = (r[one] @ a + r[two] @ b) @ q.T + bias
-        z -= z.max(1, keepdims=True)
-        return (z - np.log(np.exp(z).sum(1, keepdims=True))) / np.float32(np.log(10))
+        """log10 P(unit or class | context) for all that stand at the top, for each context."""
+        z = self.hidden(one, two) @ self.parts[3].T + self.parts[4]
+        return (z - self._log_sum(z)[:, None]) / np.float32(np.log(10))
+
+    @staticmethod
+    def _log_sum(z: np.ndarray) -> np.ndarray:
+        most = z.max(1)
+        return most + np.log(np.exp(z - most[:, None]).sum(1))
+
+    def log10_probability(self, units: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 P(unit | context) of each token."""
+        q, bias, leaf, leaf_bias = self.parts[3:]
+        context, at = np.unique(one * np.int64(UNITS + self.leaves) + two, return_inverse=True)
+        hidden = self.hidden(context // (UNITS + self.leaves), context % (UNITS + self.leaves))
+        sums = np.concatenate([self._log_sum(hidden[i : i + BLOCK] @ q.T + bias) for i in range(0, len(hidden), BLOCK)] or [np.zeros(0, np.float32)])
+        top = self.top(units)
+        out = np.einsum("ij,ij->i", hidden[at], q[top]) + bias[top] - sums[at]
+        low = np.flatnonzero(units >= UNITS)
+        low = low[np.argsort(top[low], kind="stable")]
+        edges = np.flatnonzero(np.diff(top[low], prepend=-1, append=-1))
+        for first, last in zip(edges[:-1], edges[1:], strict=True) if len(low) else ():
+            begin = (top[low[first]] - UNITS) * self.size
+            q, bias = leaf[begin : begin + self.size], leaf_bias[begin : begin + self.size]
+            for i in range(first, last, BLOCK):
+                own = low[i : min(i + BLOCK, last)]
+                z = hidden[at[own]] @ q.T + bias
+                out[own] += z[np.arange(len(own)), units[own] - UNITS - begin] - self._log_sum(z)
+        return out / np.float32(np.log(10))
+
+    def _leaf_noise(self, leaf: np.ndarray, random: np.random.Generator) -> np.ndarray:
+        """CLASS_NOISE words of each leaf's class by their shares."""
+        begin = leaf // self.size * self.size
+        end = np.minimum(begin + self.size, self.leaves)
+        low, high = self.below[begin][:, None], self.below[end][:, None]
+        drawn = np.searchsorted(self.below, low + (high - low) * random.random((len(leaf), CLASS_NOISE)), side="right") - 1
+        return np.clip(drawn, begin[:, None], end[:, None] - 1)
 
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, random: np.random.Generator) -> None:
-        """Steps of noise-contrastive estimation over all given tokens; the tokens of a step share their noise units."""
+        """Steps of noise-contrastive estimation over all given tokens; the tokens of a step share their noise at the top, a leaf has its own from its class."""
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        log_class_noise = self.log_within + np.float32(np.log(CLASS_NOISE))
+        tops = len(self.noise)
         size = min(STEP_TOKENS, max(256, len(units) // LEAST_STEPS))
         passes = -(-LEAST_STEPS * size // len(units))
         order = np.concatenate([random.permutation(len(units)) for _ in range(passes)])
+
+        def rows(k: int, where: np.ndarray, g: np.ndarray) -> None:
+            """A step of the given rows of a table, shorter the more they have moved."""
+            moved = state.setdefault(k, np.zeros(len(self.parts[k]), np.float32))
+            moved[where] += np.square(g).reshape(len(g), -1).mean(1)
+            by = np.float32(ROW_RATE) / (np.sqrt(moved[where]) + np.float32(1e-12))
+            self.parts[k][where] += g * (by[:, None] if g.ndim > 1 else by)
+
         for i in range(0, len(order), size):
-            r, a, b, q, bias = self.parts
+            r, a, b, q, bias, leaf, leaf_bias = self.parts
             pick = order[i : i + size]
-            u, x, y = units[pick], one[pick], two[pick]
-            noise = random.choice(UNITS, NOISE, p=self.noise)
+            x, y = one[pick], two[pick]
+            u = self.top(units[pick])
+            noise = random.choice(tops, NOISE, p=self.noise)
             rx, ry = r[x], r[y]
             hidden = rx @ a + ry @ b
-            data = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, q[u]) + bias[u] - log_noise[u])) / len(u)
-            false = -1 / (1 + np.exp(-(hidden @ q[noise].T + bias[noise] - log_noise[noise]))) / len(u)
+            data = (1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, q[u]) + bias[u] - log_noise[u])) / len(u)).astype(np.float32)
+            false = -1 / (1 + np.exp(-(hidden @ q[noise].T + bias[noise] - log_noise[noise]))) / np.float32(len(u))
             back = data[:, None] * q[u] + false @ q[noise]
-            gq, gbias, gr = np.zeros_like(q), np.bincount(u, data, UNITS), np.zeros_like(r)
-            for where, what, into in ((u, data[:, None] * hidden, gq), (x, back @ a.T, gr), (y, back @ b.T, gr)):
-                sort = np.argsort(where.astype(np.uint16), kind="stable")
-                edge = np.flatnonzero(np.concatenate(([True], where[sort][1:] != where[sort][:-1])))
-                into[where[sort][edge]] += np.add.reduceat(what[sort], edge, axis=0)
+            low = np.flatnonzero(u >= UNITS)
+            if len(low):
+                own, h = units[pick[low]] - UNITS, hidden[low]
+                other = np.concatenate([own[:, None], self._leaf_noise(own, random)], 1)
+                vectors = leaf[other]
+                z = np.einsum("ij,ikj->ik", h, vectors) + leaf_bias[other] - log_class_noise[other]
+                g = -1 / (1 + np.exp(-z)) / np.float32(len(u))
+                g[:, 0] = 1 / (1 + np.exp(z[:, 0])) / np.float32(len(u))
+                back[low] += np.einsum("ik,ikj->ij", g, vectors)
+                where, moves = _summed(other.ravel(), np.concatenate([g[:, :, None] * h[:, None, :], g[:, :, None]], 2).reshape(-1, LENGTH + 1))
+                rows(5, where, moves[:, :LENGTH])
+                rows(6, where, moves[:, LENGTH])
+            gq, gbias = np.zeros_like(q), np.bincount(u, data, tops)
+            where, moves = _summed(u, data[:, None] * hidden)
+            gq[where] += moves
             np.add.at(gq, noise, false.T @ hidden)
             np.add.at(gbias, noise, false.sum(0))
+            rows(0, *_summed(np.concatenate([x, y]), np.concatenate([back @ a.T, back @ b.T])))
             state["step"] = t = state.get("step", 0) + 1
-            for k, g in enumerate((gr, rx.T @ back, ry.T @ back, gq, gbias)):
+            for k, g in ((1, rx.T @ back), (2, ry.T @ back), (3, gq), (4, gbias)):
                 m, v = state.setdefault(k, (np.zeros_like(self.parts[k]), np.zeros_like(self.parts[k])))
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 self.parts[k] = (self.parts[k] + RATE / (1 + t / 400) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
 
-
-def _packed(model: LogBilinear) -> bytes:
-    return b"".join(np.ascontiguousarray(p, np.float32).tobytes() for p in model.parts)
-
-
-def _unpack(model: LogBilinear, flat: np.ndarray) -> None:
-    at = 0
-    for k, p in enumerate(model.parts):
-        model.parts[k] = flat[at : at + p.size].reshape(p.shape).astype(np.float32)
-        at += p.size
+    def copied(self) -> LogBilinear:
+        """A model to train without a change of this one."""
+        other = copy.copy(self)
+        other.parts = [p.copy() for p in self.parts]
+        return other
+
+    def blocks(self, met: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, weights, rows): -1 is what stands at the top; else BLOCK units' rows, weighted by how often they were met."""
+        yield -1, np.full(1, met.sum()), np.concatenate([p.ravel() for p in self.parts[1:5]])[None]
+        for i in range(0, UNITS + self.leaves, BLOCK):
+            yield i // BLOCK, met[i : i + BLOCK], self._rows(i)
+
+    def _rows(self, i: int) -> np.ndarray:
+        """Parameters of the units from ``i`` on: of the context, and 0 or those of the leaf."""
+        rows = np.zeros((min(BLOCK, UNITS + self.leaves - i), 2 * LENGTH + 1), np.float32)
+        rows[:, :LENGTH] = self.parts[0][i : i + BLOCK]
+        skip = max(0, UNITS - i)
+        at = slice(i + skip - UNITS, i + BLOCK - UNITS)
+        rows[skip:, LENGTH:-1], rows[skip:, -1] = self.parts[5][at], self.parts[6][at]
+        return rows
+
+    def put(self, block: int, flat: np.ndarray) -> None:
+        if block < 0:
+            for k in range(1, 5):
+                self.parts[k], flat = flat[: self.parts[k].size].reshape(self.parts[k].shape).copy(), flat[self.parts[k].size :]
+            return
+        i, rows = block * BLOCK, flat.reshape(-1, 2 * LENGTH + 1)
+        self.parts[0][i : i + BLOCK] = rows[:, :LENGTH]
+        skip = max(0, UNITS - i)
+        at = slice(i + skip - UNITS, i + BLOCK - UNITS)
+        self.parts[5][at], self.parts[6][at] = rows[skip:, LENGTH:-1], rows[skip:, -1]
+
+
+def _averaged(t: pa.Table) -> pa.Table:
+    """The weighted mean of a block's rows from all tasks."""
+    total, weights = 0.0, 0.0
+    for w, m in zip(t.column("weights"), t.column("rows"), strict=True):
+        w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)[:, None] + 1e-9
+        total, weights = total + w * np.frombuffer(m.as_py(), np.float32).reshape(len(w), -1), weights + w
+    return pa.table({"block": t.column("block").slice(0, 1), "rows": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit(texts: DataFrame, counts: Counts, rounds: int = 1) -> LogBilinear:
-    """Train on all of ``texts`` (text): a model for each task, averaged in two levels, ``rounds`` times."""
+    """Train on all of ``texts`` (text): a model for each slot of the cluster, averaged by blocks of rows, ``rounds`` times."""
     unit_count = np.full(UNITS, 0.5)
     unit_count[END] += counts.docs
     if len(counts.frequent):
         unit_count[1 : 1 + len(counts.frequent)] += counts.head_of(counts.frequent)[0]
     unit_count[1 + FREQUENT :] += counts.group_count
-    model = LogBilinear(unit_count / unit_count.sum())
+    total = unit_count.sum() + counts.leaf_count.sum()
+    model = LogBilinear(unit_count / total, counts.leaf_count / total)
+    share = np.concatenate([unit_count, counts.leaf_count]) / total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, info = shared.value
-        state: dict = {}
+        start, info = shared.value
+        own, state = start.copied(), {}
         random = np.random.default_rng(11)
-        trained, held, total = 0, [], 0
+        met, held, total = np.zeros(UNITS + own.leaves), [], 0
+
+        def step() -> None:
+            units, one, two = map(np.concatenate, zip(*held, strict=True))
+            np.add.at(met, units, 1)
+            own.train(units, one, two, state, random)
+
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
                 word, part, row = _words(data, offsets)
                 held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
                 total += len(held[-1][0])
                 if total >= BATCH_TOKENS // 2:
-                    own.train(*map(np.concatenate, zip(*held, strict=True)), state, random)
-                    trained, held, total = trained + total, [], 0
+                    step()
+                    held, total = [], 0
         if total:
-            own.train(*map(np.concatenate, zip(*held, strict=True)), state, random)
-            trained += total
-        if trained:
-            yield pa.RecordBatch.from_arrays([pa.array([trained], pa.int64()), pa.array([_packed(own)], pa.binary())], names=["tokens", "model"])
-
-    def averaged(t: pa.Table) -> pa.Table:
-        tokens = t.column("tokens").to_numpy()
-        flat = sum(w * np.frombuffer(m.as_py(), np.float32).astype(np.float64) for w, m in zip(tokens, t.column("model"), strict=True)) / tokens.sum()
-        return pa.table({"tokens": pa.array([int(tokens.sum())], pa.int64()), "model": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
-
+            step()
+        if met.any():
+            state.clear()
+            # a unit that a task hardly met was noise there: that counts for a quarter of its share
+            for block, weights, rows in own.blocks(met + 0.25 * met.sum() * share):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["block", "weights", "rows"])
+
+    slots = texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((model, counts))
-        each = texts.mapInArrow(run, "tokens long, model binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-        got = each.groupBy("part").applyInArrow(lambda t: averaged(t), "tokens long, model binary").toArrow()
-        if len(got):
-            _unpack(model, np.frombuffer(averaged(got).column("model")[0].as_py(), np.float32))
+        got = slots.mapInArrow(run, "block long, weights binary, rows binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, rows binary").toArrow()
+        for block, rows in zip(got.column("block").to_pylist(), got.column("rows"), strict=True):
+            model.put(block, np.frombuffer(rows.as_py(), np.float32))
     return model
 
 
@@ -246,14 +379,12 @@ def _local_scores(docs: DataFrame, counts: Counts, model: LogBilinear) -> DataFr
                 word, part, row = _words(data, offsets)
                 unit = info.units(word, part)
                 units, one, two, of = sequence(unit, row, rows)
-                context, at = np.unique(one * UNITS + two, return_inverse=True)
-                logs = own.log10_normalised(context // UNITS, context % UNITS)
-                score = np.bincount(of, logs[at, units], rows)
+                score = np.bincount(of, own.log10_probability(units, one, two), rows)
                 count, in_head = info.head_of(word)
                 own_log = np.where(in_head, np.log10(count + SMOOTH), 0.0)
                 tokens = np.bincount(row, minlength=rows) + 1
                 base = np.bincount(row, own_log, rows) + np.log10(info.docs + SMOOTH) - tokens * z
-                grouped = unit > FREQUENT
+                grouped = (unit > FREQUENT) & (unit < UNITS)
                 score += np.bincount(row[grouped], own_log[grouped] - group_log[part[grouped]], rows)
                 known = np.bincount(row[in_head], minlength=rows) + (info.docs > 0)
                 rest = ~in_head

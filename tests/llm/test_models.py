@@ -193,6 +193,24 @@ def test_model_is_normalised_and_beats_the_base(spark, invented):
     assert np.allclose((10.0**logs).sum(1), 1, atol=1e-4)
 
 
+def test_words_beyond_the_frequent_ones_have_contexts(spark, invented):
+    """Pairs of 400 words: the second of a pair is certain after the first, whatever their counts; all units sum to one."""
+    r = invented.random
+    pairs = [(f"first{i} ", f"then{i * 7919 % 100003} ") for i in range(200)]
+    docs = [(i, "".join("".join(r.choice(pairs)) for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    held = [x for x in language_model.scored(df).collect() if x.held_out]
+    # a unigram has 2.6 a word; half of them are certain
+    assert sum(x.score for x in held) > 0.6 * sum(x.base_score for x in held)
+    counted = language_model.word_counts(df.select("text"))
+    counts = language_model.gather_counts(counted, len(docs))
+    assert len(counts.frequent) + len(counts.vocabulary) == 400
+    model = language_model.LogBilinear(np.full(language_model.UNITS, 1e-3), counts.leaf_count / counts.n)
+    every = np.arange(language_model.UNITS + len(counts.vocabulary))
+    logs = model.log10_probability(every, np.full(len(every), 300), np.full(len(every), 3))
+    assert abs((10.0**logs).sum() - 1) < 1e-4
+
+
 def test_language_model_without_training_rows(spark, empty):
     assert language_model.scored(empty).count() == 0
     rows = language_model.scored(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
