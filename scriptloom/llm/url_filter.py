@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import U64, as_long, mix, text_slices
-from .heavy import heaviest
 from .scratch import table
 
 ORDER = 5
-#: Counts at most, of the most frequent contexts and next bytes, that a model keeps: longer contexts stay where they are frequent.
+#: Counts at most, of contexts and next bytes of both sides, that executors hold; more of them are joined, none is dropped.
 MODEL_ROWS = 200_000
 #: One example in so many sets the threshold instead of adding to the counts.
 CALIBRATION = 5
@@ -87,11 +88,15 @@ def _steps(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, l
         yield row, rows, of[place], padded[place], contexts
 
 
+def _pair(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(context + byte.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 class Markov:
-    """Interpolated Witten-Bell probabilities from kept counts of (context, next byte)."""
+    """Interpolated Witten-Bell probabilities from all counts of (context, next byte)."""
 
     def __init__(self, context: np.ndarray, byte: np.ndarray, count: np.ndarray):
-        pair = mix(context + byte.astype(U64) * U64(0x9E3779B97F4A7C15))
+        pair = _pair(context, byte)
         order = np.argsort(pair)
         self.pair, self.count = pair[order], count[order].astype(np.float64)
         self.context, at, kinds = np.unique(context, return_inverse=True, return_counts=True)
@@ -108,7 +113,7 @@ class Markov:
             return np.log(p)
         for context in contexts:
             at, known = self._find(self.context, context)
-            pair_at, seen = self._find(self.pair, mix(context + byte.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            pair_at, seen = self._find(self.pair, _pair(context, byte))
             total, kinds = self.total[at], self.kinds[at]
             count = np.where(seen, self.count[pair_at], 0.0)
             p = np.where(known, (count + kinds * p) / (total + kinds), p)
@@ -117,11 +122,16 @@ class Markov:
 
 @dataclass
 class Ratio:
-    """Rejected against accepted; threshold: the highest difference that is allowed."""
+    """Rejected against accepted; threshold: the highest difference that is allowed.
+
+    The models are None where their counts are too many for an executor; then
+    ``counts`` is joined.
+    """
 
-    accepted: Markov
-    rejected: Markov
+    accepted: Markov | None
+    rejected: Markov | None
     threshold: float = float("inf")
+    counts: DataFrame | None = None
 
     def differences(self, urls: pa.Array) -> np.ndarray:
         out = np.zeros(len(urls))
@@ -130,6 +140,62 @@ class Ratio:
             out[row : row + rows] = np.bincount(of, step, rows) / np.maximum(1, np.bincount(of, minlength=rows))
         return out
 
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which have a url, with their difference."""
+        if self.counts is not None:
+            return _joined(rows, self.counts)
+        shared = rows.sparkSession.sparkContext.broadcast((self.accepted, self.rejected))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Ratio(*shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.differences(batch.column("url")))], names=[*batch.schema.names, "difference"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("difference", T.DoubleType())]))
+
+
+def _joined(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """As Ratio.scored, by joins: each different pair of context and next byte is looked up once, order after order.
+
+    A pair's probability needs that of the pair whose context is one byte
+    shorter, and at most 256 pairs share such a one, so no key is hot.
+    """
+    rows = table(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for row, _, of, byte, contexts in _steps(batch.column(1)):
+                below = np.zeros(len(byte), U64)
+                for k, context in enumerate(contexts):
+                    pair = _pair(context, byte)
+                    take = np.flatnonzero(context != 0)
+                    take = take[np.argsort(pair[take], kind="stable")]
+                    first = np.flatnonzero(np.diff(pair[take], prepend=~pair[take[:1]]))
+                    # the ids are of the URLs for which this is the longest context
+                    longest = contexts[k + 1][take] == 0 if k < ORDER else np.ones(len(take), bool)
+                    ends = np.concatenate([np.concatenate(([0], np.cumsum(longest)))[first], [longest.sum()]])
+                    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(uid[row + of[take[longest]]]))
+                    at = take[first]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), *(pa.array(as_long(x[at])) for x in (pair, context)), pa.array(byte[at].astype(np.int32)), pa.array(as_long(below[at])), ids], names=["k", "pair", "context", "byte", "below", "ids"])
+                    below = pair
+
+    steps = table(rows.select("uid", "url").mapInArrow(run, "k int, pair long, context long, byte int, below long, ids array<long>"), "url-steps")
+    of_side = lambda side, what: F.sum(F.when(F.col("blocked") == side, what))
+    seen = counts.groupBy("context", "byte").agg(of_side(False, F.col("count")).alias("c0"), of_side(True, F.col("count")).alias("c1"))
+    whole = counts.groupBy("context").agg(*[of_side(bool(i), what).alias(f"{name}{i}") for i in (0, 1) for name, what in (("total", F.col("count")), ("kinds", F.lit(1)))])
+    levels: list[DataFrame] = []
+    for k in range(ORDER + 1):
+        level = steps.where(F.col("k") == k).groupBy("pair").agg(*[F.first(c).alias(c) for c in ("context", "byte", "below")])
+        level = level.join(seen, ["context", "byte"], "left").join(whole, "context", "left")
+        level = level.join(levels[-1].select(F.col("pair").alias("below"), "p0", "p1"), "below") if levels else level.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
+        after = [F.when(F.col(f"total{i}").isNull(), F.col(f"p{i}")).otherwise((F.coalesce(f"c{i}", F.lit(0)) + F.col(f"kinds{i}") * F.col(f"p{i}")) / (F.col(f"total{i}") + F.col(f"kinds{i}"))).alias(f"p{i}") for i in (0, 1)]
+        levels.append(table(level.select("pair", *after), "url-level"))
+    step = reduce(DataFrame.union, levels).select("pair", (F.log("p1") - F.log("p0")).alias("step"))
+    each = steps.where(F.size("ids") > 0).select("pair", "ids").join(step, "pair").select(F.explode("ids").alias("uid"), "step")
+    return rows.join(each.groupBy("uid").agg(F.avg("step").alias("difference")), "uid", "left").drop("uid")
+
 
 def _counts(examples: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,20 +218,18 @@ def train(examples: DataFrame, order_by: str = "url") -> Ratio:
     """Fit the two models and the threshold to ``examples`` (url, blocked): all of them are counted, on the executors."""
     fold = F.pmod(F.xxhash64(order_by), F.lit(CALIBRATION))
     counts = table(_counts(examples.where(fold != 0)), "url-counts")
-    sides = []
-    for side in (False, True):
-        rows = heaviest(counts.where(F.col("blocked") == side), "count", MODEL_ROWS).select("context", "byte", "count").toArrow()
-        sides.append(Markov(rows.column(0).to_numpy().view(U64), rows.column(1).to_numpy(), rows.column(2).to_numpy()))
-    ratio = Ratio(*sides)
-    if not len(ratio.accepted.pair) or not len(ratio.rejected.pair):
+    size = {r[0]: r[1] for r in counts.groupBy("blocked").count().collect()}
+    if sum(size.values()) > MODEL_ROWS:
+        ratio = Ratio(None, None, counts=counts)
+    else:
+        rows = counts.toArrow()
+        blocked, context, byte, count = (rows.column(c).to_numpy() for c in ("blocked", "context", "byte", "count"))
+        ratio = Ratio(*(Markov(context[own].view(U64), byte[own], count[own]) for own in (blocked == side for side in (False, True))))
+    if len(size) < 2:
         return ratio
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.clip((ratio.differences(batch.column(0)) + REACH) * BINS / (2 * REACH), 0, BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at)], names=["blocked", "bin"])
-
-    kept_out = examples.where(fold == 0).select("url", "blocked").mapInArrow(bins, "blocked boolean, bin int").groupBy("blocked", "bin").count().collect()
+    at = F.floor((F.col("difference") + REACH) * (BINS / (2 * REACH)))
+    held = ratio.scored(examples.where(fold == 0).select("url", "blocked"))
+    kept_out = held.groupBy("blocked", F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).alias("bin")).count().collect()
     seen = np.zeros((2, BINS))
     for r in kept_out:
         seen[int(r[0]), r[1]] += r[2]
@@ -191,13 +255,6 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", u
     name, verdict = rule_columns(rules, F.col("host"), F.col("path"))
     rows = rows.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("by_rule"))
     ratio = train(rows.where("by_rule is not null").select("url", (F.col("by_rule") == "block").alias("blocked")))
-    shared = pages.sparkSession.sparkContext.broadcast(ratio)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array(shared.value.differences(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "difference"])
-
-    scored = rows.mapInArrow(run, "page_id long, url string, host string, path string, rule string, by_rule string, difference double")
+    scored = ratio.scored(rows)
     blocked = (F.length(F.coalesce("url", F.lit(""))) > 0) & (F.col("difference") > ratio.threshold)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "difference")

@@ -68,6 +68,14 @@ def test_probabilities_of_next_bytes_sum_to_one(spark):
             assert abs(p.sum() - 1) < 1e-9
 
 
+def test_more_counts_than_an_executor_holds_change_nothing(urls, monkeypatch):
+    by_id = lambda r: (r.page_id or 0, r.host, r.path)
+    whole = sorted(url_filter.judged(urls, RULES).collect(), key=by_id)
+    monkeypatch.setattr(url_filter, "MODEL_ROWS", 50)
+    for a, b in zip(whole, sorted(url_filter.judged(urls, RULES).collect(), key=by_id), strict=True):
+        assert a[:5] == b[:5] and b.difference == pytest.approx(a.difference, abs=1e-9)
+
+
 def test_no_examples_allow_all(spark, empty):
     rows = url_filter.judged(spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string"), RULES).collect()
     assert [(r.rule, r.verdict) for r in rows] == [(None, "allow")]
