@@ -29,8 +29,10 @@ def right_to_left(text: Column) -> Column:
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, pmi): joint count and pointwise mutual information (base 2) of each pair of values; nulls are left out."""
     joint = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
-    n_a, n_b, total = F.sum("n").over(Window.partitionBy(a)), F.sum("n").over(Window.partitionBy(b)), F.sum("n").over(Window.partitionBy())
-    return joint.select(a, b, "n", F.log2(F.col("n") * total / (n_a * n_b)).alias("pmi"))
+    of_a, of_b = joint.groupBy(a).agg(F.sum("n").alias("n_a")), joint.groupBy(b).agg(F.sum("n").alias("n_b"))
+    total = joint.agg(F.sum("n").alias("total"))
+    both = joint.join(of_a, a).join(of_b, b).crossJoin(F.broadcast(total))  # total is one row
+    return both.select(a, b, "n", F.log2(F.col("n") * F.col("total") / (F.col("n_a") * F.col("n_b"))).alias("pmi"))
 
 
 def precision_recall(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
