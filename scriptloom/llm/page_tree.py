@@ -9,7 +9,10 @@ from dataclasses import dataclass, field
 
 #: Element names by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Parts of formulas, which stay in their sentence, and of drawings; a slash ends these, as it doesn't end other elements.
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd maction semantics annotation".split())
+SVG = frozenset("svg g path circle ellipse rect line polyline polygon use defs symbol text tspan lineargradient radialgradient stop clippath mask filter image".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var img br wbr input".split())
 #: An element that starts ends an open one of these, unless one of the fences lies between.
 ENDS = {
@@ -24,7 +27,7 @@ ENDS = {
 }
 FENCES = frozenset("ul ol dl table html body".split())
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)>?|<[!?][^>]*>?""", re.DOTALL)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)|=)*)>?|<[!?][^>]*>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -125,12 +128,15 @@ def parse(page: str) -> Tree:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        inline = tag in INLINE
+        inline = tag in INLINE or tag in MATH
         if tag in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = over.end() if over else end
             continue
+        if not closing and (tag in MATH or tag in SVG) and m[3].rstrip().endswith("/"):
+            pieces.append(" ")
+            continue
         if tag == "br" or (tag in VOID and not inline):
             pieces.append(" ")
             if not inline:

@@ -167,6 +167,19 @@ def test_quality_of_messy_rows(spark, messy, empty, labelled):
     assert {r.score for r in quality_model.scored(messy, none).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> hold.</p><p>Next</p>", ["Let x=5 hold.", "Next"]),
+    ("<p>One</p><object data=x><p>Two</p></object><p>Three</p>", ["One", "Two", "Three"]),
+    ("<p>One</p><svg><path d='M0'/><p>Two</p><p>Three</p>", ["One", "Two", "Three"]),
+    ("<p>One</p><video src=x><p>Two</p>", ["One", "Two"]),
+    ("<p title=Bob's>One</p><p>It's two</p>", ["One", "It's two"]),
+    ("<p alt=\"5\" disc\">One</p><p>Two</p>", ["One", "Two"]),
+    ("<p alt=\"a > b\" id = 'c > d'>One</p><script>if (a > b) {}</script>", ["One"]),
+])
+def test_no_text_of_a_page_vanishes(page, texts):
+    assert [t for t in parse(page).text if t] == texts
+
+
 # ------------------------------------------------------------------ language model
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
