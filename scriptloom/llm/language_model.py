@@ -3,16 +3,18 @@
 The model predicts units: the end, and every word that occurs LEAST_COUNT times
 or more in training, so the vocabulary grows with the corpus; rarer words are in
 groups by their last bytes.  Its score is bilinear in the units before and the
-unit itself.  The end, the most frequent words and the groups stand at the top,
-beside classes of the other words (leaves), about as many as a class has words;
-a leaf's probability is its class's times its own within the class.  Both are
-normalised by batched matrix products; a word of a group has its smoothed share
-of the group's count.  So the probabilities of all words and one unknown word
-for each group sum to one.
-
-Word counts and training cover every training document.  Each task trains on
-its own documents from the same start; the parameters at the top are averaged
-by tokens, those of a unit by how often each task met it.
+unit itself.  The other words (leaves) are dealt to classes and these to
+families, each of about the cube root of their number.  The end, the most
+frequent words, the groups and the families stand at the top; a leaf's
+probability is its family's times its class's within the family times its own
+within the class.  All three levels are normalised by batched matrix products; a
+word of a group has its smoothed share of the group's count.  So the
+probabilities of all words and one unknown word for each group sum to one.
+
+Word counts and training cover every training document.  Training goes in
+rounds: in each, every task trains on its next share of its documents from the
+parameters that all tasks have then; those are averaged, at the top and of
+classes by tokens, those of a unit by how often each task met it.
 """
 
 from __future__ import annotations
@@ -38,13 +40,15 @@ UNITS = 1 + FREQUENT + GROUPS
 LEAST_COUNT = 20
 #: Words at most whose counts every executor holds besides those of units, the most frequent ones; those beyond are joined.
 HEAD_WORDS = 200_000
-LENGTH, NOISE, STEP_TOKENS, RATE = 24, 48, 8192, 0.01
-#: Noise words for each leaf, from its class, and the rate of the rows of units.
-CLASS_NOISE, ROW_RATE = 5, 0.1
+LENGTH, NOISE, RATE = 24, 48, 0.01
+#: Tokens of a step: the first steps are short, and grow with the tokens that a task has seen.
+FIRST_STEP, LAST_STEP, STEP_GROWTH = 256, 4096, 128
+#: Noise shared by the tokens of a step in one family or class, tokens of such a step, and the rate of the rows of units.
+CLASS_NOISE, CLASS_STEP, ROW_RATE = 16, 256, 0.1
 #: Rows of parameters, or contexts, handled at a time.
-BLOCK = 1024
-#: Steps at least over the tokens that a task holds at a time: few tokens are gone through in shorter steps and more than once.
-LEAST_STEPS = 120
+BLOCK, SCORED = 1024, 256
+#: Times that the tasks' models are brought together; each document is in one round.
+ROUNDS = 3
 SMOOTH = 0.1
 BATCH_TOKENS = 2_000_000
 
@@ -156,123 +160,166 @@ def sequence(unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 def _summed(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different places, and the sum of the rows at each."""
-    sort = np.argsort(where.astype(np.int32), kind="stable")
-    where = where[sort]
-    edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-    return where[edge], np.add.reduceat(what[sort], edge, axis=0)
+    packed = np.sort((where << 32) | np.arange(len(where)))
+    where = packed >> 32
+    fresh = np.concatenate(([True], where[1:] != where[:-1]))
+    places = where[fresh]
+    slot = np.empty(len(where), np.int64)
+    slot[packed & 0xFFFFFFFF] = np.cumsum(fresh) - 1
+    width = what.shape[1]
+    out = np.zeros((len(places), width), np.float32)
+    np.add.at(out.reshape(-1), ((slot * width)[:, None] + np.arange(width)).ravel(), np.ascontiguousarray(what, np.float32).ravel())  # flat: NumPy adds vectors fast, rows slowly
+    return places, out
+
+
+def _runs(sorted_values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values, cut to ``most`` at most."""
+    edges = np.flatnonzero(np.diff(sorted_values, prepend=-1, append=-1)) if len(sorted_values) else np.zeros(1, np.int64)
+    for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for i in range(first, last, most):
+            yield i, min(i + most, last)
 
 
 class LogBilinear:
-    """s(u | a, b) = (R[a] A + R[b] B) . Q[u] + bias[u] for what stands at the top; for the leaves of a class, their rows in place of Q."""
+    """s(x | a, b) = (R[a] A + R[b] B, 1) . Q[x], with a Q for the top, one for the classes and one for the leaves; its last column is a bias."""
 
     def __init__(self, unit_share: np.ndarray, leaf_share: np.ndarray | None = None, seed: int = 5):
         random = np.random.default_rng(seed)
         make = lambda *s: random.normal(scale=0.1, size=s).astype(np.float32)
+        with_bias = lambda share: np.concatenate([make(len(share), LENGTH), np.log(share).astype(np.float32)[:, None]], 1)
         eye = np.eye(LENGTH, dtype=np.float32)
         leaf_share = np.zeros(0) if leaf_share is None else leaf_share
         self.leaves = len(leaf_share)
-        self.size = max(16, int(np.ceil(np.sqrt(self.leaves))))
-        classes = np.add.reduceat(leaf_share, np.arange(0, self.leaves, self.size)) if self.leaves else leaf_share
-        self.noise = np.concatenate([unit_share, classes])
+        self.size = max(16, int(np.ceil(np.cbrt(self.leaves))))
+        sums = lambda x: np.add.reduceat(x, np.arange(0, len(x), self.size)) if len(x) else x
+        classes = sums(leaf_share)
+        families = sums(classes)
+        self.noise = np.concatenate([unit_share, families])
         self.noise /= self.noise.sum()
-        self.below = np.concatenate(([0.0], np.cumsum(leaf_share)))
-        within = leaf_share / np.repeat(classes, self.size)[: self.leaves]
-        self.log_within = np.log(within).astype(np.float32)
-        self.parts = [make(UNITS + self.leaves, LENGTH), eye.copy(), 0.5 * eye, make(len(self.noise), LENGTH), np.log(self.noise).astype(np.float32), make(self.leaves, LENGTH), self.log_within.copy()]
+        #: Of the classes and of the leaves: the share within the family or class.
+        self.within = [(own / np.repeat(above, self.size)[: len(own)]).astype(np.float32) for own, above in ((classes, families), (leaf_share, classes))]
+        self.parts = [make(UNITS + self.leaves, LENGTH), eye.copy(), 0.5 * eye, with_bias(self.noise), *map(with_bias, self.within)]
 
     def top(self, units: np.ndarray) -> np.ndarray:
-        return np.where(units < UNITS, units, UNITS + (units - UNITS) // self.size)
+        return np.where(units < UNITS, units, UNITS + (units - UNITS) // (self.size * self.size))
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """What each context multiplies the rows of Q with; the last column is 1."""
         r, a, b = self.parts[:3]
-        return r[one] @ a + r[two] @ b
+        out = np.ones((len(one), LENGTH + 1), np.float32)
+        out[:, :LENGTH] = r[one] @ a
+        out[:, :LENGTH] += r[two] @ b
+        return out
 
     def log10_normalised(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 P(unit or class | context) for all that stand at the top, for each context."""
-        z = self.hidden(one, two) @ self.parts[3].T + self.parts[4]
-        return (z - self._log_sum(z)[:, None]) / np.float32(np.log(10))
+        """log10 P(unit or family | context) for all that stand at the top, for each context."""
+        z = self.hidden(one, two) @ self.parts[3].T
+        return (z - self._log_sum(z.copy())[:, None]) / np.float32(np.log(10))
 
     @staticmethod
     def _log_sum(z: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum of exponentials of each row; changes ``z``."""
         most = z.max(1)
-        return most + np.log(np.exp(z - most[:, None]).sum(1))
+        z -= most[:, None]
+        np.exp(z, out=z)
+        return most + np.log(z @ np.ones(z.shape[1], np.float32))
 
     def log10_probability(self, units: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 P(unit | context) of each token."""
-        q, bias, leaf, leaf_bias = self.parts[3:]
+        q = self.parts[3]
+        across, top, out = np.ascontiguousarray(q.T), self.top(units), np.empty(len(units), np.float32)
         context, at = np.unique(one * np.int64(UNITS + self.leaves) + two, return_inverse=True)
         hidden = self.hidden(context // (UNITS + self.leaves), context % (UNITS + self.leaves))
-        sums = np.concatenate([self._log_sum(hidden[i : i + BLOCK] @ q.T + bias) for i in range(0, len(hidden), BLOCK)] or [np.zeros(0, np.float32)])
-        top = self.top(units)
-        out = np.einsum("ij,ij->i", hidden[at], q[top]) + bias[top] - sums[at]
+        sums = np.concatenate([self._log_sum(hidden[i : i + SCORED] @ across) for i in range(0, len(hidden), SCORED)] or [np.zeros(0, np.float32)])
+        for i in range(0, len(units), 16 * BLOCK):
+            j = at[i : i + 16 * BLOCK]
+            out[i : i + 16 * BLOCK] = np.einsum("ij,ij->i", hidden[j], q[top[i : i + 16 * BLOCK]]) - sums[j]
         low = np.flatnonzero(units >= UNITS)
-        low = low[np.argsort(top[low], kind="stable")]
-        edges = np.flatnonzero(np.diff(top[low], prepend=-1, append=-1))
-        for first, last in zip(edges[:-1], edges[1:], strict=True) if len(low) else ():
-            begin = (top[low[first]] - UNITS) * self.size
-            q, bias = leaf[begin : begin + self.size], leaf_bias[begin : begin + self.size]
-            for i in range(first, last, BLOCK):
-                own = low[i : min(i + BLOCK, last)]
-                z = hidden[at[own]] @ q.T + bias
-                out[own] += z[np.arange(len(own)), units[own] - UNITS - begin] - self._log_sum(z)
+        low = low[np.argsort(units[low])]
+        leaf, at, below = units[low] - UNITS, at[low], np.zeros(len(low), np.float32)
+        for child, q in ((leaf // self.size, self.parts[4]), (leaf, self.parts[5])):
+            for i, j in _runs(child // self.size, 2 * BLOCK):
+                begin = int(child[i]) // self.size * self.size
+                z = hidden[at[i:j]] @ q[begin : begin + self.size].T
+                below[i:j] += z[np.arange(j - i), child[i:j] - begin]
+                below[i:j] -= self._log_sum(z)
+        out[low] += below
         return out / np.float32(np.log(10))
 
-    def _leaf_noise(self, leaf: np.ndarray, random: np.random.Generator) -> np.ndarray:
-        """CLASS_NOISE words of each leaf's class by their shares."""
-        begin = leaf // self.size * self.size
-        end = np.minimum(begin + self.size, self.leaves)
-        low, high = self.below[begin][:, None], self.below[end][:, None]
-        drawn = np.searchsorted(self.below, low + (high - low) * random.random((len(leaf), CLASS_NOISE)), side="right") - 1
-        return np.clip(drawn, begin[:, None], end[:, None] - 1)
+    def _train_below(self, level: int, child: np.ndarray, h: np.ndarray, state: dict, random: np.random.Generator) -> np.ndarray:
+        """One step of the children of the family or class that all the tokens are in; returns what moves ``h``."""
+        begin = int(child[0]) // self.size * self.size
+        at, k = slice(begin, begin + self.size), 4 + level
+        q, share, own = self.parts[k][at], self.within[level][at], child - begin
+        noise = np.minimum(np.searchsorted(np.cumsum(share), random.random(CLASS_NOISE, np.float32)), len(share) - 1)
+        less = np.log(share * np.float32(CLASS_NOISE))
+        z = less[noise] - h @ q[noise].T
+        np.exp(z, out=z)
+        z += 1
+        moves = np.reciprocal(z, out=z) @ (-np.eye(len(share), dtype=np.float32)[noise])
+        moves[np.arange(len(own)), own] += 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q[own]) - less[own]))
+        back, g = moves @ q, moves.T @ h
+        moved = state[k][at]
+        moved += g * g
+        q += np.float32(ROW_RATE) * g / (np.sqrt(moved) + np.float32(1e-12))
+        return back
+
+    def _train_context(self, x: np.ndarray, y: np.ndarray, back: np.ndarray, state: dict) -> None:
+        """A step of the rows of the context's units, shorter the more a row has moved."""
+        a, b = self.parts[1:3]
+        where, g = _summed(np.concatenate([x, y]), np.concatenate([back @ a.T, back @ b.T]))
+        state[0][where] += np.einsum("ij,ij->i", g, g) / np.float32(LENGTH)
+        self.parts[0][where] += g * (np.float32(ROW_RATE) / (np.sqrt(state[0][where]) + np.float32(1e-12)))[:, None]
 
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, random: np.random.Generator) -> None:
-        """Steps of noise-contrastive estimation over all given tokens; the tokens of a step share their noise at the top, a leaf has its own from its class."""
+        """Noise-contrastive estimation over all given tokens, each once at every level that it has: first the top in random order, then family by family and class by class.
+
+        The tokens of a step share their noise.
+        """
+        if not state:
+            state |= {0: np.zeros(len(self.parts[0]), np.float32), 4: np.zeros_like(self.parts[4]), 5: np.zeros_like(self.parts[5]), "seen": 0, "step": 0}
+            state |= {k: (np.zeros_like(self.parts[k]), np.zeros_like(self.parts[k])) for k in (1, 2, 3)}
+        self._train_top(units, one, two, state, random)
+        low = random.permutation(np.flatnonzero(units >= UNITS))
+        low = low[np.argsort((units[low] - UNITS) // self.size, kind="stable")]
+        leaf, one, two = units[low] - UNITS, one[low], two[low]
+        for i, j in _runs(leaf // (self.size * self.size), 64 * CLASS_STEP):
+            h = self.hidden(one[i:j], two[i:j])
+            back, mixed = np.empty_like(h), random.permutation(j - i)
+            for a in range(0, j - i, 8 * CLASS_STEP):
+                own = mixed[a : a + 8 * CLASS_STEP]
+                back[own] = self._train_below(0, leaf[i:j][own] // self.size, h[own], state, random)
+            for a, b in _runs(leaf[i:j] // self.size, CLASS_STEP):
+                back[a:b] += self._train_below(1, leaf[i + a : i + b], h[a:b], state, random)
+            self._train_context(one[i:j], two[i:j], np.ascontiguousarray(back[:, :LENGTH]), state)
+
+    def _train_top(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, random: np.random.Generator) -> None:
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        log_class_noise = self.log_within + np.float32(np.log(CLASS_NOISE))
-        tops = len(self.noise)
-        size = min(STEP_TOKENS, max(256, len(units) // LEAST_STEPS))
-        passes = -(-LEAST_STEPS * size // len(units))
-        order = np.concatenate([random.permutation(len(units)) for _ in range(passes)])
-
-        def rows(k: int, where: np.ndarray, g: np.ndarray) -> None:
-            """A step of the given rows of a table, shorter the more they have moved."""
-            moved = state.setdefault(k, np.zeros(len(self.parts[k]), np.float32))
-            moved[where] += np.square(g).reshape(len(g), -1).mean(1)
-            by = np.float32(ROW_RATE) / (np.sqrt(moved[where]) + np.float32(1e-12))
-            self.parts[k][where] += g * (by[:, None] if g.ndim > 1 else by)
-
-        for i in range(0, len(order), size):
-            r, a, b, q, bias, leaf, leaf_bias = self.parts
-            pick = order[i : i + size]
-            x, y = one[pick], two[pick]
-            u = self.top(units[pick])
+        tops, top, columns = len(self.noise), self.top(units), np.arange(LENGTH + 1)
+        order, i = random.permutation(len(units)), 0
+        while i < len(order):
+            pick = order[i : i + min(LAST_STEP, FIRST_STEP + state["seen"] // STEP_GROWTH)]
+            i += len(pick)
+            state["seen"] += len(pick)
+            state["step"] = t = state["step"] + 1
+            q, x, y, u = self.parts[3], one[pick], two[pick], top[pick]
             noise = random.choice(tops, NOISE, p=self.noise)
-            rx, ry = r[x], r[y]
-            hidden = rx @ a + ry @ b
-            data = (1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, q[u]) + bias[u] - log_noise[u])) / len(u)).astype(np.float32)
-            false = -1 / (1 + np.exp(-(hidden @ q[noise].T + bias[noise] - log_noise[noise]))) / np.float32(len(u))
-            back = data[:, None] * q[u] + false @ q[noise]
-            low = np.flatnonzero(u >= UNITS)
-            if len(low):
-                own, h = units[pick[low]] - UNITS, hidden[low]
-                other = np.concatenate([own[:, None], self._leaf_noise(own, random)], 1)
-                vectors = leaf[other]
-                z = np.einsum("ij,ikj->ik", h, vectors) + leaf_bias[other] - log_class_noise[other]
-                g = -1 / (1 + np.exp(-z)) / np.float32(len(u))
-                g[:, 0] = 1 / (1 + np.exp(z[:, 0])) / np.float32(len(u))
-                back[low] += np.einsum("ik,ikj->ij", g, vectors)
-                where, moves = _summed(other.ravel(), np.concatenate([g[:, :, None] * h[:, None, :], g[:, :, None]], 2).reshape(-1, LENGTH + 1))
-                rows(5, where, moves[:, :LENGTH])
-                rows(6, where, moves[:, LENGTH])
-            gq, gbias = np.zeros_like(q), np.bincount(u, data, tops)
-            where, moves = _summed(u, data[:, None] * hidden)
-            gq[where] += moves
-            np.add.at(gq, noise, false.T @ hidden)
-            np.add.at(gbias, noise, false.sum(0))
-            rows(0, *_summed(np.concatenate([x, y]), np.concatenate([back @ a.T, back @ b.T])))
-            state["step"] = t = state.get("step", 0) + 1
-            for k, g in ((1, rx.T @ back), (2, ry.T @ back), (3, gq), (4, gbias)):
-                m, v = state.setdefault(k, (np.zeros_like(self.parts[k]), np.zeros_like(self.parts[k])))
+            h, of_u = self.hidden(x, y), q[u]
+            data = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, of_u) - log_noise[u]))
+            false = log_noise[noise] - h @ q[noise].T
+            np.exp(false, out=false)
+            false += 1
+            np.reciprocal(false, out=false)
+            back = data[:, None] * of_u - false @ q[noise]
+            back = np.ascontiguousarray(back[:, :LENGTH])
+            gq = np.zeros_like(q)
+            np.add.at(gq.reshape(-1), ((u * (LENGTH + 1))[:, None] + columns).ravel(), (data[:, None] * h).ravel())
+            np.subtract.at(gq, noise, false.T @ h)
+            g_a, g_b = self.parts[0][x].T @ back, self.parts[0][y].T @ back
+            self._train_context(x, y, back, state)
+            for k, g in ((1, g_a), (2, g_b), (3, gq)):
+                m, v = state[k]
+                g = g / np.float32(len(pick))
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 self.parts[k] = (self.parts[k] + RATE / (1 + t / 400) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
@@ -284,7 +331,7 @@ class LogBilinear:
         return other
 
     def blocks(self, met: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(block, weights, rows): -1 is what stands at the top; else BLOCK units' rows, weighted by how often they were met."""
+        """(block, weights, rows): -1 is the top and the classes; else BLOCK units' rows, weighted by how often they were met."""
         yield -1, np.full(1, met.sum()), np.concatenate([p.ravel() for p in self.parts[1:5]])[None]
         for i in range(0, UNITS + self.leaves, BLOCK):
             yield i // BLOCK, met[i : i + BLOCK], self._rows(i)
@@ -294,8 +341,7 @@ class LogBilinear:
         rows = np.zeros((min(BLOCK, UNITS + self.leaves - i), 2 * LENGTH + 1), np.float32)
         rows[:, :LENGTH] = self.parts[0][i : i + BLOCK]
         skip = max(0, UNITS - i)
-        at = slice(i + skip - UNITS, i + BLOCK - UNITS)
-        rows[skip:, LENGTH:-1], rows[skip:, -1] = self.parts[5][at], self.parts[6][at]
+        rows[skip:, LENGTH:] = self.parts[5][i + skip - UNITS : i + BLOCK - UNITS]
         return rows
 
     def put(self, block: int, flat: np.ndarray) -> None:
@@ -306,8 +352,7 @@ class LogBilinear:
         i, rows = block * BLOCK, flat.reshape(-1, 2 * LENGTH + 1)
         self.parts[0][i : i + BLOCK] = rows[:, :LENGTH]
         skip = max(0, UNITS - i)
-        at = slice(i + skip - UNITS, i + BLOCK - UNITS)
-        self.parts[5][at], self.parts[6][at] = rows[skip:, LENGTH:-1], rows[skip:, -1]
+        self.parts[5][i + skip - UNITS : i + BLOCK - UNITS] = rows[skip:, LENGTH:]
 
 
 def _averaged(t: pa.Table) -> pa.Table:
@@ -319,8 +364,8 @@ def _averaged(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block").slice(0, 1), "rows": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame, counts: Counts, rounds: int = 1) -> LogBilinear:
-    """Train on all of ``texts`` (text): a model for each slot of the cluster, averaged by blocks of rows, ``rounds`` times."""
+def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
+    """Train on all of ``texts`` (text), a model for each slot of the cluster, averaged by blocks of rows after each round."""
     unit_count = np.full(UNITS, 0.5)
     unit_count[END] += counts.docs
     if len(counts.frequent):
@@ -331,7 +376,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = 1) -> LogBilinear:
     share = np.concatenate([unit_count, counts.leaf_count]) / total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, info = shared.value
+        start, info, turn = shared.value
         own, state = start.copied(), {}
         random = np.random.default_rng(11)
         met, held, total = np.zeros(UNITS + own.leaves), [], 0
@@ -341,8 +386,11 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = 1) -> LogBilinear:
             np.add.at(met, units, 1)
             own.train(units, one, two, state, random)
 
+        first = turn
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            texts = batch.column(0).take(pa.array(np.arange(first, len(batch), rounds)))
+            first = (first - len(batch)) % rounds
+            for _, data, offsets in text_slices(texts):
                 word, part, row = _words(data, offsets)
                 held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
                 total += len(held[-1][0])
@@ -358,8 +406,8 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = 1) -> LogBilinear:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["block", "weights", "rows"])
 
     slots = texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
-    for _ in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast((model, counts))
+    for turn in range(rounds):
+        shared = texts.sparkSession.sparkContext.broadcast((model, counts, turn))
         got = slots.mapInArrow(run, "block long, weights binary, rows binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, rows binary").toArrow()
         for block, rows in zip(got.column("block").to_pylist(), got.column("rows"), strict=True):
             model.put(block, np.frombuffer(rows.as_py(), np.float32))
@@ -374,7 +422,7 @@ def _local_scores(docs: DataFrame, counts: Counts, model: LogBilinear) -> DataFr
         own, info = shared.value
         z, group_log = np.log10(info.n + SMOOTH * (info.v + 1)), info.group_log()
         for batch in batches:
-            for first, data, offsets in text_slices(batch.column(2)):
+            for first, data, offsets in text_slices(batch.column(2), 8 << 20):
                 rows = len(offsets) - 1
                 word, part, row = _words(data, offsets)
                 unit = info.units(word, part)
