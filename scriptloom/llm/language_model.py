@@ -34,19 +34,21 @@ from .quality_model import fold
 from .scratch import table
 
 #: Units: the end, frequent words, groups of rare words; those from UNITS on are leaves.
-END, FREQUENT, GROUPS = 0, 191, 64
+END, FREQUENT, GROUPS = 0, 127, 64
 UNITS = 1 + FREQUENT + GROUPS
 #: A word of at least so many training tokens is a unit of its own, however many there are.
 LEAST_COUNT = 20
 #: Words at most whose counts every executor holds besides those of units, the most frequent ones; those beyond are joined.
 HEAD_WORDS = 200_000
-LENGTH, NOISE, RATE = 24, 48, 0.01
+LENGTH, NOISE, RATE = 16, 32, 0.01
 #: Tokens of a step: the first steps are short, and grow with the tokens that a task has seen.
-FIRST_STEP, LAST_STEP, STEP_GROWTH = 256, 4096, 128
-#: Noise shared by the tokens of a step in one family or class, tokens of such a step, and the rate of the rows of units.
-CLASS_NOISE, CLASS_STEP, ROW_RATE = 16, 256, 0.1
+FIRST_STEP, LAST_STEP, STEP_GROWTH = 64, 4096, 128
+#: A step in one family or class has this part of the tokens; noise that its tokens share; the rate of the rows of units.
+CLASS_PART, CLASS_NOISE, ROW_RATE = 8, 16, 0.1
 #: Rows of parameters, or contexts, handled at a time.
 BLOCK, SCORED = 1024, 256
+#: Tokens that a task trains on at least, where there are as many, and tokens to train on in all: fewer are gone through more than once.
+TASK_TOKENS, LEAST_TOKENS = 1_000_000, 500_000
 #: Times that the tasks' models are brought together; each document is in one round.
 ROUNDS = 3
 SMOOTH = 0.1
@@ -162,14 +164,8 @@ def _summed(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The different places, and the sum of the rows at each."""
     packed = np.sort((where << 32) | np.arange(len(where)))
     where = packed >> 32
-    fresh = np.concatenate(([True], where[1:] != where[:-1]))
-    places = where[fresh]
-    slot = np.empty(len(where), np.int64)
-    slot[packed & 0xFFFFFFFF] = np.cumsum(fresh) - 1
-    width = what.shape[1]
-    out = np.zeros((len(places), width), np.float32)
-    np.add.at(out.reshape(-1), ((slot * width)[:, None] + np.arange(width)).ravel(), np.ascontiguousarray(what, np.float32).ravel())  # flat: NumPy adds vectors fast, rows slowly
-    return places, out
+    edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return where[edge], np.add.reduceat(what.take(packed & 0xFFFFFFFF, axis=0), edge, axis=0)
 
 
 def _runs(sorted_values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -180,6 +176,10 @@ def _runs(sorted_values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             yield i, min(i + most, last)
 
 
+def _step_size(seen: int) -> int:
+    return min(LAST_STEP, FIRST_STEP + seen // STEP_GROWTH)
+
+
 class LogBilinear:
     """s(x | a, b) = (R[a] A + R[b] B, 1) . Q[x], with a Q for the top, one for the classes and one for the leaves; its last column is a bias."""
 
@@ -207,8 +207,8 @@ class LogBilinear:
         """What each context multiplies the rows of Q with; the last column is 1."""
         r, a, b = self.parts[:3]
         out = np.ones((len(one), LENGTH + 1), np.float32)
-        out[:, :LENGTH] = r[one] @ a
-        out[:, :LENGTH] += r[two] @ b
+        out[:, :LENGTH] = r.take(one, axis=0) @ a  # take gathers rows several times faster than r[one]
+        out[:, :LENGTH] += r.take(two, axis=0) @ b
         return out
 
     def log10_normalised(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -233,14 +233,14 @@ class LogBilinear:
         sums = np.concatenate([self._log_sum(hidden[i : i + SCORED] @ across) for i in range(0, len(hidden), SCORED)] or [np.zeros(0, np.float32)])
         for i in range(0, len(units), 16 * BLOCK):
             j = at[i : i + 16 * BLOCK]
-            out[i : i + 16 * BLOCK] = np.einsum("ij,ij->i", hidden[j], q[top[i : i + 16 * BLOCK]]) - sums[j]
+            out[i : i + 16 * BLOCK] = np.einsum("ij,ij->i", hidden.take(j, axis=0), q.take(top[i : i + 16 * BLOCK], axis=0)) - sums[j]
         low = np.flatnonzero(units >= UNITS)
         low = low[np.argsort(units[low])]
         leaf, at, below = units[low] - UNITS, at[low], np.zeros(len(low), np.float32)
         for child, q in ((leaf // self.size, self.parts[4]), (leaf, self.parts[5])):
             for i, j in _runs(child // self.size, 2 * BLOCK):
                 begin = int(child[i]) // self.size * self.size
-                z = hidden[at[i:j]] @ q[begin : begin + self.size].T
+                z = hidden.take(at[i:j], axis=0) @ q[begin : begin + self.size].T
                 below[i:j] += z[np.arange(j - i), child[i:j] - begin]
                 below[i:j] -= self._log_sum(z)
         out[low] += below
@@ -253,43 +253,46 @@ class LogBilinear:
         q, share, own = self.parts[k][at], self.within[level][at], child - begin
         noise = np.minimum(np.searchsorted(np.cumsum(share), random.random(CLASS_NOISE, np.float32)), len(share) - 1)
         less = np.log(share * np.float32(CLASS_NOISE))
-        z = less[noise] - h @ q[noise].T
+        z = less[noise] - h @ q.take(noise, axis=0).T
         np.exp(z, out=z)
         z += 1
         moves = np.reciprocal(z, out=z) @ (-np.eye(len(share), dtype=np.float32)[noise])
-        moves[np.arange(len(own)), own] += 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q[own]) - less[own]))
+        moves[np.arange(len(own)), own] += 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q.take(own, axis=0)) - less[own]))
         back, g = moves @ q, moves.T @ h
         moved = state[k][at]
         moved += g * g
-        q += np.float32(ROW_RATE) * g / (np.sqrt(moved) + np.float32(1e-12))
+        q += np.float32(ROW_RATE * state["rate"]) * g / (np.sqrt(moved) + np.float32(1e-12))
         return back
 
     def _train_context(self, x: np.ndarray, y: np.ndarray, back: np.ndarray, state: dict) -> None:
         """A step of the rows of the context's units, shorter the more a row has moved."""
         a, b = self.parts[1:3]
         where, g = _summed(np.concatenate([x, y]), np.concatenate([back @ a.T, back @ b.T]))
-        state[0][where] += np.einsum("ij,ij->i", g, g) / np.float32(LENGTH)
-        self.parts[0][where] += g * (np.float32(ROW_RATE) / (np.sqrt(state[0][where]) + np.float32(1e-12)))[:, None]
+        moved = state[0][where] + np.einsum("ij,ij->i", g, g) / np.float32(LENGTH)
+        state[0][where] = moved
+        self.parts[0][where] = self.parts[0].take(where, axis=0) + g * (np.float32(ROW_RATE * state["rate"]) / (np.sqrt(moved) + np.float32(1e-12)))[:, None]
 
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, random: np.random.Generator) -> None:
         """Noise-contrastive estimation over all given tokens, each once at every level that it has: first the top in random order, then family by family and class by class.
 
-        The tokens of a step share their noise.
+        The tokens of a step share their noise.  ``state`` keeps what the steps
+        remember, and their rate as a part of the full one.
         """
-        if not state:
+        if "step" not in state:
             state |= {0: np.zeros(len(self.parts[0]), np.float32), 4: np.zeros_like(self.parts[4]), 5: np.zeros_like(self.parts[5]), "seen": 0, "step": 0}
             state |= {k: (np.zeros_like(self.parts[k]), np.zeros_like(self.parts[k])) for k in (1, 2, 3)}
         self._train_top(units, one, two, state, random)
         low = random.permutation(np.flatnonzero(units >= UNITS))
         low = low[np.argsort((units[low] - UNITS) // self.size, kind="stable")]
         leaf, one, two = units[low] - UNITS, one[low], two[low]
-        for i, j in _runs(leaf // (self.size * self.size), 64 * CLASS_STEP):
+        step = _step_size(state["seen"]) // CLASS_PART
+        for i, j in _runs(leaf // (self.size * self.size), 32 * step):
             h = self.hidden(one[i:j], two[i:j])
             back, mixed = np.empty_like(h), random.permutation(j - i)
-            for a in range(0, j - i, 8 * CLASS_STEP):
-                own = mixed[a : a + 8 * CLASS_STEP]
-                back[own] = self._train_below(0, leaf[i:j][own] // self.size, h[own], state, random)
-            for a, b in _runs(leaf[i:j] // self.size, CLASS_STEP):
+            for a in range(0, j - i, 4 * step):
+                own = mixed[a : a + 4 * step]
+                back[own] = self._train_below(0, leaf[i:j][own] // self.size, h.take(own, axis=0), state, random)
+            for a, b in _runs(leaf[i:j] // self.size, step):
                 back[a:b] += self._train_below(1, leaf[i + a : i + b], h[a:b], state, random)
             self._train_context(one[i:j], two[i:j], np.ascontiguousarray(back[:, :LENGTH]), state)
 
@@ -298,13 +301,13 @@ class LogBilinear:
         tops, top, columns = len(self.noise), self.top(units), np.arange(LENGTH + 1)
         order, i = random.permutation(len(units)), 0
         while i < len(order):
-            pick = order[i : i + min(LAST_STEP, FIRST_STEP + state["seen"] // STEP_GROWTH)]
+            pick = order[i : i + _step_size(state["seen"])]
             i += len(pick)
             state["seen"] += len(pick)
             state["step"] = t = state["step"] + 1
             q, x, y, u = self.parts[3], one[pick], two[pick], top[pick]
             noise = random.choice(tops, NOISE, p=self.noise)
-            h, of_u = self.hidden(x, y), q[u]
+            h, of_u = self.hidden(x, y), q.take(u, axis=0)
             data = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, of_u) - log_noise[u]))
             false = log_noise[noise] - h @ q[noise].T
             np.exp(false, out=false)
@@ -315,14 +318,14 @@ class LogBilinear:
             gq = np.zeros_like(q)
             np.add.at(gq.reshape(-1), ((u * (LENGTH + 1))[:, None] + columns).ravel(), (data[:, None] * h).ravel())
             np.subtract.at(gq, noise, false.T @ h)
-            g_a, g_b = self.parts[0][x].T @ back, self.parts[0][y].T @ back
+            g_a, g_b = (self.parts[0].take(w, axis=0).T @ back for w in (x, y))
             self._train_context(x, y, back, state)
             for k, g in ((1, g_a), (2, g_b), (3, gq)):
                 m, v = state[k]
                 g = g / np.float32(len(pick))
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                self.parts[k] = (self.parts[k] + RATE / (1 + t / 400) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
+                self.parts[k] = (self.parts[k] + state["rate"] * RATE / (1 + t / 400) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
 
     def copied(self) -> LogBilinear:
         """A model to train without a change of this one."""
@@ -356,12 +359,12 @@ class LogBilinear:
 
 
 def _averaged(t: pa.Table) -> pa.Table:
-    """The weighted mean of a block's rows from all tasks."""
+    """The weighted mean of what all tasks moved a block's rows by."""
     total, weights = 0.0, 0.0
-    for w, m in zip(t.column("weights"), t.column("rows"), strict=True):
+    for w, m in zip(t.column("weights"), t.column("moves"), strict=True):
         w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)[:, None] + 1e-9
-        total, weights = total + w * np.frombuffer(m.as_py(), np.float32).reshape(len(w), -1), weights + w
-    return pa.table({"block": t.column("block").slice(0, 1), "rows": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
+        total, weights = total + w * np.frombuffer(m.as_py(), np.float16).reshape(len(w), -1), weights + w
+    return pa.table({"block": t.column("block").slice(0, 1), "moves": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
@@ -374,17 +377,19 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
     total = unit_count.sum() + counts.leaf_count.sum()
     model = LogBilinear(unit_count / total, counts.leaf_count / total)
     share = np.concatenate([unit_count, counts.leaf_count]) / total
+    passes = max(1, -(-LEAST_TOKENS // max(1, counts.n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, info, turn = shared.value
-        own, state = start.copied(), {}
+        own, state = start.copied(), {"rate": 1 / (1 + turn)}
         random = np.random.default_rng(11)
         met, held, total = np.zeros(UNITS + own.leaves), [], 0
 
         def step() -> None:
             units, one, two = map(np.concatenate, zip(*held, strict=True))
             np.add.at(met, units, 1)
-            own.train(units, one, two, state, random)
+            for _ in range(passes):
+                own.train(units, one, two, state, random)
 
         first = turn
         for batch in batches:
@@ -394,7 +399,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
                 word, part, row = _words(data, offsets)
                 held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
                 total += len(held[-1][0])
-                if total >= BATCH_TOKENS // 2:
+                if total >= BATCH_TOKENS:
                     step()
                     held, total = [], 0
         if total:
@@ -402,15 +407,17 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
         if met.any():
             state.clear()
             # a unit that a task hardly met was noise there: that counts for a quarter of its share
-            for block, weights, rows in own.blocks(met + 0.25 * met.sum() * share):
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["block", "weights", "rows"])
+            weighted = met + 0.25 * met.sum() * share
+            for (block, weights, rows), (_, _, before) in zip(own.blocks(weighted), start.blocks(weighted), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([(rows - before).astype(np.float16).tobytes()], pa.binary())], names=["block", "weights", "moves"])
 
-    slots = texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
+    slots = texts.coalesce(max(1, min(texts.sparkSession.sparkContext.defaultParallelism, -(-counts.n // TASK_TOKENS))))
     for turn in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((model, counts, turn))
-        got = slots.mapInArrow(run, "block long, weights binary, rows binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, rows binary").toArrow()
-        for block, rows in zip(got.column("block").to_pylist(), got.column("rows"), strict=True):
-            model.put(block, np.frombuffer(rows.as_py(), np.float32))
+        got = slots.mapInArrow(run, "block long, weights binary, moves binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, moves binary").toArrow()
+        before = {block: rows for block, _, rows in model.blocks(share)}
+        for block, moves in zip(got.column("block").to_pylist(), got.column("moves"), strict=True):
+            model.put(block, before[block].ravel() + np.frombuffer(moves.as_py(), np.float32))
     return model
 
 
