@@ -61,8 +61,7 @@ class Forest:
             t, b = table[level], below[level]
             for y in (0, 1):
                 up[level, y] = _log_add(t[:, y, 0] + b[:, 0], t[:, y, 1] + b[:, 1])
-            for y in (0, 1):
-                below[:, y] += np.bincount(self.parent[level], up[level, y], n)
+            np.add.at(below, self.parent[level], up[level])
         joint = np.zeros((n, 2, 2))
         for level in self.levels[1:]:
             p, t = self.parent[level], table[level]
@@ -88,7 +87,8 @@ class Model:
         content, _ = forest.marginals(self.weights, self.pair)
         out = []
         for t, start in zip(trees, forest.first, strict=False):
-            out.append("\n\n".join(x for i, x in enumerate(t.text) if x is not None and content[start + i] > 0.5))
+            plain = sum(x is None for x in t.text) == 1  # the root alone: nothing but text
+            out.append("\n\n".join(x for i, x in enumerate(t.text) if x is not None and (plain or content[start + i] > 0.5)))
         return out
 
 
@@ -190,7 +190,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
 def main_text(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the blocks of the main text, joined by blank lines.
 
-    A null or empty page has the empty text.  Each row is read by itself and to
+    A null or empty page has the empty text, one without any element is its own
+    main text.  Each row is read by itself and to
     its end: repeated rows repeat, nulls in id or url stay, an empty table
     gives no rows, other columns play no part.  A node whose marginal is
     exactly one half is no content.

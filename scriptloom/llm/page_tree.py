@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Element names by how they are parsed.
@@ -25,7 +26,10 @@ ENDS = {
     "tbody": ("thead", "tr", "td", "th"),
     "option": ("option",),
 }
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 FENCES = frozenset("ul ol dl table html body".split())
+#: What nests deeper hangs from the element at this depth, as browsers do it; so the levels of a tree are few.
+MOST_DEPTH = 512
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)|=)*)>?|<[!?][^>]*>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -71,22 +75,37 @@ def _leaf_features(text: str, linked: int, tag: str) -> list[str]:
     ]
 
 
+@dataclass
+class _Open:
+    """An open block element: its node, its name, the open inline elements right inside, and whether these names are open since the last fence."""
+
+    node: int
+    tag: str
+    inline: Counter[str]
+    scope: Counter[str]
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page.  Unclosed, crossing and cut-off markup is read as browsers do, roughly: nothing fails."""
+    """The tree of a page.  Unclosed, crossing and cut-off markup is read as browsers do, roughly: nothing fails.
+
+    The time is linear in the page's length: an end tag without a start and a
+    start that ends nothing are told by counts, without a walk up the tree.
+    """
     tree = Tree()
-    stack: list[tuple[int, str, bool]] = []  # node or -1, tag, inline
+    stack: list[_Open] = []
+    is_open: Counter[str] = Counter()
     pieces: list[str] = []
-    linked = 0
+    linked = n_links = 0
 
     def add(tag: str, attributes: str) -> int:
         hints, label = set(), None
         for m in ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "data-y":
-                label = int(value)
+                label = int(value) if value.isdigit() else None
             else:
                 hints.update(HINT_OF[p] for p in NAME_PART.findall(value) if p in HINT_OF)
-        parent = next((node for node, _, inline in reversed(stack) if not inline), -1)
+        parent = stack[min(len(stack), MOST_DEPTH) - 1].node if stack else -1
         tree.parent.append(parent)
         tree.features.append([f"tag:{TAG_OF.get(tag, 'other')}", *(f"name:{h}" for h in sorted(hints))])
         tree.text.append(None)
@@ -98,20 +117,36 @@ def parse(page: str) -> Tree:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                node, tag = next((n, t) for n, t, inline in reversed(stack) if not inline)
-                tree.parent.append(node)
-                tree.features.append(_leaf_features(text, min(linked, len(text)), tag))
+                tree.parent.append(stack[-1].node)
+                tree.features.append(_leaf_features(text, min(linked, len(text)), stack[-1].tag))
                 tree.text.append(text)
-                tree.label.append(tree.label[node])
+                tree.label.append(tree.label[stack[-1].node])
             pieces.clear()
         linked = 0
 
-    def close(depth: int) -> None:
+    def start(tag: str, attributes: str) -> None:
         flush()
-        del stack[depth:]
+        scope = Counter() if tag in FENCES or not stack else stack[-1].scope
+        stack.append(_Open(add(tag, attributes), tag, Counter(), scope))
+        is_open[tag] += 1
+        if tag not in FENCES:
+            scope[tag] += 1
+
+    def close(names: tuple[str, ...]) -> None:
+        """End the innermost open element of these names, and all inside it."""
+        nonlocal n_links
+        flush()
+        while len(stack) > 1:
+            ended = stack.pop()
+            is_open[ended.tag] -= 1
+            if ended.tag not in FENCES:
+                ended.scope[ended.tag] -= 1
+            n_links -= ended.inline["a"]
+            if ended.tag in names:
+                break
 
-    stack.append((add("html", ""), "html", False))
-    at, end, n_links = 0, len(page), 0
+    start("html", "")
+    at, end = 0, len(page)
     while at < end:
         m = MARKUP.search(page, at)
         stop = m.start() if m else end
@@ -133,47 +168,28 @@ def parse(page: str) -> Tree:
             if not closing and not m[3].rstrip().endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = over.end() if over else end
-            continue
-        if not closing and (tag in MATH or tag in SVG) and m[3].rstrip().endswith("/"):
+        elif not closing and (tag in MATH or tag in SVG) and m[3].rstrip().endswith("/"):
             pieces.append(" ")
-            continue
-        if tag == "br" or (tag in VOID and not inline):
+        elif tag == "br" or (tag in VOID and not inline):
             pieces.append(" ")
             if not inline:
                 flush()
-            continue
-        if tag in VOID:
-            continue
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                node, name, is_inline = stack[depth]
-                if name == tag:
-                    if inline:
-                        n_links -= tag == "a"
-                        del stack[depth]
-                    else:
-                        n_links -= sum(name == "a" for _, name, _ in stack[depth:])
-                        close(depth)
-                    break
-                if inline and not is_inline:
-                    break
-            continue
-        if inline:
-            stack.append((-1, tag, True))
-            n_links += tag == "a"
-            continue
-        if tag in ("html", "body") and any(name == tag for _, name, _ in stack):
-            continue
-        ended = ENDS.get(tag, ("p", *(("h1", "h2", "h3", "h4", "h5", "h6") if tag[0] == "h" and tag[1:].isdigit() else ())))
-        for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth][1]
-            if name in ended or (name == "p" and not stack[depth][2]):
-                n_links -= sum(x == "a" for _, x, _ in stack[depth:])
-                close(depth)
-                break
-            if name in FENCES or (not stack[depth][2] and tag not in ENDS):
-                break
-        flush()
-        stack.append((add(tag, m[3]), tag, False))
+        elif tag in VOID:
+            pass
+        elif inline:
+            own = stack[-1].inline
+            if not closing or own[tag]:
+                own[tag] += -1 if closing else 1
+                n_links += (-1 if closing else 1) * (tag == "a")
+        elif closing:
+            if is_open[tag] and not (len(stack) == 1 or (tag == "html" and is_open[tag] == 1)):
+                close((tag,))
+        elif tag not in ("html", "body") or not is_open[tag]:
+            ended = ENDS.get(tag, ())
+            if any(stack[-1].scope[x] for x in ended):
+                close(ended)
+            elif stack[-1].tag == "p" or (stack[-1].tag in HEADINGS and tag in HEADINGS):
+                close((stack[-1].tag,))
+            start(tag, m[3])
     flush()
     return tree
