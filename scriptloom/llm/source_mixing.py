@@ -23,8 +23,8 @@ from .scratch import bounded, table
 #: Sources up to which the bisection runs over a local copy of their token counts (two numbers each); beyond, each step is a Spark job.
 LOCAL_SOURCES = 1_000_000
 BISECTIONS = 50
-#: Blocks of a source at most: those of larger sources grow, so that ordering a pass stays small.
-MOST_BLOCKS = 100_000
+#: Blocks that a task puts in order at a time: a pass over more blocks is ordered in ranges, with the same result.
+BLOCKS_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,24 @@ def exponent(measures: Callable[[float], tuple[float, float, float]], n: int, ta
     return max(flat_enough, least_true(lambda a: measures(a)[2] <= target.repeats))
 
 
+def _placed(blocks: DataFrame, seed: int) -> DataFrame:
+    """``blocks`` (of, epoch, block, blocks, size) with start: the sizes of those before it in its pass, whose order is that of a hash.
+
+    The order is cut into ranges of about BLOCKS_AT_ONCE blocks, so no task
+    sees all blocks of a large source.
+    """
+    place = F.xxhash64(F.lit(seed), "epoch", "of", "block")
+    ranges = F.ceil(F.col("blocks") / F.lit(BLOCKS_AT_ONCE))
+    part = F.floor((F.shiftright(place, 40) + F.lit(1 << 23)) * ranges / F.lit(1 << 24))
+    blocks = table(blocks.withColumns({"place": place, "range": part}), "passes")
+    ahead = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = blocks.groupBy("of", "epoch", "range").agg(F.sum("size").alias("size"))
+    sums = sums.select(F.col("of").alias("s"), F.col("epoch").alias("e"), F.col("range").alias("r"), ahead(Window.partitionBy("of", "epoch").orderBy("range")).alias("before"))
+    inside = blocks.withColumn("within", ahead(Window.partitionBy("of", "epoch", "range").orderBy("place", "block")))
+    both = inside.join(sums, F.col("of").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("range") == F.col("r")))
+    return both.withColumn("start", F.col("before") + F.col("within")).drop("s", "e", "r", "before", "within", "place", "range")
+
+
 def mixed(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, n_tokens, weight, epoch, block, at): a row for each time a document is taken.
 
@@ -109,14 +127,13 @@ def mixed(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", so
     else:
         share = F.lit(0.0)
     quotas = sources.select(
-        F.col("source").alias("of"), "tokens", share.alias("weight"), F.floor(share * F.lit(budget)).cast("long").alias("quota"), F.least(F.ceil(F.col("tokens") / F.lit(target.block_tokens)), F.lit(MOST_BLOCKS)).cast("long").alias("blocks")
+        F.col("source").alias("of"), "tokens", share.alias("weight"), F.floor(share * F.lit(budget)).cast("long").alias("quota"), F.ceil(F.col("tokens") / F.lit(target.block_tokens)).cast("long").alias("blocks")
     ).withColumn("passes", F.floor(F.col("quota") / F.col("tokens")).cast("int"))
     quotas = table(quotas, "quotas")
     dealt = rows.join(bounded(quotas, n), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.col("salt"), F.col("blocks")))
-    blocks = dealt.groupBy("of", "tokens", "quota", "passes", "block").agg(F.sum("n_tokens").alias("size"))
-    blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    before = Window.partitionBy("of", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "of", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("epoch") * F.col("tokens")).where("start < quota")
+    blocks = dealt.groupBy("of", "tokens", "quota", "passes", "blocks", "block").agg(F.sum("n_tokens").alias("size"))
+    blocks = _placed(blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes")))), seed)
+    blocks = blocks.withColumn("start", F.col("start") + F.col("epoch") * F.col("tokens")).where("start < quota")
     blocks = blocks.withColumn("whole", F.col("start") + F.col("size") <= F.col("quota"))
     blocks = table(blocks.select(F.col("of").alias("s"), F.col("block").alias("b"), "epoch", "start", "whole", "quota"), "blocks")
     taken = dealt.drop("quota").join(bounded(blocks, blocks.count()), F.col("of").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
