@@ -6,8 +6,9 @@ n-gram meet in one fragment, which counts there in how many different sets it
 occurs.  N-grams of one set alone can't add to an overlap and are left behind,
 so what goes on is small.  A set whose rarest n-grams, as many as two linked
 sets may differ in, are all its own has no partner; the others meet by those
-rare n-grams.  Where documents are compared, the overlaps are counted fragment
-by fragment and summed for each pair.
+rare n-grams.  Where documents are compared, their sets are again cut into
+fragments of the order: tasks count the partial overlaps of each fragment by
+themselves, and these are summed for each pair.
 
 A first round over a part of the order already shows most sets to have too many
 n-grams of their own; only the rest is cut over the whole order.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import U64, as_long, hashes, mix, shingles, text_slices, words
@@ -35,14 +36,12 @@ BATCH_TOKENS = 1_000_000
 #: An n-gram in so many sets of one batch is known to be frequent; its entries are spread instead of meeting in one fragment.
 HOT_IN_BATCH = 64
 HOT_DF = np.uint32(2**31)
-#: Members of one block of a group, and columns of one fragment when overlaps are counted.
+#: N-grams of a fragment: more of them make more fragments.
+FRAGMENT_GRAMS = 4_000_000
+#: Members of one block of a group, and columns of one product when overlaps are counted.
 BLOCK, COLUMNS = 256, 4096
-LOW48 = U64((1 << 48) - 1)
-
-
-def _named(part: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """One 64-bit name for an n-gram of its fragment and its low 48 bits, for any number of fragments."""
-    return mix(part.astype(U64) + U64(1)) ^ key
+#: Members whose blocks one task compares, and n-grams of theirs that it has at a time.
+TASK_MEMBERS, TASK_GRAMS = 1024, 250_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,7 +84,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: float = 1.0) -> DataFrame:
-    """Rows (part, low, high, node, n, count): a batch's segments in one fragment, as packed arrays.
+    """Rows (part, key, node, n, count): a batch's segments in one fragment, as packed arrays.
 
     The fragments cover the first ``share`` of the order of n-grams.
 
@@ -95,11 +94,9 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: flo
 
     def pack(part: int, tok: np.ndarray, doc: np.ndarray, node: np.ndarray, n: np.ndarray) -> dict:
         new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        key = tok & LOW48
         return {
             "part": part,
-            "low": key.astype("<u4").tobytes(),
-            "high": (key >> U64(32)).astype("<u2").tobytes(),
+            "key": tok.tobytes(),
             "node": as_long(node[doc[new]]).tobytes(),
             "n": n[doc[new]].astype("<u4").tobytes(),
             "count": np.diff(np.append(new, len(doc))).astype("<u4").tobytes(),
@@ -130,14 +127,14 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: flo
             order = np.argsort(spread, kind="stable")
             hot_tok, hot_doc, spread = tok[is_hot][order], doc[is_hot][order], spread[order]
             for a, b in _runs(spread) if share == 1 else ():  # a first round counts only n-grams of one set
-                yield pack(int(spread[a]), hot_tok[a:b], hot_doc[a:b], node, sizes) | {"parts": part[is_hot][order][a:b].astype("<u4").tobytes()}
+                yield pack(int(spread[a]), hot_tok[a:b], hot_doc[a:b], node, sizes)
             node, sizes = np.append(node, U64(0)), np.append(sizes, 0)
             tok, doc = np.concatenate([tok[~is_hot], hot]), np.concatenate([doc[~is_hot], np.full(len(hot), len(sizes) - 1)])
             part = fragment(tok)
         order = np.argsort(part.astype(np.uint16) if fragments <= 65535 else part, kind="stable")
         tok, doc, part = tok[order], doc[order], part[order]
         for a, b in _runs(part):
-            yield pack(int(part[a]), tok[a:b], doc[a:b], node, sizes) | {"parts": b""}
+            yield pack(int(part[a]), tok[a:b], doc[a:b], node, sizes)
 
     def run(batches):
         held, total = [], 0
@@ -154,8 +151,8 @@ def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: flo
     def _record(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("low", "high", "node", "n", "count", "parts"))])
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part long, low binary, high binary, node binary, n binary, count binary, parts binary")
+    arrow = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("key", "node", "n", "count"))])
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part long, key binary, node binary, n binary, count binary")
 
 
 def _packs(rows: Iterator[dict], size: int = 64) -> Iterator[list[dict]]:
@@ -182,9 +179,8 @@ def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
 
 def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram, node and set size of each entry of a fragment's segments."""
-    key = _joined(t, "low", "<u4").astype(U64) | (_joined(t, "high", "<u2").astype(U64) << U64(32))
     count = _joined(t, "count", "<u4")
-    return key, np.repeat(_joined(t, "node", "<i8"), count), np.repeat(_joined(t, "n", "<u4"), count)
+    return _joined(t, "key", "<u8"), np.repeat(_joined(t, "node", "<i8"), count), np.repeat(_joined(t, "n", "<u4"), count)
 
 
 def _dealt(node: np.ndarray, groups: int, columns: dict[str, np.ndarray]) -> pa.Table:
@@ -228,8 +224,7 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
         part = t.column("part")[0].as_py()
         key, node, n = _entries(t)
         if part >= fragments:
-            gram = _named(_joined(t, "parts", "<u4"), key)
-            df = np.full(len(gram), HOT_DF, np.uint32)
+            df = np.full(len(key), HOT_DF, np.uint32)
         else:
             order = np.argsort(key, kind="stable")
             key, node, n = key[order], node[order], n[order]
@@ -249,8 +244,8 @@ def _shared(segments: DataFrame, fragments: int) -> DataFrame:
             if len(marked):
                 df[np.isin(key, marked)] = HOT_DF
             keep = (df > 1) & (node != 0)
-            gram, node, n, df = _named(np.full(int(keep.sum()), part), key[keep]), node[keep], n[keep], df[keep]
-        return _dealt(node, fragments, {"node": node, "n": n.astype("<u4"), "gram": gram, "df": df})
+            key, node, n, df = key[keep], node[keep], n[keep], df[keep]
+        return _dealt(node, fragments, {"node": node, "n": n.astype("<u4"), "gram": key, "df": df})
 
     return segments.groupBy("part").applyInArrow(run, "group long, node binary, n binary, gram binary, df binary")
 
@@ -283,7 +278,7 @@ def _meeting(shared: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share: counted in fragments of the elements' order and summed."""
+    """How many elements each two sets share."""
     total = np.zeros((len(sets), len(sets)), np.float64)
     which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     value = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -298,44 +293,99 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1 if len(column) else column
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
-        segment = np.zeros((len(sets), COLUMNS), np.float32)
+        segment = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - start)), np.float32)
         segment[which[a:b], column[a:b] - start] = 1
         total += segment @ segment.T
     return total
 
 
-def _compare(members: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within each group of ``members`` (node, n, grams, label; pairs of one label are connected already)."""
+def _partial(members: DataFrame, cuts: int) -> DataFrame:
+    """(task, block, counts): for each fragment of the order and each block, how many of the fragment's n-grams each two members share.
 
-    def run(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
-        _, first = np.unique(node, return_index=True)
-        node, n, label = node[first], t.column("n").to_numpy()[first], t.column("label").to_numpy()[first]
-        grams = t.column("grams").take(pa.array(first))
-        shared = overlaps([np.asarray(x.values) for x in grams]).astype(np.int64)
-        linked = den * shared >= num * (n[:, None] + n[None, :] - shared)
-        linked |= label[:, None] == label[None, :]
-        root, out = np.full(len(node), -1), []
-        for i in range(len(node)):
-            if root[i] < 0:
-                root[i], ahead = i, [i]
-                while ahead:
-                    new = np.flatnonzero(linked[ahead.pop()] & (root < 0))
-                    root[new] = i
-                    ahead += new.tolist()
-                    out += new.tolist()
-        return pa.table({"a": pa.array(node[out], pa.int64()), "b": pa.array(node[root[out]], pa.int64())})
-
-    return members.groupBy(*keys).applyInArrow(run, "a long, b long")
+    ``members`` are (task, block, node, n, label, grams) with ``grams`` in
+    order; counts are those of pairs of different nodes in order, packed.
+    """
+    bounds = np.linspace(-(2.0**63), 2.0**63, cuts + 1)[1:-1]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("grams")
+            values, offsets = grams.values.to_numpy(), grams.offsets.to_numpy()
+            at = np.stack([np.concatenate(([a], a + np.searchsorted(values[a:b], bounds), [b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            whole = pa.array(np.repeat(np.arange(len(batch)), cuts))
+            segments = pa.LargeListArray.from_arrays(pa.array(np.append(at[:, :-1].ravel(), at[-1, -1]) if len(batch) else np.zeros(1, np.int64)), grams.values)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(whole) for c in ("task", "block", "node")] + [pa.array(np.tile(np.arange(cuts, dtype=np.int32), len(batch))), segments.cast(pa.list_(pa.int64()))], names=["task", "block", "node", "fragment", "segment"])
+
+    def count(t: pa.Table) -> pa.Table:
+        block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+        order = np.lexsort((node, block))
+        segments, out = t.column("segment").combine_chunks().take(pa.array(order)), []
+        block, node = block[order], node[order]
+        values, offsets = segments.values.to_numpy(), segments.offsets.to_numpy()
+        for a, b in _runs(block):
+            own = a + np.flatnonzero(np.diff(node[a:b], prepend=~node[a]))
+            shared = overlaps([values[offsets[i] : offsets[i + 1]] for i in own])
+            out.append((int(block[a]), shared[np.triu_indices(len(own), 1)].astype("<u4").tobytes()))
+        return pa.table({"task": t.column("task").slice(0, 1).take(pa.array(np.zeros(len(out), np.int64))), "block": pa.array([x[0] for x in out], pa.int64()), "counts": pa.array([x[1] for x in out], pa.binary())})
+
+    segments = members.select("task", "block", "node", "grams").mapInArrow(cut, "task long, block long, node long, fragment int, segment array<long>")
+    return segments.groupBy("task", "fragment").applyInArrow(count, "task long, block long, counts binary")
+
+
+def _compare(members: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each block of ``members`` (keys, node, n, grams, label; pairs of one label are connected already)."""
+    members = table(members.select(F.xxhash64(*keys).alias("block"), "node", "n", "label", "grams"), "compared")
+    rows, grams = members.agg(F.count("*"), F.sum(F.size("grams"))).first()
+    tasks = -(-rows // TASK_MEMBERS)
+    members = members.withColumn("task", F.pmod("block", F.lit(max(1, tasks))))
+
+    def run(partial: pa.Table, t: pa.Table) -> pa.Table:
+        sums: dict[int, np.ndarray] = {}
+        for block, counts in zip(partial.column("block").to_pylist(), partial.column("counts"), strict=True):
+            own = np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
+            sums[block] = sums[block] + own if block in sums else own
+        block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+        order = np.lexsort((node, block))
+        block, node, n, label = block[order], node[order], t.column("n").to_numpy()[order], t.column("label").to_numpy()[order]
+        out = [np.zeros((2, 0), np.int64)]
+        for a, b in _runs(block):
+            own = a + np.flatnonzero(np.diff(node[a:b], prepend=~node[a]))
+            out.append(node[own][_forest(sums[int(block[a])], n[own], label[own], num, den)])
+        both = np.concatenate(out, 1)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    parts = _partial(members, max(2, -(-(grams or 0) // max(1, tasks) // TASK_GRAMS)))
+    return parts.groupBy("task").cogroup(members.select("task", "block", "node", "n", "label").groupBy("task")).applyInArrow(run, "a long, b long")
+
+
+def _forest(shared: np.ndarray, n: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Two rows of places: links that connect what is linked, by the overlaps of all pairs in order."""
+    one, two = np.triu_indices(len(n), 1)
+    near = (den * shared >= num * (n[one] + n[two] - shared)) | (label[one] == label[two])
+    linked = np.zeros((len(n), len(n)), bool)
+    linked[one[near], two[near]] = linked[two[near], one[near]] = True
+    root, out = np.full(len(n), -1), []
+    for i in range(len(n)):
+        if root[i] < 0:
+            root[i], ahead = i, [i]
+            while ahead:
+                new = np.flatnonzero(linked[ahead.pop()] & (root < 0))
+                root[new] = i
+                ahead += new.tolist()
+                out += new.tolist()
+    return np.stack([np.array(out, np.int64), root[out].astype(np.int64)])
 
 
 def _blocks(count, size: int):
     return F.ceil(count / F.lit(size)).cast("int")
 
 
-def _remaining(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+def _fragments(spark: SparkSession, grams: int) -> int:
+    return max(shuffle_partitions(spark), -(-grams // FRAGMENT_GRAMS))
+
+
+def _remaining(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, fragments: int) -> DataFrame:
     """The rows of ``docs``, one at least for each node, that a first round over a part of the n-grams doesn't rule out."""
-    fragments = shuffle_partitions(docs.sparkSession)
     out = table(_ruled_out(_segments(docs, text_col, k, fragments, min(1.0, 2.5 * (den - num) / den)), fragments, num, den), "ruled-out")
     ids = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(out, "node", "left_anti").select("least").distinct()
     ids = table(ids, "remaining")
@@ -343,14 +393,13 @@ def _remaining(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k:
     return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["least"]), "left_semi")
 
 
-def node_components(docs: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def node_components(docs: DataFrame, text_col: str, k: int, num: int, den: int, fragments: int) -> DataFrame:
     """(node, label) of the nodes with a link to another node: label names their component.
 
     Two nodes (different n-gram sets) link when their Jaccard similarity is
     num / den or more.  Every link counts: pairs are left uncompared only where
     their set sizes and rare n-grams rule a link out or they are connected.
     """
-    fragments = shuffle_partitions(docs.sparkSession)
     meeting = table(_meeting(_shared(_segments(docs, text_col, k, fragments), fragments), num, den), "meeting")
     at = meeting.select("node", F.explode("prefix").alias("gram"))
     least = at.groupBy("gram").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
@@ -393,7 +442,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are confused is about m * m / 2 ** 65.
     """
     sets = table(set_table(docs, id_col, text_col, k), "sets")
-    label = table(node_components(_remaining(docs, sets, id_col, text_col, k, num, den), text_col, k, num, den), "labels")
+    fragments = _fragments(docs.sparkSession, sets.agg(F.sum("n")).first()[0] or 0)
+    label = table(node_components(_remaining(docs, sets, id_col, text_col, k, num, den, fragments), text_col, k, num, den, fragments), "labels")
     nodes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = table(nodes, "nodes")
     component = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
