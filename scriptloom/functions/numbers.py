@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 HAN_DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0, "两": 2, "兩": 2, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
 HAN_UNITS = {"十": 10, "百": 100, "千": 1000, "拾": 10, "佰": 100, "仟": 1000}
 HAN_POWERS = {"万": 10**4, "萬": 10**4, "亿": 10**8, "億": 10**8, "兆": 10**12}
+#: Roman numerals.
 ROMAN = {"M": 1000, "D": 500, "C": 100, "L": 50, "X": 10, "V": 5, "I": 1}
 #: First code points of the decimal digits 0 to 9 of other scripts.
 DIGIT_ZEROS = (
@@ -26,26 +30,110 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, "".join(chr(z + d) for z in DIGIT_ZEROS for d in range(10)), "0123456789" * len(DIGIT_ZEROS))
 
 
-def han_number(text: Column) -> Column:
-    """Value of a Han numeral such as 三万一千 (31000); plain digit strings such as 二〇〇六 read as digits; null if it is none."""
-    chars = F.split(text, "")
-    zero = F.lit(0).cast("long")
-    digits_only = text.rlike("^[" + "".join(HAN_DIGITS) + "]+$")
-    plain = F.aggregate(chars, zero, lambda a, c: a * 10 + _value_of(c, HAN_DIGITS))
+#: A composed number: places in the run, its text, and its value where it has one.
+NUMBER = "struct<start:int,end:int,txt:string,value:decimal(38,5)>"
+_STATE = f"struct<at:int,start:int,middle:int,total:decimal(38,5),total_base:decimal(38,5),block:decimal(38,5),block_base:decimal(38,5),low:decimal(38,5),low_txt:string,tag:boolean,parts:int,found:array<{NUMBER}>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain_text(value: Column) -> Column:
+    """A decimal without zeros after its last digit."""
+    return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def composed(run: Column, props: Column) -> Column:
+    """The numbers of a run of numerals: array of NUMBER.
+
+    ``run`` has decimal digits of all scripts as 0-9, at most with a point
+    inside; ``props`` tells for each of its characters (value, base, fraction):
+    base 1 for what counts ones, 10, 100 and so on for units and for what counts
+    them, from 10000 on for large powers.  Digits stand together, a unit takes
+    the ones before it, smaller units add to larger ones in a block, a large
+    power takes its block, and smaller powers add to larger ones.  What doesn't
+    fit begins a new number.  A single Han digit after a large power counts its
+    tenth.  A number that is too large for a decimal is left out.
+    """
+    none, no_text = F.lit(None).cast("decimal(38,5)"), F.lit(None).cast("string")
+    items = F.regexp_extract_all(run, F.lit(r"((?s)[0-9]+(?:\.[0-9]+)?|.)"), F.lit(1))
+
+    def times(x: Column, y: Column) -> Column:
+        return F.try_multiply(x, y).cast("decimal(38,5)")
+
+    def add(x: Column, y: Column) -> Column:
+        return F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.try_add(x, y).cast("decimal(38,5)"))
+
+    def number(start: Column, end: Column, txt: Column, value: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), end.alias("end"), txt.alias("txt"), value.alias("value")).cast(NUMBER))
+
+    def flushed(a: Column) -> Column:
+        """The numbers found, with the one that the state holds."""
+        tagged = F.coalesce(a.tag & a.block.isNull() & a.low.between(1, 9) & (a.total_base >= 1000), F.lit(False))
+
+        def of_rest(rest: Column) -> Column:
+            apart = a.total.isNotNull() & rest.isNotNull() & ((a.total_base <= rest) | F.coalesce(a.total_base <= a.block_base, F.lit(False)))
+            one = F.when((a.parts == 1) & a.low_txt.isNotNull(), number(a.start, a.at, a.low_txt, a.low)).otherwise(_let(add(a.total, rest), lambda w: number(a.start, a.at, plain_text(w), w)))
+            return F.when(apart, F.concat(number(a.start, a.middle, plain_text(a.total), a.total), number(a.middle, a.at, plain_text(rest), rest))).otherwise(one)
+
+        return F.when(a.parts == 0, a.found).otherwise(F.concat(a.found, _let(add(a.block, F.when(tagged, times(a.low, a.total_base / 10)).otherwise(a.low)), of_rest)))
+
+    def state(a: Column, **new: Column) -> Column:
+        names = ("at", "start", "middle", "total", "total_base", "block", "block_base", "low", "low_txt", "tag", "parts", "found")
+        return F.struct(*[new.get(n, a[n]).alias(n) for n in names]).cast(_STATE)
+
+    def emptied(a: Column) -> Column:
+        return state(a, start=a.at, middle=a.at, total=none, total_base=none, block=none, block_base=none, low=none, low_txt=no_text, tag=F.lit(False), parts=F.lit(0), found=flushed(a))
 
-    def step(a: Column, c: Column) -> Column:
-        digit, unit, power = _value_of(c, HAN_DIGITS), _value_of(c, HAN_UNITS), _value_of(c, HAN_POWERS)
-        open_digit = F.when((a.digit == 0) & (a.section == 0) & (unit == 10), F.lit(1)).otherwise(F.greatest(a.digit, F.lit(1)))
-        block = a.section + a.digit
-        return (
-            F.when(digit.isNotNull(), F.struct(a.total.alias("total"), a.section.alias("section"), digit.alias("digit")))
-            .when(unit.isNotNull(), F.struct(a.total.alias("total"), (a.section + open_digit * unit).alias("section"), zero.alias("digit")))
-            .otherwise(F.struct((a.total + F.when(block == 0, F.lit(1)).otherwise(block) * power).alias("total"), zero.alias("section"), zero.alias("digit")))
-        )
+    def step(a: Column, item: Column) -> Column:
+        p = F.get(props, a.at)
+        is_digits = item.rlike("^[0-9]")
+        value = F.when(is_digits, item.try_cast("decimal(38,5)")).otherwise(p.value.cast("decimal(38,5)"))
+        return _let(F.struct(a.alias("a"), value.alias("value"), F.when(is_digits, F.lit(1)).otherwise(p.base).cast("decimal(38,5)").alias("base"), is_digits.alias("digits"), F.when(~is_digits, p.fraction).alias("fraction"), item.alias("item")), with_item)
 
-    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("digit"))
-    composed = F.aggregate(chars, start, step, lambda a: a.total + a.section + a.digit)
-    return F.when(digits_only, plain).when(text.rlike("^[" + "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]) + "]+$"), composed)
+    def with_item(x: Column) -> Column:
+        a, below_base = x.a, F.coalesce(x.a.block_base, x.a.total_base)
+        fits_ones = (a.low.isNull() & (below_base > F.greatest(x.value, F.lit(1)))) | ((a.low == 0) & ~x.digits & (F.coalesce(below_base, F.lit(1000000)) > x.value))
+        own = F.when(a.low >= 1, times(a.low, x.value)).otherwise(x.value)
+        fits_unit = (a.low.isNull() | (a.low >= 1)) & (a.block.isNull() | ((a.block_base > own) & (a.block_base > x.base)))
+        fits_power = (add(a.block, a.low) > 0) & (a.total.isNull() | (a.total_base > x.base))
+        fits = F.when(x.value.isNull() | x.fraction.isNotNull(), F.lit(False)).when(a.parts == 0, F.lit(True)).when(x.base < 10, fits_ones).when(x.base < 10000, fits_unit).otherwise(fits_power)
+        return _let(F.when(F.coalesce(fits, F.lit(False)), a).otherwise(emptied(a)), lambda s: taken(s, x))
+
+    def taken(s: Column, x: Column) -> Column:
+        end, more = s.at + F.length(x.item), s.parts + 1
+        first = s.block.isNull() & s.low.isNull()
+        before = F.get(props, s.at - 1).value
+        ones = state(s, at=end, low=x.value, low_txt=F.when(x.digits, x.item), middle=F.when(first, s.at).otherwise(s.middle), tag=F.coalesce(~x.digits & s.total.isNotNull() & (x.value > 0) & (before > 0), F.lit(False)), parts=more)
+        unit = state(s, at=end, block=add(s.block, F.when(s.low >= 1, times(s.low, x.value)).otherwise(x.value)), block_base=x.base, low=none, low_txt=no_text, middle=F.when(first, s.at).otherwise(s.middle), parts=more)
+        below = add(s.block, s.low)
+        power = state(s, at=end, total=add(s.total, F.when(below.isNull(), x.value).otherwise(times(below, x.value))), total_base=x.base, block=none, block_base=none, low=none, low_txt=no_text, middle=end, parts=more)
+        fraction = state(s, at=end, start=end, middle=end, found=F.concat(s.found, number(s.at, end, x.fraction, none)))
+        other = state(s, at=end, start=end, middle=end)
+        return F.when(x.fraction.isNotNull(), fraction).when(x.value.isNull(), other).when(x.base < 10, ones).when(x.base < 10000, unit).otherwise(power)
+
+    start = F.struct(F.lit(0), F.lit(0), F.lit(0), none, none, none, none, none, no_text, F.lit(False), F.lit(0), F.array().cast(f"array<{NUMBER}>")).cast(_STATE)
+    return F.filter(F.aggregate(items, start, step, flushed), lambda x: x.txt.isNotNull())
+
+
+def han_properties(text: Column) -> Column:
+    """Number properties of the characters of ``text``, from the Han numerals alone: array of (value, base, fraction)."""
+    values, bases = {**HAN_DIGITS, **HAN_UNITS, **HAN_POWERS}, dict.fromkeys(HAN_DIGITS, 1) | HAN_UNITS | HAN_POWERS
+    return F.transform(F.split(text, ""), lambda c: F.struct(_value_of(c, values).alias("value"), _value_of(c, bases).alias("base"), F.lit(None).cast("string").alias("fraction")))
+
+
+def han_number(text: Column) -> Column:
+    """Value of a Han numeral such as 三万一千 (31000); strings of digits such as 二〇〇六 read as digits.
+
+    Null if it is none, as powers that rise or repeat aren't, or if it is too large for a long.
+    """
+    digits_only = text.rlike("^[" + "".join(HAN_DIGITS) + "]+$")
+    plain = F.array_join(F.transform(F.split(text, ""), lambda c: _value_of(c, HAN_DIGITS).cast("string")), "").try_cast("long")
+    found = composed(text, han_properties(text))
+    whole = (F.size(found) == 1) & (F.get(found, F.lit(0)).start == 0) & (F.get(found, F.lit(0)).end == F.length(text))
+    return F.when(digits_only, plain).when(text.rlike("^[" + "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]) + "]+$") & whole, F.get(found, F.lit(0)).txt.try_cast("long"))
 
 
 def roman_value(text: Column) -> Column:
@@ -58,29 +146,54 @@ def roman_value(text: Column) -> Column:
 
 
 def rounded(value: Column, places: int) -> Column:
-    """Half away from zero, as decimal with ``places`` digits."""
-    return F.round(value.cast("decimal(38,10)"), places).cast(f"decimal(38,{places})")
+    """Half away from zero, as decimal with ``places`` digits; null where that is no decimal of 38 digits."""
+    return F.round(value.try_cast("decimal(38,10)"), places).try_cast(f"decimal(38,{places})")
 
 
 def with_commas(value: Column) -> Column:
     """An integer with thousands separators."""
-    return F.regexp_replace(value.cast("long").cast("string"), r"(?<=\d)(?=(?:\d{3})+$)", ",")
+    return F.regexp_replace(value.try_cast("decimal(38,0)").cast("string"), r"(?<=\d)(?=(?:\d{3})+$)", ",")
 
 
 def percent(part: Column, whole: Column, places: int = 1) -> Column:
     return F.when(whole == 0, F.lit("n/a")).otherwise(F.concat(rounded(part * 100 / whole, places).cast("string"), F.lit("%")))
 
 
+def parsed(text: Column) -> Column:
+    """The number that ``text`` writes out in digits, as decimal; null if it is none."""
+    return F.when(text.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\s*$"), F.trim(text).try_cast("decimal(38,10)"))
+
+
 def plain_number(text: Column) -> Column:
-    """Scientific notation written out."""
-    return F.regexp_replace(F.regexp_replace(text.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Scientific notation written out digit by digit; anything else as it is."""
+    pattern = r"^([+-]?)([0-9]+)(?:\.([0-9]*))?[eE]([+-]?[0-9]{1,4})$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    shift, digits, ahead = part(4).try_cast("int"), F.concat(part(2), part(3)), F.length(part(2))
+    point = ahead + shift
+    left = F.when(point <= 0, F.lit("0")).when(point >= F.length(digits), F.rpad(digits, point, "0")).otherwise(F.substring(digits, F.lit(1), point))
+    right = F.when(point <= 0, F.lpad(digits, F.length(digits) - point, "0")).when(point >= F.length(digits), F.lit("")).otherwise(F.substring(digits, point + 1, F.length(digits)))
+    left, right = F.regexp_replace(left, "^0+(?=[0-9])", ""), F.regexp_replace(right, "0+$", "")
+    sign = F.when(part(1) == "-", F.lit("-")).otherwise(F.lit(""))
+    return F.when(text.rlike(pattern), F.concat(sign, left, F.when(right == "", F.lit("")).otherwise(F.concat(F.lit("."), right)))).otherwise(text)
+
+
+#: Denominators of fractions that have characters.
+DENOMINATORS = (2, 3, 4, 5, 6, 8, 12, 16, 20, 32, 40, 64, 80, 160, 320)
 
 
 def common_fraction(value: Column) -> Column:
-    """n/d for values within 1e-6 of a fraction with a usual denominator, else null."""
-    denominators = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 20, 32, 64, 100)
-    out = F.lit(None).cast("string")
-    for d in reversed(denominators):
-        n = F.round(value * d)
-        out = F.when((F.abs(value * d - n) < 1e-6 * d) & n.between(1, 11), F.concat(n.cast("int").cast("string"), F.lit(f"/{d}"))).otherwise(out)
-    return out
+    """n/d for values within 1e-6 of one with a numerator from 1 to 11 and a denominator of DENOMINATORS, the least numerator first; else null."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n in range(1, 12) for d in DENOMINATORS])
+    first = F.get(F.filter(pairs, lambda x: F.abs(x.n / x.d - value) < 1e-6), F.lit(0))
+    return F.when(first.isNotNull(), F.concat(first.n.cast("string"), F.lit("/"), first.d.cast("string")))
+
+
+def fraction_parts(char: Column) -> Column:
+    """n/d of a character such as ¾; null for others."""
+    table = {chr(cp): unicodedata.normalize("NFKC", chr(cp)).replace("\u2044", "/") for cp in range(0xA0, 0x3000) if unicodedata.decomposition(chr(cp)).startswith("<fraction>")}
+    return _value_of(char, {c: t for c, t in table.items() if t[-1] != "/"})
+
+
+def shown_number(value: Column, fraction: Column) -> Column:
+    """Text of a number with a whole part and a fraction, either of which may be null: 3 1/2, 3, 1/2."""
+    return F.concat_ws(" ", plain_text(value.cast("decimal(38,5)")), fraction)
