@@ -151,10 +151,10 @@ def sequence(unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
     """Units with an end after each row, the two units before each, and the rows."""
     size = np.bincount(row, minlength=rows)
     stop = np.cumsum(size + 1) - 1
-    units = np.zeros(len(unit) + rows, np.int64)
+    units = np.zeros(len(unit) + rows, np.int32)
     units[np.arange(len(unit)) + row] = unit
     units[stop] = END
-    one, two = np.full(len(units), END), np.full(len(units), END)
+    one, two = np.full(len(units), END, np.int32), np.full(len(units), END, np.int32)
     one[1:], two[2:] = units[:-1], units[:-2]
     two[stop - size] = END
     return units, one, two, np.repeat(np.arange(rows), size + 1)
@@ -162,7 +162,7 @@ def sequence(unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 def _summed(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different places, and the sum of the rows at each."""
-    packed = np.sort((where << 32) | np.arange(len(where)))
+    packed = np.sort((where.astype(np.int64) << 32) | np.arange(len(where)))
     where = packed >> 32
     edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
     return where[edge], np.add.reduceat(what.take(packed & 0xFFFFFFFF, axis=0), edge, axis=0)
@@ -228,7 +228,7 @@ class LogBilinear:
         """log10 P(unit | context) of each token."""
         q = self.parts[3]
         across, top, out = np.ascontiguousarray(q.T), self.top(units), np.empty(len(units), np.float32)
-        context, at = np.unique(one * np.int64(UNITS + self.leaves) + two, return_inverse=True)
+        context, at = np.unique(one.astype(np.int64) * (UNITS + self.leaves) + two, return_inverse=True)
         hidden = self.hidden(context // (UNITS + self.leaves), context % (UNITS + self.leaves))
         sums = np.concatenate([self._log_sum(hidden[i : i + SCORED] @ across) for i in range(0, len(hidden), SCORED)] or [np.zeros(0, np.float32)])
         for i in range(0, len(units), 16 * BLOCK):
@@ -387,6 +387,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
 
         def step() -> None:
             units, one, two = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
             np.add.at(met, units, 1)
             for _ in range(passes):
                 own.train(units, one, two, state, random)
@@ -399,7 +400,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
                 word, part, row = _words(data, offsets)
                 held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
                 total += len(held[-1][0])
-                if total >= BATCH_TOKENS:
+                if total >= BATCH_TOKENS // 2:
                     step()
                     held, total = [], 0
         if total:
