@@ -60,6 +60,11 @@ def deaccent_lower(text: Column) -> Column:
     return F.lower(deaccent(text))
 
 
+def folded_by(text: Column, table: dict[str, str], lower: bool = False) -> Column:
+    """``text`` with the characters of a caller's own table replaced, and before that in lower case if wanted."""
+    return replaced(F.lower(text) if lower else text, table)
+
+
 def romanize_latin(text: Column, lcode: Column | None = None) -> Column:
     """Latin text in base letters, by the habits of the language where it has its own."""
     out = deaccent(text)

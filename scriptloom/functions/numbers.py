@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 HAN_DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0, "两": 2, "兩": 2, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
 HAN_UNITS = {"十": 10, "百": 100, "千": 1000, "拾": 10, "佰": 100, "仟": 1000}
 HAN_POWERS = {"万": 10**4, "萬": 10**4, "亿": 10**8, "億": 10**8, "兆": 10**12}
+#: Numerals that by themselves are words.
+NOT_ALONE = "兩參参伍陆陸什"
 #: Roman numerals.
 ROMAN = {"M": 1000, "D": 500, "C": 100, "L": 50, "X": 10, "V": 5, "I": 1}
 #: First code points of the decimal digits 0 to 9 of other scripts.

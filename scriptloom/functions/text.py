@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html.entities
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities that pages use, and their characters.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Named entities and their characters.
+ENTITIES = {f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";") and len(v) == 1}
 INVISIBLE = r"[\u0000-\u0008\u000B-\u000C\u000E-\u001F\u007F-\u009F\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFE00-\uFE0F\uFEFF\u0640]"
 
 
@@ -42,16 +46,57 @@ def lcode_directive(line: Column) -> tuple[Column, Column, Column]:
 # ------------------------------------------------------------------ repair and clean-up
 
 
+#: One valid UTF-8 sequence, or a byte that belongs to none, in bytes read as Latin-1.
+_SEQUENCE = (
+    r"([\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}|[\x80-\xFF])"
+)
+_ALONE = "^[\u0080-\u00ff]$"
+#: Characters of Windows-1252 that Latin-1 has at other places.
+_WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
 def valid_utf8(raw: Column) -> Column:
-    """Bytes as text, with U+FFFD for what is no UTF-8."""
+    """Bytes as text, with one U+FFFD for each longest part of a cut-off sequence."""
     return F.make_valid_utf8(raw)
 
 
+def _sequences(raw: Column) -> Column:
+    return F.regexp_extract_all(F.decode(raw.cast("binary"), "ISO-8859-1"), F.lit(_SEQUENCE), F.lit(1))
+
+
+def _decoded(raw: Column, bad: Callable[[Column], Column]) -> Column:
+    good = lambda x: F.when(x.rlike(_ALONE), bad(x)).otherwise(F.decode(F.encode(x, "ISO-8859-1"), "UTF-8"))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.array_join(F.transform(_sequences(raw), good), ""))
+
+
+def repaired_utf8(raw: Column) -> Column:
+    """Bytes as text, with U+FFFD for each byte that belongs to no valid sequence."""
+    return _decoded(raw, lambda x: F.lit("\ufffd"))
+
+
+def bad_bytes(raw: Column) -> Column:
+    """How many bytes belong to no valid UTF-8 sequence."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), F.lit(0)).otherwise(F.size(F.filter(_sequences(raw), lambda x: x.rlike(_ALONE))))
+
+
+def enforced_utf8(raw: Column) -> Column:
+    """Bytes as text; those that belong to no valid sequence are read as Windows-1252, so its quotes and dashes stay."""
+    return _decoded(raw, lambda x: F.decode(F.encode(x, "ISO-8859-1"), "windows-1252"))
+
+
 def visible(text: Column) -> Column:
     """Without control, zero-width, direction and variation characters, byte-order marks and tatweel."""
     return F.regexp_replace(text, INVISIBLE, "")
 
 
+def windows_decoded_twice(text: Column) -> Column:
+    """UTF-8 that was read as Windows-1252 and written again, put right; anything else as it is."""
+    single_bytes = text.rlike(rf"^[\u0000-\u007F\u00A0-\u00FF{_WINDOWS}]*$") & text.rlike(r"[\u00C2-\u00F4]")
+    raw = F.encode(F.when(single_bytes, text), "windows-1252")
+    return F.when(F.coalesce(single_bytes & F.is_valid_utf8(raw.cast("string")), F.lit(False)), F.make_valid_utf8(raw.cast("string"))).otherwise(text)
+
+
 def decoded_twice(text: Column) -> Column:
     """UTF-8 that was read as Latin-1 and written again, put right; anything else as it is."""
     single_bytes = text.rlike(r"^[\u0000-\u00FF]*$") & text.rlike(r"[\u00C2-\u00F4][\u0080-\u00BF]")
@@ -75,11 +120,20 @@ def plain_punctuation(text: Column) -> Column:
 # ------------------------------------------------------------------ markup
 
 
+@cache
+def _entity_names() -> str:
+    return ",".join(k[1:-1] for k in ENTITIES)
+
+
 def entities_decoded(text: Column) -> Column:
-    """Named entities of ENTITIES as characters, &amp; last."""
-    for k, v in ENTITIES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
+    """Named entities as characters, each once: &amp;lt; becomes &lt;."""
+    pattern = "&([A-Za-z][A-Za-z0-9]{1,31});"
+    around, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    place = lambda name: F.find_in_set(name, F.lit(_entity_names()))
+    values = F.array(*[F.lit(v) for v in ENTITIES.values()])
+    decoded = lambda name: F.coalesce(F.try_element_at(values, F.nullif(place(name), F.lit(0))), F.concat(F.lit("&"), name, F.lit(";")))
+    joined = F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def numeric_entities_decoded(text: Column) -> Column:
@@ -113,6 +167,83 @@ def is_filename(token: Column) -> Column:
     return token.rlike(r"^[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.(?:txt|html?|pdf|docx?|csv|json|xml|png|jpe?g|gif|zip|gz)$")
 
 
+#: Generic top-level domains that links in text commonly have.
+TOP_DOMAINS = "com org net edu gov mil int info biz io co app dev".split()
+
+
+def is_handle(token: Column) -> Column:
+    """Whether the token is a user name such as @name or a tag such as #name."""
+    return token.rlike(r"^[@#][\p{L}_][\p{L}\p{N}_]*$")
+
+
+def is_entity(token: Column) -> Column:
+    """Whether the token is one character reference."""
+    return token.rlike(r"^&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});$")
+
+
+def has_top_domain(token: Column) -> Column:
+    """Whether the token reads like a host name of a common or two-letter top-level domain."""
+    return token.rlike(rf"^(?i)(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{'|'.join(TOP_DOMAINS)}|[a-z]{{2}})(?:/.*)?$")
+
+
+def is_punctuation(text: Column) -> Column:
+    return text.rlike(r"^[\p{P}\p{S}]+$")
+
+
+def is_rare_punctuation(text: Column) -> Column:
+    """Whether the text is punctuation, none of it of ASCII or of the usual quotes, dashes and dots."""
+    return is_punctuation(text) & ~text.rlike(r"[\x21-\x7E‘’“”«»–—…·•]")
+
+
+def is_latin_plus(text: Column) -> Column:
+    """Whether all letters are Latin and there is one."""
+    return text.rlike(r"\p{IsLatin}") & ~text.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+
+
+def is_balanced(text: Column) -> Column:
+    """Whether parentheses, brackets and braces close in the order in which they open."""
+    start = F.struct(F.lit("").alias("open"), F.lit(True).alias("ok"))
+    pairs = F.create_map(*[F.lit(x) for x in (")", "(", "]", "[", "}", "{")])
+    signs = F.regexp_extract_all(text, F.lit(r"([()\[\]{}])"), F.lit(1))
+    last = lambda a: F.substring(a.open, F.length(a.open), F.lit(1))
+    opened = lambda a, c: F.struct(F.concat(a.open, c).alias("open"), a.ok.alias("ok"))
+    closed = lambda a, c: F.struct(F.substring(a.open, F.lit(1), F.length(a.open) - 1).alias("open"), (a.ok & (last(a) == F.try_element_at(pairs, c))).alias("ok"))
+    return F.aggregate(signs, start, lambda a, c: F.when(c.isin("(", "[", "{"), opened(a, c)).otherwise(closed(a, c)), lambda a: a.ok & (a.open == ""))
+
+
+def is_guarded_html(text: Column) -> Column:
+    """Whether no bare <, > or & is left."""
+    return ~text.rlike(r"[<>]|&(?!(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)")
+
+
+def contains_script(text: Column, script: str) -> Column:
+    """Whether a character of the script (its Unicode name, such as "Thai") occurs."""
+    return text.rlike(rf"\p{{Is{script}}}")
+
+
+def contains_han(text: Column) -> Column:
+    return contains_script(text, "Han")
+
+
+def is_braille(text: Column) -> Column:
+    """Whether all characters are braille cells, and there is one."""
+    return text.rlike("^[\u2800-\u28FF]+$")
+
+
+def has_pointed_hebrew(text: Column) -> Column:
+    """Whether a Hebrew letter with a vowel point occurs."""
+    return text.rlike("[\u05D0-\u05EA][\u05C1\u05C2\u05BC]*[\u05B0-\u05BB]")
+
+
+def guarded_regex(text: Column) -> Column:
+    """``text`` as a regular expression that matches it alone."""
+    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}])", r"\\\\$1")
+
+
+def unguarded_html(text: Column) -> Column:
+    return entities_decoded(text)
+
+
 def guarded_html(text: Column) -> Column:
     for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(k), F.lit(v))
@@ -151,10 +282,66 @@ def escapes_decoded(text: Column) -> Column:
     return F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
 
 
-def shown_as_code_points(text: Column) -> Column:
-    """Non-ASCII characters as <U+XXXX>."""
-    one = lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.concat(F.lit("<U+"), F.lpad(F.hex(F.ascii(c).cast("long")), 4, "0"), F.lit(">")))
-    return F.array_join(F.transform(characters(text), one), "")
+#: How characters beyond ASCII can be shown: before, digits of the code point at least, after.
+STYLES = {"<U+>": ("<U+", 4, ">"), "\\u": ("\\u", 4, ""), "<U>": ("<U", 4, ">")}
+
+
+def shown_as_code_points(text: Column, style: str = "<U+>") -> Column:
+    """Characters beyond ASCII by their code points, or with style "<HEX>" by their UTF-8 bytes: <HEX-C3A9>."""
+
+    def one(c: Column) -> Column:
+        if style == "<HEX>":
+            return F.concat(F.lit("<HEX-"), F.hex(F.encode(c, "UTF-8")), F.lit(">"))
+        before, digits, after = STYLES[style]
+        code = F.hex(F.ascii(c).cast("long"))
+        return F.concat(F.lit(before), F.lpad(code, F.greatest(F.length(code), F.lit(digits)), F.lit("0")), F.lit(after))
+
+    return F.array_join(F.transform(characters(text), lambda c: F.when(F.ascii(c) < 128, c).otherwise(one(c))), "")
+
+
+def grouped(text: Column, *kinds: str) -> Column:
+    """Array of the characters of ``text``, runs of the named kinds together: "numbers", "spaces", "punctuation", "words", "tags"."""
+    patterns = {"tags": r"<[^<>]*>|&#?[A-Za-z0-9]+;", "numbers": r"\p{Nd}+(?:[.,]\p{Nd}+)*", "words": r"[\p{L}\p{M}]+", "spaces": r"\s+", "punctuation": r"[\p{P}\p{S}]+"}
+    chosen = [p for k, p in patterns.items() if k in kinds]
+    return F.regexp_extract_all(text, F.lit("((?s)" + "|".join([*chosen, "."]) + ")"), F.lit(1))
+
+
+def listed(text: Column) -> Column:
+    r"""Array of the parts of a comma-separated list; \, and \\ stand for themselves, spaces around a part are dropped."""
+    parts = F.regexp_extract_all(F.concat(text, F.lit(",")), F.lit(r"((?s)(?:\\.|[^,\\])*),"), F.lit(1))
+    return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), r"(?s)\\(.)", "$1"))
+
+
+#: Words that names keep in lower case.
+SMALL_WORDS = "of the and in on at for to de la van von der du y e".split()
+
+
+def recapitalized(name: Column) -> Column:
+    """A name in lower or upper case with capitals: small words inside it stay small, mixed case stays as it is."""
+    words = F.split(F.lower(name), " ")
+    fixed = F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.initcap(w))), " ")
+    return F.when((name == F.lower(name)) | (name == F.upper(name)), fixed).otherwise(name)
+
+
+def tonal_pinyin(text: Column) -> Column:
+    """Syllables with a tone number, such as zhong1 and lu:3 or lv3, with tone marks; a 5 or 0 is dropped.
+
+    The mark goes on a or e, else on the o of ou, else on the last vowel.
+    """
+    marks = dict(zip("aeiouü", ("āáǎà", "ēéěè", "īíǐì", "ōóǒò", "ūúǔù", "ǖǘǚǜ"), strict=True))
+    table = F.create_map(*[F.lit(x) for v, m in marks.items() for t, c in enumerate(m, 1) for x in (f"{v}{t}", c)])
+    parts = F.regexp_extract_all(F.replace(F.replace(text, F.lit("u:"), F.lit("ü")), F.lit("v"), F.lit("ü")), F.lit("([a-zü]+[0-5]|(?s).)"), F.lit(1))
+
+    def one(p: Column) -> Column:
+        bare, tone = F.regexp_replace(p, "[0-5]$", ""), F.regexp_extract(p, "([0-5])$", 1)
+        vowel = F.when(bare.contains("a"), "a").when(bare.contains("e"), "e").when(bare.contains("ou"), "o").otherwise(F.regexp_extract(bare, "([iouü])[^aeiouü]*$", 1))
+        last = F.length(bare) - F.position(vowel, F.reverse(bare)) + 1
+        at = F.when(vowel.isin("a", "e"), F.position(vowel, bare)).when(bare.contains("ou"), F.position(F.lit("ou"), bare)).otherwise(last)
+        marked = F.try_element_at(table, F.concat(vowel, tone))
+        with_mark = F.concat(F.substring(bare, F.lit(1), at - 1), marked, F.substring(bare, at + 1, F.length(bare)))
+        return F.when(p.rlike("^[a-zü]+[0-5]$"), F.when(marked.isNull() | (vowel == ""), bare).otherwise(with_mark)).otherwise(p)
+
+    return F.array_join(F.transform(parts, one), "")
 
 
 def character_type(c: Column) -> Column:
@@ -180,15 +367,40 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.when(first_off > 0, first_off - 1).otherwise(F.least(F.length(a), F.length(b))).cast("int")
 
 
-def common_substring(a: Column, b: Column) -> Column:
-    """Length of the longest common substring: the longest window of ``a`` that ``b`` contains."""
+def _longest_common(a: Column, b: Column) -> Column:
+    """(n, at): length and place in ``a`` of the first longest window of ``a`` that ``b`` contains.
+
+    Windows only grow, so there are at most twice as many tests as characters:
+    fine for names and lines, quadratic in characters for whole texts.
+    """
     n = F.length(a)
-    begins = F.sequence(F.lit(1), n)
-    grown = F.aggregate(begins, F.lit(0), lambda best, i: F.aggregate(F.sequence(i, n), best, lambda w, j: F.when(b.contains(F.substring(a, i, w + 1)) & (i + w <= n), w + 1).otherwise(w)))
-    return F.when(n == 0, F.lit(0)).otherwise(grown)
+    start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("at"))
+
+    def from_place(best: Column, i: Column) -> Column:
+        longer = lambda w: F.when(b.contains(F.substring(a, i, w.n + 1)) & (i + w.n <= n), F.struct((w.n + 1).alias("n"), i.cast("int").alias("at"))).otherwise(w)
+        return F.when(b.contains(F.substring(a, i, best.n + 1)) & (i + best.n <= n), F.aggregate(F.sequence(i, n), best, lambda w, _: longer(w))).otherwise(best)
+
+    return F.when(n == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, from_place))
+
+
+def common_substring(a: Column, b: Column) -> Column:
+    """Length of the longest common substring."""
+    return F.coalesce(_longest_common(a, b).n, F.lit(0))
+
+
+def common_substring_ratios(a: Column, b: Column) -> Column:
+    """(n, ratio_a, ratio_b, substring): the longest common substring, and its length against those of both; 0 for empty texts."""
+    ratio = lambda w, x: F.when(F.length(x) == 0, F.lit(0.0)).otherwise(w.n / F.length(x))
+    found = F.transform(F.array(_longest_common(a, b)), lambda w: F.struct(w.n.alias("n"), ratio(w, a).alias("ratio_a"), ratio(w, b).alias("ratio_b"), F.substring(a, w.at, w.n).alias("substring")))
+    return F.get(found, F.lit(0))
 
 
 def sort_key(text: Column) -> Column:
-    """Key by which embedded numbers sort by value: digits padded to twelve places."""
+    """Key by which embedded numbers of any length sort by value: a number's significant digits after their count."""
     parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def number(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), F.lit(":"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), number(p)).otherwise(p)), "")

@@ -1,10 +1,11 @@
 """Romanization as a relational job.
 
-Rows of Latin text are folded by expressions alone.  All other rows are cut
-into tokens; each different token is romanized once: its characters join the
-character table, its spans join the rule table, neighbours come from windows,
-and a fold over the best edge at each place takes the longest edge from the
-left.  The readings are then joined back to the rows.
+Rows of Latin text are folded by expressions alone.  In the others, only the
+words with letters beyond Latin are looked up; each different one is romanized
+once: its characters join the character table, its spans join the rule table,
+neighbours come from windows, and a fold over the best edge at each place takes
+the longest edge from the left.  The readings go back to each different text by
+the places of its words, and the text itself is never carried along.
 """
 
 from __future__ import annotations
@@ -14,21 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.latin import is_ascii, romanize_latin
-from ..functions.numbers import HAN_DIGITS, HAN_POWERS, HAN_UNITS, han_number
+from ..functions.numbers import NOT_ALONE, composed
 from ..functions.text import characters, guarded_html
 from ..plans import char_tables
 from ..plans.rules import LONGEST, rules
 
 #: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation.
-LATIN_ONLY = r"^[\u0000-ɏḀ-ỿ‐-‧‰-›₠-₿]*$"
+_LATIN = r"\u0000-ɏḀ-ỿ‐-‧‰-›₠-₿"
+LATIN_ONLY = rf"^[{_LATIN}]*$"
+#: A word with a letter beyond them.
+_HARD = rf"([^ 。་]*[^{_LATIN} 。་][^ 。་]*)"
 EDGE = "struct<start:int,end:int,txt:string,type:string>"
 FORMATS = ("str", "edges", "lattice")
 
-#: Thai vowels written before their consonant.
+#: Thai vowels written before their consonant, tone marks, and final sounds of consonants.
 THAI_BEFORE = {"เ": "e", "แ": "ae", "โ": "o", "ใ": "ai", "ไ": "ai"}
-_LEADS = "g gg n d dd r m b bb s ss . j jj c k t p h".split()
-_VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu ui i".split()
-_TAILS = ". g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
+THAI_TONES = "\u0e48\u0e49\u0e4a\u0e4b"
+THAI_FINALS = {**dict.fromkeys("กขคฆ", "k"), **dict.fromkeys("จชซฌฎฏฐฑฒดตถทธศษส", "t"), **dict.fromkeys("บปพฟภ", "p"), **dict.fromkeys("ญณนรลฬ", "n")}
+#: Sounds of the parts of Hangul syllables, in the order of Unicode ("-": none).
+HANGUL_LEADS = "g gg n d dd r m b bb s ss - j jj c k t p h".split()
+HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wai oe yo u weo we wi yu eu yi i".split()
+HANGUL_TAILS = "- g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
+#: Between a denominator and its numerator; before a negative and a positive number.
+OVER, MINUS, PLUS = "分之", "负負−－", "＋"
 
 
 def tokens(text: Column) -> Column:
@@ -39,10 +48,8 @@ def tokens(text: Column) -> Column:
 def hangul(char: Column) -> Column:
     """A Hangul syllable by its number: lead, vowel, tail."""
     n = F.ascii(char) - 0xAC00
-    part = lambda names, i: F.element_at(F.array(*[F.lit("" if x == "." else x) for x in names]), (i + 1).cast("int"))
-    leads = [{"c": "ch"}.get(x, x) for x in _LEADS]
-    tails = [{"c": "ch"}.get(x, x) for x in _TAILS]
-    return F.when(n.between(0, 11171), F.concat(part(leads, F.floor(n / 588)), part(_VOWELS, F.floor(n % 588 / 28)), part(tails, n % 28)))
+    part = lambda names, i: F.element_at(F.array(*[F.lit("" if x == "-" else x) for x in names]), (i + 1).cast("int"))
+    return F.when(n.between(0, 11171), F.concat(part(HANGUL_LEADS, F.floor(n / 588)), part(HANGUL_VOWELS, F.floor(n % 588 / 28)), part(HANGUL_TAILS, n % 28)))
 
 
 def _with_neighbours(words: DataFrame) -> DataFrame:
@@ -52,80 +59,154 @@ def _with_neighbours(words: DataFrame) -> DataFrame:
     rows = words.select("token", "lcode", F.posexplode(characters(F.col("token"))).alias("pos", "c")).withColumn("code", F.ascii("c"))
     rows = rows.join(table, F.col("code") == F.col("cp"), "left").drop("cp")
     is_hangul = F.col("code").between(0xAC00, 0xD7A3)
+    ascii_digit = F.col("code").between(48, 57)
     rows = rows.withColumns({
         "category": F.coalesce("category", F.when(F.col("c").rlike(r"\p{L}"), "Lo")),
         "kind": F.coalesce("kind", F.when(F.col("c").rlike(r"\p{L}"), "letter").otherwise("other")),
         "script": F.coalesce("script", F.when(is_hangul, "HANGUL").otherwise("COMMON")),
         "rom": F.when(is_hangul, hangul(F.col("c"))).otherwise(F.coalesce("rom", "c")),
-        "han": F.col("c").isin([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]),
+        "numeral": F.when(ascii_digit, F.col("c")).otherwise(F.coalesce(F.col("digit").cast("string"), "c")),
+        "value": F.when(ascii_digit, F.col("code") - 48).otherwise(F.col("value")),
+        "base": F.when(ascii_digit, F.lit(1)).otherwise(F.col("base")),
     })
     w = Window.partitionBy("token", "lcode").orderBy("pos")
-    around = {f"{side}_{c}": move(c).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "script", "c", "rom")}
+    around = {f"{side}_{c}": move(c).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "script", "c", "rom", "numeral")}
+    around |= {f"{side}2_{c}": move(c, 2).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "c", "rom")}
     token = Window.partitionBy("token", "lcode")
-    tibetan = {
+    here = lambda test: F.max(F.when(test, F.col("pos"))).over(w)  # noqa: E731  # the last place up to this one
+    cell = F.col("c").isin([*char_tables.BRAILLE_DIGITS, "⠼", "⠲", "⠂"])
+    of_token = {
         "has_vowel": F.max(F.col("kind") == "vowel sign").over(token),
         "letters": F.count_if(F.col("kind") == "letter").over(token),
         "letter_no": F.count_if(F.col("kind") == "letter").over(w),
         "last_medial": F.max(F.when(F.col("kind") == "medial", F.col("pos"))).over(token),
         "first_c": F.first("c").over(w),
+        # in braille, two capital signs hold up to a blank, a number sign up to what is no digit
+        "shouted": F.coalesce(here((F.col("c") == "⠠") & (F.lag("c").over(w) == "⠠")), F.lit(-1)) > F.coalesce(here(F.col("c") == "⠀"), F.lit(-1)),
+        "mark": F.when(cell, here(F.col("c") == "⠼")),
+        "unmarked": F.coalesce(here(~cell), F.lit(-1)),
     }
-    return rows.withColumns(around | tibetan | {"next2_kind": F.lead("kind", 2).over(w), "han_run": F.col("pos") - F.row_number().over(Window.partitionBy("token", "lcode", "han").orderBy("pos"))})
+    rows = rows.withColumns(around | of_token)
+    is_digit = lambda c: F.coalesce(F.col(c).rlike("^[0-9]$"), F.lit(False))
+    in_run = F.col("value").isNotNull() | F.col("fraction").isNotNull() | ((F.col("c") == ".") & is_digit("prev_numeral") & is_digit("next_numeral"))
+    rows = rows.withColumns({"in_run": in_run, "mark": F.when(F.col("mark") > F.col("unmarked"), F.col("mark"))})
+    return rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("token", "lcode", "in_run").orderBy("pos")))
 
 
 def _in_word(kind: str) -> Column:
     return F.coalesce(F.col(kind).isin("letter", "vowel sign", "virama", "medial", "tail", "mark"), F.lit(False))
 
 
+def _yes(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
+
+
+def _thai() -> Column:
+    """The sound of a Thai letter by its neighbours: vowels written before come after, final consonants, implied o and ua."""
+    rom, c = F.col("rom"), F.col("c")
+    is_tone = lambda x: _yes(F.col(x).isin(list(THAI_TONES)))
+    after_c = F.when(is_tone("next_c"), F.col("next2_c")).otherwise(F.col("next_c"))
+    after_rom = F.when(is_tone("next_c"), F.col("next2_rom")).otherwise(F.col("next_rom"))
+    before_c = F.when(is_tone("prev_c"), F.col("prev2_c")).otherwise(F.col("prev_c"))
+    consonant = lambda x: _yes(x.rlike("^[\u0e01-\u0e2e]$") & (x != "อ"))
+    leads = lambda x: _yes(x.isin(list(THAI_BEFORE)))
+    before = F.create_map(*[F.lit(x) for kv in THAI_BEFORE.items() for x in kv])
+    finals = F.create_map(*[F.lit(x) for kv in THAI_FINALS.items() for x in kv])
+    left_consonant = consonant(F.col("prev_c")) & ~leads(F.col("prev2_c"))
+    # o ang and wo before a consonant are vowels here, o ang before a vowel isn't
+    vowel_next = F.when(F.col("next_c") == "อ", ~_yes(F.col("next2_rom").rlike("^[aeiou]"))).when(F.col("next_c") == "ว", consonant(F.col("next2_c"))).otherwise(after_c.isin("อ", "ว") | _yes(after_rom.rlike("^[aeiou]")))
+    final = _in_word("prev_kind") & ~leads(F.col("prev_c")) & (leads(after_c) | after_c.isNull() | ~_yes(after_c.rlike(r"^[\p{L}\p{M}]$")) | (~left_consonant & ~vowel_next))
+    sound = F.when(final, F.coalesce(F.try_element_at(finals, c), rom)).otherwise(rom)
+    moved = F.coalesce(F.try_element_at(before, F.col("prev_c")), F.lit(""))
+    between = consonant(before_c) & consonant(after_c) & ~leads(F.col("prev2_c"))
+    vowel = F.when(c == "อ", F.concat(F.when(between, "o").otherwise(""), moved)).when((c == "ว") & between, F.lit("ua"))
+    return F.when(c.isin(list(THAI_BEFORE)), "").when(_yes(c.rlike("^[\u0e01-\u0e2e]$")), F.coalesce(vowel, F.concat(sound, moved))).otherwise(rom)
+
+
 def _single(rows: DataFrame) -> DataFrame:
     """The edge of each character by itself: default vowels of abugidas, doubled and lengthened kana, case."""
     rom = F.col("rom")
-    is_abugida = F.col("script").isin(sorted(char_tables.ABUGIDAS)) & (F.col("kind") == "letter") & rom.rlike("^[bcdfghjklmnpqrstvwxyz]+a$")
-    bare = F.regexp_replace(rom, "a$", "")
-    sign = lambda c: F.coalesce(F.col(c).isin("vowel sign", "virama", "medial"), F.lit(False))
+    khmer = F.col("script") == "KHMER"
+    is_abugida = F.col("script").isin(sorted(char_tables.ABUGIDAS)) & (F.col("kind") == "letter") & (rom.rlike("^[bcdfghjklmnpqrstvwxyz]+a$") | (khmer & rom.rlike("^[bcdfghjklmnpqrstvwxyz]+o$")))
+    bare = F.regexp_replace(rom, "[ao]$", "")
+    sign = lambda c: _yes(F.col(c).isin("vowel sign", "virama", "medial"))
     next_sign = sign("next_kind") | ((F.col("next_kind") == "mark") & sign("next2_kind"))
     at_end = ~_in_word("next_kind")
     drops = at_end & (((F.col("script") == "DEVANAGARI") & ~F.col("lcode").eqNullSafe("san")) | F.col("lcode").isin("asm", "ben", "guj", "kas", "pan"))
     after_virama = F.col("prev_kind") == "virama"
     at_start = ~_in_word("prev_kind")
-    kept = F.when(next_sign, bare).when(F.coalesce(after_virama | at_start, F.lit(False)), rom).when(F.coalesce(drops, F.lit(False)), bare).otherwise(rom)
-    small_tsu, long_mark = F.col("c").isin("っ", "ッ"), F.col("c") == "ー"
+    khmer_yo = khmer & (F.col("next_c") == "យ") & bare.rlike("^(?:[bcdfghklmnpqrstvwz]|ng)$")
+    kept = F.when(_yes(khmer_yo) | next_sign, bare).when(_yes(after_virama | at_start), rom).when(_yes(drops), bare).when(_yes(F.col("vocalic")), bare).otherwise(rom)
+    doubler, long_mark = F.col("c").isin("っ", "ッ", "\u0a71"), F.col("c") == "ー"
     following = F.substring("next_rom", 1, 1)
-    doubled = F.when(F.col("next_rom").startswith("ch"), "t").when(following.rlike("[bcdfghjkmpqrstvwz]"), following).otherwise("")
+    doubled = F.when(F.col("next_rom").startswith("ch"), F.when(F.col("c") == "\u0a71", "c").otherwise("t")).when(following.rlike("[bcdfghjkmlnpqrstvwz]"), following).otherwise("")
     vowel = F.regexp_extract("prev_rom", "([aeiou])$", 1)
-    capital = (F.length(rom) > 1) & rom.rlike("^[A-Z]") & F.coalesce(F.col("next_c").rlike(r"\p{Lu}"), F.lit(False))
+    capital = (F.length(rom) > 1) & rom.rlike("^[A-Z]") & _yes(F.col("next_c").rlike(r"\p{Lu}"))
     # a Tibetan token is a syllable: a vowel sign, or else "a" after what is joined below, or after the root letter
     is_tibetan = (F.col("script") == "TIBETAN") & F.col("kind").isin("letter", "medial")
     root = F.when((F.col("letters") > 2) & F.col("first_c").isin(list("གདབམའ")), 2).otherwise(1)
     carries = ~F.col("has_vowel") & F.when(F.col("last_medial").isNotNull(), F.col("pos") == F.col("last_medial")).otherwise(F.col("letter_no") == root)
     syllable = F.concat(bare, F.when(carries, "a").otherwise(""))
-    # Thai writes some vowels before the consonant that they follow
-    before = F.create_map(*[F.lit(x) for kv in THAI_BEFORE.items() for x in kv])
-    is_thai = F.col("script") == "THAI"
-    thai = F.when(F.col("c").isin(list(THAI_BEFORE)), "").otherwise(F.concat(rom, F.coalesce(F.try_element_at(before, F.col("prev_c")), F.lit(""))))
-    capital_sign = (F.col("prev_c") == "⠠") & rom.rlike("^[a-z]$")
-    txt = F.when(F.coalesce(is_tibetan, F.lit(False)), syllable).when(F.coalesce(is_thai & (F.col("kind") != "digit"), F.lit(False)), thai).when(F.coalesce(capital_sign, F.lit(False)), F.upper(rom)).when(is_abugida, kept).when(small_tsu, doubled).when(long_mark, vowel).when(capital, F.upper(rom)).otherwise(rom)
-    kind = F.when(F.col("kind") == "digit", "num").when(F.col("kind") == "format", "Cf").when((F.col("kind") == "mark") & (txt == ""), "Mn").when(F.col("c") == txt, "orig").when(F.col("kind") == "tail", "rom tail").otherwise("rom")
+    is_thai = (F.col("script") == "THAI") & (F.col("kind") != "digit")
+    braille_capital = ((F.col("prev_c") == "⠠") | F.col("shouted")) & rom.rlike("^[a-z]")
+    braille = F.when(F.col("shouted"), F.upper(rom)).otherwise(F.initcap(rom))
+    # a grave over a Coptic letter puts an e before it; mu before a Latin unit, and not in a Greek word, is the micro sign
+    coptic = (F.col("script") == "COPTIC") & (F.col("next_c") == "\u0300")
+    micro = F.col("c").isin("μ", "µ") & _yes(F.col("next_c").rlike("^[A-Za-z]$")) & ~_yes(F.col("prev_script") == "GREEK")
+    txt = (
+        F.when(_yes(is_tibetan), syllable)
+        .when(_yes(is_thai), _thai())
+        .when(_yes(braille_capital), braille)
+        .when(_yes(micro), "µ")
+        .when(_yes(coptic), F.concat(F.lit("e"), rom))
+        .when(is_abugida, kept)
+        .when(doubler, doubled)
+        .when(long_mark, vowel)
+        .when(capital, F.upper(rom))
+        .otherwise(rom)
+    )
+    kind = F.when(F.col("kind") == "digit", "num").when(F.col("category") == "Co", "Co").when(F.col("kind") == "format", "Cf").when((F.col("kind") == "mark") & (txt == ""), "Mn").when(F.col("c") == txt, "orig").when(F.col("kind") == "tail", "rom tail").when(F.col("decomposed"), "rom decomp").otherwise("rom")
     return rows.select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), txt.alias("txt"), kind.alias("type"), F.lit(0).alias("rank"))
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
-    """Edges of Han numerals: runs of their characters as numbers; a unit or power alone is a word."""
-    runs = rows.where("han").groupBy("token", "lcode", "han_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x.c), "").alias("s"))
-    usable = (F.length("s") > 1) | F.col("s").isin(list(HAN_DIGITS))
-    return runs.where(usable).select("token", "lcode", "start", "end", han_number(F.col("s")).cast("string").alias("txt"), F.lit("number").alias("type"), F.lit(3).alias("rank")).where("txt is not null")
+    """Edges of numbers: runs of numerals of any script, fractions and percentages of two of them, signs, and braille numbers."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "numeral", F.col("value").cast("long").alias("value"), F.col("base").cast("long").alias("base"), "fraction")))
+    runs = rows.where("in_run").groupBy("token", "lcode", "run").agg(F.min("pos").alias("first"), listed.alias("all"), F.max(F.col("code") > 127).alias("native")).where("native")
+    found = runs.select("token", "lcode", "first", F.explode(composed(F.array_join(F.transform("all", lambda x: x.numeral), ""), F.col("all"))).alias("n"))
+    found = found.select("token", "lcode", (F.col("first") + F.col("n.start")).alias("start"), (F.col("first") + F.col("n.end")).alias("end"), F.col("n.txt").alias("txt"), F.col("n.value").alias("value"))
+    alone = (F.col("end") - F.col("start") == 1) & ((F.col("value") > 1000) | F.substring("token", F.col("start") + 1, F.lit(1)).isin(list(NOT_ALONE)))
+    found = found.where(~_yes(alone))
+    w = Window.partitionBy("token", "lcode").orderBy("start")
+    after = {f"next_{c}": F.lead(c).over(w) for c in ("start", "end", "txt", "value")}
+    both = found.withColumns(after).where((F.col("next_start") == F.col("end") + len(OVER)) & (F.substring("token", F.col("end") + 1, F.lit(len(OVER))) == OVER) & (F.col("value") > 0))
+    over = F.when(F.col("value") == 100, F.concat("next_txt", F.lit("%"))).otherwise(F.concat("next_txt", F.lit("/"), "txt"))
+    over = both.select("token", "lcode", "start", F.col("next_end").alias("end"), over.alias("txt"), F.when(F.col("value") == 100, "percentage").otherwise("fraction").alias("type"))
+    plain = found.select("token", "lcode", "start", "end", "txt", F.when(F.col("txt").contains("/"), "fraction").otherwise("number").alias("type"))
+    every = plain.union(over)
+    before = F.substring("token", F.col("start"), F.lit(1))
+    sign = F.when(before.isin(list(MINUS)), "-").when(before.isin(list(PLUS)), "+")
+    signed = every.where((F.col("start") > 0) & sign.isNotNull()).select("token", "lcode", (F.col("start") - 1).alias("start"), "end", F.concat(sign, "txt").alias("txt"), F.concat("type", F.lit(" "), sign).alias("type"))
+    digit = F.when(F.col("c") == "⠲", ".").when(F.col("c") == "⠂", ",").otherwise(F.translate("c", char_tables.BRAILLE_DIGITS + "⠼", "1234567890"))
+    cells = rows.where("mark is not null").groupBy("token", "lcode", "mark").agg(F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", digit.alias("d")))), lambda x: x.d), "").alias("txt"))
+    braille = cells.where(F.col("txt").rlike("[0-9]")).select("token", "lcode", F.col("mark").alias("start"), (F.col("last") + 1).alias("end"), "txt", F.lit("number").alias("type"))
+    return every.union(signed).union(braille).withColumn("rank", F.lit(10**6))
 
 
 def _by_rule(rows: DataFrame, more: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
     """Edges of spans that a rule covers, where language and place in the word allow it."""
-    spans = rows.select("token", "lcode", "pos", "prev_kind", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(max(LONGEST, *(len(r[0]) for r in more)) if more else LONGEST)), lambda n: F.substring("token", F.col("pos") + 1, n))).alias("n", "s"))
+    longest = max(LONGEST, *(len(r[0]) for r in more)) if more else LONGEST
+    spans = rows.select("token", "lcode", "pos", "prev_kind", "prev_c", "shouted", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring("token", F.col("pos") + 1, n))).alias("n", "s"))
     spans = spans.where(F.length("s") == F.col("n") + 1).withColumn("after", F.substring("token", F.col("pos") + F.col("n") + 2, 1))
     found = spans.join(F.broadcast(rules(rows.sparkSession, more)), "s")
     at_start, at_end = ~_in_word("prev_kind"), ~F.col("after").rlike(rf"[\p{{L}}\p{{M}}[\u2801-\u28FF&&[^{char_tables.BRAILLE_SIGNS}]]]")
     fits = (F.size("lcodes") == 0) | F.array_contains("lcodes", F.coalesce("lcode", F.lit("")))
-    placed = F.when(F.col("place") == "start", at_start).when(F.col("place") == "end", at_end).when(F.col("place") == "whole", at_start & at_end).otherwise(True)
+    placed = F.when(F.col("place") == "start", at_start).when(F.col("place") == "end", at_end).when(F.col("place") == "mid", ~at_start & ~at_end).when(F.col("place") == "whole", at_start & at_end).otherwise(True)
     consonant = F.substring("s", 1, 1).rlike(char_tables.signs("letter")) & F.col("t").rlike("^[bcdfghjklmnpqrstvwxyz]+a$")
     silent = F.col("after").rlike(char_tables.signs("vowel sign", "virama", "medial")) | (at_end & F.col("s").rlike(r"^\p{IsDevanagari}") & ~F.col("lcode").eqNullSafe("san"))
-    txt = F.when(consonant & F.coalesce(silent, F.lit(False)), F.regexp_replace("t", "a$", "")).otherwise(F.col("t"))
+    txt = F.when(consonant & _yes(silent), F.regexp_replace("t", "a$", "")).otherwise(F.col("t"))
+    is_braille = F.col("s").rlike("^[\u2800-\u28ff]")
+    txt = F.when(_yes(is_braille & F.col("shouted")), F.upper(txt)).when(_yes(is_braille & (F.col("prev_c") == "⠠")), F.concat(F.upper(F.substring(txt, 1, 1)), F.substring(txt, F.lit(2), F.length(txt)))).otherwise(txt)
     rank = F.lit(1) + (F.size("lcodes") > 0).cast("int") + (F.col("place") != "").cast("int")
     return found.where(fits & placed).select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + 1).alias("end"), txt.alias("txt"), F.lit("rom").alias("type"), (rank * 1000 + F.col("load_order")).alias("rank"))
 
@@ -137,17 +218,25 @@ def lattice(words: DataFrame, more: tuple[tuple[str, str, str, str], ...] = ())
 
 
 def best_path(edges: DataFrame) -> DataFrame:
-    """(token, lcode, edges): from the left, the longest edge at each place, of equal ones that of the highest rank."""
+    """(token, lcode, edges): from the left, the longest edge at each place, of equal ones that of the highest rank.
+
+    A number that follows a digit is set off: by a space if it is a fraction,
+    else by a dot.
+    """
     best = edges.groupBy("token", "lcode", "start").agg(F.max_by(F.struct("start", "end", "txt", "type"), F.struct("end", "rank", "txt")).alias("e"))
     listed = best.groupBy("token", "lcode").agg(F.array_sort(F.collect_list("e")).alias("all"))
+    # an edge is on the path if it starts where the one before on the path ends, or later
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{EDGE}>").alias("path"))
-    path = F.aggregate(
-        "all",
-        empty,
-        lambda a, e: F.when(e.start >= a.at, F.struct(e.end.alias("at"), F.concat(a.path, F.array(F.struct(e.start.alias("start"), e.end.alias("end"), e.txt.alias("txt"), e.type.alias("type")))).alias("path"))).otherwise(a),
-        lambda a: a.path,
-    )
-    return listed.select("token", "lcode", path.alias("edges"))
+    path = F.aggregate("all", empty, lambda a, e: F.when(e.start >= a.at, F.struct(e.end.alias("at"), F.array_append(a.path, e.cast(EDGE)).alias("path"))).otherwise(a), lambda a: a.path)
+    is_number = lambda e: e.type.isin("number", "fraction")
+    follows = lambda e, i: is_number(e) & e.txt.rlike("^[0-9]") & _yes(F.get("path", i - 1).txt.rlike("[0-9]$"))
+    set_off = F.transform("path", lambda e, i: F.when(follows(e, i), e.withField("txt", F.concat(F.when(e.type == "fraction", " ").otherwise("·"), e.txt))).otherwise(e))
+    return listed.select("token", "lcode", path.alias("path")).select("token", "lcode", F.when(F.exists("path", is_number), set_off).otherwise(F.col("path")).alias("edges"))
+
+
+def _column(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
@@ -156,36 +245,51 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     ``lcode_col`` names a column of ISO 639-3 codes; ``rules`` are rules of the
     caller (source, target, space-separated codes, place).  Null texts stay
     null, the order of rows is not kept.
+
+    What is shuffled beside the rows themselves are the different texts and,
+    for each word to look up, the text's two 64-bit hashes, a place and the
+    word.  Repeated texts and words are read once.
     """
-    text = F.col(text_col)
-    lcode = F.col(lcode_col) if lcode_col else F.lit(None).cast("string")
+    text, lcode = _column(text_col), _column(lcode_col) if lcode_col else F.lit(None).cast("string")
     easy = text.isNull() | is_ascii(text) | text.rlike(LATIN_ONLY)
+    hard_pattern = _HARD
     if rules:
-        easy = text.isNull()
-    simple = df.where(easy).withColumn(out_col, romanize_latin(text, lcode if lcode_col else None))
-    hard = df.where(~easy).withColumns({"__row": F.monotonically_increasing_id(), "__lcode": lcode})
-    cut = hard.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), "__row", F.col("__lcode").alias("lcode"), F.posexplode_outer(tokens(text)).alias("i", "token"))
-    words = df.where(~easy).select(lcode.alias("lcode"), F.explode(tokens(text)).alias("token")).where(~F.col("token").rlike(LATIN_ONLY)).distinct()
+        easy, hard_pattern = text.isNull(), "([^ 。་]+)"
+    plain = romanize_latin(text, lcode if lcode_col else None)
+    keys = {"__a": F.xxhash64(text, lcode), "__b": F.xxhash64(F.lit(1), text, lcode)}
+    texts = df.where(~easy).select(text.alias("text"), lcode.alias("lcode"), *[v.alias(k) for k, v in keys.items()]).dropDuplicates(["__a", "__b"])
+    placed = texts.select("__a", "__b", "lcode", F.posexplode(F.regexp_extract_all("text", F.lit(hard_pattern), F.lit(1))).alias("i", "token"))
+    words = placed.select("token", "lcode").distinct()
     read = best_path(lattice(words, rules)).select(F.col("token").alias("t"), F.col("lcode").alias("l"), F.array_join(F.transform("edges", lambda e: e.txt), "").alias("r"))
-    joined = cut.join(read, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")), "left").withColumn("r", F.coalesce("r", romanize_latin(F.col("token"), F.col("lcode") if lcode_col else None)))
-    whole = joined.groupBy("__row").agg(F.first("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r), "").alias(out_col))
-    return simple.unionByName(whole.select("row.*", out_col))
+    joined = placed.join(read, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")))
+    readings = joined.groupBy("__a", "__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r).alias("__r"))
+    # the text between those words; what a word starts with can be punctuation, so nothing else is cut
+    between = F.transform(F.split(text, hard_pattern, -1), lambda x: F.replace(F.replace(romanize_latin(x, lcode if lcode_col else None), F.lit("。"), F.lit(". ")), F.lit("་"), F.lit("·")))
+    whole = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("__r", i), F.lit("")))), "")
+    names = [_column(c) for c in df.columns]
+    rows = df.withColumns({k: F.when(~easy, v) for k, v in keys.items()})
+    easy_rows = df.where(easy).select(*names, plain.alias(out_col))
+    hard_rows = rows.where(F.col("__a").isNotNull()).join(readings, ["__a", "__b"], "left")
+    return easy_rows.union(hard_rows.select(*names, whole.alias(out_col)))
 
 
 def romanize_edges(df: DataFrame, key: str, text_col: str, lcode_col: str | None = None, rom_format: str = "edges") -> DataFrame:
-    """(key, start, end, txt, type): the chosen edges, or with "lattice" all of them; places are code points of the whole text."""
+    """(key, start, end, txt, type): the chosen edges, or with "lattice" all of them; places are code points of the whole text.
+
+    Rows with one key are texts of their own.
+    """
     if rom_format not in FORMATS[1:]:
         raise ValueError(f"rom_format is one of {FORMATS[1:]}")
-    lcode = F.col(lcode_col) if lcode_col else F.lit(None).cast("string")
-    cut = df.select(key, lcode.alias("lcode"), tokens(F.col(text_col)).alias("parts"))
-    ends = F.transform("parts", lambda p, i: F.struct(p.alias("token"), F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("offset")))
-    placed = cut.select(key, "lcode", F.inline(ends))
+    lcode = _column(lcode_col) if lcode_col else F.lit(None).cast("string")
+    cut = df.select(_column(key).alias("__key"), lcode.alias("lcode"), F.monotonically_increasing_id().alias("__row"), F.posexplode(tokens(_column(text_col))).alias("i", "token"))
+    before = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.select("__key", "lcode", "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int").alias("offset"))
     all_edges = lattice(placed.select("token", "lcode").distinct())
     if rom_format == "edges":
         all_edges = best_path(all_edges).select("token", "lcode", F.inline("edges"))
     e = all_edges.select(F.col("token").alias("t"), F.col("lcode").alias("l"), "start", "end", "txt", "type")
     both = placed.join(e, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")))
-    return both.select(key, (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "txt", "type")
+    return both.select(F.col("__key").alias(key), (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "txt", "type")
 
 
 def romanize_alternatives(df: DataFrame, key: str, text_col: str, lcode_col: str | None = None) -> DataFrame:
