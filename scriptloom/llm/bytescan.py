@@ -48,7 +48,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of about ``most`` bytes; a null is an empty text."""
     whole = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     chunks = (c.slice(i, ROWS) for c in whole for i in range(0, len(c), ROWS))
