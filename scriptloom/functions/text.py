@@ -52,8 +52,9 @@ _SEQUENCE = (
     r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}|[\x80-\xFF])"
 )
 _ALONE = "^[\u0080-\u00ff]$"
-#: Characters of Windows-1252 that Latin-1 has at other places.
-_WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: Bytes that Windows-1252 reads otherwise than Latin-1 does, in either reading.
+_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252")
 
 
 def valid_utf8(raw: Column) -> Column:
@@ -82,7 +83,7 @@ def bad_bytes(raw: Column) -> Column:
 
 def enforced_utf8(raw: Column) -> Column:
     """Bytes as text; those that belong to no valid sequence are read as Windows-1252, so its quotes and dashes stay."""
-    return _decoded(raw, lambda x: F.decode(F.encode(x, "ISO-8859-1"), "windows-1252"))
+    return _decoded(raw, lambda x: F.translate(x, _CONTROLS, _WINDOWS))
 
 
 def visible(text: Column) -> Column:
@@ -93,7 +94,7 @@ def visible(text: Column) -> Column:
 def windows_decoded_twice(text: Column) -> Column:
     """UTF-8 that was read as Windows-1252 and written again, put right; anything else as it is."""
     single_bytes = text.rlike(rf"^[\u0000-\u007F\u00A0-\u00FF{_WINDOWS}]*$") & text.rlike(r"[\u00C2-\u00F4]")
-    raw = F.encode(F.when(single_bytes, text), "windows-1252")
+    raw = F.encode(F.translate(F.when(single_bytes, text), _WINDOWS, _CONTROLS), "ISO-8859-1")
     return F.when(F.coalesce(single_bytes & F.is_valid_utf8(raw.cast("string")), F.lit(False)), F.make_valid_utf8(raw.cast("string"))).otherwise(text)
 
 
@@ -237,7 +238,7 @@ def has_pointed_hebrew(text: Column) -> Column:
 
 def guarded_regex(text: Column) -> Column:
     """``text`` as a regular expression that matches it alone."""
-    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}])", r"\\\\$1")
+    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
 
 
 def unguarded_html(text: Column) -> Column:

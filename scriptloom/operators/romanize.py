@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.latin import is_ascii, romanize_latin
+from ..functions.latin import folds, is_ascii, romanize_latin
 from ..functions.numbers import NOT_ALONE, composed
 from ..functions.text import characters, guarded_html
 from ..plans import char_tables
-from ..plans.rules import LONGEST, rules
+from ..plans.rules import LONGEST, RULES, rules
 
-#: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation.
-_LATIN = r"\u0000-ɏḀ-ỿ‐-‧‰-›₠-₿"
+#: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation, but no fractions.
+_LATIN = r"\u0000-»¿-ɏḀ-ỿ‐-‧‰-›₠-₿"
 LATIN_ONLY = rf"^[{_LATIN}]*$"
 #: A word with a letter beyond them.
 _HARD = rf"([^ 。་]*[^{_LATIN} 。་][^ 。་]*)"
@@ -90,7 +90,7 @@ def _with_neighbours(words: DataFrame) -> DataFrame:
     is_digit = lambda c: F.coalesce(F.col(c).rlike("^[0-9]$"), F.lit(False))
     in_run = F.col("value").isNotNull() | F.col("fraction").isNotNull() | ((F.col("c") == ".") & is_digit("prev_numeral") & is_digit("next_numeral"))
     rows = rows.withColumns({"in_run": in_run, "mark": F.when(F.col("mark") > F.col("unmarked"), F.col("mark"))})
-    return rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("token", "lcode", "in_run").orderBy("pos")))
+    return rows.withColumn("run", F.col("pos") - F.count_if("in_run").over(w))
 
 
 def _in_word(kind: str) -> Column:
@@ -175,7 +175,8 @@ def _numbers(rows: DataFrame) -> DataFrame:
     runs = rows.where("in_run").groupBy("token", "lcode", "run").agg(F.min("pos").alias("first"), listed.alias("all"), F.max(F.col("code") > 127).alias("native")).where("native")
     found = runs.select("token", "lcode", "first", F.explode(composed(F.array_join(F.transform("all", lambda x: x.numeral), ""), F.col("all"))).alias("n"))
     found = found.select("token", "lcode", (F.col("first") + F.col("n.start")).alias("start"), (F.col("first") + F.col("n.end")).alias("end"), F.col("n.txt").alias("txt"), F.col("n.value").alias("value"))
-    alone = (F.col("end") - F.col("start") == 1) & ((F.col("value") > 1000) | F.substring("token", F.col("start") + 1, F.lit(1)).isin(list(NOT_ALONE)))
+    first = F.substring("token", F.col("start") + 1, F.lit(1))
+    alone = (F.col("end") - F.col("start") == 1) & ((F.col("value") > 1000) | first.isin(list(NOT_ALONE)) | first.rlike(r"\p{Nd}"))
     found = found.where(~_yes(alone))
     w = Window.partitionBy("token", "lcode").orderBy("start")
     after = {f"next_{c}": F.lead(c).over(w) for c in ("start", "end", "txt", "value")}
@@ -211,10 +212,20 @@ def _by_rule(rows: DataFrame, more: tuple[tuple[str, str, str, str], ...]) -> Da
     return found.where(fits & placed).select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + 1).alias("end"), txt.alias("txt"), F.lit("rom").alias("type"), (rank * 1000 + F.col("load_order")).alias("rank"))
 
 
+def _any_of(characters_: str) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(characters_))) + "]"
+
+
 def lattice(words: DataFrame, more: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
-    """All edges (token, lcode, start, end, txt, type, rank) of the different (token, lcode)."""
-    rows = _with_neighbours(words)
-    return _single(rows).union(_numbers(rows)).union(_by_rule(rows, more))
+    """All edges (token, lcode, start, end, txt, type, rank) of the different (token, lcode).
+
+    Only words with a letter that some rule begins with are joined with rules,
+    and only those with a numeral beyond ASCII are searched for numbers.
+    """
+    numerals = rf"[\p{{N}}&&[^0-9]]|{_any_of(char_tables.HAN_NUMERALS + '⠼')}"
+    beginnings = _any_of("".join(r[0][:1] for r in (*RULES, *more)))
+    with_numeral, with_rule = (words.where(F.col("token").rlike(p)) for p in (numerals, beginnings))
+    return _single(_with_neighbours(words)).union(_numbers(_with_neighbours(with_numeral))).union(_by_rule(_with_neighbours(with_rule), more))
 
 
 def best_path(edges: DataFrame) -> DataFrame:
@@ -281,7 +292,8 @@ def romanize_edges(df: DataFrame, key: str, text_col: str, lcode_col: str | None
     if rom_format not in FORMATS[1:]:
         raise ValueError(f"rom_format is one of {FORMATS[1:]}")
     lcode = _column(lcode_col) if lcode_col else F.lit(None).cast("string")
-    cut = df.select(_column(key).alias("__key"), lcode.alias("lcode"), F.monotonically_increasing_id().alias("__row"), F.posexplode(tokens(_column(text_col))).alias("i", "token"))
+    rows = df.select(_column(key).alias("__key"), lcode.alias("lcode"), _column(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    cut = rows.select("__key", "lcode", "__row", F.posexplode(tokens(F.col("__text"))).alias("i", "token"))
     before = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.select("__key", "lcode", "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int").alias("offset"))
     all_edges = lattice(placed.select("token", "lcode").distinct())
@@ -310,6 +322,7 @@ def inline_alternatives(edges: DataFrame, key: str) -> DataFrame:
 def quick(text: Column) -> Column:
     """A rough reading by expressions alone: each letter of the listed scripts by its sound, without regard to its neighbours."""
     sounds = {c: t for c, t in char_tables.letter_sounds().items() if t.isascii()}
+    sounds |= {c: sounds[base] for c, base in folds().items() if c not in sounds and base in sounds}
     out = F.translate(text, "".join(c for c, t in sounds.items() if len(t) == 1), "".join(t for t in sounds.values() if len(t) == 1))
     out = F.translate(out, "".join(c for c, t in sounds.items() if not t), "")
     for c, t in sounds.items():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..plans import char_tables
 
 
 def character_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -57,3 +58,49 @@ def integer_ranges(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, first, last): maximal runs of consecutive integers of each key."""
     island = F.col(value) - F.dense_rank().over(Window.partitionBy(key).orderBy(value))
     return df.select(key, value).distinct().withColumn("island", island).groupBy(key, "island").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("island")
+
+
+def range_text(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, ranges): each key's integers as text, such as 1-3, 7."""
+    shown = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat(F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string")))
+    listed = F.array_sort(F.collect_list(F.struct("first", shown.alias("s"))))
+    return integer_ranges(df, key, value).groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x.s), ", ").alias("ranges"))
+
+
+def multi_information(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, n, pmi): joint count of the values of several columns, and how much likelier (base 2) they are together than each by itself; nulls are left out."""
+    joint = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in columns))).groupBy(*columns).agg(F.count("*").alias("n"))
+    total = joint.agg(F.sum("n").alias("total"))
+    both = joint.crossJoin(F.broadcast(total))  # total is one row
+    apart = F.lit(0.0)
+    for i, c in enumerate(columns):
+        both = both.join(joint.groupBy(c).agg(F.sum("n").alias(f"n_{i}")), c)
+        apart = apart + F.log2(F.col(f"n_{i}") / F.col("total"))
+    return both.select(*columns, "n", (F.log2(F.col("n") / F.col("total")) - apart).alias("pmi"))
+
+
+def character_profile(df: DataFrame, text_col: str) -> DataFrame:
+    """(char, n, category, script, kind, name): each character with its count and what Unicode tells of it."""
+    spark = df.sparkSession
+    counts = character_counts(df, text_col).withColumn("cp", F.ascii("char"))
+    known = char_tables.characters(spark).select("cp", "category", "script", "kind")
+    return counts.join(F.broadcast(known), "cp", "left").join(F.broadcast(char_tables.names(spark)), "cp", "left").select("char", "n", "category", "script", "kind", "name")
+
+
+def unread_numerals(df: DataFrame, text_col: str, most: int = 100) -> DataFrame:
+    """(char, name, number, n): the most frequent numerals of the texts that no number is composed of."""
+    counts = character_counts(df, text_col).withColumn("cp", F.ascii("char"))
+    found = counts.join(F.broadcast(char_tables.rejected_numerals(df.sparkSession)), "cp").select("char", "name", "number", "n")
+    return found.orderBy(F.desc("n"), "char").limit(most)
+
+
+def suspicious_readings(edges: DataFrame) -> DataFrame:
+    """(txt, type, n): readings with a space inside or a letter beyond ASCII, such as names that stand for themselves."""
+    odd = F.col("txt").rlike(r"\S\s+\S|[\p{L}&&[^\x00-\x7F]]")
+    return edges.where(odd & ~F.col("type").startswith("num")).groupBy("txt", "type").agg(F.count("*").alias("n"))
+
+
+def bad_byte_counts(df: DataFrame, raw_col: str) -> DataFrame:
+    """One row (lines, bad_lines, bad_bytes) of a column of bytes."""
+    bad = tx.bad_bytes(F.col(raw_col))
+    return df.select(bad.alias("bad")).agg(F.count("*").alias("lines"), F.count_if(F.col("bad") > 0).alias("bad_lines"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad_bytes"))

@@ -90,6 +90,7 @@ def letter_sounds() -> dict[str, str]:
     return table
 
 
+HAN_NUMERALS = "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS])
 #: Words in the names of numerals that stand by themselves.
 _NO_NUMERAL = ("SUPERSCRIPT", "SUBSCRIPT", "CIRCLED", "PARENTHESIZED", "SEGMENTED", "MATHEMATICAL", "ROMAN NUMERAL", "FULL STOP", "COMMA")
 
@@ -204,3 +205,18 @@ def characters(spark: SparkSession) -> DataFrame:
         rows = [*character_rows(), *pinyin_rows(spark)]
         _tables[key] = spark.createDataFrame(rows, "cp int, category string, script string, kind string, rom string, digit int, value long, base long, fraction string, vocalic boolean, decomposed boolean")
     return _tables[key]
+
+
+def rejected_numerals(spark: SparkSession) -> DataFrame:
+    """(cp, name, number): characters with a numeric value that no number is composed of, such as circled digits."""
+    rows = []
+    for cp in range(0x80, 0x20000):
+        number = unicodedata.numeric(chr(cp), None)
+        if number is not None and number_properties(chr(cp)) == (None, None, None):
+            rows.append((cp, unicodedata.name(chr(cp), ""), float(number)))
+    return spark.createDataFrame(rows, "cp int, name string, number double")
+
+
+def names(spark: SparkSession) -> DataFrame:
+    """(cp, name): the names of all characters that have one, some 140,000."""
+    return spark.createDataFrame([(cp, n) for cp in range(sys.maxunicode + 1) if (n := unicodedata.name(chr(cp), ""))], "cp int, name string")

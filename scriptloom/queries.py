@@ -54,6 +54,17 @@ def romanize_documents_by_lang(spark, d):
     return romanize.romanize(docs, "text", lcode_col="lcode").select("doc_id", "lcode", "romanized")
 
 
+#: Letters that Georgian letters stand for, one for one.
+_LATIN_LETTERS, _GEORGIAN = "abgdevziklmnoprsuqjhx", "აბგდევზიკლმნოპრსუყჯჰხ"
+
+
+@query(f"select doc_id, {FOLD_SQL.format('text')} as romanized from documents")
+def romanize_georgian_documents(spark, d):
+    """The documents with most of their letters written in Georgian: reading them gives the letters back."""
+    docs = _t(spark, d, "documents").select("doc_id", F.translate("text", _LATIN_LETTERS, _GEORGIAN).alias("text"))
+    return romanize.romanize(docs, "text").select("doc_id", "romanized")
+
+
 @query(f"select conv_id, turn, {FOLD_SQL.format('text')} as romanized from conversations")
 def romanize_conversations(spark, d):
     return romanize.romanize(_t(spark, d, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "romanized")
@@ -84,7 +95,8 @@ def romanize_offsets(spark, d):
     return romanize.offset_alignment(romanize.romanize_edges(_t(spark, d, "benchmark"), "item_id", "text"), "item_id")
 
 
-@query()
+@query(f"""with c as (select item_id, unnest(range(length(text))) as start, text from benchmark), e as (select item_id, start, substring(text, start + 1, 1) as ch from c)
+select item_id, start::int as start, (start + 1)::int as "end", {FOLD_SQL.format('ch')} as txt, case when {FOLD_SQL.format('ch')} = ch then 'orig' else 'rom' end as type from e""")
 def romanize_lattice(spark, d):
     return romanize.romanize_edges(_t(spark, d, "benchmark"), "item_id", "text", rom_format="lattice")
 
@@ -99,10 +111,10 @@ def deaccent_lower(spark, d):
     return _t(spark, d, "documents").select("doc_id", latin.deaccent_lower(F.col("text")).alias("folded"))
 
 
-_ROMAN = ("g,gg,n,d,dd,r,m,b,bb,s,ss,,j,jj,ch,k,t,p,h", "a,ae,ya,yae,eo,e,yeo,ye,o,wa,wae,oe,yo,u,weo,we,wi,yu,eu,ui,i", ",g,gg,gs,n,nj,nh,d,l,lg,lm,lb,ls,lt,lp,lh,m,b,bs,s,ss,ng,j,ch,k,t,p,h")
+_PARTS = [[x.replace("-", "") for x in parts] for parts in (romanize.HANGUL_LEADS, romanize.HANGUL_VOWELS, romanize.HANGUL_TAILS)]
 
 
-@query(f"""select cp::int as cp, chr((44032 + cp)::int) as syllable, string_split('{_ROMAN[0]}', ',')[cp // 588 + 1] || string_split('{_ROMAN[1]}', ',')[cp % 588 // 28 + 1] || string_split('{_ROMAN[2]}', ',')[cp % 28 + 1] as romanized from range(11172) t(cp)""")
+@query(f"""select cp::int as cp, chr((44032 + cp)::int) as syllable, ({_PARTS[0]})[cp // 588 + 1] || ({_PARTS[1]})[cp % 588 // 28 + 1] || ({_PARTS[2]})[cp % 28 + 1] as romanized from range(11172) t(cp)""")
 def hangul_romanize(spark, d):
     rows = spark.range(11172).select(F.col("id").cast("int").alias("cp"), tx.character(F.col("id") + 44032).alias("syllable"))
     return rows.withColumn("romanized", romanize.hangul(F.col("syllable")))
@@ -166,7 +178,7 @@ def native_digits(spark, d):
     return rows.select("zero", "value", numbers.ascii_digits(tx.character(F.col("zero") + F.col("value"))).alias("digits"))
 
 
-@query()
+@query("select * from (values ('三万一千', 31000::bigint), ('一万四千', 14000), ('二百三十四', 234), ('十', 10), ('十五', 15), ('二十', 20), ('一百零五', 105), ('三千零一', 3001), ('一亿二千万', 120000000), ('二〇〇六', 2006), ('两万', 20000), ('九', 9)) t(s, value)")
 def cjk_numbers(spark, d):
     rows = [(s,) for s in "三万一千 一万四千 二百三十四 十 十五 二十 一百零五 三千零一 一亿二千万 二〇〇六 两万 九".split()]
     return spark.createDataFrame(rows, "s string").withColumn("value", numbers.han_number(F.col("s")))
@@ -203,9 +215,12 @@ def integer_ranges(spark, d):
     return stats.integer_ranges(_t(spark, d, "orders"), "o_custkey", "o_orderkey")
 
 
-@query("select p_name, regexp_replace(p_name, '[0-9]+', '') as bare from part")
+_DIGITS = "regexp_replace(x, '^0+([0-9])', '\\1')"
+
+
+@query(f"select p_name, array_to_string(list_transform(regexp_extract_all(p_name, '[0-9]+|[^0-9]+'), lambda x: case when regexp_full_match(x, '[0-9]+') then lpad(length({_DIGITS})::varchar, 10, '0') || ':' || {_DIGITS} else x end), '') as sort_key from part")
 def mixed_alnum_sort_key(spark, d):
-    return _t(spark, d, "part").select("p_name", F.regexp_replace(tx.sort_key(F.col("p_name")), "[0-9]+", "").alias("bare"))
+    return _t(spark, d, "part").select("p_name", tx.sort_key(F.col("p_name")).alias("sort_key"))
 
 
 # ------------------------------------------------------------------ comparison
@@ -286,7 +301,16 @@ def normalize_punctuation(spark, d):
     return _t(spark, d, "benchmark").select("item_id", tx.plain_punctuation(curly).alias("text"))
 
 
-@query()
+def _squeezed_sql() -> str:
+    """Runs of every character of the tables cut to two: DuckDB has no back-references."""
+    sql = "translate(text, '‐‑‒–—−', '------')"
+    for c in [*map(chr, range(32, 127)), "\t", *MARKED, "ß"]:
+        one = "[\\x{:02X}]".format(ord(c)) if c.isascii() else c
+        sql = f"regexp_replace({sql}, '{one}{{{{3,}}}}', chr({ord(c)}) || chr({ord(c)}), 'g')".replace("{{", "{").replace("}}", "}")
+    return f"select doc_id, trim(regexp_replace({sql}, '\\s+', ' ', 'g')) as text from documents"
+
+
+@query(_squeezed_sql())
 def squeeze_repeats(spark, d):
     return _t(spark, d, "documents").select("doc_id", tx.squeezed(F.col("text")).alias("text"))
 
@@ -313,3 +337,30 @@ select round(sum((p + 1.0) / (sp + k) * log2(((p + 1.0) / (sp + k)) / ((q + 1.0)
 def kl_divergence(spark, d):
     e = _t(spark, d, "events")
     return stats.divergence(e.where("value < 50"), e.where("value >= 50"), "event_type").select(F.round("kl", 9).alias("kl"))
+
+
+@query("with k as (select distinct o_custkey, o_orderkey from orders), g as (select *, o_orderkey - row_number() over (partition by o_custkey order by o_orderkey) as i from k), r as (select o_custkey, min(o_orderkey) as a, max(o_orderkey) as b from g group by o_custkey, i) select o_custkey, string_agg(case when a = b then a::varchar else a || '-' || b end, ', ' order by a) as ranges from r group by o_custkey")
+def integer_range_text(spark, d):
+    return stats.range_text(_t(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("""with j as (select lang, source, quality, count(*) as n from documents join labels using (doc_id) group by all), t as (select sum(n)::double as t from j),
+a as (select lang, sum(n) as x from j group by lang), b as (select source, sum(n) as y from j group by source), c as (select quality, sum(n) as z from j group by quality)
+select lang, source, quality, n, round(log2(n / t) - log2(x / t) - log2(y / t) - log2(z / t), 9) as pmi from j join a using (lang) join b using (source) join c using (quality), t""")
+def multi_information(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "lang", "source").join(_t(spark, d, "labels"), "doc_id")
+    return stats.multi_information(rows, ["lang", "source", "quality"]).withColumn("pmi", F.round("pmi", 9))
+
+
+@query("select p_type as type, n, round(n / length(p_type), 9) as ratio from (select p_type, (select coalesce(max(w), 0) from range(1, length(p_type) + 1) s(i), range(1, length(p_type) + 1) t(w) where i + w - 1 <= length(p_type) and contains('STANDARD ANODIZED TIN', substring(p_type, i, w)))::int as n from (select distinct p_type from part))")
+def lcs_ratio(spark, d):
+    types = _t(spark, d, "part").select(F.col("p_type").alias("type")).distinct()
+    found = types.withColumn("r", tx.common_substring_ratios(F.col("type"), F.lit("STANDARD ANODIZED TIN")))
+    return found.select("type", F.col("r.n").alias("n"), F.round("r.ratio_a", 9).alias("ratio"))
+
+
+@query("select doc_id, text from documents")
+def normalize_punctuation_documents(spark, d):
+    """Typographic punctuation put in, and evened out again."""
+    typographic = F.translate("text", "'", "’")
+    return _t(spark, d, "documents").select("doc_id", tx.plain_punctuation(typographic).alias("text"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import latin
 from ..functions import text as tx
+from ..plans import char_tables
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +38,17 @@ def workset(df: DataFrame, line_col: str = "line") -> DataFrame:
     return df.where(F.col(line_col).rlike(pattern)).select(F.regexp_extract(line_col, pattern, 1).alias("snt_id"), F.regexp_extract(line_col, pattern, 2).alias("text"))
 
 
-def pairs(df: DataFrame, line_col: str = "line") -> DataFrame:
-    """(s1, s2) of ``s1 TAB s2`` lines, quotes around either dropped; comments and blank lines are left out."""
-    kept = df.where(~F.col(line_col).rlike(r"^\s*(#|$)") & F.col(line_col).contains("\t"))
-    part = F.split(F.col(line_col), "\t", 3)
-    return kept.select(tx.dequoted(part[0]).alias("s1"), tx.dequoted(part[1]).alias("s2"))
+def pairs(df: DataFrame, line_col: str = "line", keep_malformed: bool = False) -> DataFrame:
+    """(s1, s2) of ``s1 TAB s2`` lines, quotes around either dropped; comments and blank lines are left out.
+
+    Lines without a tab are left out too, or with ``keep_malformed`` give nulls.
+    """
+    line = F.regexp_replace(F.col(line_col), "^\ufeff", "")
+    kept = df.where(~line.rlike(r"^\s*(#|$)"))
+    if not keep_malformed:
+        kept = kept.where(line.contains("\t"))
+    part = F.split(line, "\t", 3)
+    return kept.select(F.when(line.contains("\t"), tx.dequoted(part[0])).alias("s1"), F.when(line.contains("\t"), tx.dequoted(F.get(part, F.lit(1)))).alias("s2"))
 
 
 def slots(df: DataFrame, names: tuple[str, ...], line_col: str = "line") -> DataFrame:
@@ -82,3 +90,47 @@ def rule_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     place = F.when(tx.has_slot(line, "use-only-for-whole-word"), "whole").when(tx.has_slot(line, "use-only-at-start-of-word"), "start").when(tx.has_slot(line, "use-only-at-end-of-word"), "end").otherwise("")
     rows = df.where(~line.rlike(r"^\s*(#|$)") & tx.has_slot(line, "s"))
     return rows.select(tx.dequoted(tx.slot(line, "s")).alias("s"), tx.dequoted(F.coalesce(tx.slot(line, "t"), F.lit(""))).alias("t"), F.filter(F.split(F.coalesce(tx.slot(line, "lcode"), F.lit("")), r"[\s,;]+"), lambda x: x != "").alias("lcodes"), place.alias("place"))
+
+
+def json_rules(df: DataFrame, line_col: str = "line") -> DataFrame:
+    """(s, t, lcodes, place) of rules that are JSON objects, one a line; lines that are none, or have no source, are left out."""
+    rule = F.from_json(F.col(line_col), "s string, t string, lcodes array<string>, place string")
+    rows = df.select(rule.alias("r")).where("r.s is not null")
+    return rows.select("r.s", F.coalesce("r.t", F.lit("")).alias("t"), F.coalesce("r.lcodes", F.array().cast("array<string>")).alias("lcodes"), F.coalesce("r.place", F.lit("")).alias("place"))
+
+
+def rule_tuples(rules: DataFrame) -> tuple[tuple[str, str, str, str], ...]:
+    """Rules (s, t, lcodes, place) as the argument that romanize takes; a caller's rules are a small table."""
+    return tuple((r.s, r.t, " ".join(r.lcodes), r.place) for r in rules.select("s", "t", "lcodes", "place").collect())
+
+
+#: Patterns of pinyin sources: their lines' Han text and readings.
+PINYIN_LINES = {
+    "simple": (r"^(\p{IsHan}+)\t([^\t]+)", 1, 2),
+    "unihan": (r"^U\+([0-9A-F]{4,5})\tkMandarin\t(\S+)", 1, 2),
+    "cedict": (r"^\S+ (\p{IsHan}+) \[([^\]]+)\]", 1, 2),
+}
+
+
+def pinyin(df: DataFrame, kind: str, line_col: str = "line") -> DataFrame:
+    """(s, t) of the lines of a pinyin source: Han text and its reading without tones; other lines are left out."""
+    pattern, text, reading = PINYIN_LINES[kind]
+    s = F.regexp_extract(line_col, pattern, text)
+    if kind == "unihan":
+        s = tx.character(F.conv(s, 16, 10).cast("long"))
+    t = F.regexp_replace(F.lower(latin.deaccent(F.replace(F.regexp_extract(line_col, pattern, reading), F.lit("u:"), F.lit("u")))), "[0-5 ]", "")
+    return df.where(F.col(line_col).rlike(pattern)).select(s.alias("s"), t.alias("t"))
+
+
+def chart_header(spark: SparkSession, romanizer: str, date: str, lcode: str) -> DataFrame:
+    """(value): the JSON line that stands before chart documents."""
+    return spark.range(1).select(F.to_json(F.struct(F.lit(romanizer).alias("romanizer"), F.lit(date).alias("date"), F.lit(lcode).alias("lang-code"))).alias("value"))
+
+
+def write_tables(spark: SparkSession, path: str) -> None:
+    """Write the dimension tables as Parquet: characters, numerals, and the numerals that numbers aren't composed of."""
+    table = char_tables.characters(spark)
+    table.write.parquet(f"{path}/characters")
+    numerals = table.where("value is not null or fraction is not null").select("cp", "script", "value", "base", "fraction")
+    numerals.write.parquet(f"{path}/numerals")
+    char_tables.rejected_numerals(spark).write.parquet(f"{path}/rejected-numerals")
