@@ -168,8 +168,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """``docs`` without the rows whose id has a text that contains a test window; columns stay."""
-    judged = contamination(docs, benchmark, id_col, text_col, window=window)
-    leaks = table(judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    """``docs`` without the rows whose text contains a test window; columns stay.
+
+    Texts are judged, by their 64-bit hashes, not ids: rows that share an id, or
+    have none, stay or go by their own texts.  Null and empty texts stay.
+    """
+    hashed = F.xxhash64(F.col(text_col).cast("string"))
+    judged = contamination(docs.select(hashed.alias("text_hash"), F.col(text_col).alias("text")), benchmark, "text_hash", "text", window=window)
+    leaks = table(judged.where("contaminated").select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     leaks = bounded(leaks, leaks.count())
-    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(leaks["_id"]), "left_anti")
+    return docs.join(leaks, hashed == leaks["_leak"], "left_anti")

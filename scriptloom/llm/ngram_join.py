@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import U64, as_long, hashes, mix, shingles, text_slices, words
@@ -71,16 +71,23 @@ def _signatures(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text: with its id they name a row, or rows that are the same."""
+    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
+
+
 def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, n, node, check) of every row: set size and signatures of its n-gram set."""
+    """(doc_id, a, b, n, node, check) of every row: two hashes of its text, set size and signatures of its n-gram set."""
 
     def run(batches):
         for batch in batches:
             for row, rows, grams, sizes in _sets(batch.column(1), k):
                 node, check = _signatures(grams, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, rows), pa.array(sizes), pa.array(as_long(node)), pa.array(as_long(check))], names=["doc_id", "n", "node", "check"])
+                kept = [batch.column(i).slice(row, rows) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(as_long(node)), pa.array(as_long(check))], names=["doc_id", "a", "b", "n", "node", "check"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node long, check long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text)).mapInArrow(run, "doc_id long, a long, b long, n long, node long, check long")
 
 
 def _segments(docs: DataFrame, text_col: str, k: int, fragments: int, share: float = 1.0) -> DataFrame:
@@ -441,32 +448,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and n-grams go by 64-bit hashes; for m different texts, the chance that two
     are confused is about m * m / 2 ** 65.
     """
-    sets = table(set_table(docs, id_col, text_col, k), "sets")
-    fragments = _fragments(docs.sparkSession, sets.agg(F.sum("n")).first()[0] or 0)
-    label = table(node_components(_remaining(docs, sets, id_col, text_col, k, num, den, fragments), text_col, k, num, den, fragments), "labels")
-    nodes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = table(nodes, "nodes")
+    sets, nodes = _linked(docs, id_col, text_col, k, num, den)
     component = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = nodes.join(component, "label").select("node", "component_id")
     full = sets.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The set table of ``docs``, and (node, least, label) of its nodes: their least id and their component."""
+    sets = table(set_table(docs, id_col, text_col, k), "sets")
+    fragments = _fragments(docs.sparkSession, sets.agg(F.sum("n")).first()[0] or 0)
+    label = table(node_components(_remaining(docs, sets, id_col, text_col, k, num, den, fragments), text_col, k, num, den, fragments), "labels")
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sets, table(nodes, "nodes")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` without the rows whose group of linked texts has a lesser doc_id; columns stay.
+    """``docs`` with one row of each group of linked texts, that of the least doc_id; columns stay.
 
-    Of rows that share an id, equal texts are one; different texts that aren't
-    linked both stay.  Rows with a null id stay unless a row with an id is in
-    their group.
+    Rows are judged, not ids: a row is told by its id and its text's hashes.
+    Of linked rows with one least id, or with null ids alone, that of the least
+    hashes stays; an id comes before null.  Rows with the same id and text are
+    one; unlinked texts all stay, whatever ids they share.  Texts without words
+    are linked with nothing.  An empty table stays empty.
     """
-    found = table(jaccard_components(docs, id_col, text_col, k, num, den).select(F.col("doc_id").alias("_id"), "component_id"), "components-of")
-    lesser = table(found.where("component_id <> _id or (_id is null and component_id is not null)").select("_id").distinct(), "copies")
+    sets, nodes = _linked(docs, id_col, text_col, k, num, den)
+    rows = table(sets.where("n > 0").join(nodes.select("node", "label"), "node").select("label", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "a", "b").alias("row")).distinct(), "components-of")
+    first = rows.groupBy("label").agg(F.min("row").alias("first"))
+    lesser = table(rows.join(first, "label").where("row <> first").select(F.col("row.doc_id").alias("_id"), F.col("row.a").alias("_a"), F.col("row.b").alias("_b")).distinct(), "copies")
+    again = table(sets.groupBy("doc_id", "a", "b").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b")), "repeated-rows")
+    a, b = text_hashes(F.col(text_col).cast("string"))
+    keyed = docs.withColumns({"__a": a, "__b": b})
+    same = lambda t: keyed[id_col].cast("long").eqNullSafe(t["_id"]) & (keyed["__a"] == t["_a"]) & (keyed["__b"] == t["_b"])
     lesser = bounded(lesser, lesser.count())
-    left = docs.join(lesser, docs[id_col].cast("long").eqNullSafe(lesser["_id"]), "left_anti")
-    shared = table(found.groupBy("_id").count().where("count > 1").select("_id"), "shared-ids")
-    n_shared = shared.count()
-    if not n_shared:
-        return left
-    shared = bounded(shared, n_shared)
-    same_id = left[id_col].cast("long").eqNullSafe(shared["_id"])
-    return left.join(shared, same_id, "left_anti").unionByName(left.join(shared, same_id, "left_semi").dropDuplicates([id_col, text_col]))
+    n_again = again.count()
+    if not n_again:
+        return keyed.join(lesser, same(lesser), "left_anti").drop("__a", "__b")
+    again = bounded(again, n_again)
+    left = keyed.join(lesser, same(lesser), "left_anti")
+    once, more = left.join(again, same(again), "left_anti"), left.join(again, same(again), "left_semi")
+    return once.unionByName(more.dropDuplicates([id_col, "__a", "__b"])).drop("__a", "__b")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Once the block ends well, delete the tables that were made in it, all but the last one: its result."""
+    _made.append([])
+    try:
+        yield
+    except BaseException:
+        _made.pop()
+        raise
+    for path in _made.pop()[:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
