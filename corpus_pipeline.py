@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm import decontamination, ngram_join, quality_model, secret_scan, source_mixing
-from scriptloom.llm.scratch import table
+from scriptloom.llm.scratch import cleared, table
 
 #: Least score of a document that stays.
 QUALITY = 0.3
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder; what each returns is written to the shared folder."""
+    """All stages over the documents of a data folder; what each returns is written to the shared folder.
+
+    What a stage but the last wrote on its way is deleted once its result is
+    written.  Null texts, ties and repeated rows go by each stage's operator; an
+    empty table gives no rows; other columns stay up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = table(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with cleared(spark):
+            docs = table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
