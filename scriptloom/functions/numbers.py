@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +37,8 @@ def ascii_digits(text: Column) -> Column:
 
 
 #: A composed number: places in the run, its text, and its value where it has one.
-NUMBER = "struct<start:int,end:int,txt:string,value:decimal(38,5)>"
-_STATE = f"struct<at:int,start:int,middle:int,total:decimal(38,5),total_base:decimal(38,5),block:decimal(38,5),block_base:decimal(38,5),low:decimal(38,5),low_txt:string,tag:boolean,parts:int,found:array<{NUMBER}>>"
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+NUMBER = "struct<start:int,end:int,txt:string,value:double>"
+_ITEM = re.compile(r"[0-9]+(?:\.[0-9]+)?|.", re.DOTALL)
 
 
 def plain_text(value: Column) -> Column:
@@ -47,6 +46,88 @@ def plain_text(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+@dataclass
+class _Open:
+    """A number that more may be added to: what large powers gave so far, the block below them, and the ones that wait for a unit."""
+
+    start: int
+    middle: int
+    total: Decimal | None = None
+    total_base: int = 0
+    block: Decimal | None = None
+    block_base: int = 0
+    low: Decimal | None = None
+    low_txt: str | None = None
+    tag: bool = False
+    parts: int = 0
+
+    def texts(self, end: int) -> Iterator[tuple[int, int, str, float]]:
+        if not self.parts:
+            return
+        shown = lambda v: f"{v.normalize():f}"
+        low = self.low
+        if self.tag and self.block is None and low is not None and 1 <= low <= 9 and self.total_base >= 1000:
+            low = low * self.total_base / 10
+        rest = None if self.block is None and low is None else (self.block or Decimal(0)) + (low or 0)
+        if self.total is not None and rest is not None and self.total_base <= max(rest, self.block_base):
+            yield self.start, self.middle, shown(self.total), float(self.total)
+            yield self.middle, end, shown(rest), float(rest)
+            return
+        whole = (self.total or Decimal(0)) + (rest or 0)
+        yield self.start, end, self.low_txt if self.parts == 1 and self.low_txt else shown(whole), float(whole)
+
+    def fits(self, value: Decimal, base: int, digits: bool) -> bool:
+        above = self.block_base if self.block is not None else self.total_base
+        if not self.parts:
+            return True
+        if base < 10:
+            return (self.low is None and above > max(value, 1)) or (self.low == 0 and not digits and (above or 1000000) > value)
+        if base < 10000:
+            own = self.low * value if self.low is not None and self.low >= 1 else value
+            return (self.low is None or self.low >= 1) and (self.block is None or (self.block_base > own and self.block_base > base))
+        return (self.block or 0) + (self.low or 0) > 0 and (self.total is None or self.total_base > base)
+
+    def take(self, at: int, end: int, value: Decimal, base: int, text: str | None, tag: bool) -> None:
+        if base < 10000 and self.block is None and self.low is None:
+            self.middle = at
+        if base < 10:
+            self.low, self.low_txt, self.tag = value, text, tag and self.total is not None
+        elif base < 10000:
+            own = self.low * value if self.low is not None and self.low >= 1 else value
+            self.block, self.block_base, self.low, self.low_txt = (self.block or 0) + own, base, None, None
+        else:
+            below = None if self.block is None and self.low is None else (self.block or 0) + (self.low or 0)
+            self.total, self.total_base = (self.total or 0) + (value if below is None else below * value), base
+            self.block, self.block_base, self.low, self.low_txt, self.middle = None, 0, None, None, end
+        self.parts += 1
+
+
+def compose(run: str, props: list[dict]) -> list[tuple[int, int, str, float | None]]:
+    """The numbers of one run of numerals, as ``composed`` describes them."""
+    found: list[tuple[int, int, str, float | None]] = []
+    number, at = _Open(0, 0), 0
+    with localcontext() as context:
+        context.prec = 200
+        for m in _ITEM.finditer(run):
+            at, end, text, own = m.start(), m.end(), m[0], props[m.start()]
+            digits = "0" <= text[0] <= "9"
+            value = Decimal(text) if digits else None if own["value"] is None else Decimal(own["value"])
+            base = 1 if digits else own["base"]
+            fraction = None if digits else own["fraction"]
+            if fraction or value is None or not number.fits(value, base, digits):
+                found += number.texts(at)
+                number = _Open(at, at)
+            if fraction:
+                found.append((at, end, fraction, None))
+            if fraction or value is None:
+                number = _Open(end, end)
+                continue
+            before = props[at - 1]["value"] if at else None
+            number.take(at, end, value, base, text if digits else None, not digits and value > 0 and bool(before))
+        found += number.texts(len(run))
+    return found
+
+
 def composed(run: Column, props: Column) -> Column:
     """The numbers of a run of numerals: array of NUMBER.
 
@@ -57,67 +138,16 @@ def composed(run: Column, props: Column) -> Column:
     the ones before it, smaller units add to larger ones in a block, a large
     power takes its block, and smaller powers add to larger ones.  What doesn't
     fit begins a new number.  A single Han digit after a large power counts its
-    tenth.  A number that is too large for a decimal is left out.
+    tenth.  A null run has no numbers.
     """
-    none, no_text = F.lit(None).cast("decimal(38,5)"), F.lit(None).cast("string")
-    items = F.regexp_extract_all(run, F.lit(r"((?s)[0-9]+(?:\.[0-9]+)?|.)"), F.lit(1))
-
-    def times(x: Column, y: Column) -> Column:
-        return F.try_multiply(x, y).cast("decimal(38,5)")
-
-    def add(x: Column, y: Column) -> Column:
-        return F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.try_add(x, y).cast("decimal(38,5)"))
-
-    def number(start: Column, end: Column, txt: Column, value: Column) -> Column:
-        return F.array(F.struct(start.alias("start"), end.alias("end"), txt.alias("txt"), value.alias("value")).cast(NUMBER))
-
-    def flushed(a: Column) -> Column:
-        """The numbers found, with the one that the state holds."""
-        tagged = F.coalesce(a.tag & a.block.isNull() & a.low.between(1, 9) & (a.total_base >= 1000), F.lit(False))
-
-        def of_rest(rest: Column) -> Column:
-            apart = a.total.isNotNull() & rest.isNotNull() & ((a.total_base <= rest) | F.coalesce(a.total_base <= a.block_base, F.lit(False)))
-            one = F.when((a.parts == 1) & a.low_txt.isNotNull(), number(a.start, a.at, a.low_txt, a.low)).otherwise(_let(add(a.total, rest), lambda w: number(a.start, a.at, plain_text(w), w)))
-            return F.when(apart, F.concat(number(a.start, a.middle, plain_text(a.total), a.total), number(a.middle, a.at, plain_text(rest), rest))).otherwise(one)
-
-        return F.when(a.parts == 0, a.found).otherwise(F.concat(a.found, _let(add(a.block, F.when(tagged, times(a.low, a.total_base / 10)).otherwise(a.low)), of_rest)))
-
-    def state(a: Column, **new: Column) -> Column:
-        names = ("at", "start", "middle", "total", "total_base", "block", "block_base", "low", "low_txt", "tag", "parts", "found")
-        return F.struct(*[new.get(n, a[n]).alias(n) for n in names]).cast(_STATE)
-
-    def emptied(a: Column) -> Column:
-        return state(a, start=a.at, middle=a.at, total=none, total_base=none, block=none, block_base=none, low=none, low_txt=no_text, tag=F.lit(False), parts=F.lit(0), found=flushed(a))
-
-    def step(a: Column, item: Column) -> Column:
-        p = F.get(props, a.at)
-        is_digits = item.rlike("^[0-9]")
-        value = F.when(is_digits, item.try_cast("decimal(38,5)")).otherwise(p.value.cast("decimal(38,5)"))
-        return _let(F.struct(a.alias("a"), value.alias("value"), F.when(is_digits, F.lit(1)).otherwise(p.base).cast("decimal(38,5)").alias("base"), is_digits.alias("digits"), F.when(~is_digits, p.fraction).alias("fraction"), item.alias("item")), with_item)
-
-    def with_item(x: Column) -> Column:
-        a, below_base = x.a, F.coalesce(x.a.block_base, x.a.total_base)
-        fits_ones = (a.low.isNull() & (below_base > F.greatest(x.value, F.lit(1)))) | ((a.low == 0) & ~x.digits & (F.coalesce(below_base, F.lit(1000000)) > x.value))
-        own = F.when(a.low >= 1, times(a.low, x.value)).otherwise(x.value)
-        fits_unit = (a.low.isNull() | (a.low >= 1)) & (a.block.isNull() | ((a.block_base > own) & (a.block_base > x.base)))
-        fits_power = (add(a.block, a.low) > 0) & (a.total.isNull() | (a.total_base > x.base))
-        fits = F.when(x.value.isNull() | x.fraction.isNotNull(), F.lit(False)).when(a.parts == 0, F.lit(True)).when(x.base < 10, fits_ones).when(x.base < 10000, fits_unit).otherwise(fits_power)
-        return _let(F.when(F.coalesce(fits, F.lit(False)), a).otherwise(emptied(a)), lambda s: taken(s, x))
-
-    def taken(s: Column, x: Column) -> Column:
-        end, more = s.at + F.length(x.item), s.parts + 1
-        first = s.block.isNull() & s.low.isNull()
-        before = F.get(props, s.at - 1).value
-        ones = state(s, at=end, low=x.value, low_txt=F.when(x.digits, x.item), middle=F.when(first, s.at).otherwise(s.middle), tag=F.coalesce(~x.digits & s.total.isNotNull() & (x.value > 0) & (before > 0), F.lit(False)), parts=more)
-        unit = state(s, at=end, block=add(s.block, F.when(s.low >= 1, times(s.low, x.value)).otherwise(x.value)), block_base=x.base, low=none, low_txt=no_text, middle=F.when(first, s.at).otherwise(s.middle), parts=more)
-        below = add(s.block, s.low)
-        power = state(s, at=end, total=add(s.total, F.when(below.isNull(), x.value).otherwise(times(below, x.value))), total_base=x.base, block=none, block_base=none, low=none, low_txt=no_text, middle=end, parts=more)
-        fraction = state(s, at=end, start=end, middle=end, found=F.concat(s.found, number(s.at, end, x.fraction, none)))
-        other = state(s, at=end, start=end, middle=end)
-        return F.when(x.fraction.isNotNull(), fraction).when(x.value.isNull(), other).when(x.base < 10, ones).when(x.base < 10000, unit).otherwise(power)
-
-    start = F.struct(F.lit(0), F.lit(0), F.lit(0), none, none, none, none, none, no_text, F.lit(False), F.lit(0), F.array().cast(f"array<{NUMBER}>")).cast(_STATE)
-    return F.filter(F.aggregate(items, start, step, flushed), lambda x: x.txt.isNotNull())
+
+    @F.arrow_udf(f"array<{NUMBER}>")
+    def read(runs: pa.Array, all_props: pa.Array) -> pa.Array:
+        both = zip(runs.to_pylist(), all_props.to_pylist(), strict=True)
+        rows = [[] if r is None else [dict(zip(("start", "end", "txt", "value"), n, strict=True)) for n in compose(r, p)] for r, p in both]
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("txt", pa.string()), ("value", pa.float64())])))
+
+    return read(run, props)
 
 
 def han_properties(text: Column) -> Column:
@@ -133,7 +163,7 @@ def han_number(text: Column) -> Column:
     """
     digits_only = text.rlike("^[" + "".join(HAN_DIGITS) + "]+$")
     plain = F.array_join(F.transform(F.split(text, ""), lambda c: _value_of(c, HAN_DIGITS).cast("string")), "").try_cast("long")
-    found = composed(text, han_properties(text))
+    found = composed(F.coalesce(text, F.lit("")), han_properties(F.coalesce(text, F.lit(""))))
     whole = (F.size(found) == 1) & (F.get(found, F.lit(0)).start == 0) & (F.get(found, F.lit(0)).end == F.length(text))
     return F.when(digits_only, plain).when(text.rlike("^[" + "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]) + "]+$") & whole, F.get(found, F.lit(0)).txt.try_cast("long"))
 

@@ -100,7 +100,7 @@ def test_text_functions(spark):
         tx.escapes_decoded(c(r"क\x41\U0001F600 \q")), tx.squeezed(c("aaaa – b   c")), tx.plain_punctuation(c("“ａ”…、")), tx.visible(c("a​b﻿")), tx.decoded_twice(c("Ã©tÃ©")), tx.decoded_twice(c("été")),
         tx.shown_as_code_points(c("aé")), tx.shared_prefix(c("abcd"), c("abxd")), tx.common_substring(c("xabcy"), c("zabcw")), tx.sort_key(c("a12b3")), tx.guarded_html(c("<a&b>")), tx.is_email(c("a@b.co")), tx.is_filename(c("a.txt")),
     ).first()
-    assert tuple(one) == ("x y", "", None, "::s abc ::u z", "abc", "क\\x41😀 \\q", "aa - b c", '"a"...,', "ab", "été", "été", "a<U+00E9>", 2, 3, "a000000000012b000000000003", "&lt;a&amp;b&gt;", True, True)
+    assert tuple(one) == ("x y", "", None, "::s abc ::u z", "abc", "क\\x41😀 \\q", "aa - b c", '"a"...,', "ab", "été", "été", "a<U+00E9>", 2, 3, "a0000000002:12b0000000001:3", "&lt;a&amp;b&gt;", True, True)
 
 
 def test_distance(spark):
@@ -195,3 +195,58 @@ def test_statistics(spark):
 
 def test_latin_folding_covers_the_tables():
     assert all(v.isascii() for k, v in latin.folds().items() if re.match("[À-ɏ]", k) and k in "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ")
+
+
+def test_clashing_and_dotted_columns(spark):
+    df = spark.createDataFrame([(1, "жук", "a"), (2, "abc", "b"), (2, None, "c"), (None, "жук", "d")], "`a.b` int, token string, text string")
+    got = romanize.romanize(df, "token")
+    assert got.columns == ["a.b", "token", "text", "romanized"]
+    assert sorted((r[0] or 0, r[2], r[3] or "") for r in got.collect()) == [(0, "d", "zhuk"), (1, "a", "zhuk"), (2, "b", "abc"), (2, "c", "")]
+    edges = romanize.romanize_edges(df.where("token = 'жук'").drop("a.b"), "token", "token")
+    assert sorted(tuple(e)[1:4] for e in edges.collect()) == sorted([(0, 1, "zh"), (1, 2, "u"), (2, 3, "k")] * 2)
+
+
+def test_joins_without_broadcast_give_the_same(spark):
+    text = " ".join(f"жук{i} რა{i} 三千{i}" for i in range(300))
+    df = spark.createDataFrame([(i, text + str(i)) for i in range(5)], "i int, text string")
+    whole = sorted(map(tuple, romanize.romanize(df, "text").collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, romanize.romanize(df, "text").collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_signatures_are_kept_by_rules():
+    rules = distance.Costs().rules
+    letters = distance.signature_letters(rules, 0.99)
+    sig = lambda s: re.sub(r"(.)\1+", r"\1", "".join(letters.get(c, "") for c in s))
+    assert all(sig("b" + r.one + "d") == sig("b" + r.two + "d") for r in rules if r.cost <= 0.99)
+    with pytest.raises(ValueError):
+        distance.name_pairs(None, "n", 1.0)
+
+
+def test_rule_files_of_distances():
+    rules = distance.rules_from(["# no", "::s1 'ph' ::s2 f ::cost 0.01", "::s1 a ::s2 o ::cost 0.1 ::lc1 rus, ukr ::left1 /b$/ ::right1 [x$]", "::s1 a ::s2 b", "::s1 ::s2 ::cost 1"])
+    assert [(r.one, r.two, r.cost, r.lc1, r.left1, r.right1) for r in rules] == [("ph", "f", 0.01, "", "", ""), ("a", "o", 0.1, "rus", "b$", "[x$]"), ("a", "o", 0.1, "ukr", "b$", "[x$]")]
+    costs = distance.Costs(rules)
+    cost = lambda a, b, lc: distance.best(distance.Chart.of_string(a, costs), distance.Chart.of_string(b, costs), costs, lc)[0]
+    assert (cost("ba", "bo", "rus"), cost("ca", "co", "rus"), cost("bat", "bot", "rus"), cost("bax", "box", "ukr"), cost("ba", "bo", "bel")) == (0.1, 1.0, 1.0, 0.1, 1.0)
+
+
+def test_tables_are_written(spark, tmp_path):
+    text_files.write_tables(spark, str(tmp_path))
+    numerals = {r.cp: r for r in spark.read.parquet(str(tmp_path / "numerals")).collect()}
+    assert (numerals[ord("千")].value, numerals[ord("½")].fraction) == (1000, "1/2")
+    assert spark.read.parquet(str(tmp_path / "rejected-numerals")).where("name = 'CIRCLED DIGIT ONE'").count() == 1
+    assert text_files.chart_header(spark, "x", "today", "rus").first().value == '{"romanizer":"x","date":"today","lang-code":"rus"}'
+    assert char_tables.script_of_name("OL CHIKI LETTER LA", frozenset({"OL CHIKI"})) == "OL CHIKI"
+
+
+def test_distances_on_the_command_line(spark, tmp_path):
+    from scriptloom.__main__ import measured
+
+    (tmp_path / "pairs.txt").write_text("# comment\ncolour\tcolor\nnothing\n'trap'\tstrap\n")
+    rows = [r.value for r in measured(text_files.lines(spark, str(tmp_path / "pairs.txt")), "eng", "eng").orderBy("order").collect()]
+    assert rows == ["# Lang-code-1: eng Lang-code-2: eng", "colour\tcolor\t0.1", "", "trap\tstrap\t1"]
