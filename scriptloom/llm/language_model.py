@@ -52,7 +52,7 @@ TASK_TOKENS, LEAST_TOKENS = 1_000_000, 500_000
 #: Times that the tasks' models are brought together; each document is in one round.
 ROUNDS = 3
 SMOOTH = 0.1
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,7 +380,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
     passes = max(1, -(-LEAST_TOKENS // max(1, counts.n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, info, turn = shared.value
+        (start, turn), info = shared.value, fixed.value
         own, state = start.copied(), {"rate": 1 / (1 + turn)}
         random = np.random.default_rng(11)
         met, held, total = np.zeros(UNITS + own.leaves), [], 0
@@ -400,7 +400,7 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
                 word, part, row = _words(data, offsets)
                 held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
                 total += len(held[-1][0])
-                if total >= BATCH_TOKENS // 2:
+                if total >= BATCH_TOKENS:
                     step()
                     held, total = [], 0
         if total:
@@ -413,12 +413,16 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([(rows - before).astype(np.float16).tobytes()], pa.binary())], names=["block", "weights", "moves"])
 
     slots = texts.coalesce(max(1, min(texts.sparkSession.sparkContext.defaultParallelism, -(-counts.n // TASK_TOKENS))))
+    context = texts.sparkSession.sparkContext
+    fixed = context.broadcast(counts)
     for turn in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast((model, counts, turn))
+        shared = context.broadcast((model, turn))
         got = slots.mapInArrow(run, "block long, weights binary, moves binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, moves binary").toArrow()
+        shared.destroy()  # workers keep what isn't destroyed
         before = {block: rows for block, _, rows in model.blocks(share)}
         for block, moves in zip(got.column("block").to_pylist(), got.column("moves"), strict=True):
             model.put(block, before[block].ravel() + np.frombuffer(moves.as_py(), np.float32))
+    fixed.destroy()
     return model
 
 
