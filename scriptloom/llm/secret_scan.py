@@ -40,11 +40,6 @@ def signed_token(token: str) -> bool:
         return False
 
 
-def mod97(account: str) -> bool:
-    """Whether the check digits of an international account number hold."""
-    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
-
-
 @dataclass(frozen=True)
 class Kind:
     """What is looked for at a keyword's place: an expression anchored there, and a test of its match."""
