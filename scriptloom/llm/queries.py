@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_model, ngram_join, oracles, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
+from . import conversation_repair, decontamination, filter_audit, language_model, ngram_join, oracles, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), byte_bpe_50k, limit=512)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_model": op9_quality_model,
     "op10_token_counts": op10_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op5_quality_rules": oracles.OP5, "op8_ngram_jaccard": oracles.OP8}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op5_quality_rules": oracles.OP5, "op8_ngram_jaccard": oracles.OP8, "op12_conversation_repair": oracles.OP12, "op13_filter_audit": oracles.OP13}
