@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, filter_audit, language_model, ngram_join, oracles, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, url_filter
+from . import conversation_repair, decontamination, filter_audit, language_model, ngram_join, oracles, page_text, quality_model, quality_rules, secret_scan, source_mixing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), byte_bpe_50k, limit=512)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), folds=4, held=2), folds=4, held=2)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_model": op9_quality_model,
     "op10_token_counts": op10_token_counts,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
