@@ -80,10 +80,10 @@ def _values(rows: list[tuple]) -> str:
 #: Rows of a batch in order, with their faults; ``batch`` has (seg, turn, h, role, text, copies, blank, cut, seen, present).
 _ROWS = """
 create or replace temp table r as
-select seg, row_number() over (partition by seg order by turn nulls first, h, role, text) as pos, sum(copies) over (partition by seg order by turn nulls first, h, role, text) - copies + 1 as place,
-  turn, role, text, copies, blank, cut, init, not blank and again as again, case when blank or again then 'must go' else (case when init in ('u', 'a', 's') then init else 'x' end) || cut::int::varchar end as kind,
-  lag(init) over (partition by seg order by turn nulls first, h, role, text) as before
-from (select *, left(role, 1) as init, seen or row_number() over (partition by seg, role, text order by turn nulls first) > 1 as again from batch where present)
+select seg, pos, sum(copies) over (partition by seg order by pos rows unbounded preceding) - copies + 1 as place, turn, role, text, copies, blank, cut, init, not blank and again as again,
+  case when blank or again then 'must go' else (case when init in ('u', 'a', 's') then init else 'x' end) || cut::int::varchar end as kind, lag(init) over (partition by seg order by pos) as before
+from (select *, left(role, 1) as init, seen or row_number() over (partition by seg, role, text order by pos) > 1 as again from (
+  select *, row_number() over (partition by seg order by turn nulls first, h, role, text) as pos from batch where present))
 """
 _SOLVE = f"""
 create or replace temp table solved as
