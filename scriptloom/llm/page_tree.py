@@ -33,6 +33,8 @@ MOST_DEPTH = 512
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)|=)*)>?|<[!?][^>]*>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: The end of a start tag that closes itself: a slash that isn't part of an unquoted value. Only SVG's and MathML's elements heed it.
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 NAME_PART = re.compile(r"[a-z]+")
 
 #: Parts of class, id and role names that tell what an element is for.
@@ -164,11 +166,11 @@ def parse(page: str) -> Tree:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         inline = tag in INLINE or tag in MATH
-        if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
+        if tag in RAW and not (is_open["svg"] and SELF_CLOSED.search(m[3])):
+            if not closing:
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = over.end() if over else end
-        elif not closing and (tag in MATH or tag in SVG) and m[3].rstrip().endswith("/"):
+        elif not closing and (tag in MATH or tag in SVG or tag in RAW) and SELF_CLOSED.search(m[3]):
             pieces.append(" ")
         elif tag == "br" or (tag in VOID and not inline):
             pieces.append(" ")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Span = tuple[str, int, int]
+#: Characters of a signed token's encoded header; real ones have some hundred.
+MOST_HEADER = 4096
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,22 +33,29 @@ def crc_ending(token: str) -> bool:
 
 
 def signed_token(token: str) -> bool:
-    """Whether the first part of a dotted token decodes to a JSON header that names an algorithm."""
-    head = token.split(".")[0]
+    """Whether the first part of a dotted token, of MOST_HEADER characters at most, decodes to a JSON object that names an algorithm."""
+    head = token.partition(".")[0]
+    if len(head) > MOST_HEADER:
+        return False
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError, binascii.Error):
+        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):  # no base64, no UTF-8, no JSON, or one that nests too deep for a header
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What is looked for at a keyword's place: an expression anchored there, and a test of its match."""
+    """What is looked for at a keyword's place: an expression anchored there, and a test of its match.
+
+    Where the expression fails, it fails at every later place within ``run`` from there too.
+    """
 
     name: str
     keywords: tuple[str, ...]
     pattern: re.Pattern[str]
     valid: Callable[[re.Match[str]], bool]
+    run: re.Pattern[str] | None = None
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -59,7 +67,7 @@ KINDS = (
     Kind("assign", ("password", "passwd", "secret", "token", "api_key", "apikey"), ASSIGN, lambda m: len(m[2]) >= 6),
     Kind("access", ("akia",), ACCESS, lambda m: len(m[0]) >= 20),
     Kind("host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: crc_ending(m[0])),
-    Kind("signed_token", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}"), lambda m: signed_token(m[0])),
+    Kind("signed_token", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{8,}+"), lambda m: signed_token(m[0]), re.compile(r"eyJ[A-Za-z0-9_-]*+")),
 )
 ORDER = {name: i for i, name in enumerate(("assign", "access", "hex", "host_token", "signed_token"))}
 
@@ -85,10 +93,15 @@ class Scanner:
         folded = text.encode("utf-8", "replace").lower().decode()  # bytes fold A-Z alone, so places stay
         hits = sorted((end - size + 1, kind) for end, (kind, size) in self.automaton.iter(folded))
         for start, i in hits:
-            if start >= behind[i] and (m := self.kinds[i].pattern.match(text, start)):
+            if start < behind[i]:
+                continue
+            kind = self.kinds[i]
+            if m := kind.pattern.match(text, start):
                 behind[i] = m.end()
-                if self.kinds[i].valid(m):
-                    found.append((self.kinds[i].name, start, m.end()))
+                if kind.valid(m):
+                    found.append((kind.name, start, m.end()))
+            elif kind.run and (run := kind.run.match(text, start)):
+                behind[i] = run.end()
         found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 

@@ -174,6 +174,9 @@ def test_quality_of_messy_rows(spark, messy, empty, labelled):
     ("<p>One</p><video src=x><p>Two</p>", ["One", "Two"]),
     ("<p title=Bob's>One</p><p>It's two</p>", ["One", "It's two"]),
     ("<p alt=\"5\" disc\">One</p><p>Two</p>", ["One", "Two"]),
+    ("<p>a<script src=https://x/y/>var q=1;</script>b</p><p>c</p>", ["ab", "c"]),
+    ("<p>a<script src='x' />var q=1;</script>b</p><style type=x/>p {}</style><title/>t</title><p>c</p>", ["ab", "c"]),
+    ("<p>a</p><svg><title/><style/></svg><p>b</p><textarea rows=2/>own</textarea><iframe src=y/ />z</iframe><p>c</p>", ["a", "b", "c"]),
     ("<p alt=\"a > b\" id = 'c > d'>One</p><script>if (a > b) {}</script>", ["One"]),
 ])
 def test_no_text_of_a_page_vanishes(page, texts):

@@ -1,10 +1,13 @@
 """Secret scan, quality rules, token counts: against plain versions."""
 
+import base64
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -45,6 +48,29 @@ def test_checksums_decide():
     assert Scanner().masked("token = abcdefgh, rest", "<secret>") == "token = <secret>, rest"
 
 
+def test_headers_that_nest_too_deep_or_run_too_long():
+    for header in (b'{"a":' + b"[" * 60_000, b'{"alg":' + b"[" * 2_900, b"[" * 2_000, b"7", b'"alg"', b'{"alg":"' + b"x" * 9_000 + b'"}', b"\xff\xfe{"):
+        token = b64(header) + ".abcdef.ghijklmnop"
+        assert [s for s in Scanner().spans("a " + token + " b") if s[0] == "signed_token"] == []
+    good = b64(b'{"alg": "none"}') + ".abcdef.ghijklmnop"
+    assert [s[0] for s in Scanner().spans("EYJ" + good)] == ["signed_token"]
+    assert [s[0] for s in Scanner().spans("eyJshort.eyJ " + good)] == ["signed_token"]
+
+
+def b64(raw):
+    text = base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    return text if text.startswith("eyJ") else "eyJ" + text
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "token", "AKIA", "ghp_", "eyJaaaaaaaa.", "secret ", "password="])
+def test_time_grows_with_length(piece):
+    """10 MB of one keyword take seconds, not hours."""
+    text = piece * (10_000_000 // len(piece))
+    began = time.perf_counter()
+    Scanner().spans(text)
+    assert time.perf_counter() - began < 60
+
+
 def test_scan_of_messy_rows(messy, empty):
     rows, texts = scan(messy).collect(), messy.collect()
     assert sorted((r.doc_id, r.spans) for r in rows if r.doc_id) == sorted((t.doc_id, joined(Scanner().spans(t.text or ""))) for t in texts if t.doc_id)
