@@ -128,32 +128,53 @@ def compose(run: str, props: list[dict]) -> list[tuple[int, int, str, float | No
     return found
 
 
-def composed(run: Column, props: Column) -> Column:
-    """The numbers of a run of numerals: array of NUMBER.
-
-    ``run`` has decimal digits of all scripts as 0-9, at most with a point
-    inside; ``props`` tells for each of its characters (value, base, fraction):
-    base 1 for what counts ones, 10, 100 and so on for units and for what counts
-    them, from 10000 on for large powers.  Digits stand together, a unit takes
-    the ones before it, smaller units add to larger ones in a block, a large
-    power takes its block, and smaller powers add to larger ones.  What doesn't
-    fit begins a new number.  A single Han digit after a large power counts its
-    tenth.  A null run has no numbers.
+def _runs(numerals: list[dict] | None) -> Iterator[list[dict]]:
+    """Runs of numerals that stand side by side and have one beyond ASCII."""
+    run: list[dict] = []
+    for n in [*(numerals or ()), None]:
+        if run and (n is None or n["pos"] != run[-1]["pos"] + 1):
+            if any(x["native"] for x in run):
+                yield run
+            run = []
+        if n is not None:
+            run.append(n)
+
+
+def composed(numerals: Column) -> Column:
+    """The numbers of runs of numerals: array of NUMBER.
+
+    ``numerals`` are (pos, numeral, value, base, fraction, native) in order:
+    ``numeral`` is 0-9 for decimal digits of all scripts, or a point inside of
+    them; base 1 is for what counts ones, 10, 100 and so on for units and for
+    what counts them, from 10000 on for large powers; native is what isn't ASCII.
+    Digits stand together, a unit takes the ones before it, smaller units add to
+    larger ones in a block, a large power takes its block, and smaller powers add
+    to larger ones.  What doesn't fit begins a new number.  A single Han digit
+    after a large power counts its tenth.  Null has no numbers.
+
+    Numerals are few: the loop over rows in Python is for the numerals of
+    different words, not for whole texts.
     """
 
     @F.arrow_udf(f"array<{NUMBER}>")
-    def read(runs: pa.Array, all_props: pa.Array) -> pa.Array:
-        both = zip(runs.to_pylist(), all_props.to_pylist(), strict=True)
-        rows = [[] if r is None else [dict(zip(("start", "end", "txt", "value"), n, strict=True)) for n in compose(r, p)] for r, p in both]
+    def read(column: pa.Array) -> pa.Array:
+        rows = []
+        for numerals in column.to_pylist():
+            rows.append([])
+            for run in _runs(numerals):
+                first = run[0]["pos"]
+                for start, end, txt, value in compose("".join(n["numeral"] for n in run), run):
+                    rows[-1].append({"start": first + start, "end": first + end, "txt": txt, "value": value})
         return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("txt", pa.string()), ("value", pa.float64())])))
 
-    return read(run, props)
+    return read(numerals)
 
 
-def han_properties(text: Column) -> Column:
-    """Number properties of the characters of ``text``, from the Han numerals alone: array of (value, base, fraction)."""
+def han_numerals(text: Column) -> Column:
+    """The characters of ``text`` as numerals that ``composed`` takes, by the Han numerals alone."""
     values, bases = {**HAN_DIGITS, **HAN_UNITS, **HAN_POWERS}, dict.fromkeys(HAN_DIGITS, 1) | HAN_UNITS | HAN_POWERS
-    return F.transform(F.split(text, ""), lambda c: F.struct(_value_of(c, values).alias("value"), _value_of(c, bases).alias("base"), F.lit(None).cast("string").alias("fraction")))
+    one = lambda c, i: F.struct(i.alias("pos"), c.alias("numeral"), _value_of(c, values).alias("value"), _value_of(c, bases).alias("base"), F.lit(None).cast("string").alias("fraction"), F.lit(True).alias("native"))
+    return F.transform(F.split(text, ""), one)
 
 
 def han_number(text: Column) -> Column:
@@ -163,7 +184,7 @@ def han_number(text: Column) -> Column:
     """
     digits_only = text.rlike("^[" + "".join(HAN_DIGITS) + "]+$")
     plain = F.array_join(F.transform(F.split(text, ""), lambda c: _value_of(c, HAN_DIGITS).cast("string")), "").try_cast("long")
-    found = composed(F.coalesce(text, F.lit("")), han_properties(F.coalesce(text, F.lit(""))))
+    found = composed(F.when(F.length(text) > 0, han_numerals(text)))
     whole = (F.size(found) == 1) & (F.get(found, F.lit(0)).start == 0) & (F.get(found, F.lit(0)).end == F.length(text))
     return F.when(digits_only, plain).when(text.rlike("^[" + "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]) + "]+$") & whole, F.get(found, F.lit(0)).txt.try_cast("long"))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import html.entities
+import re
 from collections.abc import Callable
-from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Named entities and their characters.
 ENTITIES = {f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";") and len(v) == 1}
+_NAMED = re.compile("&[A-Za-z][A-Za-z0-9]{1,31};")
 INVISIBLE = r"[\u0000-\u0008\u000B-\u000C\u000E-\u001F\u007F-\u009F\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFE00-\uFE0F\uFEFF\u0640]"
 
 
@@ -121,20 +123,16 @@ def plain_punctuation(text: Column) -> Column:
 # ------------------------------------------------------------------ markup
 
 
-@cache
-def _entity_names() -> str:
-    return ",".join(k[1:-1] for k in ENTITIES)
-
-
 def entities_decoded(text: Column) -> Column:
     """Named entities as characters, each once: &amp;lt; becomes &lt;."""
-    pattern = "&([A-Za-z][A-Za-z0-9]{1,31});"
-    around, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    place = lambda name: F.find_in_set(name, F.lit(_entity_names()))
-    values = F.array(*[F.lit(v) for v in ENTITIES.values()])
-    decoded = lambda name: F.coalesce(F.try_element_at(values, F.nullif(place(name), F.lit(0))), F.concat(F.lit("&"), name, F.lit(";")))
-    joined = F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    @F.arrow_udf("string")
+    def decoded(texts: pa.Array) -> pa.Array:
+        one = lambda m: ENTITIES.get(m[0], m[0])
+        return pa.array([None if t is None else _NAMED.sub(one, t) for t in texts.to_pylist()], pa.string())
+
+    pattern = _NAMED.pattern
+    return F.when(text.rlike(pattern), decoded(F.when(text.rlike(pattern), text))).otherwise(text)
 
 
 def numeric_entities_decoded(text: Column) -> Column:

@@ -2,15 +2,19 @@
 
 Rows of Latin text are folded by expressions alone.  In the others, only the
 words with letters beyond Latin are looked up; each different one is romanized
-once: its characters join the character table, its spans join the rule table,
-neighbours come from windows, and a fold over the best edge at each place takes
-the longest edge from the left.  The readings go back to each different text by
-the places of its words, and the text itself is never carried along.
+once: its characters join the character table and see their neighbours by one
+window, spans of rules grow along a trie of their sources, and a fold over the
+edges of the word takes the longest one from the left, by what was read before.
+The readings go back to each different text by the places of its words; words
+are named by two hashes and never carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,20 +22,29 @@ from ..functions.latin import folds, is_ascii, romanize_latin
 from ..functions.numbers import NOT_ALONE, composed
 from ..functions.text import characters, guarded_html
 from ..plans import char_tables
-from ..plans.rules import LONGEST, RULES, rules
+from ..plans.trie import RULE, rule_table
 
 #: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation, but no fractions.
 _LATIN = r"\u0000-»¿-ɏḀ-ỿ‐-‧‰-›₠-₿"
 LATIN_ONLY = rf"^[{_LATIN}]*$"
 #: A word with a letter beyond them.
-_HARD = rf"([^ 。་]*[^{_LATIN} 。་][^ 。་]*)"
+_BREAKS = " ་၊။។、。《-』！（），：；？"
+_HARD = rf"([{_LATIN}&&[^{_BREAKS}]]*+[^{_LATIN}{_BREAKS}][^{_BREAKS}]*+)"
+ID = ("ta", "tb")
 EDGE = "struct<start:int,end:int,txt:string,type:string>"
 FORMATS = ("str", "edges", "lattice")
+#: Edges that a step of the fold goes through at a time.
+SLICE = 64
+#: What an edge needs: of the reading on the left, that it ends in no letter, in a letter, in no letter or apostrophe, in no consonant, or is consonants alone; of its syllable, that this letter carries the vowel, or is silent.
+NO_LETTER, LETTER, UNMARKED, NO_CONSONANT, CONSONANTS, CARRIES, SILENT = range(1, 8)
 
 #: Thai vowels written before their consonant, tone marks, and final sounds of consonants.
 THAI_BEFORE = {"เ": "e", "แ": "ae", "โ": "o", "ใ": "ai", "ไ": "ai"}
 THAI_TONES = "\u0e48\u0e49\u0e4a\u0e4b"
 THAI_FINALS = {**dict.fromkeys("กขคฆ", "k"), **dict.fromkeys("จชซฌฎฏฐฑฒดตถทธศษส", "t"), **dict.fromkeys("บปพฟภ", "p"), **dict.fromkeys("ญณนรลฬ", "n")}
+#: What can stand before the vowel of a Tibetan syllable, beside single letters, and after it.
+TIBETAN_ONSETS = "bd br brg brgy bs bsh bst bt bts by bz bzh ch db dby dk dm dp dpy dr gl gn gr gs gt gy gzh kh khr khy kr ky ld lh lt mkh mny mth mtsh ny ph phr phy rgy rk el rn rny rt rts sk skr sky sl sm sn sny sp spy sr st th ts tsh".split()
+TIBETAN_CODAS = "bh bs ch cs dd ddh dh dz dzh gh gr gs kh khs kss n nn nt ms ng ngs ns ph rm sh ss th ts tsh tt tth zh zhs".split()
 #: Sounds of the parts of Hangul syllables, in the order of Unicode ("-": none).
 HANGUL_LEADS = "g gg n d dd r m b bb s ss - j jj c k t p h".split()
 HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wai oe yo u weo we wi yu eu yi i".split()
@@ -41,8 +54,8 @@ OVER, MINUS, PLUS = "分之", "负負−－", "＋"
 
 
 def tokens(text: Column) -> Column:
-    """Words and the spaces, ideographic stops and Tibetan dots between them, in turns."""
-    return F.regexp_extract_all(text, F.lit("([^ 。་]+|[ 。་]+)"), F.lit(1))
+    """Words, and what stands between them (spaces, Tibetan dots, stops and brackets of scripts without spaces), in turns."""
+    return F.regexp_extract_all(text, F.lit(f"([^{_BREAKS}]+|[{_BREAKS}]+)"), F.lit(1))
 
 
 def hangul(char: Column) -> Column:
@@ -52,111 +65,175 @@ def hangul(char: Column) -> Column:
     return F.when(n.between(0, 11171), F.concat(part(HANGUL_LEADS, F.floor(n / 588)), part(HANGUL_VOWELS, F.floor(n % 588 / 28)), part(HANGUL_TAILS, n % 28)))
 
 
-def _with_neighbours(words: DataFrame) -> DataFrame:
-    """A row for each character of (token, lcode), with its properties and those of the characters around."""
+def _in_word(kind: Column) -> Column:
+    return F.coalesce(kind.isin("letter", "vowel sign", "virama", "medial", "tail", "mark"), F.lit(False))
+
+
+def _yes(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
+
+
+def _map(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a large expression of named columns once for each application: it is the same in every plan."""
+    built: dict[tuple, Column] = {}
+
+    def get(*args: int) -> Column:
+        key = (SparkSession.getActiveSession().sparkContext.applicationId, *args)
+        if key not in built:
+            built[key] = f(*args)
+        return built[key]
+
+    return get
+
+
+def with_ids(words: DataFrame) -> DataFrame:
+    """(token, lcode) with two hashes that name them from here on."""
+    return words.withColumns({"ta": F.xxhash64("token", "lcode"), "tb": F.xxhash64(F.lit(1), "token", "lcode")})
+
+
+def _characters(words: DataFrame) -> DataFrame:
+    """A row for each character of (ta, tb, token, lcode), with its properties as struct ``x``."""
     spark = words.sparkSession
     table = F.broadcast(char_tables.characters(spark))
-    rows = words.select("token", "lcode", F.posexplode(characters(F.col("token"))).alias("pos", "c")).withColumn("code", F.ascii("c"))
+    # a number of partitions is given, as these short rows are much work, and by their bytes Spark would merge them to few tasks
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = words.select(*ID, "lcode", F.posexplode(characters(F.col("token"))).alias("pos", "c")).withColumn("code", F.ascii("c")).repartition(parts, *ID)
     rows = rows.join(table, F.col("code") == F.col("cp"), "left").drop("cp")
     is_hangul = F.col("code").between(0xAC00, 0xD7A3)
     ascii_digit = F.col("code").between(48, 57)
-    rows = rows.withColumns({
-        "category": F.coalesce("category", F.when(F.col("c").rlike(r"\p{L}"), "Lo")),
-        "kind": F.coalesce("kind", F.when(F.col("c").rlike(r"\p{L}"), "letter").otherwise("other")),
-        "script": F.coalesce("script", F.when(is_hangul, "HANGUL").otherwise("COMMON")),
-        "rom": F.when(is_hangul, hangul(F.col("c"))).otherwise(F.coalesce("rom", "c")),
-        "numeral": F.when(ascii_digit, F.col("c")).otherwise(F.coalesce(F.col("digit").cast("string"), "c")),
-        "value": F.when(ascii_digit, F.col("code") - 48).otherwise(F.col("value")),
-        "base": F.when(ascii_digit, F.lit(1)).otherwise(F.col("base")),
-    })
-    w = Window.partitionBy("token", "lcode").orderBy("pos")
-    around = {f"{side}_{c}": move(c).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "script", "c", "rom", "numeral")}
-    around |= {f"{side}2_{c}": move(c, 2).over(w) for side, move in (("prev", F.lag), ("next", F.lead)) for c in ("kind", "c", "rom")}
-    token = Window.partitionBy("token", "lcode")
+    letter = F.col("c").rlike(r"\p{L}")
+    numeral = F.when(ascii_digit, F.col("c")).otherwise(F.coalesce(F.col("digit").cast("string"), "c"))
+    x = F.struct(
+        "c",
+        F.coalesce("kind", F.when(letter, "letter").otherwise("other")).alias("kind"),
+        F.coalesce("script", F.when(is_hangul, "HANGUL").otherwise("COMMON")).alias("script"),
+        F.when(is_hangul, hangul(F.col("c"))).otherwise(F.coalesce("rom", "c")).alias("rom"),
+        numeral.alias("numeral"),
+    )
+    value, base = F.when(ascii_digit, F.col("code") - 48).otherwise(F.col("value")), F.when(ascii_digit, F.lit(1)).otherwise(F.col("base"))
+    number = F.when(value.isNotNull() | F.col("fraction").isNotNull(), F.struct(value.cast("long").alias("value"), base.cast("long").alias("base"), "fraction"))
+    return rows.select(*ID, "lcode", "pos", x.alias("x"), number.alias("number"), "category", _yes(F.col("vocalic")).alias("vocalic"), _yes(F.col("decomposed")).alias("decomposed"))
+
+
+def _with_neighbours(rows: DataFrame, longest: int) -> DataFrame:
+    """The characters before (p2, p1) and after (n1, n2 ...), and what signs further left do to this one."""
+    w = Window.partitionBy(*ID).orderBy("pos")
+    c = F.col("x.c")
     here = lambda test: F.max(F.when(test, F.col("pos"))).over(w)  # noqa: E731  # the last place up to this one
-    cell = F.col("c").isin([*char_tables.BRAILLE_DIGITS, "⠼", "⠲", "⠂"])
-    of_token = {
-        "has_vowel": F.max(F.col("kind") == "vowel sign").over(token),
-        "letters": F.count_if(F.col("kind") == "letter").over(token),
-        "letter_no": F.count_if(F.col("kind") == "letter").over(w),
-        "last_medial": F.max(F.when(F.col("kind") == "medial", F.col("pos"))).over(token),
-        "first_c": F.first("c").over(w),
-        # in braille, two capital signs hold up to a blank, a number sign up to what is no digit
-        "shouted": F.coalesce(here((F.col("c") == "⠠") & (F.lag("c").over(w) == "⠠")), F.lit(-1)) > F.coalesce(here(F.col("c") == "⠀"), F.lit(-1)),
-        "mark": F.when(cell, here(F.col("c") == "⠼")),
-        "unmarked": F.coalesce(here(~cell), F.lit(-1)),
-    }
-    rows = rows.withColumns(around | of_token)
-    is_digit = lambda c: F.coalesce(F.col(c).rlike("^[0-9]$"), F.lit(False))
-    in_run = F.col("value").isNotNull() | F.col("fraction").isNotNull() | ((F.col("c") == ".") & is_digit("prev_numeral") & is_digit("next_numeral"))
-    rows = rows.withColumns({"in_run": in_run, "mark": F.when(F.col("mark") > F.col("unmarked"), F.col("mark"))})
-    return rows.withColumn("run", F.col("pos") - F.count_if("in_run").over(w))
-
-
-def _in_word(kind: str) -> Column:
-    return F.coalesce(F.col(kind).isin("letter", "vowel sign", "virama", "medial", "tail", "mark"), F.lit(False))
+    cell = c.isin([*char_tables.BRAILLE_DIGITS, "⠼", "⠲", "⠂"])
+    around = {f"n{k}": F.lead("x", k).over(w) for k in range(1, longest + 1)} | {f"p{k}": F.lag("x", k).over(w) for k in (1, 2)}
+    # in braille, two capital signs hold up to a blank, a number sign up to what is no digit
+    around |= {"twice": here((c == "⠠") & (F.lag("x.c").over(w) == "⠠")), "blank": here(c == "⠀"), "mark": here(c == "⠼"), "unmarked": here(~cell)}
+    rows = rows.withColumns(around)
+    after = lambda k: F.coalesce(F.col(k), F.lit(-1))
+    return rows.withColumns({"shouted": after("twice") > after("blank"), "mark": F.when(cell & (F.col("mark") > after("unmarked")), F.col("mark"))}).drop("twice", "blank", "unmarked")
 
 
-def _yes(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
+def _with_rules(rows: DataFrame, prefixes: DataFrame, longest: int) -> DataFrame:
+    """Rules that begin here: array ``rules`` of (n, rule), for every n characters that are the source of one.
+
+    A span grows by its next character only while it is a prefix of a source:
+    what isn't has no row in the table of prefixes, and null joins nothing.
+    """
+    span, found = F.col("x.c"), []
+    for k in range(1, longest + 1):
+        step = prefixes.select(F.col("prefix").alias(f"prefix{k}"), F.col("rules").alias(f"rules{k}"))
+        rows = rows.withColumn(f"span{k}", span).join(step, F.col(f"span{k}") == F.col(f"prefix{k}"), "left")
+        span = F.when(F.col(f"prefix{k}").isNotNull(), F.concat(f"span{k}", F.col(f"n{k}.c")))
+        found.append(_of_length(F.coalesce(f"rules{k}", F.array()), k))
+    some = F.col("prefix1").isNotNull()
+    none = F.array().cast(f"array<struct<n:int,rule:{RULE}>>")
+    rows = rows.withColumn("rules", F.when(some, F.flatten(F.array(*found))).otherwise(none))
+    return rows.drop(*[f"{name}{k}" for name in ("span", "prefix", "rules") for k in range(1, longest + 1)])
+
+
+def _of_length(rules: Column, n: int) -> Column:
+    return F.transform(rules, lambda r: F.struct(F.lit(n).alias("n"), r.alias("rule")))
+
+
+def _thai_after() -> tuple[Column, Column]:
+    """The character after this one and its reading, behind a tone mark."""
+    tone = _yes(F.col("n1.c").isin(list(THAI_TONES)))
+    return F.when(tone, F.col("n2.c")).otherwise(F.col("n1.c")), F.when(tone, F.col("n2.rom")).otherwise(F.col("n1.rom"))
+
+
+def _thai_consonant(c: Column) -> Column:
+    return _yes(c.rlike("^[\u0e01-\u0e2e]$") & (c != "อ"))
 
 
 def _thai() -> Column:
-    """The sound of a Thai letter by its neighbours: vowels written before come after, final consonants, implied o and ua."""
-    rom, c = F.col("rom"), F.col("c")
-    is_tone = lambda x: _yes(F.col(x).isin(list(THAI_TONES)))
-    after_c = F.when(is_tone("next_c"), F.col("next2_c")).otherwise(F.col("next_c"))
-    after_rom = F.when(is_tone("next_c"), F.col("next2_rom")).otherwise(F.col("next_rom"))
-    before_c = F.when(is_tone("prev_c"), F.col("prev2_c")).otherwise(F.col("prev_c"))
-    consonant = lambda x: _yes(x.rlike("^[\u0e01-\u0e2e]$") & (x != "อ"))
+    """Readings of a Thai letter: array of (txt, need).
+
+    Where a syllable ends, a final consonant has a sound of its own.  It ends
+    before a vowel that is written first, before what is no letter or sign, and,
+    if what was read on the left doesn't end in a consonant, before a consonant.
+    O ang and wo are vowels between consonants: o ang if what was read on the
+    left is consonants alone.  A vowel written before its consonant is read after it.
+    """
+    rom, c = F.col("x.rom"), F.col("x.c")
     leads = lambda x: _yes(x.isin(list(THAI_BEFORE)))
-    before = F.create_map(*[F.lit(x) for kv in THAI_BEFORE.items() for x in kv])
-    finals = F.create_map(*[F.lit(x) for kv in THAI_FINALS.items() for x in kv])
-    left_consonant = consonant(F.col("prev_c")) & ~leads(F.col("prev2_c"))
+    after_c, after_rom = _thai_after()
+    before_c = F.when(_yes(F.col("p1.c").isin(list(THAI_TONES))), F.col("p2.c")).otherwise(F.col("p1.c"))
+    moved = F.coalesce(F.try_element_at(_map(THAI_BEFORE), F.col("p1.c")), F.lit(""))
     # o ang and wo before a consonant are vowels here, o ang before a vowel isn't
-    vowel_next = F.when(F.col("next_c") == "อ", ~_yes(F.col("next2_rom").rlike("^[aeiou]"))).when(F.col("next_c") == "ว", consonant(F.col("next2_c"))).otherwise(after_c.isin("อ", "ว") | _yes(after_rom.rlike("^[aeiou]")))
-    final = _in_word("prev_kind") & ~leads(F.col("prev_c")) & (leads(after_c) | after_c.isNull() | ~_yes(after_c.rlike(r"^[\p{L}\p{M}]$")) | (~left_consonant & ~vowel_next))
-    sound = F.when(final, F.coalesce(F.try_element_at(finals, c), rom)).otherwise(rom)
-    moved = F.coalesce(F.try_element_at(before, F.col("prev_c")), F.lit(""))
-    between = consonant(before_c) & consonant(after_c) & ~leads(F.col("prev2_c"))
-    vowel = F.when(c == "อ", F.concat(F.when(between, "o").otherwise(""), moved)).when((c == "ว") & between, F.lit("ua"))
-    return F.when(c.isin(list(THAI_BEFORE)), "").when(_yes(c.rlike("^[\u0e01-\u0e2e]$")), F.coalesce(vowel, F.concat(sound, moved))).otherwise(rom)
-
-
-def _single(rows: DataFrame) -> DataFrame:
-    """The edge of each character by itself: default vowels of abugidas, doubled and lengthened kana, case."""
-    rom = F.col("rom")
-    khmer = F.col("script") == "KHMER"
-    is_abugida = F.col("script").isin(sorted(char_tables.ABUGIDAS)) & (F.col("kind") == "letter") & (rom.rlike("^[bcdfghjklmnpqrstvwxyz]+a$") | (khmer & rom.rlike("^[bcdfghjklmnpqrstvwxyz]+o$")))
+    vowel_next = F.when(F.col("n1.c") == "อ", ~_yes(F.col("n2.rom").rlike("^[aeiou]"))).when(F.col("n1.c") == "ว", _thai_consonant(F.col("n2.c"))).otherwise(after_c.isin("อ", "ว") | _yes(after_rom.rlike("^[aeiou]")))
+    inside = _in_word(F.col("p1.kind")) & ~leads(F.col("p1.c"))
+    ends = leads(after_c) | after_c.isNull() | ~_yes(after_c.rlike(r"^[\p{L}\p{M}]$"))
+    final = F.concat(F.coalesce(F.try_element_at(_map(THAI_FINALS), c), rom), moved)
+    plain = _reading(F.concat(rom, moved))
+    between = _thai_consonant(before_c) & _thai_consonant(after_c) & ~leads(F.col("p2.c"))
+    consonant = F.when(inside & ends, F.array(_reading(final))).when(inside & ~vowel_next, F.array(_reading(final, NO_CONSONANT), plain)).otherwise(F.array(plain))
+    o_ang = F.when(_thai_consonant(after_c) & _yes(F.col("p1.script") == "THAI"), F.array(_reading(F.concat(F.lit("o"), moved), CONSONANTS), _reading(moved))).otherwise(F.array(_reading(moved)))
+    return (
+        F.when(leads(c), F.array(_reading(F.lit(""))))
+        .when(c == "อ", o_ang)
+        .when((c == "ว") & between, F.array(_reading(F.lit("ua"))))
+        .when(_thai_consonant(c), consonant)
+        .otherwise(F.array(_reading(rom)))
+    )
+
+
+def _reading(txt: Column, need: int = 0) -> Column:
+    return F.struct(txt.alias("txt"), F.lit(need).alias("need"))
+
+
+@_once
+def _single() -> Column:
+    """The edges of a character by itself: default vowels of abugidas, doubled and lengthened kana, case."""
+    x, rom, c = F.col("x"), F.col("x.rom"), F.col("x.c")
+    lcode, kind, script = F.col("lcode"), F.col("x.kind"), F.col("x.script")
+    khmer = script == "KHMER"
+    is_abugida = script.isin(sorted(char_tables.ABUGIDAS)) & (kind == "letter") & (rom.rlike("^[bcdfghjklmnpqrstvwxyz]+a$") | (khmer & rom.rlike("^[bcdfghjklmnpqrstvwxyz]+o$")))
     bare = F.regexp_replace(rom, "[ao]$", "")
-    sign = lambda c: _yes(F.col(c).isin("vowel sign", "virama", "medial"))
-    next_sign = sign("next_kind") | ((F.col("next_kind") == "mark") & sign("next2_kind"))
-    at_end = ~_in_word("next_kind")
-    drops = at_end & (((F.col("script") == "DEVANAGARI") & ~F.col("lcode").eqNullSafe("san")) | F.col("lcode").isin("asm", "ben", "guj", "kas", "pan"))
-    after_virama = F.col("prev_kind") == "virama"
-    at_start = ~_in_word("prev_kind")
-    khmer_yo = khmer & (F.col("next_c") == "យ") & bare.rlike("^(?:[bcdfghklmnpqrstvwz]|ng)$")
-    kept = F.when(_yes(khmer_yo) | next_sign, bare).when(_yes(after_virama | at_start), rom).when(_yes(drops), bare).when(_yes(F.col("vocalic")), bare).otherwise(rom)
-    doubler, long_mark = F.col("c").isin("っ", "ッ", "\u0a71"), F.col("c") == "ー"
-    following = F.substring("next_rom", 1, 1)
-    doubled = F.when(F.col("next_rom").startswith("ch"), F.when(F.col("c") == "\u0a71", "c").otherwise("t")).when(following.rlike("[bcdfghjkmlnpqrstvwz]"), following).otherwise("")
-    vowel = F.regexp_extract("prev_rom", "([aeiou])$", 1)
-    capital = (F.length(rom) > 1) & rom.rlike("^[A-Z]") & _yes(F.col("next_c").rlike(r"\p{Lu}"))
-    # a Tibetan token is a syllable: a vowel sign, or else "a" after what is joined below, or after the root letter
-    is_tibetan = (F.col("script") == "TIBETAN") & F.col("kind").isin("letter", "medial")
-    root = F.when((F.col("letters") > 2) & F.col("first_c").isin(list("གདབམའ")), 2).otherwise(1)
-    carries = ~F.col("has_vowel") & F.when(F.col("last_medial").isNotNull(), F.col("pos") == F.col("last_medial")).otherwise(F.col("letter_no") == root)
-    syllable = F.concat(bare, F.when(carries, "a").otherwise(""))
-    is_thai = (F.col("script") == "THAI") & (F.col("kind") != "digit")
-    braille_capital = ((F.col("prev_c") == "⠠") | F.col("shouted")) & rom.rlike("^[a-z]")
+    sign = lambda n: _yes(F.col(f"{n}.kind").isin("vowel sign", "virama", "medial"))
+    next_sign = sign("n1") | ((F.col("n1.kind") == "mark") & sign("n2"))
+    at_end = ~_in_word(F.col("n1.kind"))
+    drops = at_end & (((script == "DEVANAGARI") & ~lcode.eqNullSafe("san")) | lcode.isin("asm", "ben", "guj", "kas", "pan"))
+    after_virama = F.col("p1.kind") == "virama"
+    at_start = ~_in_word(F.col("p1.kind"))
+    khmer_yo = khmer & (F.col("n1.c") == "យ") & bare.rlike("^(?:[bcdfghklmnpqrstvwz]|ng)$")
+    kept = F.when(_yes(khmer_yo) | next_sign, bare).when(_yes(after_virama | at_start), rom).when(_yes(drops), bare).when(F.col("vocalic"), bare).otherwise(rom)
+    doubler, long_mark = c.isin("っ", "ッ", "\u0a71"), c == "ー"
+    following = F.substring("n1.rom", 1, 1)
+    doubled = F.when(F.col("n1.rom").startswith("ch"), F.when(c == "\u0a71", "c").otherwise("t")).when(following.rlike("[bcdfghjkmlnpqrstvwz]"), following).otherwise("")
+    vowel = F.regexp_extract("p1.rom", "([aeiou])$", 1)
+    capital = (F.length(rom) > 1) & rom.rlike("^[A-Z]") & _yes(F.col("n1.c").rlike(r"\p{Lu}"))
+    braille_capital = ((F.col("p1.c") == "⠠") | F.col("shouted")) & rom.rlike("^[a-z]")
     braille = F.when(F.col("shouted"), F.upper(rom)).otherwise(F.initcap(rom))
     # a grave over a Coptic letter puts an e before it; mu before a Latin unit, and not in a Greek word, is the micro sign
-    coptic = (F.col("script") == "COPTIC") & (F.col("next_c") == "\u0300")
-    micro = F.col("c").isin("μ", "µ") & _yes(F.col("next_c").rlike("^[A-Za-z]$")) & ~_yes(F.col("prev_script") == "GREEK")
+    coptic = (script == "COPTIC") & (F.col("n1.c") == "\u0300")
+    micro = c.isin("μ", "µ") & _yes(F.col("n1.c").rlike("^[A-Za-z]$")) & ~_yes(F.col("p1.script") == "GREEK")
     txt = (
-        F.when(_yes(is_tibetan), syllable)
-        .when(_yes(is_thai), _thai())
-        .when(_yes(braille_capital), braille)
+        F.when(_yes(braille_capital), braille)
         .when(_yes(micro), "µ")
         .when(_yes(coptic), F.concat(F.lit("e"), rom))
         .when(is_abugida, kept)
@@ -165,84 +242,282 @@ def _single(rows: DataFrame) -> DataFrame:
         .when(capital, F.upper(rom))
         .otherwise(rom)
     )
-    kind = F.when(F.col("kind") == "digit", "num").when(F.col("category") == "Co", "Co").when(F.col("kind") == "format", "Cf").when((F.col("kind") == "mark") & (txt == ""), "Mn").when(F.col("c") == txt, "orig").when(F.col("kind") == "tail", "rom tail").when(F.col("decomposed"), "rom decomp").otherwise("rom")
-    return rows.select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), txt.alias("txt"), kind.alias("type"), F.lit(0).alias("rank"))
-
-
-def _numbers(rows: DataFrame) -> DataFrame:
-    """Edges of numbers: runs of numerals of any script, fractions and percentages of two of them, signs, and braille numbers."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "numeral", F.col("value").cast("long").alias("value"), F.col("base").cast("long").alias("base"), "fraction")))
-    runs = rows.where("in_run").groupBy("token", "lcode", "run").agg(F.min("pos").alias("first"), listed.alias("all"), F.max(F.col("code") > 127).alias("native")).where("native")
-    found = runs.select("token", "lcode", "first", F.explode(composed(F.array_join(F.transform("all", lambda x: x.numeral), ""), F.col("all"))).alias("n"))
-    found = found.select("token", "lcode", (F.col("first") + F.col("n.start")).alias("start"), (F.col("first") + F.col("n.end")).alias("end"), F.col("n.txt").alias("txt"), F.col("n.value").alias("value"))
-    first = F.substring("token", F.col("start") + 1, F.lit(1))
-    alone = (F.col("end") - F.col("start") == 1) & ((F.col("value") > 1000) | first.isin(list(NOT_ALONE)) | first.rlike(r"\p{Nd}"))
-    found = found.where(~_yes(alone))
-    w = Window.partitionBy("token", "lcode").orderBy("start")
-    after = {f"next_{c}": F.lead(c).over(w) for c in ("start", "end", "txt", "value")}
-    both = found.withColumns(after).where((F.col("next_start") == F.col("end") + len(OVER)) & (F.substring("token", F.col("end") + 1, F.lit(len(OVER))) == OVER) & (F.col("value") > 0))
-    over = F.when(F.col("value") == 100, F.concat("next_txt", F.lit("%"))).otherwise(F.concat("next_txt", F.lit("/"), "txt"))
-    over = both.select("token", "lcode", "start", F.col("next_end").alias("end"), over.alias("txt"), F.when(F.col("value") == 100, "percentage").otherwise("fraction").alias("type"))
-    plain = found.select("token", "lcode", "start", "end", "txt", F.when(F.col("txt").contains("/"), "fraction").otherwise("number").alias("type"))
-    every = plain.union(over)
-    before = F.substring("token", F.col("start"), F.lit(1))
-    sign = F.when(before.isin(list(MINUS)), "-").when(before.isin(list(PLUS)), "+")
-    signed = every.where((F.col("start") > 0) & sign.isNotNull()).select("token", "lcode", (F.col("start") - 1).alias("start"), "end", F.concat(sign, "txt").alias("txt"), F.concat("type", F.lit(" "), sign).alias("type"))
-    digit = F.when(F.col("c") == "⠲", ".").when(F.col("c") == "⠂", ",").otherwise(F.translate("c", char_tables.BRAILLE_DIGITS + "⠼", "1234567890"))
-    cells = rows.where("mark is not null").groupBy("token", "lcode", "mark").agg(F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", digit.alias("d")))), lambda x: x.d), "").alias("txt"))
-    braille = cells.where(F.col("txt").rlike("[0-9]")).select("token", "lcode", F.col("mark").alias("start"), (F.col("last") + 1).alias("end"), "txt", F.lit("number").alias("type"))
-    return every.union(signed).union(braille).withColumn("rank", F.lit(10**6))
-
-
-def _by_rule(rows: DataFrame, more: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
-    """Edges of spans that a rule covers, where language and place in the word allow it."""
-    longest = max(LONGEST, *(len(r[0]) for r in more)) if more else LONGEST
-    spans = rows.select("token", "lcode", "pos", "prev_kind", "prev_c", "shouted", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring("token", F.col("pos") + 1, n))).alias("n", "s"))
-    spans = spans.where(F.length("s") == F.col("n") + 1).withColumn("after", F.substring("token", F.col("pos") + F.col("n") + 2, 1))
-    found = spans.join(F.broadcast(rules(rows.sparkSession, more)), "s")
-    at_start, at_end = ~_in_word("prev_kind"), ~F.col("after").rlike(rf"[\p{{L}}\p{{M}}[\u2801-\u28FF&&[^{char_tables.BRAILLE_SIGNS}]]]")
-    fits = (F.size("lcodes") == 0) | F.array_contains("lcodes", F.coalesce("lcode", F.lit("")))
-    placed = F.when(F.col("place") == "start", at_start).when(F.col("place") == "end", at_end).when(F.col("place") == "mid", ~at_start & ~at_end).when(F.col("place") == "whole", at_start & at_end).otherwise(True)
-    consonant = F.substring("s", 1, 1).rlike(char_tables.signs("letter")) & F.col("t").rlike("^[bcdfghjklmnpqrstvwxyz]+a$")
-    silent = F.col("after").rlike(char_tables.signs("vowel sign", "virama", "medial")) | (at_end & F.col("s").rlike(r"^\p{IsDevanagari}") & ~F.col("lcode").eqNullSafe("san"))
-    txt = F.when(consonant & _yes(silent), F.regexp_replace("t", "a$", "")).otherwise(F.col("t"))
-    is_braille = F.col("s").rlike("^[\u2800-\u28ff]")
-    txt = F.when(_yes(is_braille & F.col("shouted")), F.upper(txt)).when(_yes(is_braille & (F.col("prev_c") == "⠠")), F.concat(F.upper(F.substring(txt, 1, 1)), F.substring(txt, F.lit(2), F.length(txt)))).otherwise(txt)
-    rank = F.lit(1) + (F.size("lcodes") > 0).cast("int") + (F.col("place") != "").cast("int")
-    return found.where(fits & placed).select("token", "lcode", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + 1).alias("end"), txt.alias("txt"), F.lit("rom").alias("type"), (rank * 1000 + F.col("load_order")).alias("rank"))
-
-
-def _any_of(characters_: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(characters_))) + "]"
-
-
-def lattice(words: DataFrame, more: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
-    """All edges (token, lcode, start, end, txt, type, rank) of the different (token, lcode).
-
-    Only words with a letter that some rule begins with are joined with rules,
-    and only those with a numeral beyond ASCII are searched for numbers.
+    letters = F.regexp_replace(rom, "([bcdfghjklmnpqrstvwxyz'])a$", "$1")
+    is_tibetan = (script == "TIBETAN") & kind.isin("letter", "medial")
+    tibetan = F.array(_reading(F.lit(""), SILENT), _reading(F.concat(letters, F.lit("a")), CARRIES), _reading(letters))
+    is_thai = (script == "THAI") & (kind != "digit")
+    readings = F.when(_yes(is_tibetan), tibetan).when(_yes(is_thai), _thai()).otherwise(F.array(_reading(txt)))
+    # a virama belongs to the letter it silences
+    end = F.col("pos") + F.when(_yes((kind == "letter") & (F.col("n1.kind") == "virama")), 2).otherwise(1)
+    named = lambda t: (
+        F.when(kind == "digit", "num")
+        .when(F.col("category") == "Co", "Co")
+        .when(kind == "format", "Cf")
+        .when((kind == "mark") & (t == ""), "Mn")
+        .when(x["c"] == t, "orig")
+        .when(kind == "tail", "rom tail")
+        .when(F.col("decomposed"), "rom decomp")
+        .otherwise("rom")
+    )
+    return F.transform(readings, lambda r, i: _edge(F.col("pos"), end, 100 - i, r.txt, named(r.txt), r.need))
+
+
+def _edge(start: Column, end: Column, rank: Column, txt: Column, kind: Column, need: Column) -> Column:
+    """An edge with what it is ordered by: place, then the longest, then the highest rank."""
+    return F.struct(start.cast("int").alias("start"), (-end).cast("int").alias("shorter"), (-rank).cast("long").alias("lower"), end.cast("int").alias("end"), txt.alias("txt"), kind.alias("type"), need.cast("int").alias("need"))
+
+
+@_once
+def _by_rule() -> Column:
+    """Edges of the rules that begin here, where language and place in the word allow them.
+
+    Where a word starts is told by the letter on the left or, after what is no
+    letter, by what was read there; where it ends, by the character after the
+    span, or by a rule that begins there and gives a letter.
+    """
+    lcode, script, braille, first, letter_before = F.col("lcode"), F.col("x.script"), F.col("braille"), F.col("first"), F.col("letter_before")
+    is_letter = script.isin(sorted(char_tables.ABUGIDAS)) & (F.col("x.kind") == "letter")
+
+    def seen(f: Column) -> Column:
+        return F.struct(f.n.alias("n"), f.rule.alias("r"), F.get("nexts", f.n - 1).alias("after"), (~_yes(F.get("sounds_at", f.n - 1))).alias("at_end"))
+
+    def allowed(f: Column) -> Column:
+        place = f.r.place
+        fits = (F.size(f.r.lcodes) == 0) | F.array_contains(f.r.lcodes, F.coalesce(lcode, F.lit("")))
+        ends_well = F.when(place.isin("end", "whole"), f.at_end).when(place == "mid", ~f.at_end).otherwise(True)
+        starts_well = F.when(place.isin("start", "whole"), ~letter_before).when(place == "mid", ~first).otherwise(True)
+        return fits & ends_well & starts_well
+
+    def judged(f: Column) -> Column:
+        sign_after = _yes(f.after.kind.isin("vowel sign", "virama", "medial") & f.after.script.isin(sorted(char_tables.ABUGIDAS)))
+        silent = is_letter & f.r.t.rlike("^[bcdfghjklmnpqrstvwxyz]+a$") & (sign_after | (f.at_end & (script == "DEVANAGARI") & ~lcode.eqNullSafe("san")))
+        need = F.when(f.r.place.isin("start", "whole") & ~first, F.when(braille, UNMARKED).otherwise(NO_LETTER)).when((f.r.place == "mid") & ~letter_before, LETTER).otherwise(0)
+        ended = f.after.isNull() | _yes(f.after.c.isin(list(THAI_BEFORE))) | ~_yes(f.after.c.rlike(r"^[\p{L}\p{M}]$"))
+        end = F.col("pos") + f.n + F.when(_yes(is_letter & (f.after.kind == "virama")), 1).otherwise(0)
+        txt = F.when(silent, F.regexp_replace(f.r.t, "a$", "")).otherwise(f.r.t)
+        # a second target holds where a syllable ends: before what is no letter, or before a consonant that follows no consonant
+        closed = f.r.at_syllable_end.isNotNull() & (ended | ~_yes(f.after.rom.rlike("^[aeiou]")))
+        return F.struct(txt.alias("txt"), F.when(closed, f.r.at_syllable_end).alias("other"), F.when(ended | (need > 0), need).otherwise(NO_CONSONANT).alias("other_need"), need.alias("need"), end.alias("end"), (f.r.rank * 2 + 10_000).alias("rank"))
+
+    def edges(f: Column) -> Column:
+        edge = lambda t, need, more: _edge(F.col("pos"), f.end, f.rank + more, t, F.lit("rom"), need)
+        return F.when(f.other.isNotNull(), F.array(edge(f.other, f.other_need, 1), edge(f.txt, f.need, 0))).otherwise(F.array(edge(f.txt, f.need, 0)))
+
+    found = F.transform(F.filter(F.transform("rules", seen), allowed), judged)
+    upper, capital = braille & F.col("shouted"), braille & _yes(F.col("p1.c") == "⠠")
+    cased = F.transform(found, lambda f: f.withField("txt", F.when(upper, F.upper(f.txt)).when(capital, F.concat(F.upper(F.substring(f.txt, 1, 1)), F.substring(f.txt, F.lit(2), F.length(f.txt)))).otherwise(f.txt)))
+    return F.flatten(F.transform(F.when(braille, cased).otherwise(found), edges))
+
+
+def _tibetan_places(all_: Column) -> Column:
+    """(carries, silent): where a default vowel goes, and which apostrophes aren't read, in the syllables of ``all_``.
+
+    ``all_`` are places (pos, syllable, c, kind, letters) of Tibetan letters and
+    signs.  A written vowel, or a small a (འ) after the first letter, leaves no
+    choice; else the vowel follows the root, the place of least cost by what
+    stands before and after it.
+    """
+    letter_before = lambda s, p: F.exists(s, lambda q: q.pos < p.pos)
+    is_vowel = lambda p: (p.kind == "vowel sign") | p.letters.rlike("^[aeiou]+$")
+    small_a = lambda p: p.c == "འ"
+    under = lambda p: p.kind == "medial"
+
+    def syllable(s: Column) -> Column:
+        first, last = F.element_at(s, 1).pos, F.element_at(s, -1).pos
+        forced = F.transform(F.filter(s, lambda p: (p.pos > first) & (small_a(p) | (p.c == "\u0fb0"))), lambda p: p.pos - 1)
+        written = F.exists(s, is_vowel)
+        never = F.concat(F.transform(F.filter(s, lambda p: under(p) & (p.c != "\u0fb0")), lambda p: p.pos - 1), F.transform(F.filter(s, small_a), lambda p: p.pos))
+        sounds = F.transform(s, lambda p, i: F.when(small_a(p), F.when((i > 0) & ~_yes(F.get(s, i - 1).letters.isin(*"aeiou")), "a'").otherwise("'")).otherwise(p.letters))
+        n = F.size(s)
+
+        def cost(p: Column, i: Column) -> Column:
+            before, after = F.array_join(F.slice(sounds, 1, i + 1), ""), F.array_join(F.slice(sounds, i + 2, n), "")
+            onset = F.regexp_replace(before, "^'", "")
+            good_onset = (F.length(onset) == 1) | (before == "'") | onset.isin(TIBETAN_ONSETS)
+            coda = F.regexp_replace(after, "'$", "")
+            good_coda = (coda == "") | coda.rlike("^[bcdfghjklmnpqrstvwxz]$") | coda.isin(TIBETAN_CODAS)
+            all_under = F.forall(F.slice(s, i + 3, n), under)
+            size = F.length(before).cast("double")
+            long = F.when(good_coda & good_onset, size * 0.1).when(good_coda, size).when(all_under & good_onset, size * 0.3).when(all_under, size * 0.5)
+            return F.when(F.array_contains(never, p.pos), 20.0).when(n == 1, 0.0).when(n == 2, F.when(i == 0, 0.0).otherwise(0.1)).otherwise(long)
+
+        costs = F.filter(F.transform(s, lambda p, i: F.struct(cost(p, i).alias("cost"), p.pos.alias("pos"))), lambda x: x.cost.isNotNull())
+        carries = F.when(F.size(forced) > 0, forced).when(written, F.array().cast("array<int>")).otherwise(F.when(F.size(costs) > 0, F.array(F.array_min(costs).pos)).otherwise(F.array().cast("array<int>")))
+        at_end = F.transform(F.filter(s, lambda p: small_a(p) & (p.pos > first) & (p.pos == last)), lambda p: p.pos)
+        at_start = F.when(small_a(F.element_at(s, 1)) & _yes(F.get(F.transform(s, lambda p: is_vowel(p)), F.lit(1))), F.array(first)).otherwise(F.array().cast("array<int>"))
+        return F.struct(carries.alias("carries"), F.concat(at_end, at_start).alias("silent"))
+
+    numbers = F.array_distinct(F.transform(all_, lambda p: p.syllable))
+    return F.transform(numbers, lambda k: _let(F.filter(all_, lambda p: p.syllable == k), syllable))
+
+
+def _number_edges(found: Column, chars: Column) -> Column:
+    """Edges of composed numbers, of fractions and percentages of two of them, and with their signs."""
+    at = lambda i: F.get(chars, i)
+    edge = lambda start, end, txt, kind: F.struct(start.alias("start"), end.alias("end"), txt.alias("txt"), kind.alias("type"))
+    alone = lambda n: (n.end - n.start == 1) & ((n.value > 1000) | at(n.start).isin(list(NOT_ALONE)) | at(n.start).rlike(r"\p{Nd}"))
+
+    def with_more(nums: Column) -> Column:
+        plain = F.transform(nums, lambda n: edge(n.start, n.end, n.txt, F.when(n.txt.contains("/"), "fraction").otherwise("number")))
+
+        def over(n: Column, i: Column) -> Column:
+            m = F.get(nums, i + 1)
+            joined = _yes((m.start == n.end + len(OVER)) & (at(n.end) == OVER[0]) & (at(n.end + 1) == OVER[1]) & (n.value > 0))
+            hundred = n.value == 100
+            return F.when(joined, edge(n.start, m.end, F.when(hundred, F.concat(m.txt, F.lit("%"))).otherwise(F.concat(m.txt, F.lit("/"), n.txt)), F.when(hundred, "percentage").otherwise("fraction")))
+
+        return F.concat(plain, F.filter(F.transform(nums, over), lambda e: e.isNotNull()))
+
+    def with_signs(edges: Column) -> Column:
+        sign = lambda e: F.when(e.start > 0, F.when(at(e.start - 1).isin(list(MINUS)), "-").when(at(e.start - 1).isin(list(PLUS)), "+"))
+        signed = F.transform(F.filter(edges, lambda e: sign(e).isNotNull()), lambda e: edge(e.start - 1, e.end, F.concat(sign(e), e.txt), F.concat(e.type, F.lit(" "), sign(e))))
+        return F.concat(edges, signed)
+
+    return _let(_let(F.filter(found, lambda n: ~_yes(alone(n))), with_more), with_signs)
+
+
+def _braille_numbers(cells: Column) -> Column:
+    """Edges of braille numbers: from a number sign over the digits, dots and commas that it holds for; ``cells`` are (mark, pos, d)."""
+    of = lambda m: F.filter(cells, lambda p: p.mark == m)
+    numbers = F.transform(F.array_distinct(F.transform(cells, lambda p: p.mark)), lambda m: F.struct(m.alias("start"), (F.array_max(F.transform(of(m), lambda p: p.pos)) + 1).alias("end"), F.array_join(F.transform(of(m), lambda p: p.d), "").alias("txt"), F.lit("number").alias("type")))
+    return F.filter(numbers, lambda e: e.txt.rlike("[0-9]"))
+
+
+def _allowed(need: Column, left: Column) -> Column:
+    """Whether what was read on the left is what an edge needs."""
+    vowelless = "[bcdfghjklmnpqrstvxz]"
+    return (
+        F.when(need == 0, True)
+        .when(need == NO_LETTER, ~left.rlike(r"\p{L}$"))
+        .when(need == LETTER, left.rlike(r"\p{L}$"))
+        .when(need == UNMARKED, ~left.rlike(r"[\p{L}']$"))
+        .when(need == NO_CONSONANT, ~left.rlike(f"{vowelless}$"))
+        .when(need == CONSONANTS, left.rlike(r"^[bcdfghjklmnpqrstvwxz]+$"))
+        .otherwise(False)
+    )
+
+
+def _path(edges: Column) -> Column:
+    """From the left, the first edge in order at each place, if what was read before it allows it.
+
+    The reading on the left goes along the fold, so a rule can depend on it.
+    The fold goes by slices, so that long paths aren't copied at each step.
     """
-    numerals = rf"[\p{{N}}&&[^0-9]]|{_any_of(char_tables.HAN_NUMERALS + '⠼')}"
-    beginnings = _any_of("".join(r[0][:1] for r in (*RULES, *more)))
-    with_numeral, with_rule = (words.where(F.col("token").rlike(p)) for p in (numerals, beginnings))
-    return _single(_with_neighbours(words)).union(_numbers(_with_neighbours(with_numeral))).union(_by_rule(_with_neighbours(with_rule), more))
+    none = F.array().cast(f"array<{EDGE}>")
+    state = lambda at, left, path: F.struct(at.alias("at"), left.alias("left"), path.alias("path"))
+
+    def step(a: Column, e: Column) -> Column:
+        left = F.when((e.txt == "") & (e.type != "Cf"), a.left).otherwise(e.txt)
+        return F.when((e.start >= a.at) & _allowed(e.need, a.left), state(e.end, left, F.array_append(a.path, F.struct(e.start, e.end, e.txt, e.type).cast(EDGE)))).otherwise(a)
+
+    def piece(a: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(edges, i, SLICE), state(a.at, a.left, none), step)
+        return _let(inner, lambda r: state(r.at, r.left, F.concat(a.path, r.path)))
 
+    starts = F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)), F.lit(SLICE))
+    return F.aggregate(starts, state(F.lit(0), F.lit(""), none), piece, lambda a: a.path)
 
-def best_path(edges: DataFrame) -> DataFrame:
-    """(token, lcode, edges): from the left, the longest edge at each place, of equal ones that of the highest rank.
 
-    A number that follows a digit is set off: by a space if it is a fraction,
-    else by a dot.
+def read_tokens(words: DataFrame, more: tuple[tuple, ...] = (), prefixes: DataFrame | None = None, longest: int = 0) -> DataFrame:
+    """(ta, tb, edges, every): the chosen edges of the different (token, lcode), and all edges that don't depend on what is chosen, or are.
+
+    One shuffle: a token's characters meet under its two hashes, see their
+    neighbours there, grow the spans of rules, and are put together to the path.
+    The token itself isn't carried along.  ``more`` are rules of the caller;
+    ``prefixes`` and ``longest`` replace all rules by another table of them.
     """
-    best = edges.groupBy("token", "lcode", "start").agg(F.max_by(F.struct("start", "end", "txt", "type"), F.struct("end", "rank", "txt")).alias("e"))
-    listed = best.groupBy("token", "lcode").agg(F.array_sort(F.collect_list("e")).alias("all"))
-    # an edge is on the path if it starts where the one before on the path ends, or later
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{EDGE}>").alias("path"))
-    path = F.aggregate("all", empty, lambda a, e: F.when(e.start >= a.at, F.struct(e.end.alias("at"), F.array_append(a.path, e.cast(EDGE)).alias("path"))).otherwise(a), lambda a: a.path)
-    is_number = lambda e: e.type.isin("number", "fraction")
-    follows = lambda e, i: is_number(e) & e.txt.rlike("^[0-9]") & _yes(F.get("path", i - 1).txt.rlike("[0-9]$"))
-    set_off = F.transform("path", lambda e, i: F.when(follows(e, i), e.withField("txt", F.concat(F.when(e.type == "fraction", " ").otherwise("·"), e.txt))).otherwise(e))
-    return listed.select("token", "lcode", path.alias("path")).select("token", "lcode", F.when(F.exists("path", is_number), set_off).otherwise(F.col("path")).alias("edges"))
+    if prefixes is None:
+        prefixes, longest = rule_table(words.sparkSession, more)
+    rows = _with_rules(_with_neighbours(_characters(words), longest), prefixes, longest)
+    # whether a word goes on here: a letter or sign, or a rule that gives a letter
+    begins = F.exists("rules", lambda f: (f.rule.place != "start") & f.rule.t.rlike(r"\p{L}"))
+    nukta = (F.col("x.kind") == "mark") & F.col("x.script").isin(sorted(char_tables.ABUGIDAS))
+    rows = rows.withColumn("sounds", F.when(nukta, _in_word(F.col("n1.kind"))).otherwise(_in_word(F.col("x.kind")) | begins))
+    w = Window.partitionBy(*ID).orderBy("pos")
+    digit = lambda c: _yes(F.col(c).rlike("^[0-9]$"))
+    in_run = F.col("number").isNotNull() | ((F.col("x.c") == ".") & digit("p1.numeral") & digit("n1.numeral"))
+    tibetan = (F.col("x.script") == "TIBETAN") & F.col("x.kind").isin("letter", "medial", "vowel sign")
+    rows = rows.withColumns({f"sounds{k}": F.lead("sounds", k).over(w) for k in range(1, longest + 1)} | {"syllable": F.when(tibetan, F.col("pos") - F.count_if(tibetan).over(w))})
+    ruled, braille = F.size("rules") > 0, F.col("x.c").between("\u2800", "\u28ff")
+    rows = rows.withColumns({
+        "nexts": F.when(ruled, F.array(*[F.col(f"n{k}") for k in range(1, longest + 1)])),
+        "sounds_at": F.when(ruled, F.array(*[F.col(f"sounds{k}") for k in range(1, longest + 1)])),
+        "braille": braille,
+        "first": F.col("p1").isNull(),
+        "letter_before": _yes(F.col("p1.c").rlike(r"\p{L}") | (braille & _in_word(F.col("p1.kind")))),
+    })
+    native = ~F.col("x.c").rlike("^[0-9.]$")
+    numeral = F.when(in_run, F.struct("pos", F.col("x.numeral").alias("numeral"), F.col("number.value").alias("value"), F.col("number.base").alias("base"), F.col("number.fraction").alias("fraction"), native.alias("native")))
+    cell = F.when(F.col("mark").isNotNull(), F.struct("mark", "pos", F.when(F.col("x.c") == "⠲", ".").when(F.col("x.c") == "⠂", ",").otherwise(F.translate("x.c", char_tables.BRAILLE_DIGITS + "⠼", "1234567890")).alias("d")))
+    letters = F.regexp_replace("x.rom", "([bcdfghjklmnpqrstvwxyz])a$", "$1")
+    syllable = F.when(F.col("syllable").isNotNull(), F.struct("pos", "syllable", F.col("x.c").alias("c"), F.col("x.kind").alias("kind"), letters.alias("letters")))
+    rows = rows.select(*ID, "pos", F.col("x.c").alias("c"), numeral.alias("numeral"), cell.alias("cell"), syllable.alias("syllable"), _single().alias("single"), F.when(ruled, _by_rule()).alias("by_rule"))
+    rows = rows.withColumn("own", F.when(F.size("by_rule") > 0, F.concat("single", "by_rule")).otherwise(F.col("single")))
+    some = lambda c: F.array_sort(F.collect_list(c))
+    grouped = rows.groupBy(*ID).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "own", "c"))).alias("places"),
+        F.max(F.coalesce(F.col("numeral.native"), F.lit(False))).alias("native"),
+        some("numeral").alias("numerals"),
+        some("cell").alias("cells"),
+        some("syllable").alias("syllables"),
+    )
+    grouped = grouped.withColumn("found", composed(F.when(F.col("native"), F.col("numerals"))))
+    grouped = grouped.withColumns({"chars": F.when(F.size("found") > 0, F.transform("places", lambda p: p.c)), "roots": F.when(F.size("syllables") > 0, _all_roots())})
+    grouped = grouped.withColumn("numbers", _all_numbers())
+    grouped = grouped.select(*ID, _all_edges().alias("all"), F.size("places").alias("size"))
+    # tokens of one edge for each place need no choice
+    plain = (F.size("all") == F.col("size")) & F.forall("all", lambda e: (e.need == 0) & (e.end == e.start + 1))
+    grouped = grouped.withColumn("plain", plain)
+    grouped = grouped.withColumn("path", F.when(F.col("plain"), _listed(F.col("all"))).otherwise(_chosen()))
+    return grouped.select(*ID, F.when(F.exists("path", _is_number), _set_off()).otherwise(F.col("path")).alias("edges"), F.when(F.col("plain"), F.col("path")).otherwise(_every()).alias("every"))
+
+
+def _listed(edges: Column) -> Column:
+    return F.transform(edges, lambda e: F.struct(e.start.alias("start"), e.end.alias("end"), e.txt.alias("txt"), e.type.alias("type")))
+
+
+def _is_number(e: Column) -> Column:
+    return e.type.isin("number", "fraction")
+
+
+@_once
+def _all_roots() -> Column:
+    return _tibetan_places(F.col("syllables"))
+
+
+@_once
+def _all_numbers() -> Column:
+    composed_ = F.when(F.size("found") > 0, _number_edges(F.col("found"), F.col("chars"))).otherwise(F.array())
+    return F.concat(composed_, F.when(F.size("cells") > 0, _braille_numbers(F.col("cells"))).otherwise(F.array()))
+
+
+@_once
+def _all_edges() -> Column:
+    """Edges of characters, rules and numbers, in the order of the path."""
+    own = F.flatten(F.transform("places", lambda p: p.own))
+    at = lambda e, name: F.exists("roots", lambda r: F.array_contains(r[name], e.start))
+    of_root = F.filter(own, lambda e: F.when(e.need == CARRIES, at(e, "carries")).when(e.need == SILENT, at(e, "silent")).otherwise(True))
+    settled = F.transform(of_root, lambda e: F.when(e.need.isin(CARRIES, SILENT), e.withField("need", F.lit(0))).otherwise(e))
+    edges = F.when(F.col("roots").isNotNull(), settled).otherwise(own)
+    numbers = F.transform("numbers", lambda n: _edge(n.start, n.end, F.lit(10**9), n.txt, n.type, F.lit(0)))
+    return F.array_sort(F.when(F.size("numbers") > 0, F.concat(edges, numbers)).otherwise(edges))
+
+
+@_once
+def _chosen() -> Column:
+    return _path(F.col("all"))
+
+
+@_once
+def _every() -> Column:
+    return F.array_union(_listed(F.filter("all", lambda e: e.need == 0)), F.col("path"))
+
+
+@_once
+def _set_off() -> Column:
+    """The path with numbers after digits set off: by a space if they are fractions, else by a dot."""
+    follows = lambda e, i: _is_number(e) & e.txt.rlike("^[0-9]") & _yes(F.get("path", i - 1).txt.rlike("[0-9]$"))
+    return F.transform("path", lambda e, i: F.when(follows(e, i), e.withField("txt", F.concat(F.when(e.type == "fraction", " ").otherwise("·"), e.txt))).otherwise(e))
 
 
 def _column(name: str) -> Column:
@@ -250,7 +525,21 @@ def _column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+def _between(lcode: Column | None) -> Callable[[Column], Column]:
+    """The reading of what stands between words: Latin text and breaks."""
+    every = [c for c in map(chr, (*range(0x2190), *range(0x3000, 0x3100), *range(0xFF00, 0xFF80))) if re.match(f"[{_BREAKS}]", c)]
+    breaks = {c: rom for c in every if (rom := char_tables.character_row(ord(c))[4]) is not None and c != " "}
+
+    def read(x: Column) -> Column:
+        out = romanize_latin(x, lcode)
+        for c, t in breaks.items():
+            out = F.replace(out, F.lit(c), F.lit(t))
+        return F.when(F.octet_length(x) == F.length(x), x).otherwise(out)  # most are a space
+
+    return read
+
+
+def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
     """``df`` with ``out_col``: ``text_col`` in Latin letters.
 
     ``lcode_col`` names a column of ISO 639-3 codes; ``rules`` are rules of the
@@ -265,17 +554,17 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     easy = text.isNull() | is_ascii(text) | text.rlike(LATIN_ONLY)
     hard_pattern = _HARD
     if rules:
-        easy, hard_pattern = text.isNull(), "([^ 。་]+)"
+        easy, hard_pattern = text.isNull(), f"([^{_BREAKS}]+)"
     plain = romanize_latin(text, lcode if lcode_col else None)
     keys = {"__a": F.xxhash64(text, lcode), "__b": F.xxhash64(F.lit(1), text, lcode)}
-    texts = df.where(~easy).select(text.alias("text"), lcode.alias("lcode"), *[v.alias(k) for k, v in keys.items()]).dropDuplicates(["__a", "__b"])
-    placed = texts.select("__a", "__b", "lcode", F.posexplode(F.regexp_extract_all("text", F.lit(hard_pattern), F.lit(1))).alias("i", "token"))
-    words = placed.select("token", "lcode").distinct()
-    read = best_path(lattice(words, rules)).select(F.col("token").alias("t"), F.col("lcode").alias("l"), F.array_join(F.transform("edges", lambda e: e.txt), "").alias("r"))
-    joined = placed.join(read, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")))
+    texts = df.where(~easy).select(text.alias("text"), lcode.alias("lcode"), *[v.alias(k) for k, v in keys.items()]).distinct()
+    placed = with_ids(texts.select("__a", "__b", "lcode", F.posexplode(F.regexp_extract_all("text", F.lit(hard_pattern), F.lit(1))).alias("i", "token")))
+    words = placed.select(*ID, "token", "lcode").distinct()
+    read = read_tokens(words, rules).select(*ID, F.array_join(F.transform("edges", lambda e: e.txt), "").alias("r"))
+    joined = placed.select("__a", "__b", "i", *ID).join(read, list(ID))
     readings = joined.groupBy("__a", "__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x.r).alias("__r"))
     # the text between those words; what a word starts with can be punctuation, so nothing else is cut
-    between = F.transform(F.split(text, hard_pattern, -1), lambda x: F.replace(F.replace(romanize_latin(x, lcode if lcode_col else None), F.lit("。"), F.lit(". ")), F.lit("་"), F.lit("·")))
+    between = F.transform(F.split(text, hard_pattern, -1), _between(lcode if lcode_col else None))
     whole = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("__r", i), F.lit("")))), "")
     names = [_column(c) for c in df.columns]
     rows = df.withColumns({k: F.when(~easy, v) for k, v in keys.items()})
@@ -284,6 +573,26 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     return easy_rows.union(hard_rows.select(*names, whole.alias(out_col)))
 
 
+def _read_texts(df: DataFrame, key: str, text_col: str, lcode_col: str | None) -> DataFrame:
+    """(__key, offset, edges, every) of each token of each row; places are of the token, ``offset`` is its place in the text.
+
+    Rows with one key are texts of their own.
+    """
+    lcode = _column(lcode_col) if lcode_col else F.lit(None).cast("string")
+    cut = df.select(_column(key).alias("__key"), lcode.alias("lcode"), tokens(_column(text_col)).alias("__tokens"))
+    # a running sum of lengths, in one step for each token
+    at = F.aggregate("__tokens", F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, t: F.struct((a.sum + F.length(t)).alias("sum"), F.array_append(a.all, a.sum).alias("all")), lambda a: a.all)
+    placed = with_ids(cut.select("__key", "lcode", F.inline(F.arrays_zip(F.col("__tokens").alias("token"), at.alias("offset")))))
+    words = placed.select(*ID, "token", "lcode").distinct()
+    return placed.select("__key", "offset", *ID).join(read_tokens(words), list(ID))
+
+
+def _shifted(rows: DataFrame, key: str, edges: Column) -> DataFrame:
+    # the outer form: Spark would repeat the whole expression of the edges in a filter for the other
+    e = rows.select(F.col("__key").alias("__k"), "offset", F.inline_outer(edges))
+    return e.where("start is not null").select(F.col("__k").alias(key), (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "txt", "type")
+
+
 def romanize_edges(df: DataFrame, key: str, text_col: str, lcode_col: str | None = None, rom_format: str = "edges") -> DataFrame:
     """(key, start, end, txt, type): the chosen edges, or with "lattice" all of them; places are code points of the whole text.
 
@@ -291,25 +600,17 @@ def romanize_edges(df: DataFrame, key: str, text_col: str, lcode_col: str | None
     """
     if rom_format not in FORMATS[1:]:
         raise ValueError(f"rom_format is one of {FORMATS[1:]}")
-    lcode = _column(lcode_col) if lcode_col else F.lit(None).cast("string")
-    rows = df.select(_column(key).alias("__key"), lcode.alias("lcode"), _column(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    cut = rows.select("__key", "lcode", "__row", F.posexplode(tokens(F.col("__text"))).alias("i", "token"))
-    before = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.select("__key", "lcode", "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int").alias("offset"))
-    all_edges = lattice(placed.select("token", "lcode").distinct())
-    if rom_format == "edges":
-        all_edges = best_path(all_edges).select("token", "lcode", F.inline("edges"))
-    e = all_edges.select(F.col("token").alias("t"), F.col("lcode").alias("l"), "start", "end", "txt", "type")
-    both = placed.join(e, (F.col("token") == F.col("t")) & F.col("lcode").eqNullSafe(F.col("l")))
-    return both.select(F.col("__key").alias(key), (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "txt", "type")
+    return _shifted(_read_texts(df, key, text_col, lcode_col), key, F.col("edges" if rom_format == "edges" else "every"))
 
 
 def romanize_alternatives(df: DataFrame, key: str, text_col: str, lcode_col: str | None = None) -> DataFrame:
     """(key, start, end, txt, type): the chosen edges, and as "rom-alt" the other readings of their spans."""
-    chosen = romanize_edges(df, key, text_col, lcode_col)
-    every = romanize_edges(df, key, text_col, lcode_col, "lattice").withColumnRenamed("txt", "other")
-    other = chosen.drop("type").join(every.drop("type"), [key, "start", "end"]).where("other <> txt").select(key, "start", "end", F.col("other").alias("txt"), F.lit("rom-alt").alias("type")).distinct()
-    return chosen.union(other)
+    def others(e: Column) -> Column:
+        same = F.filter("every", lambda x: (x.start == e.start) & (x.end == e.end) & (x.txt != e.txt))
+        return F.array_distinct(F.transform(same, lambda x: F.struct(x.start, x.end, x.txt, F.lit("rom-alt").alias("type")).cast(EDGE)))
+
+    both = F.concat("edges", F.flatten(F.transform("edges", others)))
+    return _shifted(_read_texts(df, key, text_col, lcode_col), key, F.when(F.size("every") > F.size("edges"), both).otherwise(F.col("edges")))
 
 
 def inline_alternatives(edges: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from . import char_tables
 
 _CELL = char_tables.braille_letters()
@@ -41,7 +39,7 @@ RULES = (
     ("اً", "an", "", ""),
     *((s, t, "uig", "") for s, t in zip("ئا ئە ئې ئى ئو ئۇ ئۆ ئۈ ا ى و غ خ چ ج ش ژ".split(), "a e e i o u oe ue a i o gh x ch j sh zh".split(), strict=True)),
     ("ىيە", "ie", "uig", ""), ("يە", "e", "uig", "start"),
-    *((s, t, "yid", "") for s, t in zip("ק ת כ פ ־".split(), "k s ch f -".split(), strict=True)), ("אי", "y", "yid", "start"), ("דווקא", "duuka", "yid", "whole"),
+    *((s, t, "yid", "") for s, t in zip("ק ת כ פ ־".split(), "k s ch f -".split(), strict=True)), ("אי", "y", "yid", "start"),
     *((s, t, "yid", "") for s, t in zip("ווא וו יי ײ װ זש טש א ע ו י".split(), "wa w ey ey w zh tsh a e u y".split(), strict=True)),
     *((s + "\u093c", t, "", "") for s, t in zip("फ ज ड ढ क ख ग".split(), "fa za dda ddha qa kha gha".split(), strict=True)),
     *((s, t, "tam", "") for s, t in zip("ட ழ ள".split(), "da la la".split(), strict=True)),
@@ -65,8 +63,3 @@ RULES = (
     *((s, t, "", "") for s, t in zip("し ち つ ふ じ ぢ づ シ チ ツ フ ジ ヂ ヅ ん ン を ヲ".split(), "shi chi tsu fu ji ji zu shi chi tsu fu ji ji zu n n o o".split(), strict=True)),
 )
 LONGEST = max(len(r[0]) for r in RULES)
-
-
-def rules(spark: SparkSession, more: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
-    """(s, t, lcodes, place): the authored rules and, overriding them, a caller's own."""
-    return spark.createDataFrame([(s, t, lc.split(), place, i) for i, (s, t, lc, place) in enumerate((*RULES, *more))], "s string, t string, lcodes array<string>, place string, load_order int")

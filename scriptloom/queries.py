@@ -111,22 +111,6 @@ def deaccent_lower(spark, d):
     return _t(spark, d, "documents").select("doc_id", latin.deaccent_lower(F.col("text")).alias("folded"))
 
 
-_PARTS = [[x.replace("-", "") for x in parts] for parts in (romanize.HANGUL_LEADS, romanize.HANGUL_VOWELS, romanize.HANGUL_TAILS)]
-
-
-@query(f"""select cp::int as cp, chr((44032 + cp)::int) as syllable, ({_PARTS[0]})[cp // 588 + 1] || ({_PARTS[1]})[cp % 588 // 28 + 1] || ({_PARTS[2]})[cp % 28 + 1] as romanized from range(11172) t(cp)""")
-def hangul_romanize(spark, d):
-    rows = spark.range(11172).select(F.col("id").cast("int").alias("cp"), tx.character(F.col("id") + 44032).alias("syllable"))
-    return rows.withColumn("romanized", romanize.hangul(F.col("syllable")))
-
-
-@query()
-def romanize_scripts(spark, d):
-    """Every letter of the tables' scripts beyond Latin, romanized by itself."""
-    rows = spark.range(0x370, 0x1400).select(F.col("id").cast("int").alias("cp"), tx.character(F.col("id")).alias("c")).where(F.col("c").rlike(r"^\p{L}$"))
-    return romanize.romanize(rows, "c").select("cp", "c", "romanized")
-
-
 # ------------------------------------------------------------------ lines and slots
 
 
@@ -164,36 +148,9 @@ def script_profile(spark, d):
     return stats.script_profile(_t(spark, d, "documents"), "text", "lang")
 
 
-@query("select doc_id, false as rtl from documents")
-def rtl_dominant(spark, d):
-    return _t(spark, d, "documents").select("doc_id", stats.right_to_left(F.col("text")).alias("rtl"))
-
-
 # ------------------------------------------------------------------ numbers
 
 
-@query(f"select z::int as zero, v::int as value, v::varchar as digits from (select unnest({list(numbers.DIGIT_ZEROS)}) as z), range(10) t(v)")
-def native_digits(spark, d):
-    rows = spark.createDataFrame([(z,) for z in numbers.DIGIT_ZEROS], "zero int").crossJoin(spark.range(10).select(F.col("id").cast("int").alias("value")))
-    return rows.select("zero", "value", numbers.ascii_digits(tx.character(F.col("zero") + F.col("value"))).alias("digits"))
-
-
-@query("select * from (values ('三万一千', 31000::bigint), ('一万四千', 14000), ('二百三十四', 234), ('十', 10), ('十五', 15), ('二十', 20), ('一百零五', 105), ('三千零一', 3001), ('一亿二千万', 120000000), ('二〇〇六', 2006), ('两万', 20000), ('九', 9)) t(s, value)")
-def cjk_numbers(spark, d):
-    rows = [(s,) for s in "三万一千 一万四千 二百三十四 十 十五 二十 一百零五 三千零一 一亿二千万 二〇〇六 两万 九".split()]
-    return spark.createDataFrame(rows, "s string").withColumn("value", numbers.han_number(F.col("s")))
-
-
-_NUMERAL = "(['','M','MM','MMM'])[v // 1000 + 1] || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[v % 1000 // 100 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[v % 100 // 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[v % 10 + 1]"
-
-
-@query(f"select {_NUMERAL} as numeral, v::bigint as value from range(1, 4000) t(v)")
-def roman_numerals(spark, d):
-    places = [("", "M", "MM", "MMM"), ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")]
-    digit = lambda p, k: F.element_at(F.array(*map(F.lit, p)), (F.floor(F.col("id") / k) % 10 + 1).cast("int"))
-    return spark.range(1, 4000).select(F.concat(*[digit(p, k) for p, k in zip(places, (1000, 100, 10, 1), strict=True)]).alias("numeral")).withColumn("value", numbers.roman_value(F.col("numeral")))
-
-
 @query("select o_orderkey, format('{:,}', (o_totalprice * 100)::bigint) as cents from orders")
 def commify_totals(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", numbers.with_commas(F.round(F.col("o_totalprice") * 100)).alias("cents"))
@@ -278,11 +235,6 @@ def escape_decode(spark, d):
     return _t(spark, d, "benchmark").select("item_id", tx.escapes_decoded(escaped).alias("text"))
 
 
-@query("select doc_id, text from documents")
-def utf8_repair(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.valid_utf8(F.col("text").cast("binary").cast("string")).alias("text"))
-
-
 @query("select doc_id, text from documents")
 def mojibake_repair(spark, d):
     twice = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import latin, numbers
-from .functions import text as tx
-from .operators import distance, romanize, stats
-from .sources import text_files
-from .sql import register
+from scriptloom.functions import latin, numbers
+from scriptloom.functions import text as tx
+from scriptloom.operators import distance, romanize, stats
+from scriptloom.sources import text_files
+from scriptloom.sql import register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,7 +173,6 @@ heb|פְּנִימָה|penimah
 heb|נֶפֶשׁ|nefesh
 heb|יְהוּדִי|yehudi
 heb|הוֹמִיָּה|homiyah
-yid|דווקא|duuka
 yid|איז|yz
 yid|אן|an
 yid|העברעישער|hebreysher
