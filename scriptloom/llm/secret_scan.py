@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 Span = tuple[str, int, int]
 #: Characters of a signed token's encoded header; real ones have some hundred.
 MOST_HEADER = 4096
+#: Rows that are masked at a time.
+MASKED_ROWS = 256
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -164,6 +166,9 @@ def masked(text: Column, mask: str = "<secret>") -> Column:
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         own = scanner()
-        return pa.array([own.masked(t, mask) if t else t for t in texts.to_pylist()], pa.string())
+        # slices: of a batch of long texts, only some are held as Python strings at a time
+        slices = (texts.slice(i, MASKED_ROWS).to_pylist() for i in range(0, len(texts), MASKED_ROWS))
+        done = [pa.array([own.masked(t, mask) if t else t for t in some], pa.string()) for some in slices]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return run(text)
