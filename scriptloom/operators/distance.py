@@ -239,18 +239,14 @@ def rules_from(lines: list[str]) -> list[Rule]:
 
 
 def signature_letters(rules: Iterable[Rule], most: float) -> dict[str, str]:
-    """Letter -> class letter ("": dropped), such that no rule of at most ``most`` changes the classes of a string, runs of one class taken once."""
-    group = {c: c for c in "abcdefghijklmnopqrstuvwxyz"}
-
-    def sig(s: str) -> str:
-        return re.sub(r"(.)\1+", r"\1", "".join(group.get(c, "") for c in s))
-
+    """Letter of these rules -> class letter ("": dropped), such that no rule of at most ``most`` changes the classes of a string, runs of one class taken once."""
     pairs = sorted(((r.one, r.two) for r in rules if r.cost <= most), key=lambda p: len(p[0] + p[1]))
+    group = {c: c for one, two in pairs for c in one + two}
     changed = True
     while changed:
         changed = False
         for one, two in pairs:
-            a, b = sig(one), sig(two)
+            a, b = _signature(one, group), _signature(two, group)
             if a == b:
                 continue
             changed = True
@@ -260,22 +256,70 @@ def signature_letters(rules: Iterable[Rule], most: float) -> dict[str, str]:
     return group
 
 
+def _signature(s: str, group: dict[str, str]) -> str:
+    return re.sub(r"(.)\1+", r"\1", "".join(group.get(c, c) for c in s), flags=re.DOTALL)
+
+
+@dataclass(frozen=True)
+class Blocking:
+    """Keys by which names at most ``most`` apart meet.
+
+    Rules of at most ``cheap`` may be applied any number of times, so the
+    letters that they can't tell apart are one class in a key.  Dearer rules fit
+    into ``most`` twice at the best: a name's keys are its own, and those after
+    one dear edit of it.  Of two names, one dear edit is made in the first and
+    one in the second; what is left are cheap ones, so they share a key.
+    """
+
+    most: float
+    rules: tuple[Rule, ...]
+
+    @cached_property
+    def cheap(self) -> float:
+        """The least bound beyond which at most two rules fit."""
+        costs = sorted({0.0, *(r.cost for r in self.rules)})
+        return next(c for c in costs if 3 * min((d for d in costs if d > c), default=self.most + 1) > self.most + 1e-9)
+
+    @cached_property
+    def dear(self) -> list[tuple[str, str]]:
+        if self.cheap >= self.most:
+            return []
+        return sorted({(r.one, r.two) for x in self.rules for r in (x, x.flipped()) if self.cheap < r.cost <= self.most})
+
+    @cached_property
+    def group(self) -> dict[str, str]:
+        return signature_letters(self.rules, min(self.cheap, self.most))
+
+    def keys(self, name: str) -> list[str]:
+        name = name.lower()
+        found = {_signature(name, self.group)}
+        for one, two in self.dear:
+            at = name.find(one)
+            while 0 <= at <= len(name):
+                found.add(_signature(name[:at] + two + name[at + len(one) :], self.group))
+                at = name.find(one, at + 1) if at < len(name) else -1
+        return sorted(found)
+
+
 def name_pairs(df: DataFrame, name_col: str, most: float, rules: Iterable[Rule] = RULES) -> DataFrame:
     """(a, b, cost) of all pairs of different names at most ``most`` apart, for ``most`` below 1.
 
-    Below 1 only rules apply, and none changes a name's signature: its letters
-    in classes that rules can't tell apart, without those that they can drop.
-    So the pairs meet by it, none is lost, and only names of one signature
-    are compared.
+    Below 1 only rules apply; names meet by the keys of ``Blocking``, none is
+    lost, and a key is shared only by names that few edits can turn into each
+    other.  Characters that no rule changes stay in the keys, whatever their
+    script.  Null names have no pairs, equal ones are one.
     """
     if most >= 1:
         raise ValueError("from 1 on, any letter may change, so names don't meet by their letters")
     rules = tuple(rules)
-    letters = signature_letters([x for r in rules for x in (r, r.flipped())], most)
-    folded = F.regexp_replace(F.lower(F.col("n")), "[^a-z]", "")
-    key = F.regexp_replace(F.translate(folded, "".join(c for c, g in letters.items() if g) + "".join(c for c, g in letters.items() if not g), "".join(g for g in letters.values() if g)), r"(.)\1+", "$1")
-    names = df.select(F.col(name_col).alias("n")).where("n is not null").distinct().withColumn("key", key)
-    pairs = names.select(F.col("n").alias("a"), "key").join(names.select(F.col("n").alias("b"), "key"), "key").where("a < b")
+    blocking = Blocking(most, rules)
+
+    @F.arrow_udf("array<string>")
+    def keys(names: pa.Array) -> pa.Array:
+        return pa.array([blocking.keys(n) for n in names.to_pylist()], pa.list_(pa.string()))
+
+    names = df.select(F.col(name_col).alias("n")).where("n is not null").distinct().select("n", F.explode(keys(F.col("n"))).alias("key"))
+    pairs = names.select(F.col("n").alias("a"), "key").join(names.select(F.col("n").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     return pairs.select("a", "b", cost_distance(F.col("a"), F.col("b"), rules).alias("cost")).where(F.col("cost") <= most)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers
 from .functions import text as tx
-from .operators import romanize, stats
+from .operators import distance, romanize, stats
 from .queries import BASE, FOLD_SQL, MARKED, _t, query
 from .sources import text_files
 from .sql import register
@@ -347,3 +347,10 @@ def sql_functions(spark, d):
     docs = _t(spark, d, "documents").where(~F.col("text").contains("ß"))
     docs.select("doc_id", "text", F.translate("text", "0123456789", "٠١٢٣٤٥٦٧٨٩").alias("native")).createOrReplaceTempView("scriptloom_documents")
     return spark.sql("select doc_id, deaccent(text) as folded, ascii_digits(native) as digits from scriptloom_documents")
+
+
+@query()
+def near_part_names(spark, d):
+    """All pairs of part names, written with c for k and without a doubled letter, that spelling rules bring within 0.35."""
+    names = _t(spark, d, "part").select(F.explode(F.array("p_name", F.translate("p_name", "k", "c"), F.regexp_replace("p_name", "(.)\\1", "$1"))).alias("name"))
+    return distance.name_pairs(names, "name", 0.35)

@@ -221,12 +221,29 @@ def test_joins_without_broadcast_give_the_same(spark):
 def test_signatures_are_kept_by_rules():
     rules = distance.Costs().rules
     letters = distance.signature_letters(rules, 0.99)
-    sig = lambda s: re.sub(r"(.)\1+", r"\1", "".join(letters.get(c, "") for c in s))
+    sig = lambda s: re.sub(r"(.)\1+", r"\1", "".join(letters.get(c, c) for c in s))
     assert all(sig("b" + r.one + "d") == sig("b" + r.two + "d") for r in rules if r.cost <= 0.99)
     with pytest.raises(ValueError):
         distance.name_pairs(None, "n", 1.0)
 
 
+@pytest.mark.parametrize("most", [0.02, 0.1, 0.15, 0.3, 0.45, 0.6])
+def test_pairs_of_names_are_those_of_all_pairs(spark, most):
+    names = "Catherine Katherine Kathryn Philadelphia Filadelfia Filadelphia Sara Zara Sarah Victor Wictor Viktor colour color coler Dmitry Dmitri Dimitri organisation organization Paris Berlin a aa y 北京 北亰 東京 Москва Москво اب ابا".split()
+    rows = spark.createDataFrame([(n,) for n in [*names, *names, None]], "n string")
+    got = {(r.a, r.b): r.cost for r in distance.name_pairs(rows, "n", most).collect()}
+    costs = distance.Costs(distance.RULES)
+    chart = {n: distance.Chart.of_string(n.lower(), costs) for n in names}
+    expected = {(a, b): c for a in names for b in names if a < b and (c := distance.best(chart[a], chart[b], costs, "", "")[0]) <= most}
+    assert got == expected
+
+
+def test_names_of_other_scripts_do_not_share_a_key():
+    blocking = distance.Blocking(0.15, distance.RULES)
+    assert not set(blocking.keys("北京")) & set(blocking.keys("東京"))
+    assert blocking.cheap == 0.05 and set(blocking.keys("cat")) & set(blocking.keys("kat")) and not set(blocking.keys("cat")) & set(blocking.keys("dog"))
+
+
 def test_rule_files_of_distances():
     rules = distance.rules_from(["# no", "::s1 'ph' ::s2 f ::cost 0.01", "::s1 a ::s2 o ::cost 0.1 ::lc1 rus, ukr ::left1 /b$/ ::right1 [x$]", "::s1 a ::s2 b", "::s1 ::s2 ::cost 1"])
     assert [(r.one, r.two, r.cost, r.lc1, r.left1, r.right1) for r in rules] == [("ph", "f", 0.01, "", "", ""), ("a", "o", 0.1, "rus", "b$", "[x$]"), ("a", "o", 0.1, "ukr", "b$", "[x$]")]
