@@ -135,6 +135,12 @@ def entities_decoded(text: Column) -> Column:
     return F.when(text.rlike(pattern), decoded(F.when(text.rlike(pattern), text))).otherwise(text)
 
 
+def _in_turns(around: Column, found: Column, decoded: Callable[[Column], Column]) -> Column:
+    """What stands around some parts, and the parts decoded, in turns; both arrays are made once, not for each part."""
+    both = F.array(F.struct(around.alias("around"), found.alias("found")))
+    return F.element_at(F.transform(both, lambda s: F.array_join(F.transform(s.around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(s.found, i)), F.lit("")))), "")), 1)
+
+
 def numeric_entities_decoded(text: Column) -> Column:
     """&#233; and &#xE9; as characters, where they are valid code points."""
     pattern = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
@@ -145,7 +151,7 @@ def numeric_entities_decoded(text: Column) -> Column:
         value = F.when(entity.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
         return F.when((value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF), character(value)).otherwise(entity)
 
-    return F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
+    return _in_turns(around, found, decoded)
 
 
 def without_tags(html: Column) -> Column:
@@ -278,7 +284,7 @@ def escapes_decoded(text: Column) -> Column:
         usable = (value > 0x80) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF)
         return F.when(usable, character(value)).otherwise(escape)
 
-    return F.array_join(F.transform(around, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
+    return _in_turns(around, found, decoded)
 
 
 #: How characters beyond ASCII can be shown: before, digits of the code point at least, after.
