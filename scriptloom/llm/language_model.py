@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from itertools import groupby
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import FOLDED, U64, as_long, hashes, mix, text_slices, words
@@ -40,15 +41,15 @@ UNITS = 1 + FREQUENT + GROUPS
 LEAST_COUNT = 20
 #: Words at most whose counts every executor holds besides those of units, the most frequent ones; those beyond are joined.
 HEAD_WORDS = 200_000
-LENGTH, NOISE, RATE = 16, 32, 0.01
+LENGTH, NOISE, RATE = 16, 24, 0.01
 #: Tokens of a step: the first steps are short, and grow with the tokens that a task has seen.
 FIRST_STEP, LAST_STEP, STEP_GROWTH = 64, 4096, 128
 #: A step in one family or class has this part of the tokens; noise that its tokens share; the rate of the rows of units.
-CLASS_PART, CLASS_NOISE, ROW_RATE = 8, 16, 0.1
+CLASS_PART, CLASS_NOISE, ROW_RATE = 8, 12, 0.1
 #: Rows of parameters, or contexts, handled at a time.
 BLOCK, SCORED = 1024, 256
-#: Tokens that a task trains on at least, where there are as many, and tokens to train on in all: fewer are gone through more than once.
-TASK_TOKENS, LEAST_TOKENS = 1_000_000, 500_000
+#: Tokens of a shard: each shard trains a model of its own in each round, so this and the corpus set their number, not the cluster.
+SHARD_TOKENS = 16_000_000
 #: Times that the tasks' models are brought together; each document is in one round.
 ROUNDS = 3
 SMOOTH = 0.1
@@ -367,8 +368,25 @@ def _averaged(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block").slice(0, 1), "moves": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
-    """Train on all of ``texts`` (text), a model for each slot of the cluster, averaged by blocks of rows after each round."""
+def _shard_runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first place, end) of each run of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
+    return [(int(values[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _places(spark: SparkSession, shards: int) -> list[int]:
+    """For each shard a number whose hash is dealt to a partition of its own."""
+    numbers = spark.range(40 * shards + 200).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("at"))
+    return [r[0] for r in numbers.groupBy("at").agg(F.min("id").alias("id")).orderBy("at").select("id").collect()]
+
+
+def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS, passes: int = 1) -> LogBilinear:
+    """Train on all of ``texts`` (text, h), a model for each shard, averaged by blocks of rows after each round.
+
+    A document's hash ``h`` gives its round, its shard and its place there, so
+    the same corpus gives the same model on any cluster.  ``passes``: how often a step
+    goes through its tokens.
+    """
     unit_count = np.full(UNITS, 0.5)
     unit_count[END] += counts.docs
     if len(counts.frequent):
@@ -377,9 +395,9 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
     total = unit_count.sum() + counts.leaf_count.sum()
     model = LogBilinear(unit_count / total, counts.leaf_count / total)
     share = np.concatenate([unit_count, counts.leaf_count]) / total
-    passes = max(1, -(-LEAST_TOKENS // max(1, counts.n)))
+    shards = max(1, -(-counts.n // SHARD_TOKENS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trained(slices: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         (start, turn), info = shared.value, fixed.value
         own, state = start.copied(), {"rate": 1 / (1 + turn)}
         random = np.random.default_rng(11)
@@ -392,32 +410,37 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> LogBilinear:
             for _ in range(passes):
                 own.train(units, one, two, state, random)
 
-        first = turn
-        for batch in batches:
-            texts = batch.column(0).take(pa.array(np.arange(first, len(batch), rounds)))
-            first = (first - len(batch)) % rounds
-            for _, data, offsets in text_slices(texts):
-                word, part, row = _words(data, offsets)
-                held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
-                total += len(held[-1][0])
-                if total >= BATCH_TOKENS:
-                    step()
-                    held, total = [], 0
+        for _, data, offsets in slices:
+            word, part, row = _words(data, offsets)
+            held.append(sequence(info.units(word, part), row, len(offsets) - 1)[:3])
+            total += len(held[-1][0])
+            if total >= BATCH_TOKENS:
+                step()
+                held, total = [], 0
         if total:
             step()
         if met.any():
             state.clear()
-            # a unit that a task hardly met was noise there: that counts for a quarter of its share
+            # a unit that a shard hardly met was noise there: that counts for a quarter of its share
             weighted = met + 0.25 * met.sum() * share
             for (block, weights, rows), (_, _, before) in zip(own.blocks(weighted), start.blocks(weighted), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([(rows - before).astype(np.float16).tobytes()], pa.binary())], names=["block", "weights", "moves"])
 
-    slots = texts.coalesce(max(1, min(texts.sparkSession.sparkContext.defaultParallelism, -(-counts.n // TASK_TOKENS))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Train each shard of a partition, one after the other."""
+        pieces = ((batch, piece) for batch in batches for piece in _shard_runs(batch.column(1).to_numpy()))
+        for _, some in groupby(pieces, lambda x: x[1][0]):
+            yield from trained(found for batch, (_, first, end) in some for found in text_slices(batch.column(0).slice(first, end - first)))
+
     context = texts.sparkSession.sparkContext
+    placed = F.element_at(F.array(*map(F.lit, _places(texts.sparkSession, shards))), (F.pmod(F.shiftright("h", 20), F.lit(shards)) + 1).cast("int"))
+    keyed = texts.withColumn("shard", placed)
     fixed = context.broadcast(counts)
     for turn in range(rounds):
         shared = context.broadcast((model, turn))
-        got = slots.mapInArrow(run, "block long, weights binary, moves binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, moves binary").toArrow()
+        # each text is shuffled in one round only
+        sorted_texts = keyed.where(F.pmod("h", F.lit(rounds)) == turn).repartition(shards, "shard").sortWithinPartitions("shard", "h").select("text", "shard")
+        got = sorted_texts.mapInArrow(run, "block long, weights binary, moves binary").groupBy("block").applyInArrow(lambda t: _averaged(t), "block long, moves binary").toArrow()
         shared.destroy()  # workers keep what isn't destroyed
         before = {block: rows for block, _, rows in model.blocks(share)}
         for block, moves in zip(got.column("block").to_pylist(), got.column("moves"), strict=True):
@@ -454,7 +477,7 @@ def _local_scores(docs: DataFrame, counts: Counts, model: LogBilinear) -> DataFr
     return docs.mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, score double, rest array<long>")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Words are runs without white space, A-Z in lower case; each text has one
@@ -471,7 +494,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     training = rows.where(fold("doc_id", folds) != 0).select("text")
     counted = table(word_counts(training), "word-counts")
     counts = gather_counts(counted, training.count())
-    model = fit(training, counts)
+    hashed = rows.where(fold("doc_id", folds) != 0).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    model = fit(hashed, counts, passes=passes)
     local = table(_local_scores(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), counts, model), "scores")
     rest = local.select("uid", F.explode("rest").alias("word")).join(counted.select("word", "c"), "word", "left")
     beyond = rest.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more"), F.count("c").alias("more_known"))

@@ -210,7 +210,7 @@ def test_model_is_normalised_and_beats_the_base(spark, invented):
     r = invented.random
     words = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
     docs = [(i, " ".join(r.choice(words[i % 3]) for _ in range(120))) for i in range(300)]
-    rows = [x for x in language_model.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.held_out]
+    rows = [x for x in language_model.scored(spark.createDataFrame(docs, "doc_id long, text string"), passes=8).collect() if x.held_out]
     assert sum(x.score for x in rows) > 0.9 * sum(x.base_score for x in rows)
     model = language_model.LogBilinear(np.full(language_model.UNITS, 1 / language_model.UNITS))
     logs = model.log10_normalised(np.arange(5), np.arange(5))
@@ -223,7 +223,7 @@ def test_words_beyond_the_frequent_ones_have_contexts(spark, invented):
     pairs = [(f"first{i} ", f"then{i * 7919 % 100003} ") for i in range(200)]
     docs = [(i, "".join("".join(r.choice(pairs)) for _ in range(60))) for i in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    held = [x for x in language_model.scored(df).collect() if x.held_out]
+    held = [x for x in language_model.scored(df, passes=8).collect() if x.held_out]
     # a unigram has 2.6 a word; half of them are certain
     assert sum(x.score for x in held) > 0.6 * sum(x.base_score for x in held)
     counted = language_model.word_counts(df.select("text"))
@@ -235,6 +235,18 @@ def test_words_beyond_the_frequent_ones_have_contexts(spark, invented):
     assert abs((10.0**logs).sum() - 1) < 1e-4
 
 
+def test_scores_do_not_depend_on_partitions(spark, invented, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 1500)
+    docs = spark.createDataFrame([(i, invented(40)) for i in range(200)], "doc_id long, text string")
+    one = {r.doc_id: round(r.score, 4) for r in language_model.scored(docs.coalesce(1)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert {r.doc_id: round(r.score, 4) for r in language_model.scored(docs.repartition(5)).collect()} == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_language_model_without_training_rows(spark, empty):
     assert language_model.scored(empty).count() == 0
     rows = language_model.scored(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
