@@ -22,7 +22,7 @@ from ..functions.latin import folds, is_ascii, romanize_latin
 from ..functions.numbers import NOT_ALONE, composed
 from ..functions.text import characters, guarded_html
 from ..plans import char_tables
-from ..plans.trie import RULE, rule_table
+from ..plans.trie import RULE, authored, layered, prefix_table, rule_table
 
 #: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation, but no fractions.
 _LATIN = r"\u0000-»¿-ɏḀ-ỿ‐-‧‰-›₠-₿"
@@ -418,15 +418,17 @@ def _path(edges: Column) -> Column:
     return F.aggregate(starts, state(F.lit(0), F.lit(""), none), piece, lambda a: a.path)
 
 
-def read_tokens(words: DataFrame, more: tuple[tuple, ...] = (), prefixes: DataFrame | None = None, longest: int = 0) -> DataFrame:
+def read_tokens(words: DataFrame, more: tuple[tuple, ...] | DataFrame = ()) -> DataFrame:
     """(ta, tb, edges, every): the chosen edges of the different (token, lcode), and all edges that don't depend on what is chosen, or are.
 
     One shuffle: a token's characters meet under its two hashes, see their
     neighbours there, grow the spans of rules, and are put together to the path.
-    The token itself isn't carried along.  ``more`` are rules of the caller;
-    ``prefixes`` and ``longest`` replace all rules by another table of them.
+    The token itself isn't carried along.  ``more`` are rules of the caller, over
+    the authored ones: tuples, or a table of any size.
     """
-    if prefixes is None:
+    if isinstance(more, DataFrame):
+        prefixes, longest = prefix_table(layered(authored(words.sparkSession), more))
+    else:
         prefixes, longest = rule_table(words.sparkSession, more)
     rows = _with_rules(_with_neighbours(_characters(words), longest), prefixes, longest)
     # whether a word goes on here: a letter or sign, or a rule that gives a letter
@@ -499,7 +501,7 @@ def _all_edges() -> Column:
     of_root = F.filter(own, lambda e: F.when(e.need == CARRIES, at(e, "carries")).when(e.need == SILENT, at(e, "silent")).otherwise(True))
     settled = F.transform(of_root, lambda e: F.when(e.need.isin(CARRIES, SILENT), e.withField("need", F.lit(0))).otherwise(e))
     edges = F.when(F.col("roots").isNotNull(), settled).otherwise(own)
-    numbers = F.transform("numbers", lambda n: _edge(n.start, n.end, F.lit(10**9), n.txt, n.type, F.lit(0)))
+    numbers = F.transform("numbers", lambda n: _edge(n.start, n.end, F.lit(10**15), n.txt, n.type, F.lit(0)))
     return F.array_sort(F.when(F.size("numbers") > 0, F.concat(edges, numbers)).otherwise(edges))
 
 
@@ -539,12 +541,13 @@ def _between(lcode: Column | None) -> Callable[[Column], Column]:
     return read
 
 
-def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, ...], ...] | DataFrame = ()) -> DataFrame:
     """``df`` with ``out_col``: ``text_col`` in Latin letters.
 
     ``lcode_col`` names a column of ISO 639-3 codes; ``rules`` are rules of the
-    caller (source, target, space-separated codes, place).  Null texts stay
-    null, the order of rows is not kept.
+    caller: (source, target, space-separated codes, place[, target where a
+    syllable ends]), or a table (s, t, lcodes, place) such as rule files give.
+    Null texts stay null, the order of rows is not kept.
 
     What is shuffled beside the rows themselves are the different texts and,
     for each word to look up, the text's two 64-bit hashes, a place and the
@@ -553,7 +556,7 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     text, lcode = _column(text_col), _column(lcode_col) if lcode_col else F.lit(None).cast("string")
     easy = text.isNull() | is_ascii(text) | text.rlike(LATIN_ONLY)
     hard_pattern = _HARD
-    if rules:
+    if isinstance(rules, DataFrame) or rules:
         easy, hard_pattern = text.isNull(), f"([^{_BREAKS}]+)"
     plain = romanize_latin(text, lcode if lcode_col else None)
     keys = {"__a": F.xxhash64(text, lcode), "__b": F.xxhash64(F.lit(1), text, lcode)}

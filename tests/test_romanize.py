@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scriptloom.functions import latin, numbers
 from scriptloom.functions import text as tx
 from scriptloom.operators import distance, romanize, stats
-from scriptloom.plans import char_tables
+from scriptloom.plans import char_tables, trie
 from scriptloom.sources import text_files
 from scriptloom.streaming.romanize_stream import latin_stream, romanized_writer
 
@@ -70,6 +70,39 @@ def test_own_rules_and_columns(spark):
     assert got.columns == ["text", "n", "romanized"] and sorted(r.romanized for r in got.collect()) == ["XX", "XX", "Zhuk"]
 
 
+def test_rules_in_tables_are_layered(spark):
+    words = [("жук", None), ("ие", "rus"), ("μπα", None), ("กาก", None), ("abба", None)]
+    df = spark.createDataFrame(words, "w string, lcode string")
+    more = (("жу", "JU", "", ""), ("μπ", "MP", "", "start"), ("ие", "YE", "rus", ""), ("ก", "G", "", "", "X"))
+    table = spark.createDataFrame([(s, t, lc.split(), place, i, (*rest, None)[0]) for i, (s, t, lc, place, *rest) in enumerate(more)], "s string, t string, lcodes array<string>, place string, load_order long, at_syllable_end string")
+    old = spark.createDataFrame([("жу", "older", None, None), (None, "x", None, None), ("", "y", None, None)], "s string, t string, lcodes array<string>, place string")
+    read = lambda rules: {r.w: r.romanized for r in romanize.romanize(df, "w", lcode_col="lcode", rules=rules).collect()}
+    assert read(more) == read(trie.layered(old, table)) == {"жук": "JUk", "ие": "YE", "μπα": "MPa", "กาก": "GaaX", "abба": "abba"}
+    prefixes, longest = trie.prefix_table(trie.layered(old, table))
+    assert (longest, {r.prefix: len(r.rules) for r in prefixes.collect()}) == (2, {"ж": 0, "жу": 1, "и": 0, "ие": 1, "μ": 0, "μπ": 1, "ก": 1})
+
+
+def test_what_was_read_on_the_left_decides(spark):
+    rows = [("\u200cие", "rus"), ("5е", "rus"), ("ае", "rus"), ("хе", "rus"), ("⠠⠁⠃", None), ("กอก", None), ("กอา", None)]
+    df = spark.createDataFrame(rows, "w string, lcode string")
+    got = {r.w: r.romanized for r in romanize.romanize(df, "w", lcode_col="lcode").collect()}
+    assert got["5е"] == "5ye" and got["хе"] == "khe" and got["ае"] == "aye" and got["⠠⠁⠃"] == "Ab" and got["กอก"] == "kok"
+
+
+def test_tibetan_roots_by_least_cost(spark):
+    """Syllables: root after a prefix letter, before suffixes, under and over joined letters, and with a written vowel."""
+    readings = {"བོད": "bod", "བཀྲ": "bakr", "ཤིས": "shis", "བདེ": "bde", "ལེགས": "legs", "དང": "dang", "གངས": "gangs", "མཁན": "mkhan", "བསྒྲུབས": "bsgrubs", "ནམ": "nam", "བ": "ba", "པའི": "pa'i"}
+    df = spark.createDataFrame([(w,) for w in readings], "w string")
+    assert {r.w: r.romanized for r in romanize.romanize(df, "w").collect()} == readings
+
+
+def test_long_words_take_time_in_proportion(spark):
+    text = "".join(chr(0x4E00 + i * 7 % 20000) for i in range(20_000))
+    whole = romanize.romanize(spark.createDataFrame([(text,)], "t string"), "t").first().romanized
+    parts = romanize.romanize(spark.createDataFrame([(text[i : i + 1000], i) for i in range(0, 20_000, 1000)], "t string, i int"), "t").orderBy("i").collect()
+    assert whole == "".join(r.romanized for r in parts)
+
+
 def test_ascii_is_left_alone_by_every_mode(spark):
     text = "".join(map(chr, range(32, 127)))
     df = spark.createDataFrame([(1, text)], "i int, text string")
