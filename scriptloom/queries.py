@@ -37,6 +37,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def once(c):
+    """A column that is computed once for each row: as a generated one it isn't repeated in every filter and expression that uses it."""
+    return F.explode_outer(F.array(c))
+
+
 # ------------------------------------------------------------------ romanization
 
 
@@ -61,7 +66,7 @@ _LATIN_LETTERS, _GEORGIAN = "abgdevziklmnoprsuqjhx", "აბგდევზი
 @query(f"select doc_id, {FOLD_SQL.format('text')} as romanized from documents")
 def romanize_georgian_documents(spark, d):
     """The documents with most of their letters written in Georgian: reading them gives the letters back."""
-    docs = _t(spark, d, "documents").select("doc_id", F.translate("text", _LATIN_LETTERS, _GEORGIAN).alias("text"))
+    docs = _t(spark, d, "documents").select("doc_id", once(F.translate("text", _LATIN_LETTERS, _GEORGIAN)).alias("text"))
     return romanize.romanize(docs, "text").select("doc_id", "romanized")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import numbers
 from .functions import text as tx
 from .operators import distance, romanize, stats
-from .queries import BASE, FOLD_SQL, MARKED, _t, query
+from .queries import BASE, FOLD_SQL, MARKED, _t, once, query
 from .sources import text_files
 from .sql import register
 
@@ -31,7 +31,7 @@ def _written(spark, d: str, table: str, key: list[str], *scripts: tuple[str, str
     text = F.col("text")
     for latin, other in scripts:
         text = F.translate(text, latin, other)
-    return _t(spark, d, table).select(*key, text.alias("text"))
+    return _t(spark, d, table).select(*key, once(text).alias("text"))
 
 
 # ------------------------------------------------------------------ scripts
@@ -97,7 +97,7 @@ def romanize_devanagari_documents(spark, d):
     for c, own in zip(*DEVANAGARI, strict=True):
         text = F.replace(text, F.lit(c), F.lit(own + _VIRAMA))
     text = F.translate(F.replace(text, F.lit("\u0001"), F.lit("क")), *DEVANAGARI_VOWELS)
-    return romanize.romanize(_t(spark, d, "documents").select("doc_id", text.alias("text")), "text").select("doc_id", "romanized")
+    return romanize.romanize(_t(spark, d, "documents").select("doc_id", once(text).alias("text")), "text").select("doc_id", "romanized")
 
 
 #: Fixed values of the SQL: sounds of the parts of Hangul syllables.
@@ -184,7 +184,7 @@ def _han(n: Column) -> Column:
 def cjk_numbers(spark, d):
     """A number of each order in Han numerals: its value, and its readings with a sign and without."""
     n = (F.col("o_orderkey") * 7919) % 99999999 + 1
-    rows = _t(spark, d, "orders").select("o_orderkey", _han(n).alias("han"))
+    rows = _t(spark, d, "orders").select("o_orderkey", once(_han(n)).alias("han"))
     rows = rows.withColumns({"value": numbers.han_number(F.col("han")), "signed": F.concat(F.lit("负"), "han")})
     one = romanize.romanize(rows, "han")
     return romanize.romanize(one, "signed", "negative").select("o_orderkey", "value", "romanized", "negative")
@@ -193,7 +193,7 @@ def cjk_numbers(spark, d):
 @query("select p_partkey, (p_partkey % 89 + 11)::varchar || '/' || (p_partkey % 97 + 101)::varchar as fraction, (p_partkey % 97 + 1)::varchar || '%' as percentage from part")
 def han_fractions(spark, d):
     below, above, part = F.col("p_partkey") % 97 + 101, F.col("p_partkey") % 89 + 11, F.col("p_partkey") % 97 + 1
-    rows = _t(spark, d, "part").select("p_partkey", F.concat(_han(below), F.lit("分之"), _han(above)).alias("a"), F.concat(F.lit("百分之"), _han(part)).alias("b"))
+    rows = _t(spark, d, "part").select("p_partkey", once(F.struct(F.concat(_han(below), F.lit("分之"), _han(above)).alias("a"), F.concat(F.lit("百分之"), _han(part)).alias("b"))).alias("x")).select("p_partkey", "x.a", "x.b")
     return romanize.romanize(romanize.romanize(rows, "a", "fraction"), "b", "percentage").select("p_partkey", "fraction", "percentage")
 
 
