@@ -576,7 +576,7 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     return easy_rows.union(hard_rows.select(*names, whole.alias(out_col)))
 
 
-def _read_texts(df: DataFrame, key: str, text_col: str, lcode_col: str | None) -> DataFrame:
+def _read_texts(df: DataFrame, key: str, text_col: str, lcode_col: str | None, read: Callable[[DataFrame], DataFrame] = read_tokens) -> DataFrame:
     """(__key, offset, edges, every) of each token of each row; places are of the token, ``offset`` is its place in the text.
 
     Rows with one key are texts of their own.
@@ -587,7 +587,7 @@ def _read_texts(df: DataFrame, key: str, text_col: str, lcode_col: str | None) -
     at = F.aggregate("__tokens", F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, t: F.struct((a.sum + F.length(t)).alias("sum"), F.array_append(a.all, a.sum).alias("all")), lambda a: a.all)
     placed = with_ids(cut.select("__key", "lcode", F.inline(F.arrays_zip(F.col("__tokens").alias("token"), at.alias("offset")))))
     words = placed.select(*ID, "token", "lcode").distinct()
-    return placed.select("__key", "offset", *ID).join(read_tokens(words), list(ID))
+    return placed.select("__key", "offset", *ID).join(read(words), list(ID))
 
 
 def _shifted(rows: DataFrame, key: str, edges: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..plans import char_tables
+from ..plans import char_classes, char_tables
 
 
 def character_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -21,6 +21,12 @@ def script_profile(df: DataFrame, text_col: str, by: str) -> DataFrame:
     return counts.groupBy(by, tx.character_type(F.col("char")).alias("char_type")).agg(F.sum("n").alias("n"))
 
 
+def class_profile(df: DataFrame, text_col: str, by: str) -> DataFrame:
+    """(by, char_class, is_letter, n): characters by their class; the class is looked up once for each different character."""
+    counts = df.select(by, F.explode(tx.characters(F.col(text_col))).alias("char")).groupBy(by, "char").agg(F.count("*").alias("n"))
+    return char_classes.with_class(counts, "char").groupBy(by, "char_class", "is_letter").agg(F.sum("n").alias("n"))
+
+
 def right_to_left(text: Column) -> Column:
     """Whether Hebrew, Arabic, N'Ko and Thaana letters outnumber other letters."""
     rtl = F.regexp_count(text, F.lit(r"[\p{IsHebrew}\p{IsArabic}\p{IsNko}\p{IsThaana}&&\p{L}]"))

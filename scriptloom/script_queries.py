@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers
 from .functions import text as tx
-from .operators import distance, romanize, stats
+from .operators import chart, distance, romanize, stats
 from .queries import BASE, FOLD_SQL, MARKED, _t, once, query
 from .sources import text_files
 from .sql import register
@@ -152,6 +152,58 @@ def suspicious_readings_benchmark(spark, d):
     return stats.suspicious_readings(romanize.romanize_edges(rows, "item_id", "text"))
 
 
+def _digest(edges: DataFrame, *types: str) -> DataFrame:
+    """A row for each document: how many edges, how many of each type, and their readings in order."""
+    counts = [F.count_if(F.col("type") == t).alias("n_" + t.replace("-", "_")) for t in types]
+    one = edges.groupBy("doc_id").agg(F.count("*").alias("n_edges"), *counts, F.sum(F.col("end") - F.col("start")).alias("covered"), F.array_sort(F.collect_list(F.struct("start", "txt"))).alias("all"))
+    return one.withColumn("digest", F.md5(F.array_join(F.transform("all", lambda e: e.txt), "").cast("binary"))).drop("all")
+
+
+def _n(letters: str) -> str:
+    return f"(length(text) - length(regexp_replace(text, '[{letters}]', '', 'g')))::bigint"
+
+
+@query(f"""select doc_id, length(text)::bigint as n_edges, {_n('kgtdnp')} as n_virama, {_n('e')} as n_zero_width_char, {_n('s')} as n_diacritic, {_n('h')} as n_japanese_vowel_lengthening,
+length(text)::bigint + {_n('kgtdnpesh')} as covered, md5({FOLD_SQL.format("replace(replace(text, 'h', 'oo'), 's', 'ba')")}) as digest from documents where text <> ''""")
+def chart_edges_documents(spark, d):
+    """Whole documents with viramas, joiners, Khmer signs and lengthened kana: each belongs to the edge of the letter before it."""
+    text = F.col("text")
+    for c, own in (*zip("kgtdnp", ("कगतदनप"[i] + _VIRAMA for i in range(6)), strict=True), ("e", "e\u200c"), ("s", "\u1794\u17c9"), ("h", "オー")):
+        text = F.replace(text, F.lit(c), F.lit(own))
+    return _digest(chart.chart_edges(_t(spark, d, "documents").select("doc_id", once(text).alias("text")), "doc_id", "text"), "virama", "zero-width-char", "diacritic", "japanese-vowel-lengthening")
+
+
+@query(f"""select doc_id, (length(text) + (length(text) - length(replace(text, 'nt', ''))) // 2 + (length(text) - length(regexp_replace(text, '(^|[^{_LETTER}])nt', '\\1', 'g'))) // 2)::bigint as n_edges,
+((length(text) - length(replace(text, 'nt', ''))) // 2)::bigint as n_inside, ((length(text) - length(regexp_replace(text, '(^|[^{_LETTER}])nt', '\\1', 'g'))) // 2)::bigint as n_at_start from documents where text <> ''""")
+def lattice_in_sql(spark, d):
+    """Nu and tau of all documents in the lattice that SQL gives: letters, nd at each place, and d where a word starts."""
+    register(spark)
+    _written(spark, d, "documents", ["doc_id"], ("nt", "ντ")).where("text <> ''").createOrReplaceTempView("scriptloom_greek")
+    return spark.sql("""select doc_id, count(*) as n_edges, count_if(e.txt = 'nd') as n_inside, count_if(e.txt = 'd' and e.end = e.start + 2) as n_at_start
+        from scriptloom_greek, lateral lattice_edges(text, cast(null as string)) e group by doc_id""")
+
+
+#: Letters and digits in other scripts, and the class of each.
+CLASSED = {
+    "a": ("ф", "Cyrillic letter"), "b": ("ב", "Hebrew letter"), "c": ("٣", "Arabic Indic digit"), "d": ("ع", "Arabic letter"), "e": ("λ", "Greek letter"), "f": ("।", "Devanagari punctuation"),
+    "g": ("ग", "Devanagari letter"), "h": ("한", "Korean Hangul syllable"), "i": ("い", "Japanese hiragana character"), "j": ("ジ", "Japanese katakana character"), "k": ("漢", "CJK character"), "l": ("ລ", "Lao character"),
+    "m": ("μ", "Greek letter"), "n": ("௧", "Tamil digit"), "o": ("→", "arrow symbol"), "p": ("֊", "Armenian punctuation"), "q": ("੧", "Gurmukhi digit"), "r": ("∑", "mathematical operator"),
+    "s": ("☃", "pictograph"), "t": ("ሰ", "Ethiopic syllable"), "u": ("𓀀", "Egyptian hieroglyph"), "v": ("½", "fraction"), "w": ("𐎀", "other character"), "x": ("Ⅳ", "Roman number"), "y": ("ａ", "fullwidth Latin letter"), "z": ("́", "combining-diacritic"),
+    "0": ("৳", "Bengali currency"), "1": ("€", "non-ASCII currency"), "2": ("²", "superscript digit"), "3": ("༣", "Tibetan digit"), "4": ("፬", "Ethiopic digit"), "5": ("๕", "Thai digit"),
+}
+_CLASS_ROWS = ", ".join(f"('{c}', '{label}')" for c, (_, label) in CLASSED.items())
+
+
+@query(f"""with c as (select coalesce(lang, '') as lang, unnest(string_split(text, '')) as c from documents where text <> ''), k as (select * from (values {_CLASS_ROWS}) k(c, label)),
+l as (select lang, case when label is not null then label when c between 'A' and 'Z' then 'ASCII Latin letter' when c between '0' and '9' then 'ASCII digit' when c = ' ' or c between chr(9) and chr(13) then 'ASCII whitespace'
+when c < ' ' or c = chr(127) then 'ASCII control-character' when c = '$' then 'ASCII currency' when c < chr(128) then 'ASCII punctuation' else 'non-ASCII Latin letter' end as char_class from c left join k using (c))
+select lang, char_class, regexp_matches(char_class, '(letter|syllable|CJK character|(hiragana|katakana) character|diacritic)$') as is_letter, count(*) as n from l group by all""")
+def char_class_documents(spark, d):
+    """The characters of all documents, most of them written in other scripts and signs, by class."""
+    text = F.translate("text", "".join(CLASSED), "".join(o for o, _ in CLASSED.values()))
+    return stats.class_profile(_t(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), once(text).alias("text")), "text", "lang")
+
+
 # ------------------------------------------------------------------ numbers
 
 
