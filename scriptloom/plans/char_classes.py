@@ -53,6 +53,10 @@ RANGES = """
 0730-074A Syriac diacritic
 08A0-08BF Arabic letter
 08C0-08FF other Arabic
+09F2-09F9 Bengali currency
+0C78-0C7E Telegu fraction
+0D58-0D5E Malayalam digit
+0D66-0D78 Malayalam digit
 0F01-0F14 Tibetan punctuation
 0F15-0F1F Tibetan sign
 0F20-0F33 Tibetan digit
@@ -141,9 +145,17 @@ FFFD-FFFD replacement character
 10050-1005F Linear B symbol
 10000-1005D Linear B syllable
 10080-100FF Linear B ideogram
+10CFA-10CFF Old Hungarian number
 12400-1246F Cuneiform digit
 12470-1247F Cuneiform punctuation
 12000-1257F Cuneiform sign
+13068-13068 Egyptian hieroglyph number
+130AD-130B6 Egyptian hieroglyph number
+13190-13190 Egyptian hieroglyph number
+131BC-131C4 Egyptian hieroglyph number
+13362-1336B Egyptian hieroglyph number
+13386-13392 Egyptian hieroglyph number
+133FA-13403 Egyptian hieroglyph number
 13000-1343F Egyptian hieroglyph
 1F000-1F02F Mahjong symbol
 1F030-1F09F Domino symbol
