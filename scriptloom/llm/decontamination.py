@@ -33,6 +33,11 @@ def term_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
 
 
+def _rows_of_100_bytes(df: DataFrame, size: Column) -> int:
+    """How many rows of 100 bytes ``df`` weighs, at least one for each of its rows; ``size`` is what a row has beyond some fixed fields."""
+    return df.agg(F.coalesce(F.sum(1 + F.floor(size / 100)), F.lit(0))).first()[0]
+
+
 @dataclass
 class TestSet:
     """The different word sequences of the test items: what is looked up, and whose it is."""
@@ -66,7 +71,7 @@ def build_index(docs: DataFrame, test: TestSet, id_col: str = "doc_id", text_col
     """
     terms = test.terms.select("term").distinct().withColumn("term_id", F.xxhash64("term"))
     terms = table(terms, "terms")
-    n_terms = terms.count()
+    n_terms = _rows_of_100_bytes(terms, F.octet_length("term"))
     wanted = terms.union(docs.sparkSession.createDataFrame([("", -1)], "term string, term_id long"))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), term_array(F.col(text_col)).alias("words"))
     rows = rows.select("uid", "doc_id", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "term"))
@@ -117,7 +122,7 @@ def find(index: PositionalIndex, test: TestSet, window: int = 10, slop: int = 5)
     multiple of slop + 1: all starts that differ by slop + 1 at most are found.
     """
     plans = _plans(index, test, window)
-    n_plans = plans.count()
+    n_plans = _rows_of_100_bytes(plans, F.size("terms") * 8 + F.size("wins") * (8 + 4 * RAREST))
     hits = _rare_hits(index, plans)
     exact = _agreed(hits.groupBy("uid", "phrase", "start").agg(F.collect_set("j").alias("js")), plans, n_plans)
     exact = table(exact, "starts")

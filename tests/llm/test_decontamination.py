@@ -1,7 +1,10 @@
 import hashlib
 import re
 
-from scriptloom.llm.decontamination import build_index, contamination, decontaminated, find, read_test_set
+from pyspark.sql import functions as F
+
+from scriptloom.llm import scratch
+from scriptloom.llm.decontamination import _rows_of_100_bytes, build_index, contamination, decontaminated, find, read_test_set
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,6 +73,15 @@ def test_proximity_finds_reordered_passages(spark):
     assert [r.doc_id for r in near.collect()] == [1]
 
 
+def test_long_items_are_weighed_by_bytes_and_joined_by_shuffles(spark, invented, monkeypatch):
+    weight = lambda texts: _rows_of_100_bytes(spark.createDataFrame([(t,) for t in texts], "t string"), F.octet_length("t"))
+    assert (weight(["a", "b"]), weight(["a" * 1000, "é" * 50]), weight([])) == (2, 13, 0)
+    items = [(1, invented(400)), (2, invented(12)), (3, invented(3))]
+    docs = [(i, f"{invented(5)} {items[i % 3][1]} {invented(7)}") for i in range(6)]
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    assert got(contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items, 10)
+
+
 def test_native_plan(spark, messy):
     plan = contamination(messy, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
