@@ -11,8 +11,10 @@ are named by two hashes and never carried along.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from ..functions.latin import folds, is_ascii, romanize_latin
 from ..functions.numbers import NOT_ALONE, composed
 from ..functions.text import characters, guarded_html
 from ..plans import char_tables
+from ..plans.rules import RULES
 from ..plans.trie import RULE, authored, layered, prefix_table, rule_table
 
 #: Text that expressions alone can romanize: ASCII, Latin letters and general punctuation, but no fractions.
@@ -623,16 +626,46 @@ def inline_alternatives(edges: DataFrame, key: str) -> DataFrame:
     return spans.select(key, "start", shown.alias("t")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))), lambda x: x.t), "").alias("romanized"))
 
 
-def quick(text: Column) -> Column:
-    """A rough reading by expressions alone: each letter of the listed scripts by its sound, without regard to its neighbours."""
+#: Characters that a match of the quick reading covers at most.
+QUICK = 4
+
+
+@cache
+def _quick_rules(lcode: str) -> tuple[dict[str, str], str]:
+    """Readings of the sources of two to QUICK characters that hold anywhere in a word, those of the language first, and a pattern that finds the longest."""
+    found: dict[str, str] = {}
+    for codes in ((), (lcode,)):
+        found |= {s: t for s, t, lc, place, *_ in RULES if 1 < len(s) <= QUICK and not place and (not lc if not codes else lcode in lc.split())}
+    firsts: dict[str, list[str]] = {}
+    for s in sorted(found, key=len, reverse=True):
+        firsts.setdefault(s[0], []).append(s[1:])
+    pattern = "|".join(f"{c}(?:{'|'.join(rests)})" for c, rests in firsts.items())
+    return found, f"(?:(?=[{''.join(firsts)}])(?:{pattern}))"
+
+
+def quick(text: Column, lcode: str = "") -> Column:
+    """A rough reading by expressions alone: from the left the longest of the rules of up to four characters, else each letter by its own sound.
+
+    Rules hold in any place of a word and without regard to what is beside
+    them; those of ``lcode`` come first.  Null stays null.
+    """
     sounds = {c: t for c, t in char_tables.letter_sounds().items() if t.isascii()}
     sounds |= {c: sounds[base] for c, base in folds().items() if c not in sounds and base in sounds}
-    out = F.translate(text, "".join(c for c, t in sounds.items() if len(t) == 1), "".join(t for t in sounds.values() if len(t) == 1))
-    out = F.translate(out, "".join(c for c, t in sounds.items() if not t), "")
-    for c, t in sounds.items():
-        if len(t) > 1:
-            out = F.replace(out, F.lit(c), F.lit(t))
-    return F.when(is_ascii(text), text).otherwise(out)
+    found, pattern = _quick_rules(lcode)
+
+    def letters(x: Column) -> Column:
+        out = F.translate(x, "".join(c for c, t in sounds.items() if len(t) == 1), "".join(t for t in sounds.values() if len(t) == 1))
+        out = F.translate(out, "".join(c for c, t in sounds.items() if not t), "")
+        for c, t in sounds.items():
+            if len(t) > 1:
+                out = F.replace(out, F.lit(c), F.lit(t))
+        return out
+
+    # the readings are ASCII, so what is put in place of the matches isn't read again
+    table = F.from_json(F.lit(json.dumps(found)), "map<string,string>")
+    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    joined = F.array_join(F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(F.try_element_at(table, F.get(matches, i)), F.lit("")))), "")
+    return F.when(is_ascii(text), text).otherwise(letters(F.when(text.rlike(pattern), joined).otherwise(text)))
 
 
 def mouse_over(edges: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:

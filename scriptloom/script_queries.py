@@ -129,6 +129,13 @@ def quick_romanize_documents(spark, d):
     return docs.select("doc_id", romanize.quick(F.translate("text", *CYRILLIC)).alias("romanized"))
 
 
+@query("select doc_id, replace(text, 'nt', 'nd') as romanized from documents")
+def quick_matches_documents(spark, d):
+    """Pairs of Greek letters and of kana in all documents, read as one."""
+    text = F.replace(F.replace(F.replace("text", F.lit("sha"), F.lit("しゃ")), F.lit("ou"), F.lit("ου")), F.lit("nt"), F.lit("ντ"))
+    return _t(spark, d, "documents").select("doc_id", once(text).alias("text")).select("doc_id", romanize.quick(F.col("text")).alias("romanized"))
+
+
 _HTML_ONE = """case when x in ('b','g','d') then '<span title="' || translate(x, 'bgd', 'ბგდ') || '">' || x || '</span>' when x = '&' then '&amp;' when x = '<' then '&lt;' when x = '>' then '&gt;' when x = '"' then '&quot;' else x end"""
 
 

@@ -1,4 +1,6 @@
-from scriptloom.operators import chart, stats
+from pyspark.sql import functions as F
+
+from scriptloom.operators import chart, romanize, stats
 from scriptloom.plans import char_classes
 from scriptloom.sql import register
 
@@ -69,3 +71,10 @@ def test_lattice_in_sql(spark):
     assert (0, 2, "iye", "rom") in edges("'ие'", "'rus'") and (0, 2, "iye", "rom") not in edges("'ие'", "'ukr'")
     assert edges("null", "null") == edges("''", "null") == set()
     assert edges("'x'", "null") == {(0, 1, "x", "orig")}
+
+
+def test_quick_takes_the_longest_match_from_the_left(spark):
+    rows = spark.createDataFrame([("しゃ きょку",), ("μουντ",), ("เกาะ",), ("щи ие",), ("abc",), ("",), (None,)], "t string")
+    got = [(r.q, r.rus) for r in rows.select(romanize.quick(F.col("t")).alias("q"), romanize.quick(F.col("t"), "rus").alias("rus")).collect()]
+    assert [q for q, _ in got] == ["sha kyoku", "mound", "ko", "shchi ie", "abc", "", None]
+    assert got[3][1] == "shchi iye" and got[0][0] == got[0][1]
