@@ -11,7 +11,6 @@ are named by two hashes and never carried along.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from functools import cache
@@ -662,9 +661,11 @@ def quick(text: Column, lcode: str = "") -> Column:
         return out
 
     # the readings are ASCII, so what is put in place of the matches isn't read again
-    table = F.from_json(F.lit(json.dumps(found)), "map<string,string>")
-    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    joined = F.array_join(F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(F.try_element_at(table, F.get(matches, i)), F.lit("")))), "")
+    # a constant: the planner builds the map once
+    table = F.str_to_map(F.lit("\n".join(f"{s}\t{t}" for s, t in found.items())), F.lit("\n"), F.lit("\t"))
+    # both lists are made once for a text, not once for each of their members
+    cut = F.struct(F.split(text, pattern, -1).alias("rest"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("matches"))
+    joined = _let(cut, lambda k: F.array_join(F.transform(k.rest, lambda x, i: F.concat(x, F.coalesce(F.try_element_at(table, F.get(k.matches, i)), F.lit("")))), ""))
     return F.when(is_ascii(text), text).otherwise(letters(F.when(text.rlike(pattern), joined).otherwise(text)))
 
 
