@@ -46,17 +46,20 @@ def plain_text(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
-    """A number that more may be added to: what large powers gave so far, the block below them, and the ones that wait for a unit."""
+    """A number that more may be added to: what large powers gave so far, the block below them, and the ones that wait for a unit.
+
+    Values are whole numbers, or decimals where digits have a point or are many.
+    """
 
     start: int
     middle: int
-    total: Decimal | None = None
+    total: int | Decimal | None = None
     total_base: int = 0
-    block: Decimal | None = None
+    block: int | Decimal | None = None
     block_base: int = 0
-    low: Decimal | None = None
+    low: int | Decimal | None = None
     low_txt: str | None = None
     tag: bool = False
     parts: int = 0
@@ -64,19 +67,19 @@ class _Open:
     def texts(self, end: int) -> Iterator[tuple[int, int, str, float]]:
         if not self.parts:
             return
-        shown = lambda v: f"{v.normalize():f}"
+        shown = lambda v: str(v) if isinstance(v, int) else f"{v.normalize():f}"
         low = self.low
         if self.tag and self.block is None and low is not None and 1 <= low <= 9 and self.total_base >= 1000:
-            low = low * self.total_base / 10
-        rest = None if self.block is None and low is None else (self.block or Decimal(0)) + (low or 0)
+            low = low * self.total_base // 10  # a tag is a Han digit, a large power a multiple of ten
+        rest = None if self.block is None and low is None else (self.block or 0) + (low or 0)
         if self.total is not None and rest is not None and self.total_base <= max(rest, self.block_base):
             yield self.start, self.middle, shown(self.total), float(self.total)
             yield self.middle, end, shown(rest), float(rest)
             return
-        whole = (self.total or Decimal(0)) + (rest or 0)
+        whole = (self.total or 0) + (rest or 0)
         yield self.start, end, self.low_txt if self.parts == 1 and self.low_txt else shown(whole), float(whole)
 
-    def fits(self, value: Decimal, base: int, digits: bool) -> bool:
+    def fits(self, value: int | Decimal, base: int, digits: bool) -> bool:
         above = self.block_base if self.block is not None else self.total_base
         if not self.parts:
             return True
@@ -87,7 +90,7 @@ class _Open:
             return (self.low is None or self.low >= 1) and (self.block is None or (self.block_base > own and self.block_base > base))
         return (self.block or 0) + (self.low or 0) > 0 and (self.total is None or self.total_base > base)
 
-    def take(self, at: int, end: int, value: Decimal, base: int, text: str | None, tag: bool) -> None:
+    def take(self, at: int, end: int, value: int | Decimal, base: int, text: str | None, tag: bool) -> None:
         if base < 10000 and self.block is None and self.low is None:
             self.middle = at
         if base < 10:
@@ -102,18 +105,22 @@ class _Open:
         self.parts += 1
 
 
-def compose(run: str, props: list[dict]) -> list[tuple[int, int, str, float | None]]:
+#: Digits up to which a number is counted in whole numbers.
+_WHOLE = 15
+
+
+def compose(run: str, values: list[int | None], bases: list[int | None], fractions: list[str | None]) -> list[tuple[int, int, str, float | None]]:
     """The numbers of one run of numerals, as ``composed`` describes them."""
     found: list[tuple[int, int, str, float | None]] = []
     number, at = _Open(0, 0), 0
     with localcontext() as context:
         context.prec = 200
         for m in _ITEM.finditer(run):
-            at, end, text, own = m.start(), m.end(), m[0], props[m.start()]
+            at, end, text = m.start(), m.end(), m[0]
             digits = "0" <= text[0] <= "9"
-            value = Decimal(text) if digits else None if own["value"] is None else Decimal(own["value"])
-            base = 1 if digits else own["base"]
-            fraction = None if digits else own["fraction"]
+            value, base, fraction = values[at], bases[at], fractions[at]
+            if digits:
+                value, base, fraction = int(text) if len(text) <= _WHOLE and text.isdecimal() else Decimal(text), 1, None
             if fraction or value is None or not number.fits(value, base, digits):
                 found += number.texts(at)
                 number = _Open(at, at)
@@ -122,22 +129,19 @@ def compose(run: str, props: list[dict]) -> list[tuple[int, int, str, float | No
             if fraction or value is None:
                 number = _Open(end, end)
                 continue
-            before = props[at - 1]["value"] if at else None
+            before = values[at - 1] if at else None
             number.take(at, end, value, base, text if digits else None, not digits and value > 0 and bool(before))
         found += number.texts(len(run))
     return found
 
 
-def _runs(numerals: list[dict] | None) -> Iterator[list[dict]]:
-    """Runs of numerals that stand side by side and have one beyond ASCII."""
-    run: list[dict] = []
-    for n in [*(numerals or ()), None]:
-        if run and (n is None or n["pos"] != run[-1]["pos"] + 1):
-            if any(x["native"] for x in run):
-                yield run
-            run = []
-        if n is not None:
-            run.append(n)
+def _runs(pos: list[int], native: list[bool], start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Runs of numerals from ``start`` to ``stop`` that stand side by side and have one beyond ASCII."""
+    for i in range(start, stop):
+        if i + 1 == stop or pos[i + 1] != pos[i] + 1:
+            if any(native[start : i + 1]):
+                yield start, i + 1
+            start = i + 1
 
 
 def composed(numerals: Column) -> Column:
@@ -158,14 +162,20 @@ def composed(numerals: Column) -> Column:
 
     @F.arrow_udf(f"array<{NUMBER}>")
     def read(column: pa.Array) -> pa.Array:
-        rows = []
-        for numerals in column.to_pylist():
-            rows.append([])
-            for run in _runs(numerals):
-                first = run[0]["pos"]
-                for start, end, txt, value in compose("".join(n["numeral"] for n in run), run):
-                    rows[-1].append({"start": first + start, "end": first + end, "txt": txt, "value": value})
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("txt", pa.string()), ("value", pa.float64())])))
+        # the fields of all numerals as flat lists: one object for each field of each numeral would take most of the time
+        fields = dict(zip([f.name for f in column.type.value_type], column.flatten().flatten(), strict=True))
+        pos, numeral, values, bases, fractions, native = (fields[k].to_pylist() for k in ("pos", "numeral", "value", "base", "fraction", "native"))
+        found, ends, start = [], [0], 0
+        for n in column.value_lengths().to_pylist():
+            stop = start + (n or 0)
+            for a, b in _runs(pos, native, start, stop):
+                numbers = compose("".join(numeral[a:b]), values[a:b], bases[a:b], fractions[a:b])
+                found += [(pos[a] + s, pos[a] + e, txt, value) for s, e, txt, value in numbers]
+            ends.append(len(found))
+            start = stop
+        names, kinds = ("start", "end", "txt", "value"), (pa.int32(), pa.int32(), pa.string(), pa.float64())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
     return read(numerals)
 
