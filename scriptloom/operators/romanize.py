@@ -248,7 +248,6 @@ def _single() -> Column:
     is_tibetan = (script == "TIBETAN") & kind.isin("letter", "medial")
     tibetan = F.array(_reading(F.lit(""), SILENT), _reading(F.concat(letters, F.lit("a")), CARRIES), _reading(letters))
     is_thai = (script == "THAI") & (kind != "digit")
-    readings = F.when(_yes(is_tibetan), tibetan).when(_yes(is_thai), _thai()).otherwise(F.array(_reading(txt)))
     # a virama belongs to the letter it silences
     end = F.col("pos") + F.when(_yes((kind == "letter") & (F.col("n1.kind") == "virama")), 2).otherwise(1)
     named = lambda t: (
@@ -261,7 +260,9 @@ def _single() -> Column:
         .when(F.col("decomposed"), "rom decomp")
         .otherwise("rom")
     )
-    return F.transform(readings, lambda r, i: _edge(F.col("pos"), end, 100 - i, r.txt, named(r.txt), r.need))
+    # letters of one reading, nearly all, go without a loop: what is inside of one isn't in generated code
+    several = F.transform(F.when(_yes(is_tibetan), tibetan).otherwise(_thai()), lambda r, i: _edge(F.col("pos"), end, 100 - i, r.txt, named(r.txt), r.need))
+    return F.when(_yes(is_tibetan) | _yes(is_thai), several).otherwise(F.array(_edge(F.col("pos"), end, F.lit(100), txt, named(txt), F.lit(0))))
 
 
 def _edge(start: Column, end: Column, rank: Column, txt: Column, kind: Column, need: Column) -> Column:

@@ -300,3 +300,8 @@ def test_distances_on_the_command_line(spark, tmp_path):
     (tmp_path / "pairs.txt").write_text("# comment\ncolour\tcolor\nnothing\n'trap'\tstrap\n")
     rows = [r.value for r in measured(text_files.lines(spark, str(tmp_path / "pairs.txt")), "eng", "eng").orderBy("order").collect()]
     assert rows == ["# Lang-code-1: eng Lang-code-2: eng", "colour\tcolor\t0.1", "", "trap\tstrap\t1"]
+
+
+def test_letters_of_one_reading_need_no_loop(spark):
+    tree = romanize._single()._jc.toString()
+    assert tree.count("transform(") == 1 and "ELSE array(struct(" in tree
