@@ -305,3 +305,10 @@ def test_distances_on_the_command_line(spark, tmp_path):
 def test_letters_of_one_reading_need_no_loop(spark):
     tree = romanize._single()._jc.toString()
     assert tree.count("transform(") == 1 and "ELSE array(struct(" in tree
+
+
+def test_numbers_are_composed_of_flat_lists():
+    assert numbers.compose("三万五", [3, 10**4, 5], [1, 10**4, 1], [None] * 3) == [(0, 3, "35000", 35000.0)]
+    assert numbers.compose("12.50万", [1, 2, None, 5, 0, 10**4], [1, 1, None, 1, 1, 10**4], [None] * 6) == [(0, 6, "125000", 125000.0)]
+    long = "12345678901234567890"
+    assert numbers.compose(long + "½", [*map(int, long), None], [1] * 20 + [None], [None] * 20 + ["1/2"]) == [(0, 20, long, float(long)), (20, 21, "1/2", None)]
