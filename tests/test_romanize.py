@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import latin, numbers
 from scriptloom.functions import text as tx
-from scriptloom.operators import distance, romanize, stats
+from scriptloom.operators import chart, distance, romanize, stats
 from scriptloom.plans import char_tables, trie
 from scriptloom.sources import text_files
 from scriptloom.streaming.romanize_stream import latin_stream, romanized_writer
@@ -312,3 +312,16 @@ def test_numbers_are_composed_of_flat_lists():
     assert numbers.compose("12.50万", [1, 2, None, 5, 0, 10**4], [1, 1, None, 1, 1, 10**4], [None] * 6) == [(0, 6, "125000", 125000.0)]
     long = "12345678901234567890"
     assert numbers.compose(long + "½", [*map(int, long), None], [1] * 20 + [None], [None] * 20 + ["1/2"]) == [(0, 20, long, float(long)), (20, 21, "1/2", None)]
+
+
+def test_words_are_read_in_pieces(spark):
+    """New words of known letters bring no new pieces, and what is read in pieces is what is read of whole words."""
+    alphabets = {"rus": "еиаойвк-", "hin": ["क्", "त्", "क", "इ", "ि", "न्", "फ़", "o"], None: ["ν", "τ", "ντ", "γκ", "α", "1", "x", "ⲁ̀"], "jpn": "きっぷシェーャaz", "zho": "三百万分之二-1a", "eng": "⠠⠓⠑⠇aе", "tha": "เกอวาษ์bб"}
+    made = {("".join(letters[n // len(letters) ** k % len(letters)] for k in range(6)), code) for code, letters in alphabets.items() for n in range(0, len(letters) ** 6, 997)}
+    words = romanize.with_ids(spark.createDataFrame(sorted(made, key=str), "token string, lcode string")).localCheckpoint()
+    for whole, pieces in ((romanize.read_whole(words), romanize.read_tokens(words)), (chart.read_whole(words), chart.read_charts(words))):
+        both = [sorted((r.ta, r.tb, r.edges, sorted(r.every)) for r in x.collect()) for x in (whole, pieces)]
+        assert both[0] == both[1] and len(both[0]) == len(made)
+    long = romanize.with_ids(spark.createDataFrame([("вк" * 5_000 + "е", "rus")], "token string, lcode string"))
+    assert romanize._pieces(long).select("pa", "pb").distinct().count() < 10
+    assert romanize.read_tokens(long, text=True).first().r == "vk" * 5_000 + "e"
