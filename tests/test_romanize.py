@@ -325,3 +325,16 @@ def test_words_are_read_in_pieces(spark):
     long = romanize.with_ids(spark.createDataFrame([("вк" * 5_000 + "е", "rus")], "token string, lcode string"))
     assert romanize._pieces(long).select("pa", "pb").distinct().count() < 10
     assert romanize.read_tokens(long, text=True).first().r == "vk" * 5_000 + "e"
+
+
+def test_texts_are_read_where_they_are(spark, monkeypatch):
+    """Readings sent to the executors and readings joined are the same; few pieces are read, and no text is shuffled."""
+    alphabets = {"rus": "еиаойвк- ", "hin": ["क्", "त्", "क", " ", "ि", "फ़", "o"], None: ["ν", "τ", "ντ", "γκ", "α", "1", "é", "。", "\n"], "deu": "äбß", "zho": "三百万分之 二-1a", "eng": "⠠⠓⠑ ⠇aе", "tha": "เกอวาษ์bб"}
+    made = sorted({("".join(letters[n // len(letters) ** k % len(letters)] for k in range(8)), code) for code, letters in alphabets.items() for n in range(0, min(len(letters) ** 8, 10**6), 49_999)} | {("", None), (None, "rus")}, key=str)
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(made)], "key int, text string, lcode string")
+    forms = lambda: [romanize.romanize(df, "text", lcode_col="lcode"), romanize.romanize_alternatives(df, "key", "text", "lcode"), romanize.edge_lists(df, "key", "text", "lcode")]
+    in_place = forms()
+    assert not any("Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in in_place)
+    monkeypatch.setattr(romanize.in_place, "MOST", 0)
+    for x, joined in zip(in_place, forms(), strict=True):
+        assert sorted(map(repr, x.collect())) == sorted(map(repr, joined.collect()))
