@@ -78,3 +78,11 @@ def test_quick_takes_the_longest_match_from_the_left(spark):
     got = [(r.q, r.rus) for r in rows.select(romanize.quick(F.col("t")).alias("q"), romanize.quick(F.col("t"), "rus").alias("rus")).collect()]
     assert [q for q, _ in got] == ["sha kyoku", "mound", "ko", "shchi ie", "abc", "", None]
     assert got[3][1] == "shchi iye" and got[0][0] == got[0][1]
+
+
+def test_chart_lists(spark):
+    """The edges of a text are one row, in order, and no text is shuffled for them."""
+    rows = spark.createDataFrame([(i, t, lc) for i, (t, lc, _) in enumerate(CHARTS)], "key int, text string, lcode string")
+    lists = chart.chart_lists(rows, "key", "text", "lcode")
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: [tuple(e) for e in r.edges] for r in lists.collect()} == {i: edges for i, (t, _, edges) in enumerate(CHARTS) if t}
