@@ -222,6 +222,8 @@ def read(rows: DataFrame, signs: Signs, every: bool, found) -> tuple | None:
 def with_texts(rows: DataFrame, given: tuple, out_col: str) -> DataFrame:
     """``rows`` without their last two columns (text, lcode), and with the reading of the text."""
     signs, readings = given
+    # names with dots aren't found by the function
+    numbered = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = readings.value
@@ -251,9 +253,9 @@ def with_texts(rows: DataFrame, given: tuple, out_col: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n)])
                 offsets = ends[np.searchsorted(c.starts, c.begins)].astype(np.int32)
                 out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(blob[_ragged(firsts[ids], n)]))
-                yield pa.RecordBatch.from_arrays([*(x.slice(row, len(texts)) for x in batch.columns[:-2]), out], names=[*batch.schema.names[:-2], out_col])
+                yield pa.RecordBatch.from_arrays([*(x.slice(row, len(texts)) for x in batch.columns[:-2]), out], names=[*batch.schema.names[:-2], "read"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-2], T.StructField(out_col, T.StringType())]))
+    return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields[:-2], T.StructField("read", T.StringType())])).toDF(*rows.columns[:-2], out_col)
 
 
 def with_edges(rows: DataFrame, given: tuple, edge: str) -> DataFrame:
