@@ -152,7 +152,7 @@ def cut(texts: list[str], lcodes: list[str | None], signs: Signs, every: bool) -
     return Cut(text, codes, begins, starts, looked, names, a, b, around)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str | None]]]:
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str | None]]]:
     """(first row, texts, languages) of the last two columns, of some SLICE bytes."""
     column = batch.column(batch.num_columns - 2).cast(pa.binary())
     step = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
@@ -167,7 +167,7 @@ def _pieces(rows: DataFrame, signs, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
-            for _, texts, lcodes in _slices(batch):
+            for _, texts, lcodes in slices(batch):
                 c = cut(texts, lcodes, signs.value, every)
                 names, at = np.unique(c.names, return_index=True)
                 new = [i for name, i in zip(names.tolist(), at.tolist(), strict=True) if name not in given]
@@ -182,7 +182,7 @@ def _pieces(rows: DataFrame, signs, every: bool) -> DataFrame:
     return rows.mapInArrow(run, PIECE).distinct()
 
 
-def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places first, first + 1 ... of each part, as many as its size."""
     before = np.concatenate([[0], np.cumsum(sizes)])
     return np.repeat(first - before[:-1], sizes) + np.arange(before[-1])
@@ -237,7 +237,7 @@ def with_texts(rows: DataFrame, given: tuple, out_col: str) -> DataFrame:
         sizes = np.array([len(t) for t in known], np.int64)
         firsts, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), np.uint8)
         for batch in batches:
-            for row, texts, lcodes in _slices(batch):
+            for row, texts, lcodes in slices(batch):
                 c = cut(texts, lcodes, signs.value, False)
                 ids = np.empty(len(c.starts), np.int64)
                 ids[c.looked] = read.of(c)
@@ -252,7 +252,7 @@ def with_texts(rows: DataFrame, given: tuple, out_col: str) -> DataFrame:
                 n = sizes[ids]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 offsets = ends[np.searchsorted(c.starts, c.begins)].astype(np.int32)
-                out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(blob[_ragged(firsts[ids], n)]))
+                out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(blob[ragged(firsts[ids], n)]))
                 yield pa.RecordBatch.from_arrays([*(x.slice(row, len(texts)) for x in batch.columns[:-2]), out], names=[*batch.schema.names[:-2], "read"])
 
     return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields[:-2], T.StructField("read", T.StringType())])).toDF(*rows.columns[:-2], out_col)
@@ -265,14 +265,14 @@ def with_edges(rows: DataFrame, given: tuple, edge: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = readings.value
         for batch in batches:
-            for row, texts, lcodes in _slices(batch):
+            for row, texts, lcodes in slices(batch):
                 c = cut(texts, lcodes, signs.value, True)
                 ids = read.of(c)
                 rows_at = np.searchsorted(c.starts, c.begins)
                 edges = read.column.flatten()
                 firsts = read.column.offsets.to_numpy().astype(np.int64)
                 n = np.diff(firsts)[ids]
-                take, by = _ragged(firsts[:-1][ids] - firsts[0], n), np.repeat(c.starts - np.repeat(c.begins[:-1], np.diff(rows_at)), n)
+                take, by = ragged(firsts[:-1][ids] - firsts[0], n), np.repeat(c.starts - np.repeat(c.begins[:-1], np.diff(rows_at)), n)
                 start, end = (pa.array((edges.field(i).to_numpy()[take] + by).astype(np.int32)) for i in (0, 1))
                 txt, kind = (edges.field(i).take(pa.array(take)) for i in (2, 3))
                 offsets = np.concatenate([[0], np.cumsum(n)])[rows_at].astype(np.int32)

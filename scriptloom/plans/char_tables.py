@@ -165,6 +165,11 @@ def character_row(cp: int) -> tuple | None:
     return cp, category, script, kind, rom, digit, *number_properties(c), "VOCALIC" in name, decomposed
 
 
+def in_word(c: str) -> bool:
+    """Whether a character is a letter or a mark."""
+    return unicodedata.category(c)[0] in "LM"
+
+
 @cache
 def character_rows() -> tuple[tuple, ...]:
     return tuple(character_row(cp) for cp in range(0x80, min(sys.maxunicode + 1, 0x20000)) if unicodedata.category(chr(cp)) not in ("Cn", "Cs") and not 0x3400 <= cp < 0xA000 and not 0xAC00 <= cp < 0xD7A4)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import latin, numbers
-from .plans import char_tables, rules, trie
+from .operators import spans
+from .plans import char_tables
 
 
 def _quoted(s: str) -> str:
@@ -41,37 +41,14 @@ class LetterEdges:
 
 @F.udtf(returnType="start int, end int, txt string, type string", useArrow=True)
 class LatticeEdges:
-    """The lattice of a text: each letter by its own sound, and each span that is the source of a rule of its language and place.
+    """A row for each edge of the lattice of a text (see ``spans.Lattice``); a null text has no edges.
 
-    Spans grow along the trie of rule sources, built once in each worker; what
-    an edge reads doesn't depend on the edges beside it.  Han letters stay as
-    they are, as their readings are a table of the JVM.  A null text has no edges.
+    Rows of edges pass through Python one by one: for whole texts there is ``spans.lattice_lists``.
     """
 
-    def __init__(self) -> None:
-        self.sounds = latin.folds() | char_tables.letter_sounds()
-        self.rules = {s: [(r[0], r[2], r[3]) for r in found] for s, found in trie.prefix_rows(rules.RULES)}
-        self.in_word = {}
-
-    def _is_letter(self, c: str) -> bool:
-        if c not in self.in_word:
-            self.in_word[c] = unicodedata.category(c)[0] in "LM"
-        return self.in_word[c]
-
     def eval(self, text: str, lcode: str) -> Iterator[tuple[int, int, str, str]]:
-        text = text or ""
-        letter = [False, *map(self._is_letter, text), False]
-        for i, c in enumerate(text):
-            t = self.sounds.get(c, c)
-            found = {(i + 1, t): "orig" if t == c else "rom"}
-            end = i + 1
-            while end <= len(text) and text[i:end] in self.rules:
-                inside, goes_on = letter[i], letter[end + 1]
-                fits = {"": True, "start": not inside, "end": not goes_on, "whole": not inside and not goes_on, "mid": inside and goes_on}
-                found |= {(end, t): "rom" for t, lcodes, place in self.rules[text[i:end]] if fits[place] and (not lcodes or lcode in lcodes)}
-                end += 1
-            for (to, t), kind in found.items():
-                yield i, to, t, kind
+        edges = spans.lattice().edges([text or ""], [lcode]).flatten()
+        yield from zip(*(edges.field(i).to_pylist() for i in range(4)), strict=True)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from scriptloom.operators import chart, romanize, stats
+from scriptloom import script_queries
+from scriptloom.operators import chart, romanize, spans, stats
 from scriptloom.plans import char_classes
 from scriptloom.sql import register
 
@@ -73,6 +74,27 @@ def test_lattice_in_sql(spark):
     assert edges("'x'", "null") == {(0, 1, "x", "orig")}
 
 
+def test_lattice_lists(spark):
+    """The lattice of a text is one row, with the edges that SQL gives, each once, and no text is shuffled for them."""
+    register(spark)
+    rows = spark.createDataFrame([(0, "μπ ντα", None), (1, "ие", "rus"), (2, "ие", "ukr"), (3, None, None), (4, "", "rus"), (5, "x\U00020000é\u0301", None), (6, "νντ", ""), (6, "μπμπ", None)], "key int, text string, lcode string")
+    lists = spans.lattice_lists(rows, "key", "text", "lcode")
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    rows.createOrReplaceTempView("lattice_texts")
+    wanted = spark.sql("select key, e.* from lattice_texts, lateral lattice_edges(text, lcode) e").collect()
+    got = lists.collect()
+    assert len(got) == 8 and sorted((r.key, *e) for r in got for e in r.edges) == sorted(tuple(r) for r in wanted)
+    assert [tuple(e) for e in got[1].edges] == [(0, 1, "i", "rom"), (0, 2, "iye", "rom"), (1, 2, "e", "rom")] and got[3].edges == got[4].edges == []
+
+
+def test_lattice_in_sql_makes_no_row_for_each_edge(spark, tmp_path):
+    spark.createDataFrame([(1, "nt ant"), (2, ""), (3, None), (4, "n t"), (5, "Ntntx")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counted = script_queries.lattice_in_sql(spark, str(tmp_path))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "Exchange" not in plan
+    assert {tuple(r) for r in counted.collect()} == {(1, 9, 2, 1), (4, 3, 0, 0), (5, 6, 1, 0)}
+
+
 def test_quick_takes_the_longest_match_from_the_left(spark):
     rows = spark.createDataFrame([("しゃ きょку",), ("μουντ",), ("เกาะ",), ("щи ие",), ("abc",), ("",), (None,)], "t string")
     got = [(r.q, r.rus) for r in rows.select(romanize.quick(F.col("t")).alias("q"), romanize.quick(F.col("t"), "rus").alias("rus")).collect()]
