@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,77 @@ class Trie:
             n += 1
 
 
+def _from_left(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the spans, in order of their places, are taken from the left: those that begin behind the ones taken before."""
+    keep, end = np.ones(len(place), bool), place + size
+    reached, free, last = np.flatnonzero(np.maximum.accumulate(end)[:-1] > place[1:]) + 1, 0, -1
+    for i in reached.tolist():
+        if i - 1 != last:
+            free = end[i - 1]
+        keep[i] = place[i] >= free
+        if keep[i]:
+            free = end[i]
+        last = i
+    return keep
+
+
+class Replaced:
+    """Texts in which, from the left, the longest source at each place, and else a letter, is replaced."""
+
+    def __init__(self, sources: dict[str, str], letters: dict[str, str]):
+        self.trie, self.known = Trie(sources), [t.encode() for t in (*sources.values(), *letters.values())]
+        self.of_span = np.full(len(self.trie.number) + 1, -1)
+        self.of_span[[self.trie.number[s] for s in sources]] = np.arange(len(sources))
+        self.of_code = np.full(_CODES, -1)
+        self.of_code[[ord(c) for c in letters]] = len(sources) + np.arange(len(letters))
+
+    def texts(self, texts: list[str]) -> pa.Array:
+        codes, begins = code_points(texts)
+        for code in np.unique(codes[self.of_code[codes] < 0]).tolist():
+            self.of_code[code] = len(self.known)
+            self.known.append(chr(code).encode())
+        ids, size = self.of_code[codes], np.zeros(len(codes), np.int64)
+        for n, place, number in self.trie.spans(codes, begins):
+            found = self.of_span[number]
+            place, found = place[found >= 0], found[found >= 0]
+            ids[place], size[place] = found, n
+        place = np.flatnonzero(size)
+        kept = _from_left(place, size[place]) if len(place) else np.zeros(0, bool)
+        # a span that isn't taken leaves its first letter as it is
+        ids[place[~kept]] = self.of_code[codes[place[~kept]]]
+        inside = np.zeros(len(codes), bool)
+        place = place[kept]
+        inside[in_place.ragged(place + 1, size[place] - 1)] = True
+        starts = np.flatnonzero(~inside)
+        sizes = np.array([len(t) for t in self.known], np.int64)
+        n = sizes[ids[starts]]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        blob = np.frombuffer(b"".join(self.known), np.uint8)
+        offsets = ends[np.searchsorted(starts, begins)].astype(np.int32)
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(blob[in_place.ragged((np.cumsum(sizes) - sizes)[ids[starts]], n)]))
+
+
+@cache
+def _replaced(sources: tuple[tuple[str, str], ...], letters: tuple[tuple[str, str], ...]) -> Replaced:
+    return Replaced(dict(sources), dict(letters))
+
+
+def replaced(text: Column, sources: dict[str, str], letters: dict[str, str]) -> Column:
+    """``text`` with, from the left, the longest of ``sources`` at each place, and else a letter, replaced; null stays null."""
+    tables = tuple(sources.items()), tuple(letters.items())
+
+    @F.arrow_udf("string")
+    def read(column: pa.Array) -> pa.Array:
+        own, parts = _replaced(*tables), []
+        for first, texts, _ in in_place.slices(pa.RecordBatch.from_arrays([column, pa.nulls(len(column))], names=["text", "lcode"])):
+            part = own.texts(texts)
+            nulls = column.slice(first, len(texts)).is_valid()
+            parts.append(part if nulls.true_count == len(texts) else pa.array([t if ok else None for t, ok in zip(part.to_pylist(), nulls.to_pylist(), strict=True)], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return read(text)
+
+
 class Lattice:
     """The lattice of texts: each letter by its own sound, and each span that is the source of a rule of its language and place.
 

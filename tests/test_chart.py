@@ -102,6 +102,14 @@ def test_quick_takes_the_longest_match_from_the_left(spark):
     assert got[3][1] == "shchi iye" and got[0][0] == got[0][1]
 
 
+def test_quick_is_one_pass(spark):
+    """No step for each letter that has a long reading; spans that overlap go from the left, and end where the text ends."""
+    rows = spark.createDataFrame([("しゃしゃ",), ("ουου ß",), ("γγκ",), ("γκγκ",), ("γ",), ("κγκ",), (None,), ("a\U00020000щ",)], "t string").coalesce(1)
+    read = rows.select(romanize.quick(F.col("t")).alias("q"))
+    assert "replace(" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [r.q for r in read.collect()] == ["shasha", "ouou ß", "ngk", "ngng", "g", "kng", None, "a\U00020000shch"]
+
+
 def test_chart_lists(spark):
     """The edges of a text are one row, in order, and no text is shuffled for them."""
     rows = spark.createDataFrame([(i, t, lc) for i, (t, lc, _) in enumerate(CHARTS)], "key int, text string, lcode string")
