@@ -601,6 +601,12 @@ def _breaks_read() -> dict[str, str]:
     return {c: rom for c in every if (rom := char_tables.character_row(ord(c))[4]) is not None and c != " "}
 
 
+@cache
+def _digits_read() -> dict[str, str]:
+    """Decimal digits beyond ASCII; a word of nothing but digits is the number that they write, in any script, language or mixture."""
+    return {chr(cp): rom for cp, _, _, kind, rom, digit, value, base, *_ in char_tables.character_rows() if kind == "digit" and rom == str(digit) and (value, base) == (digit, 1)}
+
+
 def _between(lcode: Column | None) -> Callable[[Column], Column]:
     """The reading of what stands between words: Latin text and breaks."""
     breaks = _breaks_read()
@@ -618,11 +624,12 @@ def _between(lcode: Column | None) -> Callable[[Column], Column]:
 def _signs(by_language: bool) -> in_place.Signs:
     """What texts are cut by, and the readings of what stands between words, as ``_between`` has them."""
     latin, breaks = in_place.members(_LATIN.replace(r"\u0000", "\0")), in_place.members(_BREAKS)
-    plain = {}
+    digits, plain = in_place.members("0-9" + "".join(_digits_read())), {}
     for code in ("", *BY_LANGUAGE) if by_language else ("",):
         table = folds() | BY_LANGUAGE.get(code, {}) | _breaks_read()
-        plain[code] = {cp: table.get(chr(cp), chr(cp)).encode() for cp in (latin | breaks).nonzero()[0].tolist()}
-    return in_place.Signs(in_place.kinds(), breaks, ~(latin | breaks), plain)
+        table |= _digits_read()
+        plain[code] = {cp: table.get(chr(cp), chr(cp)).encode() for cp in (latin | breaks | digits).nonzero()[0].tolist()}
+    return in_place.Signs(in_place.kinds(), breaks, ~(latin | breaks), digits, plain)
 
 
 def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col: str | None = None, rules: tuple[tuple[str, ...], ...] | DataFrame = ()) -> DataFrame:

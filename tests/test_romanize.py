@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import latin, numbers
 from scriptloom.functions import text as tx
-from scriptloom.operators import chart, distance, romanize, stats
+from scriptloom.operators import chart, distance, in_place, romanize, stats
 from scriptloom.plans import char_tables, trie
 from scriptloom.sources import text_files
 from scriptloom.streaming.romanize_stream import latin_stream, romanized_writer
@@ -338,3 +338,13 @@ def test_texts_are_read_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(romanize.in_place, "MOST", 0)
     for x, joined in zip(in_place, forms(), strict=True):
         assert sorted(map(repr, x.collect())) == sorted(map(repr, joined.collect()))
+
+
+def test_numbers_in_decimal_digits_are_not_looked_up(spark, monkeypatch):
+    """Different numbers are without number: no piece is read for them and no text is shuffled."""
+    monkeypatch.setattr(in_place, "MOST", 0)
+    texts = {"٣٤٥": "345", "٠٧": "07", "٣": "3", "१२ ၃၄၊ x": None, "1٢३": "123", "９" * 400: "9" * 400, "é ٣4 ५": "e 34 5"}
+    texts["१२ ၃၄၊ x"] = "12 34" + romanize._breaks_read().get("၊", "၊") + " x"
+    rows = romanize.romanize(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.text: r.romanized for r in rows.collect()} == texts
