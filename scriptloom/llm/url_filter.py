@@ -66,8 +66,8 @@ def rule_columns(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[C
     return name, verdict
 
 
-def _steps(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(first row, rows, row and next byte of each step, contexts of orders 0 to ORDER; 0: the URL is too short for it)."""
+def _places(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(first row, rows, row of each step, its next byte and the ORDER bytes before it, how many of these the URL has)."""
     for row, data, offsets in text_slices(urls, 1 << 20):
         rows = len(offsets) - 1
         sizes = np.diff(offsets)
@@ -78,14 +78,35 @@ def _steps(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, l
         inside = np.ones(len(padded), bool)
         inside[begin] = False
         place = np.flatnonzero(inside)
-        back = place - begin[of[place]]
-        context, contexts = np.full(len(place), 0x51ED270B, U64), []
-        for k in range(ORDER + 1):
-            if k:
-                context = context * U64(0x100000001B3) + padded[np.maximum(place - k, 0)].astype(U64) + U64(1)
-            full = mix(context + U64(k << 56)) | U64(1)
-            contexts.append(np.where(back >= k, full, U64(0)))
-        yield row, rows, of[place], padded[place], contexts
+        yield row, rows, of[place], [padded[np.maximum(place - k, 0)] for k in range(ORDER + 1)], place - begin[of[place]]
+
+
+def _contexts(around: list[np.ndarray], back: np.ndarray) -> list[np.ndarray]:
+    """Contexts of orders 0 to ORDER; 0: the URL is too short for it."""
+    context, contexts = np.full(len(back), 0x51ED270B, U64), []
+    for k in range(ORDER + 1):
+        if k:
+            context = context * U64(0x100000001B3) + around[k].astype(U64) + U64(1)
+        full = mix(context + U64(k << 56)) | U64(1)
+        contexts.append(np.where(back >= k, full, U64(0)))
+    return contexts
+
+
+def _steps(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first row, rows, row and next byte of each step, contexts of orders 0 to ORDER)."""
+    for row, rows, of, around, back in _places(urls):
+        yield row, rows, of, around[0], _contexts(around, back)
+
+
+def _grams(around: list[np.ndarray], back: np.ndarray) -> np.ndarray:
+    """A step in one number: its next byte, the bytes before it, and how many these are."""
+    order = np.minimum(back, ORDER)
+    return sum((np.where(order >= k, x, 0).astype(np.int64) << (8 * k) for k, x in enumerate(around)), order.astype(np.int64) << 48)
+
+
+def _cut(gram: np.ndarray, order: int) -> np.ndarray:
+    """The grams with no more than ``order`` bytes before."""
+    return (gram & ((1 << (8 * order + 8)) - 1)) | (order << 48)
 
 
 def _pair(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -125,13 +146,13 @@ class Ratio:
     """Rejected against accepted; threshold: the highest difference that is allowed.
 
     The models are None where their counts are too many for an executor; then
-    ``counts`` is joined.
+    ``contexts`` is joined.
     """
 
     accepted: Markov | None
     rejected: Markov | None
     threshold: float = float("inf")
-    counts: DataFrame | None = None
+    contexts: DataFrame | None = None
 
     def differences(self, urls: pa.Array) -> np.ndarray:
         out = np.zeros(len(urls))
@@ -142,8 +163,8 @@ class Ratio:
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``rows``, which have a url, with their difference."""
-        if self.counts is not None:
-            return _joined(rows, self.counts)
+        if self.contexts is not None:
+            return _joined(rows, self.contexts)
         shared = rows.sparkSession.sparkContext.broadcast((self.accepted, self.rejected))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,47 +175,63 @@ class Ratio:
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("difference", T.DoubleType())]))
 
 
-def _joined(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """As Ratio.scored, by joins: each different pair of context and next byte is looked up once, order after order.
+def _by_context(counts: DataFrame) -> DataFrame:
+    """A row for each context: of both sides, how often it occurs and before how many bytes, and the counts of each."""
+    of_side = lambda side, what: F.sum(F.when(F.col("blocked") == side, what))
+    whole = [of_side(bool(i), what).alias(f"{name}{i}") for i in (0, 1) for name, what in (("total", F.col("count")), ("kinds", F.lit(1)))]
+    return counts.groupBy("context").agg(*whole, F.collect_list(F.struct("blocked", "byte", "count")).alias("seen"))
+
+
+def _joined(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """As Ratio.scored, by joins: each different gram is looked up once, in the order of its length.
 
-    A pair's probability needs that of the pair whose context is one byte
-    shorter, and at most 256 pairs share such a one, so no key is hot.
+    A gram's probability needs that of the gram that is one byte shorter, and at
+    most 256 grams share such a one, so no key is hot.  A slice of URLs has one
+    row for each of its grams, with their places; what they are worth is summed
+    for the whole slice.
     """
     rows = table(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy()
-            for row, _, of, byte, contexts in _steps(batch.column(1)):
-                below = np.zeros(len(byte), U64)
-                for k, context in enumerate(contexts):
-                    pair = _pair(context, byte)
-                    take = np.flatnonzero(context != 0)
-                    take = take[np.argsort(pair[take], kind="stable")]
-                    first = np.flatnonzero(np.diff(pair[take], prepend=~pair[take[:1]]))
-                    # the ids are of the URLs for which this is the longest context
-                    longest = contexts[k + 1][take] == 0 if k < ORDER else np.ones(len(take), bool)
-                    ends = np.concatenate([np.concatenate(([0], np.cumsum(longest)))[first], [longest.sum()]])
-                    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(uid[row + of[take[longest]]]))
-                    at = take[first]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), *(pa.array(as_long(x[at])) for x in (pair, context)), pa.array(byte[at].astype(np.int32)), pa.array(as_long(below[at])), ids], names=["k", "pair", "context", "byte", "below", "ids"])
-                    below = pair
-
-    steps = table(rows.select("uid", "url").mapInArrow(run, "k int, pair long, context long, byte int, below long, ids array<long>"), "url-steps")
-    of_side = lambda side, what: F.sum(F.when(F.col("blocked") == side, what))
-    seen = counts.groupBy("context", "byte").agg(of_side(False, F.col("count")).alias("c0"), of_side(True, F.col("count")).alias("c1"))
-    whole = counts.groupBy("context").agg(*[of_side(bool(i), what).alias(f"{name}{i}") for i in (0, 1) for name, what in (("total", F.col("count")), ("kinds", F.lit(1)))])
+            for row, n, of, around, back in _places(batch.column(1)):
+                gram = _grams(around, back)
+                order = np.argsort(gram, kind="stable")
+                first = np.flatnonzero(np.diff(gram[order], prepend=-1))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(of[order].astype(np.int32)))
+                uids = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(first) + 1), 1).astype(np.int32) * n), pa.array(uid[row : row + n]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), uid[row])), pa.array(gram[order[first]]), places, uids], names=["slice", "gram", "places", "uids"])
+
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            for k in range(ORDER + 1):
+                gram = np.unique(_cut(every[every >> 48 >= k], k))
+                around = [(gram >> (8 * i)) & 255 for i in range(ORDER + 1)]
+                context = _contexts(around, np.full(len(gram), k))[k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram), pa.array(_cut(gram, max(0, k - 1))), pa.array(as_long(context)), pa.array(around[0].astype(np.int32))], names=["k", "gram", "below", "context", "byte"])
+
+    steps = table(rows.select("uid", "url").mapInArrow(run, "slice long, gram long, places array<int>, uids array<long>"), "url-steps")
+    grams = steps.select("gram").distinct().mapInArrow(shorter, "k int, gram long, below long, context long, byte int").distinct()
+    count = lambda i: F.coalesce(F.get(F.filter("seen", lambda x: (x.blocked == bool(i)) & (x.byte == F.col("byte"))), F.lit(0))["count"], F.lit(0)).alias(f"c{i}")
+    looked_up = table(grams.join(contexts, "context", "left").select("k", "gram", "below", count(0), count(1), "total0", "total1", "kinds0", "kinds1"), "url-grams")
     levels: list[DataFrame] = []
     for k in range(ORDER + 1):
-        level = steps.where(F.col("k") == k).groupBy("pair").agg(*[F.first(c).alias(c) for c in ("context", "byte", "below")])
-        level = level.join(seen, ["context", "byte"], "left").join(whole, "context", "left")
-        level = level.join(levels[-1].select(F.col("pair").alias("below"), "p0", "p1"), "below") if levels else level.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
-        after = [F.when(F.col(f"total{i}").isNull(), F.col(f"p{i}")).otherwise((F.coalesce(f"c{i}", F.lit(0)) + F.col(f"kinds{i}") * F.col(f"p{i}")) / (F.col(f"total{i}") + F.col(f"kinds{i}"))).alias(f"p{i}") for i in (0, 1)]
-        levels.append(table(level.select("pair", *after), "url-level"))
-    step = reduce(DataFrame.union, levels).select("pair", (F.log("p1") - F.log("p0")).alias("step"))
-    each = steps.where(F.size("ids") > 0).select("pair", "ids").join(step, "pair").select(F.explode("ids").alias("uid"), "step")
-    return rows.join(each.groupBy("uid").agg(F.avg("step").alias("difference")), "uid", "left").drop("uid")
+        level = looked_up.where(F.col("k") == k).drop("k")
+        level = level.join(levels[-1].select(F.col("gram").alias("below"), "p0", "p1"), "below") if levels else level.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
+        after = [F.when(F.col(f"total{i}").isNull(), F.col(f"p{i}")).otherwise((F.col(f"c{i}") + F.col(f"kinds{i}") * F.col(f"p{i}")) / (F.col(f"total{i}") + F.col(f"kinds{i}"))).alias(f"p{i}") for i in (0, 1)]
+        levels.append(table(level.select("gram", *after), "url-level"))
+    step = reduce(DataFrame.union, levels).select("gram", (F.log("p1") - F.log("p0")).alias("step"))
+
+    def summed(t: pa.Table) -> pa.Table:
+        places, uids = (t.column(c).combine_chunks() for c in ("places", "uids"))
+        uid, at = uids.flatten().to_numpy(), places.flatten().to_numpy()
+        total = np.bincount(at, np.repeat(t.column("step").to_numpy(), places.value_lengths().to_numpy()), len(uid))
+        return pa.table({"uid": pa.array(uid), "difference": pa.array(total / np.bincount(at, minlength=len(uid)))})
+
+    each = steps.join(step, "gram").drop("gram").groupBy("slice").applyInArrow(summed, "uid long, difference double")
+    return rows.join(each, "uid", "left").drop("uid")
 
 
 def _counts(examples: DataFrame) -> DataFrame:
@@ -220,7 +257,7 @@ def train(examples: DataFrame, order_by: str = "url") -> Ratio:
     counts = table(_counts(examples.where(fold != 0)), "url-counts")
     size = {r[0]: r[1] for r in counts.groupBy("blocked").count().collect()}
     if sum(size.values()) > MODEL_ROWS:
-        ratio = Ratio(None, None, counts=counts)
+        ratio = Ratio(None, None, contexts=table(_by_context(counts), "url-contexts"))
     else:
         rows = counts.toArrow()
         blocked, context, byte, count = (rows.column(c).to_numpy() for c in ("blocked", "context", "byte", "count"))
