@@ -7,7 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -180,11 +182,75 @@ def composed(numerals: Column) -> Column:
     return read(numerals)
 
 
-def han_numerals(text: Column) -> Column:
-    """The characters of ``text`` as numerals that ``composed`` takes, by the Han numerals alone."""
-    values, bases = {**HAN_DIGITS, **HAN_UNITS, **HAN_POWERS}, dict.fromkeys(HAN_DIGITS, 1) | HAN_UNITS | HAN_POWERS
-    one = lambda c, i: F.struct(i.alias("pos"), c.alias("numeral"), _value_of(c, values).alias("value"), _value_of(c, bases).alias("base"), F.lit(None).cast("string").alias("fraction"), F.lit(True).alias("native"))
-    return F.transform(F.split(text, ""), one)
+#: Numerals up to which runs go in step; longer ones are few.
+_IN_STEP = 64
+
+
+@cache
+def han_places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point the number of a Han numeral, from 1; and by that number its value and its base."""
+    bases = dict.fromkeys(HAN_DIGITS, 1) | HAN_UNITS | HAN_POWERS
+    places = np.zeros(0x110000, np.uint8)
+    places[[ord(c) for c in bases]] = 1 + np.arange(len(bases))
+    return places, np.array([0, *(HAN_DIGITS | HAN_UNITS | HAN_POWERS).values()]), np.array([0, *bases.values()])
+
+
+def _texts_in_step(state: tuple[np.ndarray, ...], end: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """``_Open.texts`` of many numbers of Han numerals."""
+    start, middle, total, total_base, block, block_base, low, tag = state
+    low = np.where(tag & (block < 0) & (low >= 1) & (total_base >= 1000), low * total_base // 10, low)
+    rest = np.maximum(block, 0) + np.maximum(low, 0)
+    two = (total >= 0) & ((block >= 0) | (low >= 0)) & (total_base <= np.maximum(rest, block_base))
+    whole = np.where(two, total, np.maximum(total, 0) + rest)
+    return [(start, np.where(two, middle, end), whole), (middle[two], end[two], rest[two])]
+
+
+def compose_han(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, value) of the numbers of many runs of Han numerals, in order: ``compose`` with a step for the k-th numeral of all runs.
+
+    Values stay below 10^17, so they are whole numbers of 64 bits.
+    """
+    places, values, bases = han_places()
+    found, size = [], ends - begins
+    long = size > _IN_STEP
+    for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
+        at = places[codes[a:b]]
+        numbers = compose("".join(map(chr, codes[a:b].tolist())), values[at].tolist(), bases[at].tolist(), [None] * (b - a))
+        found.append(tuple(np.array(x, np.int64) for x in zip(*((a + s, a + e, int(txt)) for s, e, txt, _ in numbers), strict=True)))
+    order = np.flatnonzero(~long)[np.argsort(-size[~long], kind="stable")]
+    begin, end, size = begins[order], ends[order], size[order]
+    n = len(order)
+    none, no_base = (lambda: np.full(n, -1)), (lambda: np.zeros(n, np.int64))
+    # -1 is none
+    state = start, middle, total, total_base, block, block_base, low, tag = begin.copy(), begin.copy(), none(), no_base(), none(), no_base(), none(), np.zeros(n, bool)
+    for k in range(size[0] if n else 0):
+        # the longest stand first
+        m = np.searchsorted(-size, -k)
+        at = begin[:m] + k
+        v, b = values[places[codes[at]]], bases[places[codes[at]]]
+        ones, large = b < 10, b >= 10000
+        st, mid, t, tb, bl, bb, lo, tg = (x[:m] for x in state)
+        if k:
+            above, own, below = np.where(bl >= 0, bb, tb), np.where(lo >= 1, lo * v, v), np.maximum(bl, 0) + np.maximum(lo, 0)
+            fits_ones = ((lo < 0) & (above > np.maximum(v, 1))) | ((lo == 0) & (np.where(above == 0, 1000000, above) > v))
+            fits_block = (lo != 0) & ((bl < 0) | ((bb > own) & (bb > b)))
+            fits_large = (below > 0) & ((t < 0) | (tb > b))
+            ended = np.flatnonzero(~np.where(ones, fits_ones, np.where(large, fits_large, fits_block)))
+            if len(ended):
+                found += _texts_in_step(tuple(x[ended] for x in state), at[ended])
+                for x, new in zip((st, mid, t, tb, bl, bb, lo, tg), (at[ended], at[ended], -1, 0, -1, 0, -1, False), strict=True):
+                    x[ended] = new
+        own, below = np.where(lo >= 1, lo * v, v), np.maximum(bl, 0) + np.maximum(lo, 0)
+        nothing = (bl < 0) & (lo < 0)
+        mid[:] = np.where(large, at + 1, np.where(nothing, at, mid))
+        tg[:] = np.where(ones, (v > 0) & (t >= 0) & (values[places[codes[at - 1]]] > 0 if k else False), tg)
+        t[:], tb[:] = np.where(large, np.maximum(t, 0) + np.where(nothing, v, below * v), t), np.where(large, b, tb)
+        bl[:], bb[:] = np.where(ones, bl, np.where(large, -1, np.maximum(bl, 0) + own)), np.where(ones, bb, np.where(large, 0, b))
+        lo[:] = np.where(ones, v, -1)
+    found += _texts_in_step(state, end)
+    starts, stops, whole = (np.concatenate([x[i] for x in found]) for i in range(3))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order], whole[order]
 
 
 def han_number(text: Column) -> Column:
@@ -192,11 +258,24 @@ def han_number(text: Column) -> Column:
 
     Null if it is none, as powers that rise or repeat aren't, or if it is too large for a long.
     """
+
+    @F.arrow_udf("long")
+    def read(column: pa.Array) -> pa.Array:
+        texts = [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        others = np.concatenate([[0], np.cumsum(han_places()[0][codes] == 0)])
+        rows = np.flatnonzero((np.diff(begins) > 0) & (np.diff(others[begins]) == 0))
+        start, end, value = compose_han(codes, begins[rows], begins[rows + 1])
+        row = np.searchsorted(begins, start, "right") - 1
+        whole = (start == begins[row]) & (end == begins[row + 1])
+        values = np.zeros(len(texts), np.int64)
+        values[row[whole]] = value[whole]
+        return pa.array(values, mask=~np.isin(np.arange(len(texts)), row[whole]))
+
     digits_only = text.rlike("^[" + "".join(HAN_DIGITS) + "]+$")
     plain = F.array_join(F.transform(F.split(text, ""), lambda c: _value_of(c, HAN_DIGITS).cast("string")), "").try_cast("long")
-    found = composed(F.when(F.length(text) > 0, han_numerals(text)))
-    whole = (F.size(found) == 1) & (F.get(found, F.lit(0)).start == 0) & (F.get(found, F.lit(0)).end == F.length(text))
-    return F.when(digits_only, plain).when(text.rlike("^[" + "".join([*HAN_DIGITS, *HAN_UNITS, *HAN_POWERS]) + "]+$") & whole, F.get(found, F.lit(0)).txt.try_cast("long"))
+    return F.when(digits_only, plain).otherwise(read(text))
 
 
 def roman_value(text: Column) -> Column:

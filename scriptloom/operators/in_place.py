@@ -3,7 +3,9 @@
 Texts are cut into the pieces of ``plans.cuts``, by numpy over their code
 points.  Each different piece is read once, by a job of Spark; while these are
 no more than MOST, their readings are sent to every executor, which puts them
-in their places.  More of them are left to the joins of ``romanize``.
+in their places.  More of them are left to the joins of ``romanize``.  Numbers,
+which are all different, aren't pieces: those in decimal digits are read one for
+one, those in Han numerals are composed where they stand.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import numbers
 from ..plans import cuts
 
 #: Different pieces, and characters in all of them, that executors hold the readings of at most.
@@ -31,6 +34,8 @@ PIECE = "ta long, tb long, token string, lcode string"
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _UNKNOWN = 0x110000
+#: Before a negative and a positive number.
+MINUS, PLUS = "负負−－", "＋"
 
 
 @dataclass(frozen=True)
@@ -101,25 +106,43 @@ class Cut:
     left: np.ndarray  # the piece with what stands beside it
     right: np.ndarray
     around: np.ndarray
+    words: np.ndarray  # of nothing but Han numerals, and a sign before them
+    ends: np.ndarray
+
+
+def _of(some: str) -> np.ndarray:
+    return np.array([ord(c) for c in some], np.uint32)
 
 
 def cut(texts: list[str], lcodes: list[str | None], signs: Signs, every: bool) -> Cut:
-    """``plans.cuts`` for all of the texts at once; without ``every``, only words with a hard character are cut, and of these no numbers in decimal digits, which are read one for one."""
+    """``plans.cuts`` for all of the texts at once; without ``every``, only words with a hard character are cut, and of these no numbers in decimal digits or Han numerals."""
     text = "".join(texts)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     n = len(codes)
+    none = np.zeros(0, np.int64)
     if not n:
-        none = np.zeros(0, np.int64)
-        return Cut(text, codes, begins, none, none.astype(bool), none.astype(U64), none, none, none)
+        return Cut(text, codes, begins, none, none.astype(bool), none.astype(U64), none, none, none, none, none)
     is_break = signs.breaks[codes]
     first = np.empty(n, bool)
     first[0], first[1:] = True, is_break[1:] != is_break[:-1]
     first[begins[:-1][begins[:-1] < n]] = True
     words = np.flatnonzero(first)
+    any_of = lambda test: np.logical_or.reduceat(test, words) if test.any() else np.zeros(len(words), bool)
+    han = none
+    if every:
+        looked_word = np.ones(len(words), bool)
+    else:
+        looked_word = any_of(signs.hard[codes]) & any_of(~signs.digits[codes]) & ~is_break[words]
+        numeral = numbers.han_places()[0][codes] > 0
+        if numeral.any():
+            han = np.flatnonzero(any_of(numeral) & ~any_of(~(numeral | (first & np.isin(codes, _of(MINUS + PLUS))))))
+            looked_word[han] = False
+    han, han_ends = words[han], np.concatenate([words, [n]])[han + 1]
+    if not looked_word.any():
+        return Cut(text, codes, begins, np.arange(n), np.zeros(n, bool), none.astype(U64), none, none, none, han, han_ends)
     word = np.cumsum(first) - 1
     kind = signs.kinds[codes]
-    any_of = lambda test: np.logical_or.reduceat(test, words) if test.any() else np.zeros(len(words), bool)
     bits = _bits()[kind]
     # beside numerals of other scripts, digits and signs can be part of a number
     numeral = any_of(kind == ord(cuts.NUMERAL))
@@ -136,7 +159,6 @@ def cut(texts: list[str], lcodes: list[str | None], signs: Signs, every: bool) -
     run = ends & (first | ~np.concatenate([[False], ends[:-1]]))
     place = np.arange(n)
     cuts_ = ends & ((place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0)
-    looked_word = np.ones(len(words), bool) if every else any_of(signs.hard[codes]) & any_of(~signs.digits[codes]) & ~is_break[words]
     starts = np.flatnonzero(cuts_ | ~looked_word[word])
     looked = looked_word[word[starts]]
     piece = np.flatnonzero(looked)
@@ -150,7 +172,27 @@ def cut(texts: list[str], lcodes: list[str | None], signs: Signs, every: bool) -
     a, b = start - left, end + right
     salts = np.array([_salt(x) for x in lcodes], U64)[np.searchsorted(begins, start, "right") - 1]
     names = _mix((sums[b] - sums[a]) * inverse[a] + ((b - a) * 8 + around).astype(U64) * U64(0xD6E8FEB86659FD93) + salts)
-    return Cut(text, codes, begins, starts, looked, names, a, b, around)
+    return Cut(text, codes, begins, starts, looked, names, a, b, around, han, han_ends)
+
+
+def _numbers(c: Cut) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the words of Han numerals: the places of numbers and signs, where what each covers ends, and its text.
+
+    What is no number is left: large powers and a few numerals by themselves, and
+    signs that none follows.  A number behind another is set off by a dot.
+    """
+    signed = np.isin(c.codes[c.words], _of(MINUS + PLUS))
+    begins = c.words + signed
+    start, end, value = numbers.compose_han(c.codes, begins, c.ends)
+    kept = ~((end - start == 1) & ((value > 1000) | np.isin(c.codes[start], _of(numbers.NOT_ALONE))))
+    start, end, value = start[kept], end[kept], value[kept]
+    inside = np.isin(start, begins, invert=True)
+    behind = np.concatenate([[False], inside[1:] & (start[1:] == end[:-1])])[: len(start)]
+    shown = pa.array(value).cast(pa.string())
+    shown = pc.if_else(pa.array(behind), pc.binary_join_element_wise("·", shown, ""), shown) if behind.any() else shown
+    sign = c.words[signed & np.isin(begins, start)]
+    minus = pa.array(np.isin(c.codes[sign], _of(MINUS)))
+    return np.concatenate([sign, start]), np.concatenate([sign + 1, end]), pa.concat_arrays([pc.if_else(minus, "-", "+").cast(pa.string()), shown])
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str | None]]]:
@@ -250,10 +292,16 @@ def with_texts(rows: DataFrame, given: tuple, out_col: str) -> DataFrame:
                     for lcode, table in plain_at.items():
                         own = np.array([x == lcode for x in lcodes])[of_row]
                         ids[rest[own]] = table[codes[own]]
-                n = sizes[ids]
+                n, begin, bytes_ = sizes[ids], firsts[ids], blob
+                place, end, shown = _numbers(c)
+                if len(place):
+                    n[np.searchsorted(c.starts, ragged(place, end - place))] = 0
+                    at, own = np.searchsorted(c.starts, place), np.frombuffer(shown.buffers()[1], np.int32)[: len(place) + 1].astype(np.int64)
+                    n[at], begin[at] = np.diff(own), own[:-1] + len(blob)
+                    bytes_ = np.concatenate([blob, np.frombuffer(shown.buffers()[2] or b"", np.uint8)])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 offsets = ends[np.searchsorted(c.starts, c.begins)].astype(np.int32)
-                out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(blob[ragged(firsts[ids], n)]))
+                out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(bytes_[ragged(begin, n)]))
                 yield pa.RecordBatch.from_arrays([*(x.slice(row, len(texts)) for x in batch.columns[:-2]), out], names=[*batch.schema.names[:-2], "read"])
 
     return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields[:-2], T.StructField("read", T.StringType())])).toDF(*rows.columns[:-2], out_col)

@@ -55,8 +55,8 @@ TIBETAN_CODAS = "bh bs ch cs dd ddh dh dz dzh gh gr gs kh khs kss n nn nt ms ng
 HANGUL_LEADS = "g gg n d dd r m b bb s ss - j jj c k t p h".split()
 HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wai oe yo u weo we wi yu eu yi i".split()
 HANGUL_TAILS = "- g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
-#: Between a denominator and its numerator; before a negative and a positive number.
-OVER, MINUS, PLUS = "分之", "负負−－", "＋"
+#: Fixed value: between a denominator and its numerator.
+OVER = "分之"
 
 
 def tokens(text: Column) -> Column:
@@ -376,7 +376,7 @@ def _number_edges(found: Column, chars: Column) -> Column:
         return F.concat(plain, F.filter(F.transform(nums, over), lambda e: e.isNotNull()))
 
     def with_signs(edges: Column) -> Column:
-        sign = lambda e: F.when(e.start > 0, F.when(at(e.start - 1).isin(list(MINUS)), "-").when(at(e.start - 1).isin(list(PLUS)), "+"))
+        sign = lambda e: F.when(e.start > 0, F.when(at(e.start - 1).isin(list(in_place.MINUS)), "-").when(at(e.start - 1).isin(list(in_place.PLUS)), "+"))
         signed = F.transform(F.filter(edges, lambda e: sign(e).isNotNull()), lambda e: edge(e.start - 1, e.end, F.concat(sign(e), e.txt), F.concat(e.type, F.lit(" "), sign(e))))
         return F.concat(edges, signed)
 
@@ -621,14 +621,14 @@ def _between(lcode: Column | None) -> Callable[[Column], Column]:
 
 
 @cache
-def _signs(by_language: bool) -> in_place.Signs:
-    """What texts are cut by, and the readings of what stands between words, as ``_between`` has them."""
+def _signs(by_language: bool, han: tuple[tuple[str, str], ...]) -> in_place.Signs:
+    """What texts are cut by, and the readings of what stands between words, as ``_between`` has them, of decimal digits, and of ``han``."""
     latin, breaks = in_place.members(_LATIN.replace(r"\u0000", "\0")), in_place.members(_BREAKS)
     digits, plain = in_place.members("0-9" + "".join(_digits_read())), {}
     for code in ("", *BY_LANGUAGE) if by_language else ("",):
         table = folds() | BY_LANGUAGE.get(code, {}) | _breaks_read()
         table |= _digits_read()
-        plain[code] = {cp: table.get(chr(cp), chr(cp)).encode() for cp in (latin | breaks | digits).nonzero()[0].tolist()}
+        plain[code] = {cp: table.get(chr(cp), chr(cp)).encode() for cp in (latin | breaks | digits).nonzero()[0].tolist()} | {ord(c): t.encode() for c, t in han}
     return in_place.Signs(in_place.kinds(), breaks, ~(latin | breaks), digits, plain)
 
 
@@ -653,7 +653,7 @@ def romanize(df: DataFrame, text_col: str, out_col: str = "romanized", lcode_col
     if not (isinstance(rules, DataFrame) or rules):
         hard = df.where(~easy).select(*[_column(c) for c in df.columns], text.alias("__text"), lcode.alias("__lcode"))
         joined_up = F.array_join(F.transform("edges", lambda e: e.txt), "").alias("r")
-        given = in_place.read(hard, _signs(bool(lcode_col)), False, lambda pieces: _of_pieces(pieces, read_whole).select("ta", joined_up))
+        given = in_place.read(hard, _signs(bool(lcode_col), char_tables.han_words(df.sparkSession, in_place.MINUS + in_place.PLUS)), False, lambda pieces: _of_pieces(pieces, read_whole).select("ta", joined_up))
         if given:
             return df.where(easy).select(*[_column(c) for c in df.columns], plain.alias(out_col)).union(in_place.with_texts(hard, given, out_col))
     keys = {"__a": F.xxhash64(text, lcode), "__b": F.xxhash64(F.lit(1), text, lcode)}
@@ -689,7 +689,7 @@ def _edges_in_place(df: DataFrame, key: str, text_col: str, lcode_col: str | Non
     """(__key, edges) of each row with a text, ``edges`` being an expression of what is read of a piece; None if there are too many different pieces."""
     lcode = _column(lcode_col) if lcode_col else F.lit(None).cast("string")
     rows = df.where(F.length(_column(text_col)) > 0).select(_column(key).alias("__key"), _column(text_col).alias("__text"), lcode.alias("__lcode"))
-    given = in_place.read(rows, _signs(False), True, lambda pieces: _of_pieces(pieces, whole).select("ta", edges.alias("edges")))
+    given = in_place.read(rows, _signs(False, ()), True, lambda pieces: _of_pieces(pieces, whole).select("ta", edges.alias("edges")))
     return in_place.with_edges(rows, given, EDGE) if given else None
 
 

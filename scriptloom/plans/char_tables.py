@@ -200,6 +200,18 @@ def toneless_pinyin(t: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x))
 
 
+_han_words: dict[str, tuple[tuple[str, str], ...]] = {}
+
+
+def han_words(spark: SparkSession, signs: str) -> tuple[tuple[str, str], ...]:
+    """Han numerals and ``signs``, and how each is read where it is no number, or none's."""
+    key = spark.sparkContext.applicationId + signs
+    if key not in _han_words:
+        roms = {row[0]: row[4] for row in (*map(character_row, map(ord, HAN_NUMERALS + signs)), *pinyin_rows(spark))}
+        _han_words[key] = tuple((c, c if roms[ord(c)] is None else roms[ord(c)]) for c in HAN_NUMERALS + signs)
+    return _han_words[key]
+
+
 _tables: dict[str, DataFrame] = {}
 
 

@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,3 +350,32 @@ def test_numbers_in_decimal_digits_are_not_looked_up(spark, monkeypatch):
     rows = romanize.romanize(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {r.text: r.romanized for r in rows.collect()} == texts
+
+
+def test_numbers_in_han_numerals_are_not_looked_up(spark, monkeypatch):
+    """They are composed where they stand, as the joins compose them: signs, numbers side by side, and numerals that by themselves are words."""
+    pick, han = random.Random(3), char_tables.HAN_NUMERALS
+    texts = ["".join(pick.choices(x, k=pick.randint(1, 9))) for x in (han, "一九零十百千万", "〇万亿兆两兩伍", han + "负＋− ，x") for _ in range(150)]
+    texts += ["负" + t for t in texts[:200]] + ["负", "＋－三", "三负四", "负三 －万，＋五千三", "é 三万 щ 负伍 ٣", "三" * 200, "负三万五", "", None]
+    rows = spark.createDataFrame([(i, t, pick.choice([None, "zho", "jpn"])) for i, t in enumerate(texts)], "i int, text string, lcode string")
+    numbers_only = rows.where(F.col("text").rlike("^[负負－＋−]?[" + han + "]+$"))
+    monkeypatch.setattr(in_place, "MOST", 0)
+    read = romanize.romanize(numbers_only, "text", lcode_col="lcode")
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(in_place, "MOST", 1000)
+    got = [x.romanized for x in romanize.romanize(rows, "text", lcode_col="lcode").sort("i").collect()]
+    monkeypatch.setattr(in_place, "MOST", -1)
+    assert got == [x.romanized for x in romanize.romanize(rows, "text", lcode_col="lcode").sort("i").collect()]
+    assert got[texts.index("负三 －万，＋五千三")] == "-3 -wan,+5003" and read.count() > 400
+
+
+def test_han_numbers_are_composed_in_step():
+    """For all runs at once, the numbers that ``compose`` gives for each."""
+    pick, han = random.Random(7), char_tables.HAN_NUMERALS
+    runs = ["".join(pick.choices(x, k=pick.randint(1, k))) for x, k in ((han, 12), ("一九〇十百千万亿兆", 12), ("〇零两万亿", 8), (han, 150)) for _ in range(500)]
+    ends = np.cumsum([len(r) for r in runs])
+    begins = ends - [len(r) for r in runs]
+    given = {c: char_tables.number_properties(c) for c in han}
+    wanted = [(a + s, a + e, int(t)) for r, a in zip(runs, begins.tolist(), strict=True) for s, e, t, _ in numbers.compose(r, [given[c][0] for c in r], [given[c][1] for c in r], [None] * len(r))]
+    assert list(zip(*(x.tolist() for x in numbers.compose_han(np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32), begins, ends)), strict=True)) == wanted
+    assert [x.tolist() for x in numbers.compose_han(np.zeros(0, np.uint32), begins[:0], ends[:0])] == [[], [], []]
