@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from scriptloom import script_queries
@@ -116,3 +118,26 @@ def test_chart_lists(spark):
     lists = chart.chart_lists(rows, "key", "text", "lcode")
     assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
     assert {r.key: [tuple(e) for e in r.edges] for r in lists.collect()} == {i: edges for i, (t, _, edges) in enumerate(CHARTS) if t}
+
+
+def test_chart_sums(spark, monkeypatch):
+    """What is counted of edges is summed from the pieces: no array of edges of a text goes to the JVM; by joins it is the same."""
+    types = "virama", "diacritic", "ASCII"
+    rows = spark.createDataFrame([(i, t, lc) for i, (t, lc, _) in enumerate(CHARTS)] * 2 + [(50, "क्षमा ប៉ x" * 300, None)], "key int, text string, lcode string")
+    sums = chart.chart_sums(rows, "key", "text", types, "lcode")
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and not re.search(r"\bedges#", plan)
+    of = lambda edges: (len(edges), [sum(e[3] == t for e in edges) for t in types], sum(e[1] - e[0] for e in edges), "".join(e[2] for e in edges))
+    got = sorted(tuple(r) for r in sums.collect())
+    assert [x for x in got if x[0] < 50] == sorted((i, *of(edges)) for i, (t, _, edges) in enumerate(CHARTS) if t for _ in range(2))
+    assert got[-1][1:4] == (2400, [300, 300, 900], 3000) and got[-1][4] == "kssamaa ba x" * 300
+    monkeypatch.setattr(chart.r.in_place, "MOST", -1)
+    assert sorted(tuple(r) for r in chart.chart_sums(rows, "key", "text", types, "lcode").collect()) == got
+
+
+def test_queries_count_edges_from_pieces(spark, tmp_path):
+    spark.createDataFrame([(1, "kes ha"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("chart_edges_documents", "romanize_edges_documents"):
+        found = getattr(script_queries, name)(spark, str(tmp_path))
+        assert not re.search(r"\bedges#", found._jdf.queryExecution().executedPlan().toString())
+        assert [r.doc_id for r in found.collect()] == [1]
