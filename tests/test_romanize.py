@@ -379,3 +379,18 @@ def test_han_numbers_are_composed_in_step():
     wanted = [(a + s, a + e, int(t)) for r, a in zip(runs, begins.tolist(), strict=True) for s, e, t, _ in numbers.compose(r, [given[c][0] for c in r], [given[c][1] for c in r], [None] * len(r))]
     assert list(zip(*(x.tolist() for x in numbers.compose_han(np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32), begins, ends)), strict=True)) == wanted
     assert [x.tolist() for x in numbers.compose_han(np.zeros(0, np.uint32), begins[:0], ends[:0])] == [[], [], []]
+
+
+def test_readings_are_found_by_their_names():
+    """Also where the first bits are shared, and first and last; a name that isn't there is an error."""
+    pick = random.Random(2)
+    names = np.array(sorted({pick.getrandbits(64) for _ in range(3000)} | {2**63 + i for i in range(50)} | {0, 2**64 - 1}), np.uint64)
+    cut = lambda some: in_place.Cut("", *[None] * 4, some, *[None] * 5)
+    order = np.array(pick.choices(range(len(names)), k=9000) + [0, len(names) - 1])
+    assert (in_place.Readings(names, None).of(cut(names[order])) == order).all()
+    assert not len(in_place.Readings(names[:0], None).of(cut(names[:0])))
+    for gone in (0, 1500, len(names) - 1):
+        with pytest.raises(ValueError):
+            in_place.Readings(np.delete(names, gone), None).of(cut(names))
+    with pytest.raises(ValueError):
+        in_place.Readings(names[:0], None).of(cut(names))
